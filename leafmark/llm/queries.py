@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmark.llm import bloom_lm, compression, hash_ring, media_ogg, mixing, perplexity, pieces, toxicity, weighted_minhash
+from leafmark.llm import bloom_lm, compression, hash_ring, lines, media_ogg, mixing, perplexity, pieces, toxicity, weighted_minhash
 
 QUERIES = {
     "op1_perplexity": perplexity.op1_perplexity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_ogg": media_ogg.op5_ogg,
     "op6_mixing": mixing.op6_mixing,
     "op7_bloom_lm": bloom_lm.op7_bloom_lm,
+    "op8_lines": lines.op8_lines,
     "op9_ring": hash_ring.op9_ring,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -2,7 +2,8 @@
 
 1. Documents with the same words in the same order are one class from the start; the least id stands for it.
 2. A shingle is SHINGLE consecutive words (a shorter text is one shingle of all its words); its weight is its count in the text times
-   ln(1 + texts / texts with it). Numbers of texts come to the texts through lookup.py, so no table of shingles is broadcast.
+   1 + ln((1 + texts) / (1 + texts with it)) / ln(1 + texts), between 1 and 2, so that a word changed in one copy of many
+   doesn't outweigh all that the copies share. Numbers of texts come to the texts through lookup.py, so no table of shingles is broadcast.
 3. A text can be THRESHOLD similar to another only if shingles that others have too hold that share of its weight; other texts
    are alone, exactly. The rest get BANDS * ROWS consistent weighted samples, ROWS to a band.
 4. In each band bucket every text is compared with the bucket's least one (the leader) by weighted Jaccard similarity; links join
@@ -106,7 +107,7 @@ def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFra
         for part in slices(rows.column("text")) if rows.num_rows else ():
             h, tf, at = distinct(*shingles(part))
             df = np.maximum(get(hashes, counts, h), 1)
-            w = tf * np.log1p(texts / df)
+            w = tf * (1 + np.log((1 + texts) / (1 + df)) / np.log(1 + max(texts, 1)))
             shared = sums(np.where(df > 1, w, 0.0), at)
             total = sums(w, at)
             for k in np.flatnonzero((shared >= threshold * total * (1 - 1e-9)) & (total > 0)):
