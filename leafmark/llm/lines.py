@@ -7,7 +7,7 @@ A line falls into THRESHOLD + 1 segments; of two lines within THRESHOLD edits, o
 its place. So each line is indexed by its segments (with length and number), and probes, for its own and each smaller length that
 is near enough, the substrings that can stand for a segment (`shifts`). Lines that meet in a key are compared with the
 key's least line (the leader), and keys that then still hold several classes compare the lines outside the largest class with
-the others: never all pairs of a key, yet no link is lost. Pairs are verified by a banded bit-parallel edit distance:
+the others, where letter counts allow a link: all pairs of a key are never made, yet no link is lost. Pairs are verified by a banded bit-parallel edit distance:
 for each number of edits one word whose bits are the diagonals within the band.
 
 Lines stand as 64-bit hashes until texts are needed; then a bitmap of fixed size keeps only lines that occur in pairs.
@@ -27,6 +27,8 @@ from leafmark.llm.weighted_minhash import components
 THRESHOLD, LEAST = 2, 40
 #: The bitmap of line hashes has 2**BITMAP bits, 512 KB, whatever the corpus.
 BITMAP = 22
+#: Letters whose counts are compared before the edit distance.
+LETTERS = "etaoinsrhldcumpgwbyvfk.,"
 
 
 def shifts(threshold: int = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -84,15 +86,26 @@ def _bitmap(ids: DataFrame) -> DataFrame:
     return one.select(F.col("words.bits").alias("bitmap"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): the pairs of line hashes within the threshold. lines: (id, line), with repeats."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line, letters) of lines whose hash is among ids (and a few more that share its low bits)."""
     held = F.expr(f"(shiftright(bitmap[cast(shiftright(id & {(1 << BITMAP) - 1}L, 6) AS int)], cast(id & 63 AS int)) & 1) = 1")
-    some = written(lines.crossJoin(F.broadcast(_bitmap(ids))).filter(held).select("id", "line").distinct(), "pair-lines")  # one row of 512 KB
-    a = some.select(F.col("id").alias("a"), F.split("line", "").alias("ca"))
+    some = lines.crossJoin(F.broadcast(_bitmap(ids))).filter(held).select("id", "line").distinct()  # one row of 512 KB
+    return written(some.withColumn("letters", F.array(*(F.char_length("line") - F.char_length(F.replace("line", F.lit(c), F.lit(""))) for c in LETTERS))), "pair-lines")
+
+
+def _alike(a: str, b: str, threshold: int) -> Column:
+    """Whether letter counts allow the threshold: an edit changes two counts by one at most."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x) <= 2 * threshold
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): the pairs of line hashes within the threshold."""
+    a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("letters").alias("ha"))
+    b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("letters").alias("hb"))
     pad = F.array_repeat(F.lit(""), threshold)
-    b = some.select(F.col("id").alias("b"), F.concat(pad, F.split("line", ""), pad).alias("cb"))
-    return pairs.join(a, "a").join(b, "b").filter(within(threshold)).select("a", "b").distinct()
+    both = pairs.join(a, "a").join(b, "b").filter(_alike("ha", "hb", threshold))
+    letters = both.select("a", "b", F.split("la", "").alias("ca"), F.concat(pad, F.split("lb", ""), pad).alias("cb"))
+    return letters.filter(within(threshold)).select("a", "b").distinct()
 
 
 def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -106,20 +119,22 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     members = index.select("key", "id", F.lit(True).alias("indexed")).unionAll(probes.select("key", "id", F.lit(False).alias("indexed")))
     met = written(members.join(leaders.hint("shuffle_hash"), "key").filter("id <> leader").select("key", "id", "indexed", "leader").distinct(), "met-lines")
     tried = written(met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "line-pairs")
-    links = written(_verified(tried, lines, threshold), "line-links")
+    texts = _texts(tried.select(F.col("a").alias("id")).unionAll(tried.select(F.col("b").alias("id"))), lines)
+    links = written(_verified(tried, texts, threshold), "line-links")
     found = components(links)
     # keys that still hold several classes
     all_members = met.select("key", "id", "indexed").unionAll(met.select("key", F.col("leader").alias("id"), F.lit(True).alias("indexed")).distinct())
     held = all_members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kinds = held.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = kinds.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("kinds > 1 and n > 2")
-    open_ = written(held.join(mixed.select("key", "largest"), "key"), "open-keys")
-    outside = open_.filter("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("indexed").alias("ia"))
-    others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("indexed").alias("ib"))
-    rest = outside.join(others, "key").filter("ca <> cb and (ia or ib)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    open_ = written(held.join(mixed.select("key", "largest"), "key").join(texts.select("id", "letters"), "id"), "open-keys")
+    outside = open_.filter("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("indexed").alias("ia"), F.col("letters").alias("ha"))
+    others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("indexed").alias("ib"), F.col("letters").alias("hb"))
+    fits = F.expr("ca <> cb and (ia or ib)") & _alike("ha", "hb", threshold)  # part of the join: pairs that can't be links aren't made
+    rest = outside.join(others, (outside["key"] == others["key"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = written(rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-pairs")
     if rest.limit(1).count():
-        more = written(_verified(rest, lines, threshold), "line-links")
+        more = written(_verified(rest, texts, threshold), "line-links")
         if more.limit(1).count():
             found = components(links.unionAll(more))
     return found
