@@ -32,6 +32,7 @@ def counted_blocks(
     least: int = 1,
     pairs: Callable[[Slice, pa.Table], tuple[np.ndarray, np.ndarray]] | None = None,
     pack: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
+    prepare: Callable[[pa.Table], pa.Table] = lambda table: table,
 ) -> DataFrame:
     """finish(texts of a block, item hashes, counts, packed) for each block, as rows of schema.
 
@@ -42,13 +43,14 @@ def counted_blocks(
 
     pairs gives a second, larger family of hashes in the same way. These travel with 40 bits besides their bucket's, and
     their answer is pack(hashes, counts) of a block's hashes in one bucket; finish gets them as a fourth argument, a list of
-    (bucket, packed), and finds a hash's bucket by bucket_of."""
+    (bucket, packed), and finds a hash's bucket by bucket_of. prepare picks the rows of a block that count."""
     blocks = max(8, math.ceil(text_bytes / BLOCK_BYTES))
     buckets = bucket_number(text_bytes)
     ship(docs.sparkSession)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("block_key"), F.lit(blocks))).drop("block_key").repartition("block")
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
+        table = prepare(table)
         families = [items] if pairs is None else [items, pairs]
         found = []
         for family in families:
@@ -58,7 +60,7 @@ def counted_blocks(
                 some, w = _summed(h, w)
                 hashes.append(some)
                 weights.append(w)
-            h, w = _summed(np.concatenate(hashes), np.concatenate(weights))
+            h, w = _summed(np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(weights or [np.zeros(0, np.int64)]))
             found.append((h, w.astype(np.int32), np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))))
         h, w, cuts = found[0]
         full = np.arange(buckets)
@@ -93,7 +95,7 @@ def counted_blocks(
             by = np.argsort(h)
             h, n = h[by], n[by]
         packed = [] if pairs is None else [(b.as_py(), p.as_py()) for b, p in zip(answers.column("bucket"), answers.column("packed"), strict=True)]
-        return finish(texts.drop_columns(["block"]), h, n, packed)
+        return finish(prepare(texts.drop_columns(["block"])), h, n, packed)
 
     more = "" if pairs is None else ", pairs binary, pair_weights binary"
     asked = dealt.groupBy("block").applyInArrow(gather, f"bucket long, block long, hashes binary, weights binary{more}")

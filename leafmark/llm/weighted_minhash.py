@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import Slice, documents, mapped, mix, range_hashes, slices, sums, word_bounds, written
-from leafmark.llm.lookup import counted_blocks, get
+from leafmark.llm.lookup import bucket_number, bucket_of, counted_blocks, get, low_bits
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**3)**20 < 1e-6.
@@ -95,18 +96,52 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return float(low / whole) if whole else 0.0
 
 
+def _wide_key(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Bucket and low bits of a hash in one number."""
+    return (bucket.astype(np.uint64) << np.uint64(40)) | low
+
+
 def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFrame:
-    """(id, total, bands, hashes, weights) of the texts that can have a partner. docs: (id, text), one row for each different text."""
+    """(id, total, bands, hashes, weights) of the texts that can have a partner.
+
+    docs: (id, text, chosen) with a row of chosen = true without text for each id whose text counts, besides the texts."""
+    buckets = bucket_number(size)
+
+    def prepare(table: pa.Table) -> pa.Table:
+        marks = table.column("chosen")
+        chosen = set(table.filter(marks).column("id").to_pylist())
+        rows = table.filter(pc.invert(marks))
+        keep = []
+        for i in rows.column("id").to_pylist():
+            keep.append(i in chosen)
+            chosen.discard(i)
+        return rows.filter(pa.array(keep, pa.bool_()))
+
+    def none(part: Slice, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def items(part: Slice, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         h, _, at = distinct(*shingles(part))
         return h, np.ones(len(h), np.int64)
 
-    def finish(rows: pa.Table, hashes: np.ndarray, counts: np.ndarray, packed: list) -> pa.Table:
+    def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+        """Shingles of two texts or more with their numbers of texts."""
+        some = counts > 1
+        return hashes[some].tobytes() + counts[some].tobytes()
+
+    def finish(rows: pa.Table, _hashes: np.ndarray, _counts: np.ndarray, packed: list) -> pa.Table:
         out = {k: [] for k in ("id", "total", "bands", "hashes", "weights")}
+        keys, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for bucket, raw in packed:
+            n = len(raw) // 16
+            keys.append(_wide_key(np.full(n, bucket), np.frombuffer(raw, np.uint64, n)))
+            numbers.append(np.frombuffer(raw, np.int64, n, 8 * n))
+        keys, numbers = np.concatenate(keys), np.concatenate(numbers)
+        by = np.argsort(keys)
+        keys, numbers = keys[by], numbers[by]
         for part in slices(rows.column("text")) if rows.num_rows else ():
             h, tf, at = distinct(*shingles(part))
-            df = np.maximum(get(hashes, counts, h), 1)
+            df = np.maximum(get(keys, numbers, _wide_key(bucket_of(h, buckets), low_bits(h))), 1)
             w = tf * (1 + np.log((1 + texts) / (1 + df)) / np.log(1 + max(texts, 1)))
             shared = sums(np.where(df > 1, w, 0.0), at)
             total = sums(w, at)
@@ -121,7 +156,7 @@ def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFra
         return pa.table([pa.array(out[k], t) for k, t in zip(out, types, strict=True)], names=list(out))
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, total double, bands array<long>, hashes binary, weights binary"
-    return counted_blocks(docs.withColumn("block_key", F.struct("id")), items, finish, schema, 2 * size, least=2)
+    return counted_blocks(docs.withColumn("block_key", F.struct("id")), none, finish, schema, size, pairs=items, pack=pack, prepare=prepare)
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -164,8 +199,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     keys = written(rows.select("id", "copy", F.octet_length("text").alias("size")), "copies")
     first = written(keys.groupBy("copy").agg(F.min("id").alias("least"), F.max("size").alias("size")), "first-copies")
     r = first.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    one = rows.join(first.select(F.col("least").alias("id"), F.col("copy")), ["id", "copy"], "left_semi").select("id", "text")
-    vectors = written(_signed(one, r["n"] or 0, r["size"] or 0, threshold), "vectors")
+    marked = rows.select("id", "text", F.lit(False).alias("chosen")).unionAll(first.select(F.col("least").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("chosen")))
+    vectors = written(_signed(marked, r["n"] or 0, r["size"] or 0, threshold), "vectors")
     banded = written(vectors.select("id", "total", F.explode("bands").alias("key")), "bands")
     leaders = banded.groupBy("key").agg(F.min(F.struct("id", "total")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
     near_size = F.least(F.col("total"), F.col("leader.total")) >= threshold * F.greatest(F.col("total"), F.col("leader.total")) * (1 - 1e-6)
