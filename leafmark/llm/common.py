@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -152,11 +152,9 @@ def owner(first: np.ndarray) -> np.ndarray:
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums over consecutive groups, 0 for empty ones."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
-
-
-def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    """Sums over consecutive groups, 0 for empty ones; a group's sum doesn't depend on the others."""
+    out = np.zeros(len(first) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values[first[0] : first[-1]], first[:-1][some] - first[0], dtype=out.dtype)
+    return out

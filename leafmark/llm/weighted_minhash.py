@@ -7,8 +7,9 @@
 3. A text can be THRESHOLD similar to another only if shingles that others have too hold that share of its weight; other texts
    are alone, exactly. The rest get BANDS * ROWS consistent weighted samples, ROWS to a band.
 4. In each band bucket every text is compared with the bucket's least one (the leader) by weighted Jaccard similarity; links join
-   texts to components. Where a bucket still holds several components, its texts outside the largest one are
-   compared with all texts of other components. No more pairs than that are needed, and none is left out.
+   texts to components. Where a bucket still holds several components, its texts outside the largest one are compared with
+   ROUNDS more texts of it, and those that are then still outside with all texts of other components. So no pair that could join
+   two components is left out, but few of a large group's pairs are made.
 
 Cases: null and empty texts have no shingles and are one class; rows with equal ids are one node; equal texts are one class; a
 null id is kept with a null class; other columns are ignored; an empty table gives an empty result; ties go to the least id.
@@ -30,6 +31,8 @@ from leafmark.llm.lookup import bucket_number, bucket_of, counted_blocks, get, l
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8**3)**20 < 1e-6.
 BANDS, ROWS = 20, 3
+#: Further leaders that a bucket's texts outside its largest component are compared with before all that are left.
+ROUNDS = 4
 
 
 def shingles(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -207,19 +210,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     tried = written(banded.join(leaders, "key").filter((F.col("id") != F.col("leader.id")) & near_size).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).distinct(), "pairs")
     links = written(_verified(tried, vectors, threshold), "links")
     found = components(links)
-    # buckets that still hold several components
-    held = banded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = groups.groupBy("key").agg(F.max_by("component", F.struct("n", F.negative(F.col("component").cast("double")))).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-    open_ = written(held.join(mixed.select("key", "largest"), "key"), "open-buckets")
-    if open_.limit(1).count():
-        outside = open_.filter("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("total").alias("ta"))
-        others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("tb"))
-        fits = (F.col("ca") != F.col("cb")) & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") * (1 - 1e-6))
-        rest = outside.join(others, "key").filter(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = written(_verified(rest, vectors, threshold), "links")
+    # buckets that still hold several components: other leaders from the largest one, then what is left in full
+    for k in range(ROUNDS + 1):
+        held = banded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        groups = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "total")).alias("next"))
+        mixed = groups.groupBy("key").agg(F.max(F.struct("n", "component", "next")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
+        open_ = written(held.join(mixed.select("key", F.col("largest.component").alias("largest"), F.col("largest.next.id").alias("next"), F.col("largest.next.total").alias("next_total")), "key"), "open-buckets")
+        outside = open_.filter("component <> largest")
+        if k < ROUNDS:
+            fits = F.least("total", "next_total") >= threshold * F.greatest("total", "next_total") * (1 - 1e-6)
+            pairs = outside.filter(fits).select(F.greatest("id", "next").alias("a"), F.least("id", "next").alias("b"))
+        else:
+            outside = outside.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("total").alias("ta"))
+            others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("tb"))
+            fits = (F.col("ca") != F.col("cb")) & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") * (1 - 1e-6))
+            pairs = outside.join(others, (outside["key"] == others["key"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            continue
+        more = written(_verified(pairs, vectors, threshold), "links")
+        tried = tried.unionAll(pairs)
         if more.limit(1).count():
-            found = components(links.unionAll(more))
+            links = links.unionAll(more)
+            found = components(links)
     final = first.join(found.withColumnRenamed("id", "least"), "least", "left").select("copy", F.coalesce("component", "least").alias("class_id"))
     return keys.join(final, "copy").select(F.col("id").alias("doc_id"), "class_id")
 
