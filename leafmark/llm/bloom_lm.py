@@ -25,7 +25,9 @@ from leafmark.llm.lookup import bucket_number, bucket_of, counted_blocks, get, l
 
 FOLDS, FOLD = 5, 1
 #: Base of the quantisation, bits and hash functions of an event.
-LOG_BASE, BITS, HASHES = 1.5, 12, 8
+LOG_BASE, BITS, HASHES = 4.0, 8, 5
+#: Bytes of a pair's hash besides its bucket, which holds some millions of pairs at any corpus size; and text of a block.
+WIDTH, BLOCK = 4, 6 << 20
 #: Share of a pair's own frequency in a probability, and of tokens that the vocabulary's pseudo-counts come to.
 PAIRS, UNSEEN = 0.1, 0.03
 _END = np.uint64(0x0E0D)  # hash of the end token, which also stands before a text
@@ -122,7 +124,7 @@ def pair_counts(packed: list[tuple[int, bytes]], pairs: np.ndarray, buckets: int
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for b, (f, wrong, right) in filters.items():
         mine = by[cuts[b] : cuts[b + 1]]
-        entry = low_bits(pairs[mine])
+        entry = low_bits(pairs[mine], WIDTH)
         found = f.levels(entry)
         if len(wrong):
             at = np.minimum(np.searchsorted(wrong, entry), len(wrong) - 1)
@@ -165,7 +167,7 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **{k: pa.array(np.concatenate(v)) for k, v in out.items()}})
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
-    found = written(counted_blocks(rows.withColumn("block_key", F.struct("doc_id")), items, finish, schema, size, pairs=pairs, pack=pack), "lm-scores")
+    found = written(counted_blocks(rows.withColumn("block_key", F.struct("doc_id")), items, finish, schema, size, pairs=pairs, pack=pack, width=WIDTH, block_bytes=BLOCK), "lm-scores")
     r = found.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n"), F.sum(F.when(F.col("held_out").isNull(), F.col("n_tokens"))).alias("v")).first()
     n, v = r["n"] or 0, r["v"] or 0
     base = F.col("log_sum") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))

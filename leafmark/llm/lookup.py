@@ -33,6 +33,8 @@ def counted_blocks(
     pairs: Callable[[Slice, pa.Table], tuple[np.ndarray, np.ndarray]] | None = None,
     pack: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
     prepare: Callable[[pa.Table], pa.Table] = lambda table: table,
+    width: int = 5,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """finish(texts of a block, item hashes, counts, packed) for each block, as rows of schema.
 
@@ -41,10 +43,10 @@ def counted_blocks(
     are answered. finish is also called once for each bucket with an empty table and one count: how many distinct
     hashes with a positive count the bucket has.
 
-    pairs gives a second, larger family of hashes in the same way. These travel with 40 bits besides their bucket's, and
+    pairs gives a second, larger family of hashes in the same way. These travel with `width` bytes besides their bucket, and
     their answer is pack(hashes, counts) of a block's hashes in one bucket; finish gets them as a fourth argument, a list of
     (bucket, packed), and finds a hash's bucket by bucket_of. prepare picks the rows of a block that count."""
-    blocks = max(8, math.ceil(text_bytes / BLOCK_BYTES))
+    blocks = max(8, math.ceil(text_bytes / block_bytes))
     buckets = bucket_number(text_bytes)
     ship(docs.sparkSession)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("block_key"), F.lit(blocks))).drop("block_key").repartition("block")
@@ -67,8 +69,8 @@ def counted_blocks(
         columns = {"bucket": pa.array(full, pa.int64()), "block": pa.array([key[0].as_py()] * buckets, pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "weights": pa.array([w[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
         if pairs is not None:
             h, w, cuts = found[1]
-            five = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :5]
-            columns["pairs"] = pa.array([five[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :width]
+            columns["pairs"] = pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
             columns["pair_weights"] = pa.array([w[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
         some = sum(np.diff(cuts) for _, _, cuts in found) > 0
         return pa.table(columns).filter(pa.array(some))
@@ -83,7 +85,7 @@ def counted_blocks(
         columns = {"block": pa.array([*block, -1 - key[0].as_py()], pa.int64()), "bucket": pa.array([key[0].as_py()] * (len(block) + 1), pa.int64()), "hashes": pa.array([*out_hash, b""], pa.binary()), "counts": pa.array([*out_count, np.array([distinct], np.int64).tobytes()], pa.binary())}
         packed = [b""] * len(block)
         if pairs is not None:
-            asked_pairs = [_wide(x.as_py()) for x in table.column("pairs")]
+            asked_pairs = [_wide(x.as_py(), width) for x in table.column("pairs")]
             packed = [pack(h, m) for h, m in zip(asked_pairs, _totals(asked_pairs, table.column("pair_weights"))[0], strict=True)]
         columns["packed"] = pa.array([*packed, b""], pa.binary())
         return pa.table(columns)
@@ -112,15 +114,15 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.int64) * buckets >> 32
 
 
-def low_bits(hashes: np.ndarray) -> np.ndarray:
+def low_bits(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     """What a hash of the second family keeps besides its bucket."""
-    return hashes & np.uint64((1 << 40) - 1)
+    return hashes & np.uint64((1 << 8 * width) - 1)
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    low = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, :width] = low
     return out.view(np.uint64).ravel()
 
 
