@@ -187,28 +187,39 @@ def _copies(texts: list[list[bytes]], minima: int = 8) -> list[int]:
 def learn_terms(sample: list[tuple[str, int]], most: int = TERMS, support: int = SUPPORT, odds: float = ODDS) -> list[Term]:
     """Words and beginnings that mark toxic texts, by the (text, word) pairs that they newly explain."""
     toxic = [_words(t) for t, label in sample if label]
-    clean = [set(_words(t)) for t, label in sample if not label]
-    if not toxic or not clean:
+    n_toxic, n_clean = len(toxic), sum(1 for _, label in sample if not label)
+    if not n_toxic or not n_clean:
         return []
-    inside: dict[tuple[bytes, bool], set] = defaultdict(set)
-    copies = _copies(toxic)
-    n = len(set(copies))
+
+    def beginnings(w: bytes) -> list[tuple[bytes, bool]]:
+        return [(w, False), *((w[:m], True) for m in PREFIXES if m < len(w))]
+
+    of_copy: dict[int, set] = defaultdict(set)
+    for d, words in zip(_copies(toxic), toxic, strict=True):
+        of_copy[d].update(w for w in words if len(w) >= 3)
+    del toxic
+    n = len(of_copy)
     support = max(support, round(SUPPORT_SHARE * n))
-    for d, words in zip(copies, toxic, strict=True):
-        for w in set(words):
-            if len(w) >= 3:
-                for c in [(w, False), *((w[:m], True) for m in PREFIXES if m < len(w))]:
-                    inside[c].add((d, w))
-    fit = {c: pairs for c, pairs in inside.items() if len(pairs) >= support and len({d for d, _ in pairs}) >= support}
+    often = Counter(c for words in of_copy.values() for w in words for c in beginnings(w))
+    inside: dict[tuple[bytes, bool], set] = {c: set() for c, k in often.items() if k >= support}
+    del often
+    for d, words in of_copy.items():
+        for w in words:
+            pair = (d, w)
+            for c in beginnings(w):
+                if c in inside:
+                    inside[c].add(pair)
+    fit = {c: pairs for c, pairs in inside.items() if len({d for d, _ in pairs}) >= support}
     clean_df = Counter()
-    for words in clean:
-        clean_df.update({c for w in words for c in [(w, False), *((w[:m], True) for m in PREFIXES if m < len(w))] if c in fit})
+    for text, label in sample:
+        if not label:
+            clean_df.update({c for w in set(_words(text)) for c in beginnings(w) if c in fit})
 
     def worth(c: tuple[bytes, bool], pairs: set) -> float:
         """Pairs explained less the clean texts that it would accuse, each as ten."""
-        return len(pairs) - 10.0 * clean_df[c] * len(toxic) / len(clean)
+        return len(pairs) - 10.0 * clean_df[c] * n_toxic / n_clean
 
-    fit = {c: p for c, p in fit.items() if (len({d for d, _ in p}) + 0.5) / (n + 1) / ((clean_df[c] + 0.5) / (len(clean) + 1)) >= odds}
+    fit = {c: p for c, p in fit.items() if (len({d for d, _ in p}) + 0.5) / (n + 1) / ((clean_df[c] + 0.5) / (n_clean + 1)) >= odds}
     chosen, done = [], set()
     for c in sorted(fit, key=lambda c: (-worth(c, fit[c]), c[1], -len(c[0]), c[0])):
         if len(chosen) == most:
