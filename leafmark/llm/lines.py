@@ -98,6 +98,12 @@ def _alike(a: str, b: str, threshold: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x) <= 2 * threshold
 
 
+def _parities() -> Column:
+    """One bit for each letter: whether its count is odd."""
+    bits = [F.get("letters", F.lit(i)).bitwiseAND(1) * (1 << i) for i in range(len(LETTERS))]
+    return sum(bits[1:], bits[0])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): the pairs of line hashes within the threshold."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("letters").alias("ha"))
@@ -127,10 +133,11 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     held = all_members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     kinds = held.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = kinds.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"), F.sum("n").alias("n")).filter("kinds > 1 and n > 2")
-    open_ = written(held.join(mixed.select("key", "largest"), "key").join(texts.select("id", "letters"), "id"), "open-keys")
-    outside = open_.filter("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("indexed").alias("ia"), F.col("letters").alias("ha"))
-    others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("indexed").alias("ib"), F.col("letters").alias("hb"))
-    fits = F.expr("ca <> cb and (ia or ib)") & _alike("ha", "hb", threshold)  # part of the join: pairs that can't be links aren't made
+    open_ = written(held.join(mixed.select("key", "largest"), "key").join(texts.select("id", "letters", _parities().alias("parity")), "id"), "open-keys")
+    outside = open_.filter("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("indexed").alias("ia"), F.col("letters").alias("ha"), F.col("parity").alias("pa"))
+    others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("indexed").alias("ib"), F.col("letters").alias("hb"), F.col("parity").alias("pb"))
+    # part of the join: pairs that can't be links aren't made. An edit changes two parities at most, which is seen at once
+    fits = F.expr(f"bit_count(pa ^ pb) <= {2 * threshold} and ca <> cb and (ia or ib)") & _alike("ha", "hb", threshold)
     rest = outside.join(others, (outside["key"] == others["key"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = written(rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-pairs")
     if rest.limit(1).count():
