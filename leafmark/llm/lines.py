@@ -104,13 +104,25 @@ def _parities() -> Column:
     return sum(bits[1:], bits[0])
 
 
+def _middles(pairs: DataFrame) -> DataFrame:
+    """(a, b, la, lb) without what both lines begin and end with, but for one letter: the distance stays the same.
+
+    The lengths are found by halving: whole substrings are compared, not letters."""
+    steps = "array(" + ", ".join(str(1 << k) for k in range(20, -1, -1)) + ")"
+    least = "least(char_length(la), char_length(lb))"
+    head = f"aggregate({steps}, 0, (n, k) -> IF(n + k < {least} AND left(la, n + k) = left(lb, n + k), n + k, n))"
+    tail = f"aggregate({steps}, 0, (n, k) -> IF(head + n + k < {least} AND right(la, n + k) = right(lb, n + k), n + k, n))"
+    found = pairs.select("a", "b", "la", "lb", F.expr(head).alias("head")).withColumn("tail", F.expr(tail))
+    return found.select("a", "b", *(F.expr(f"substring({c}, head + 1, char_length({c}) - head - tail)").alias(c) for c in ("la", "lb")))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(a, b): the pairs of line hashes within the threshold."""
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("letters").alias("ha"))
     b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("letters").alias("hb"))
     pad = F.array_repeat(F.lit(""), threshold)
     both = pairs.join(a, "a").join(b, "b").filter(_alike("ha", "hb", threshold))
-    letters = both.select("a", "b", F.split("la", "").alias("ca"), F.concat(pad, F.split("lb", ""), pad).alias("cb"))
+    letters = _middles(both).select("a", "b", F.split("la", "").alias("ca"), F.concat(pad, F.split("lb", ""), pad).alias("cb"))
     return letters.filter(within(threshold)).select("a", "b").distinct()
 
 
