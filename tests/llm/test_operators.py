@@ -178,22 +178,3 @@ def test_toxicity_quotes(spark, none):
     got = {r.row: r.score for r in toxicity.score_documents(table, model).collect()}
     assert got[1] > 0.3 > got[2] and got[3] == got[4] == pytest.approx(0.01)
     assert toxicity.score_documents(none, model).count() == 0
-
-
-def test_shared_ends_leave_the_distance(spark):
-    """Lines without their shared ends keep their Levenshtein distance, and neither becomes empty."""
-    import random
-
-    r, rows = random.Random(5), []
-    for i in range(300):
-        a = "".join(r.choice("ab é😀") for _ in range(r.randint(1, 30)))
-        b = list(a)
-        for _ in range(r.randint(0, 4)):
-            k = r.randrange(len(b))
-            b[k : k + r.randint(0, 1)] = r.choice(["", "a", "é"]) if len(b) > 1 else "b"
-        rows.append((2 * i, 2 * i + 1, a, "".join(b) or "a"))
-    pairs = spark.createDataFrame(rows, "a long, b long, la string, lb string")
-    middle = lines._middles(pairs)
-    assert middle.filter("la = '' or lb = ''").count() == 0
-    both = pairs.selectExpr("a", "levenshtein(la, lb) AS whole").join(middle.selectExpr("a", "levenshtein(la, lb) AS rest"), "a")
-    assert both.filter("whole <> rest").count() == 0
