@@ -1,9 +1,11 @@
 """Language-model scores from log-frequency Bloom filters of word pairs.
 
-A pair's training count c is quantised to q = 1 + floor(log_b c), and a filter holds its q events (pair, 1) to
-(pair, q); probing j = 1, 2, ... until an event is missing gives q back, never too small. A token's probability
-after the one before it is PAIRS parts of the pair's quantised count over the first token's count, and the rest of
-the token's own smoothed share. A text's score is the sum of its tokens' log10 probabilities.
+A pair's training count c is quantised to the number q of powers of b (rounded up, each number once) that are c at most, and
+a filter holds its q events (pair, 1) to (pair, q); probing j = 1, 2, ... until an event is missing gives q back, never too
+small, and q is read as the least count of its level. A token's probability after the one before it is PAIRS parts of the pair's
+read-back count over the first token's exact count, and the rest of the token's own smoothed share. Read-back counts of pairs with one
+first token add up to its count at most, so probabilities after a token add up to 1 at most. A text's score is the sum of its
+tokens' log10 probabilities.
 
 One filter of all pairs would grow with the corpus, past any broadcast, and pruning it would make the model depend on
 the corpus size. So lookup.py brings to each block of texts the filters of the pairs that the block asks for, built from counts over
@@ -15,21 +17,25 @@ other columns are ignored; an empty table gives an empty result; without trainin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import Slice, documents, in_fold, mix, owner, range_hashes, slices, sums, word_bounds, written
+from leafmark.llm.common import Slice, documents, in_fold, mapped, mix, owner, range_hashes, slices, sums, word_bounds, written
 from leafmark.llm.lookup import bucket_number, bucket_of, counted_blocks, get, low_bits
 
 FOLDS, FOLD = 5, 1
 #: Base of the quantisation, bits and hash functions of an event.
-LOG_BASE, BITS, HASHES = 4.0, 8, 5
+LOG_BASE, BITS, HASHES = 1.25, 8, 5
+#: Least counts of the levels: those of 1 to 6 are exact.
+LEVELS = np.unique(np.ceil(LOG_BASE ** np.arange(190) - 1e-9).astype(np.int64))
 #: Bytes of a pair's hash besides its bucket, which holds some millions of pairs at any corpus size; and text of a block.
-WIDTH, BLOCK = 4, 6 << 20
-#: Share of a pair's own frequency in a probability, and of tokens that the vocabulary's pseudo-counts come to.
-PAIRS, UNSEEN = 0.1, 0.03
+WIDTH, BLOCK = 5, 6 << 20
+#: Share of a pair's own frequency in a probability.
+PAIRS = 0.1
 _END = np.uint64(0x0E0D)  # hash of the end token, which also stands before a text
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,7 +64,7 @@ class LogBloom:
 
     @staticmethod
     def level(count: np.ndarray) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LOG_BASE) + 1e-9).astype(np.int64)
+        return np.searchsorted(LEVELS, np.maximum(count, 1), "right").astype(np.int64)
 
     @staticmethod
     def places(entry: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
@@ -90,10 +96,9 @@ class LogBloom:
         return level
 
 
-def middle(level: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts, 0 for level 0."""
-    low = np.ceil(LOG_BASE ** (level - 1.0) - 1e-9)
-    return np.where(level > 0, (low + np.maximum(low, np.ceil(LOG_BASE**level - 1e-9) - 1)) / 2, 0.0)
+def least(level: np.ndarray) -> np.ndarray:
+    """The least of a level's counts, 0 for level 0."""
+    return np.where(level > 0, LEVELS[np.maximum(level, 1) - 1], 0)
 
 
 def pack(entry: np.ndarray, count: np.ndarray) -> bytes:
@@ -130,7 +135,23 @@ def pair_counts(packed: list[tuple[int, bytes]], pairs: np.ndarray, buckets: int
             at = np.minimum(np.searchsorted(wrong, entry), len(wrong) - 1)
             found = np.where(wrong[at] == entry, right[at], found)
         level[mine] = found
-    return middle(level)
+    return least(level)
+
+
+def probabilities(count: np.ndarray, before: np.ndarray, both: np.ndarray, whole: float) -> np.ndarray:
+    """Of tokens with their counts, those of the tokens before them, and the pairs' read-back counts."""
+    return (1 - PAIRS) * (count + 0.5) / whole + PAIRS * np.minimum(both, np.minimum(count, before)) / np.maximum(before, 1)
+
+
+def vocabulary(rows: DataFrame) -> int:
+    """Distinct tokens of the rows that aren't held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(token_hashes(part)[0]).view(np.int64))], names=["token"])
+
+    return mapped(rows.filter(~F.col("held_out")).select("text"), run, "token long").distinct().count()
 
 
 def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,7 +160,8 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "
     tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
     r = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(~F.col("held_out"), tokens)).alias("train")).first()
     size, train = r["bytes"] or 0, r["train"] or 0
-    whole, buckets = train * (1 + UNSEEN) + 1.0, bucket_number(size)
+    v = vocabulary(rows)
+    whole, buckets = train + 0.5 * (v + 1), bucket_number(size)
 
     def items(part: Slice, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         h, first = token_hashes(part)
@@ -150,28 +172,24 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "
         return pair_hashes(h), w
 
     def finish(texts: pa.Table, hashes: np.ndarray, counts: np.ndarray, packed: list) -> pa.Table:
-        if not texts.num_rows:  # a bucket's number of distinct training tokens
-            return pa.table({"doc_id": pa.nulls(1, texts.schema.field("doc_id").type), "held_out": pa.nulls(1, pa.bool_()), "n_tokens": pa.array([int(counts[0]) if len(counts) else 0], pa.int64()), "n_known": pa.nulls(1, pa.int64()), "log_sum": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64())})
         out = {k: [] for k in ("n_tokens", "n_known", "log_sum", "score")}
         for part in slices(texts.column("text")):
             h, first = token_hashes(part)
             c = get(hashes, counts, h)
             end = get(hashes, counts, np.array([_END]))
             before = np.concatenate([end, c[:-1]])
-            both = np.minimum(pair_counts(packed, pair_hashes(h), buckets), np.minimum(c, before))
-            p = (1 - PAIRS) * (c + 0.5) / whole + PAIRS * both / np.maximum(before, 1)
+            p = probabilities(c, before, pair_counts(packed, pair_hashes(h), buckets), whole)
             out["n_tokens"].append(np.diff(first))
             out["n_known"].append(sums((c > 0).astype(np.int64), first))
             out["log_sum"].append(sums(np.log10(c + 0.5), first))
             out["score"].append(sums(np.log10(p), first))
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **{k: pa.array(np.concatenate(v)) for k, v in out.items()}})
+        types = {k: pa.int64() if k.startswith("n_") else pa.float64() for k in out}
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **{k: pa.array(np.concatenate([[], *x]), types[k]) for k, x in out.items()}})
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
     found = written(counted_blocks(rows.withColumn("block_key", F.struct("doc_id")), items, finish, schema, size, pairs=pairs, pack=pack, width=WIDTH, block_bytes=BLOCK), "lm-scores")
-    r = found.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n"), F.sum(F.when(F.col("held_out").isNull(), F.col("n_tokens"))).alias("v")).first()
-    n, v = r["n"] or 0, r["v"] or 0
-    base = F.col("log_sum") - F.col("n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
-    return found.filter("held_out is not null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("log_sum") - F.col("n_tokens") * float(np.log10(whole))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,3 +178,33 @@ def test_toxicity_quotes(spark, none):
     got = {r.row: r.score for r in toxicity.score_documents(table, model).collect()}
     assert got[1] > 0.3 > got[2] and got[3] == got[4] == pytest.approx(0.01)
     assert toxicity.score_documents(none, model).count() == 0
+
+
+def test_pair_model_sums_to_one_at_most(spark):
+    """Every context's probabilities, and singleton pairs read back exactly."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(30)]
+    texts = [rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randint(0, 60)) for _ in range(80)] + [[f"once{k}"] for k in range(40)]
+    pairs, single = Counter(), Counter()
+    for x in texts:
+        single.update([*x, None])
+        pairs.update(zip([None, *x], [*x, None]))
+    n, v = sum(single.values()), len(single)
+    assert bloom_lm.least(bloom_lm.LogBloom.level(np.arange(1, 7))).tolist() == [1, 2, 3, 4, 5, 6]
+    read = {p: int(bloom_lm.least(bloom_lm.LogBloom.level(np.array([c])))[0]) for p, c in pairs.items()}
+    whole = n + 0.5 * (v + 1)
+
+    def p(before, token):
+        one = [np.array([x]) for x in (single[token], single[before], read.get((before, token), 0))]
+        return float(bloom_lm.probabilities(*one, whole)[0])
+
+    for before in [*single, "unseen"]:
+        assert sum(p(before, t) for t in single) + p(before, "unseen") <= 1 + 1e-9
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    for r in bloom_lm.score(rows, folds=1, fold=1).collect():
+        x = texts[r.doc_id]
+        assert not r.held_out and math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], [*x, None])), rel_tol=1e-9)
