@@ -177,21 +177,34 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     return mapped(pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "wa", "hb", "wb"), run, f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, component): the least id reachable over links (a, b), for every id in a link.
 
-    Labels fall to the least among neighbours, then to that label's own label, until none changes."""
-    both = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
+    Each round hooks every root to the least root next to it, follows hooks to their ends by doubling, and leaves links
+    between different roots only. Of linked roots half at most are left, so rounds, and doublings in a round, grow with the
+    logarithm of the ids; more than most_rounds of either is an error."""
+    edges = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = None
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("lower"))
-        following = written(step.join(jump, "low").select("id", F.least("low", "lower").alias("label"), F.col("label").alias("old")), "labels")
-        labels = following.select("id", "label")
-        if not following.filter("label <> old").limit(1).count():
-            break
-    return labels.withColumnRenamed("label", "component")
+        roots = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
+        for _ in range(most_rounds):
+            jump = roots.select(F.col("id").alias("label"), F.col("label").alias("lower"))
+            following = written(roots.join(jump, "label").select("id", F.col("lower").alias("label"), F.col("label").alias("old")), "labels")
+            roots = following.select("id", "label")
+            if not following.filter("label <> old").limit(1).count():
+                break
+        else:
+            raise RuntimeError(f"components: hooks didn't end after {most_rounds} doublings")
+        if labels is None:
+            labels = roots
+        else:
+            higher = roots.select(F.col("id").alias("label"), F.col("label").alias("lower"))
+            labels = written(labels.join(higher, "label", "left").select("id", F.coalesce("lower", "label").alias("label")), "labels")
+        ends = roots.select(F.col("id").alias("a"), F.col("label").alias("la")), roots.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        edges = written(edges.join(ends[0], "a").join(ends[1], "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        if not edges.limit(1).count():
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components: links were left after {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -208,3 +208,15 @@ def test_pair_model_sums_to_one_at_most(spark):
     for r in bloom_lm.score(rows, folds=1, fold=1).collect():
         x = texts[r.doc_id]
         assert not r.held_out and math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], [*x, None])), rel_tol=1e-9)
+
+
+def test_components_of_long_paths(spark):
+    import random
+
+    shuffled = random.Random(11).sample(range(500), 500)
+    falling = [1000, *range(1099, 1000, -1)]
+    links = [pair for path in (shuffled, falling) for pair in zip(path, path[1:])] + [(2000, 2001), (2001, 2000), (3000, 3000)]
+    got = {r.id: r.component for r in weighted_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(500), 0), **dict.fromkeys(range(1000, 1100), 1000), 2000: 2000, 2001: 2000, 3000: 3000}
+    with pytest.raises(RuntimeError):
+        weighted_minhash.components(spark.createDataFrame(links, "a long, b long"), most_rounds=1).collect()
