@@ -33,9 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and n_tokens of every document of the mixture."""
+    """doc_id, source, ids, n_tokens, restored and parity of every document of the mixture."""
     ids = pieces.encode(docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text"), pieces.model_bytes(), id_col="doc")
-    return ids.select("doc_id.*", "ids", "n_tokens", "restored")
+    return ids.select("doc_id.*", "ids", "n_tokens", "restored", "parity")
 
 
 STAGES = [

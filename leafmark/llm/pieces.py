@@ -5,8 +5,8 @@ prefix), the metaspace mark, unigram scores or pair merges (whichever the model
 encoded by the library's own threads. No piece of such a pair model holds the mark after another character (checked), so
 words can be cut before each run of marks without changing the result, which lets the library cache them.
 
-Parity: every text is decoded again and compared; texts of one class of hashes (PARITY) and all texts with byte
-pieces are also encoded by the sentencepiece library and compared.
+Parity: every text is decoded again and compared, and its ids with those of the sentencepiece library: where words are cut
+apart, each distinct word once (and the whole text for one class of hashes, PARITY, and texts with byte pieces); all other texts whole.
 
 Cases: null and empty texts have no ids and decode to an empty text; equal texts get equal ids; ids and other columns
 pass through; an empty table gives an empty result. Text that the model's normaliser changes decodes to the normalised text.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import SLICE_BYTES, documents, mapped, slices, sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Texts whose crc32 has this remainder 0 are encoded by both libraries.
+#: Texts cut into words whose crc32 has this remainder 0 are also encoded whole by both libraries.
 PARITY = 64
 #: Words that the library itself keeps; the codec keeps its own, and the library's are many times as large.
 CACHE = 1_000
@@ -190,6 +190,10 @@ class Codec:
             ids = np.concatenate([np.array(i, np.int32) for i in self._whole(groups)])
             first = np.flatnonzero(self.marked[ids])
             assert len(first) == len(new)
+            theirs = self.reference.encode(new)
+            ends = np.append(first[1:], len(ids))
+            same = np.array([t == ids[a:b].tolist() for t, a, b in zip(theirs, first, ends, strict=True)])
+            self.agrees = np.concatenate([self.agrees, same])
             self.first = np.concatenate([self.first[:-1], first + len(self.pool), [len(self.pool) + len(ids)]])
             self.pool = np.concatenate([self.pool, ids])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -198,14 +202,16 @@ class Codec:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.agrees = np.zeros(0, bool)  # of each word, whether sentencepiece gives the same ids
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's begin."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where each text's begin, whether it was cut into words, and if so whether sentencepiece agrees on each."""
         plain = np.zeros(len(texts), bool)
         if self.apart:
             odd = pc.match_substring_regex(texts, f"^$|^ |  |{SPACE}| $")
             plain = ~odd.to_numpy(zero_copy_only=False)
         found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        agree = np.ones(len(texts), bool)
         if plain.any():
             split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
             coded = split.values.dictionary_encode()
@@ -214,14 +220,15 @@ class Codec:
             each = self.first[word + 1] - self.first[word]
             out = self.pool[ragged(self.first[word], each)]
             ends = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy()]
+            agree[plain] = sums((~self.agrees[word]).astype(np.int64), split.offsets.to_numpy()) == 0
             if plain.all():
-                return out, ends
+                return out, ends, plain, agree
             for k, (a, b) in zip(np.flatnonzero(plain), zip(ends[:-1], ends[1:], strict=True), strict=True):
                 found[k] = out[a:b]
         rest = np.flatnonzero(~plain)
         for k, i in zip(rest, self._whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
             found[k] = np.array(i, np.int32)
-        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(f) for f in found])])
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(f) for f in found])]), plain, agree
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes, and where each text's begin."""
@@ -255,7 +262,7 @@ def codec(raw: bytes) -> Codec:
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "text", parity: int = PARITY) -> DataFrame:
-    """doc_id, ids, n_tokens, byte_tokens, restored (the decoded text is the text) and parity (null where not compared)."""
+    """doc_id, ids, n_tokens, byte_tokens, restored (the decoded text is the text) and parity (sentencepiece gives the same ids)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, n_tokens long, byte_tokens long, restored boolean, parity boolean"
 
@@ -265,7 +272,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "t
         for batch in batches:
             for part in slices(batch.column(1), SLICE_BYTES // 4):
                 texts = pc.fill_null(batch.column(1).slice(part.at, part.n), "").cast(pa.string())
-                ids, first = tools.encode(texts)
+                ids, first, cut, agree = tools.encode(texts)
                 back, ends = tools.decode(ids, first)
                 same_size = np.diff(ends) == np.diff(part.first)
                 if same_size.all():
@@ -274,9 +281,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text: str = "t
                     restored = np.array([bytes(back[a:b]) == bytes(part.data[c:d]) for a, b, c, d in zip(ends[:-1], ends[1:], part.first[:-1], part.first[1:], strict=True)])
                 n_bytes = sums(tools.is_byte[ids].astype(np.int64), first)
                 lines = sums((part.data == 10).astype(np.int64), part.first)
-                compared: list[bool | None] = [None] * part.n
+                compared = agree
                 for k in range(part.n):
-                    if n_bytes[k] > lines[k] or zlib.crc32(part.data[part.first[k] : part.first[k + 1]]) % parity == 0:
+                    if agree[k] and (not cut[k] or n_bytes[k] > lines[k] or zlib.crc32(part.data[part.first[k] : part.first[k + 1]]) % parity == 0):
                         compared[k] = tools.reference.encode(texts[k].as_py()) == ids[first[k] : first[k + 1]].tolist()
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n), lists, pa.array(np.diff(first)), pa.array(n_bytes), pa.array(restored), pa.array(compared, pa.bool_())], names=["doc_id", "ids", "n_tokens", "byte_tokens", "restored", "parity"])

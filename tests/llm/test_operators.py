@@ -220,3 +220,23 @@ def test_components_of_long_paths(spark):
     assert got == {**dict.fromkeys(range(500), 0), **dict.fromkeys(range(1000, 1100), 1000), 2000: 2000, 2001: 2000, 3000: 3000}
     with pytest.raises(RuntimeError):
         weighted_minhash.components(spark.createDataFrame(links, "a long, b long"), most_rounds=1).collect()
+
+
+def test_pieces_parity_of_every_text(docs):
+    import numpy as np
+    import pyarrow as pa
+
+    raw = pieces.model_bytes()
+    assert all(r.parity is True for r in pieces.encode(docs, raw).collect())
+    tools = pieces.Codec(raw)
+    reference = tools.reference
+
+    class Wrong:
+        def encode(self, words):
+            return [[0] if w == "wrong" else reference.encode(w) for w in words]
+
+    tools.reference = Wrong()
+    *_, cut, agree = tools.encode(pa.array(["right words", "a wrong word", "", "wrong  apart", "wrong"]))
+    assert cut.tolist() == [True, True, False, False, True] and agree[cut].tolist() == [True, False, False]
+    *_, agree = tools.encode(pa.array(["wrong again", "right again"]))
+    assert np.array_equal(agree, [False, True])
