@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame expressions only.
 
 Lines of LEAST characters or more that are equal, or within THRESHOLD edits of each other (links; classes are their
-components), are one class; the first line of a class by document and line number stays, the others go.
+components), are one class; so are equal shorter lines, unless they are blank. The first line of a class by document and line
+number stays, the others go.
 
 A line falls into THRESHOLD + 1 segments; of two lines within THRESHOLD edits, one holds a segment of the other at nearly
 its place. So each line is indexed by its segments (with length and number), and probes, for its own and each smaller length that
@@ -12,7 +13,7 @@ for each number of edits one word whose bits are the diagonals within the band.
 
 Lines stand as 64-bit hashes until texts are needed; then a bitmap of fixed size keeps only lines that occur in pairs.
 
-Cases: null and empty texts have no such lines; documents with equal ids are reported as one; repeated lines of one
+Cases: null and empty texts and blank lines under LEAST have no such lines; documents with equal ids are reported as one; repeated lines of one
 document count like those of two; a null id sorts first; other columns are carried or ignored and may have any names.
 """
 
@@ -55,9 +56,9 @@ def _key(line: Column, length: Column, k: int, shift: int, threshold: int) -> Co
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, line) of the lines of `least` characters or more."""
+    """(doc_id, line_no, line) of the lines of `least` characters or more, and of shorter ones that aren't blank."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    return rows.filter(F.char_length("line") >= least)
+    return rows.filter((F.char_length("line") >= least) | F.col("line").rlike(r"\S"))
 
 
 def within(threshold: int) -> Column:
@@ -150,7 +151,7 @@ def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
     """(doc_id, line_no, first_doc, first_line, near): the lines that go, and the one that stays for each."""
     lines = line_rows(docs, id_col, text, least).withColumn("id", F.xxhash64("line"))
-    found = line_links(lines.select("id", "line"), threshold)
+    found = line_links(lines.filter(F.char_length("line") >= least).select("id", "line"), threshold)
     rows = written(lines.select("doc_id", "line_no", "id"), "line-rows")
     placed = rows.join(found, "id", "left").withColumn("class", F.coalesce("component", "id")).select("doc_id", "line_no", "id", "class")
     first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "line_no", "id")).alias("first"), F.count("*").alias("n")).filter("n > 1")

@@ -222,6 +222,13 @@ def test_components_of_long_paths(spark):
         weighted_minhash.components(spark.createDataFrame(links, "a long, b long"), most_rounds=1).collect()
 
 
+def test_short_lines_repeat(spark):
+    rows = [(1, "All rights reserved.\n\n \nmine"), (2, "All rights reserved.\n\n \nyours"), (3, "x\nAll rights reserved.\nx\n"), (4, "All rights reserved!")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line, r.near) for r in lines.removals(table).collect()}
+    assert got == {(2, 0): (1, 0, False), (3, 1): (1, 0, False), (3, 2): (3, 0, False)}
+
+
 def test_pieces_parity_of_every_text(docs):
     import numpy as np
     import pyarrow as pa
