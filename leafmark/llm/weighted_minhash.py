@@ -251,9 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but the least id of each class."""
-    classes = near_duplicates(docs, id_col, text, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(classes.withColumnRenamed("doc_id", "_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    """docs without all but the least id of each class; rows without an id are kept."""
+    classes = near_duplicates(docs, id_col, text, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    none = classes.sparkSession.range(1).select(F.lit(None).cast(classes.schema["_kept_id"].dataType).alias("_kept_id"))
+    return docs.join(classes.unionAll(none), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

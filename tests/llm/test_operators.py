@@ -247,3 +247,10 @@ def test_pieces_parity_of_every_text(docs):
     assert cut.tolist() == [True, True, False, False, True] and agree[cut].tolist() == [True, False, False]
     *_, agree = tools.encode(pa.array(["wrong again", "right again"]))
     assert np.array_equal(agree, [False, True])
+
+
+def test_keep_first_of_null_and_repeated_ids(spark):
+    rows = [(None, "without an id"), (None, A), (1, A), (2, A.replace("w30", "changed")), (3, "alone"), (3, "alone")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in weighted_minhash.keep_first(table).collect())
+    assert got == sorted([(0, "without an id"), (0, A), (1, A), (3, "alone"), (3, "alone")])
