@@ -34,3 +34,73 @@ def strongest_apart(df: DataFrame, most: int, apart: int, group: str = "grp", po
     none = F.expr("cast(array() as array<bigint>)")
     fold = F.aggregate("c", none, lambda acc, x: F.when((F.size(acc) < most) & F.forall(acc, lambda s: F.abs(s - x["p"]) >= apart), F.concat(acc, F.array(x["p"]))).otherwise(acc))
     return picked.select(group, F.posexplode(fold).alias("rank", position)).withColumn("rank", F.col("rank") + 1)
+
+
+def prominences(minima: DataFrame, series: DataFrame, group: str = "grp", position: str = "position", value: str = "smooth") -> DataFrame:
+    """Minima with their prominence: the lower of the highest values on both sides, up to the nearest lower position, less their own.
+
+    Two joins inside a group: the nearest lower positions, and the highest values between them."""
+    m = minima.select(group, F.col(position).alias("_p"), F.col(value).alias("_v"))
+    s = series.select(group, F.col(position).alias("_q"), F.col(value).alias("_u"))
+    lower = m.join(s, group).filter(F.col("_u") < F.col("_v"))
+    bounds = lower.groupBy(group, "_p").agg(F.max(F.when(F.col("_q") < F.col("_p"), F.col("_q"))).alias("_a"), F.min(F.when(F.col("_q") > F.col("_p"), F.col("_q"))).alias("_b"))
+    held = m.join(bounds, [group, "_p"], "left").join(s, group)
+    inside = held.filter((F.col("_a").isNull() | (F.col("_q") > F.col("_a"))) & (F.col("_b").isNull() | (F.col("_q") < F.col("_b"))))
+    walls = inside.groupBy(group, "_p", "_v").agg(F.max(F.when(F.col("_q") <= F.col("_p"), F.col("_u"))).alias("_l"), F.max(F.when(F.col("_q") >= F.col("_p"), F.col("_u"))).alias("_r"))
+    return walls.select(group, F.col("_p").alias(position), F.col("_v").alias(value), (F.least("_l", "_r") - F.col("_v")).alias("prominence"))
+
+
+def smoothed(df: DataFrame, widths: DataFrame, group: str = "grp", position: str = "position", value: str = "value") -> DataFrame:
+    """moving_average with each group's own odd width, by differences of running sums. widths: (group, width)."""
+    upto = F.sum(value).over(Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    sums = df.withColumn("_upto", upto)
+    ends = df.groupBy(group).agg(F.min(position).alias("_a"), F.max(position).alias("_b"))
+    half = F.floor(F.col("width") / 2)
+    at = sums.join(widths.join(ends, group), group).withColumns({"_hi": F.least(F.col(position) + half, "_b"), "_lo": F.col(position) - half - 1})
+    hi = sums.select(group, F.col(position).alias("_hi"), F.col("_upto").alias("_h"))
+    lo = sums.select(group, F.col(position).alias("_lo"), F.col("_upto").alias("_l"))
+    both = at.join(hi, [group, "_hi"]).join(lo, [group, "_lo"], "left")
+    return both.select(*df.columns, ((F.col("_h") - F.coalesce("_l", F.lit(0.0))) / F.col("width")).alias("smooth"))
+
+
+def pitch_widths(ends: DataFrame, lines: int, group: str = "grp", share: float = 0.155, least: int = 3) -> DataFrame:
+    """(group, width, apart): the odd smoothing width and the least distance of valleys for a content height split into lines."""
+    pitch = F.col("height") / lines
+    size = F.greatest(F.lit(least).cast("double"), F.bround(pitch * share, 0)).cast("long")
+    return ends.select(group, F.when(size % 2 == 0, size + 1).otherwise(size).alias("width"), F.greatest(F.lit(1.0), F.bround(pitch * 0.8, 0)).cast("long").alias("apart"))
+
+
+def line_boxes(df: DataFrame, lines: int, group: str = "grp", position: str = "position", value: str = "value") -> DataFrame:
+    """(group, line, top, bottom): a profile's content split into lines at its most prominent valleys; fewer where too few are found.
+
+    One line is the whole content; a group without content has no boxes."""
+    content = df.filter(F.col(value) != 0).groupBy(group).agg(F.min(position).alias("top"), (F.max(position) + 1).alias("end")).withColumn("height", F.col("end") - F.col("top"))
+    if lines == 1:
+        return content.select(group, F.lit(1).cast("long").alias("line"), "top", F.col("end").alias("bottom"))
+    clean = df.join(content.select(group, "top", "end"), group).filter((F.col(position) >= F.col("top")) & (F.col(position) < F.col("end"))).select(group, position, value)
+    widths = pitch_widths(content, lines, group)
+    smooth = smoothed(clean, widths, group, position, value).withColumn("smooth", F.round("smooth", 9))
+    minima = local_minima(smooth, group, position)
+    found = prominences(minima, smooth, group, position).join(widths, group)
+    ranked = found.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("prominence")).alias("o"), F.col(position).alias("p")))).alias("c"), F.first("apart").alias("apart"))
+    none = F.expr("cast(array() as array<bigint>)")
+    apart = F.col("apart")
+    picked = F.aggregate("c", none, lambda acc, x: F.when((F.size(acc) < lines - 1) & F.forall(acc, lambda s: F.abs(s - x["p"]) >= apart), F.concat(acc, F.array(x["p"]))).otherwise(acc))
+    cuts = content.join(ranked.select(group, picked.alias("v")), group).withColumn("e", F.concat(F.array("top"), F.array_sort("v"), F.array("end")))
+    return cuts.select(group, "e", F.posexplode(F.slice("e", 2, F.size("e") - 1)).alias("i", "bottom")).select(group, (F.col("i") + 1).cast("long").alias("line"), F.get("e", F.col("i")).alias("top"), "bottom")
+
+
+def dense_bands(df: DataFrame, share: float = 0.3, group: str = "grp", position: str = "position", value: str = "value") -> DataFrame:
+    """(group, peak, top, bottom): the densest position, the first at ties, and the run around it that stays at `share` of it or above."""
+    peak = df.groupBy(group).agg(F.min(F.struct((-F.col(value)).alias("v"), F.col(position).alias("p"))).alias("m")).select(group, F.col("m.p").alias("peak"), (-F.col("m.v") * share).alias("floor"))
+    high = df.join(peak, group).filter(F.col(value) >= F.col("floor"))
+    runs = high.withColumn("run", F.col(position) - F.row_number().over(Window.partitionBy(group).orderBy(position)))
+    band = runs.groupBy(group, "run", "peak").agg(F.min(position).alias("top"), F.max(position).alias("bottom"))
+    return band.filter(F.col("peak").between(F.col("top"), F.col("bottom"))).select(group, "peak", "top", "bottom")
+
+
+def picked_peaks(df: DataFrame, threshold: float, width: int, share: float = 0.6, least: int = 4, most: int = 1 << 30, group: str = "grp", position: str = "position", score: str = "score") -> DataFrame:
+    """(group, left, right): intervals of a width at the strongest scores of the threshold or more that keep their distance."""
+    gap = max(least, int(width * share))
+    found = strongest_apart(df.filter(F.col(score) >= threshold), most, gap, group, position, score)
+    return found.select(group, F.col(position).alias("left"), (F.col(position) + width).alias("right"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +11,14 @@ from leafmark.operators import numbering as N
 from leafmark.operators import series as S
 from leafmark.operators import summary as M
 from leafmark.operators import words as W
-from leafmark.sources.views import view, with_views
+from leafmark.plans.base import QUERIES, SQL, query, tables
+from leafmark.plans.base import domain as _views
+from leafmark.sources.views import view
 from leafmark.streaming import jobs as J
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
-
-def _views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [view(spark, sf_dir, f"v_{n}") for n in names]
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables(spark, sf_dir, name)[0]
 
 
 _WALK = """WITH isl AS (SELECT *, page_number - row_number() OVER (PARTITION BY collection_id ORDER BY page_number) AS island FROM v_page),
@@ -243,11 +226,6 @@ def f04_local_minima(spark, sf_dir):
     return S.local_minima(S.moving_average(_series(spark, sf_dir), 7)).withColumn("smooth", F.round("smooth", 6))
 
 
-@query()
-def f06_strongest_apart(spark, sf_dir):
-    return S.strongest_apart(_series(spark, sf_dir).withColumnRenamed("value", "score"), 20, 6)
-
-
 _ARABIC = "".join(chr(0x0627 + k) if k < 20 else chr(0x0641 + k - 20) for k in range(26))
 
 
@@ -286,3 +264,6 @@ def k04_activity_feed(spark, sf_dir):
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def k07_throughput(spark, sf_dir):
     return J.throughput(_table(spark, sf_dir, "events"))
+
+
+from leafmark.plans import layout, review, schemes  # noqa: E402, F401  (they add their queries)

@@ -8,10 +8,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-PAGE = """SELECT o_orderkey, CAST(floor(o_orderkey / 100) AS BIGINT) AS collection_id, CAST(o_orderkey % 100 + 1 AS INT) AS page_number,
-  o_orderstatus = 'F' AS reviewed, CAST(o_custkey % 5 + 1 AS BIGINT) AS start_chapter, CAST(o_custkey % 3 + 1 AS BIGINT) AS start_verse,
+# a page number is left out after every 17 pages, so that collections have islands
+PAGE = """SELECT o_orderkey, CAST(floor(o_orderkey / 100) AS BIGINT) AS collection_id, CAST(o_orderkey % 100 + 1 + floor(o_orderkey % 100 / 17) AS INT) AS page_number,
+  CAST(floor(o_orderkey / 100) % 4 + 1 AS BIGINT) AS first_page, o_orderstatus = 'F' AS reviewed, CAST(o_custkey % 5 + 1 AS BIGINT) AS start_chapter, CAST(o_custkey % 3 + 1 AS BIGINT) AS start_verse,
   CASE WHEN o_custkey % 10 = 0 THEN CAST(o_custkey AS BIGINT) END AS source_page
-FROM orders WHERE o_orderkey % 17 <> 0"""
+FROM orders"""
 
 SEGMENT_ALL = """SELECT p.collection_id, p.page_number, CAST(l.l_linenumber AS INT) AS line_number, l.l_linestatus = 'F' AS closes,
   CAST(l.l_partkey AS BIGINT) AS x, CAST(20 + l.l_suppkey AS BIGINT) AS w, CAST((l.l_orderkey + l.l_linenumber) % 13 AS INT) AS kind,
@@ -29,7 +30,7 @@ COMPONENT = """SELECT line, CAST(row_number() OVER (PARTITION BY line ORDER BY x
     CAST(4 + CAST(floor(l_discount * 400 + 0.5) AS INT) AS BIGINT) AS h, l_linenumber AS ln, l_extendedprice AS ep, CASE WHEN l_returnflag = 'N' THEN 'body' ELSE 'mark' END AS role FROM lineitem) c"""
 
 WORD = """SELECT CAST(l_orderkey AS BIGINT) AS page_id, CAST(l_linenumber AS INT) AS line_number,
-  CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS INT) AS position,
+  CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_extendedprice, l_partkey, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS INT) AS position,
   CASE WHEN l_suppkey % 10 <> 0 THEN CAST(l_partkey AS BIGINT) END AS word_id, CAST(l_partkey + 20 + l_suppkey AS BIGINT) AS start_x, CAST(l_partkey AS BIGINT) AS end_x
 FROM lineitem"""
 
@@ -38,8 +39,35 @@ STATUS = """SELECT page_id, line_number, CASE (page_id * 7 + line_number) % 4 WH
 
 JOB = """SELECT event_id, user_id AS job_id, ts, event_type, event_type IN ('purchase', 'error') AS terminal FROM events"""
 
-VIEWS = {"v_page": PAGE, "v_segment_all": SEGMENT_ALL, "v_line": LINE, "v_segment": SEGMENT, "v_component": COMPONENT, "v_word": WORD, "v_status": STATUS, "v_job": JOB}
-_NEEDS = {"v_segment_all": ["v_page"], "v_line": ["v_segment_all"], "v_segment": ["v_segment_all"], "v_status": ["v_word"]}
+_WORDS = r"[^ \t\n\r]+"
+
+TOKEN = f"""SELECT chapter, CAST(pos AS BIGINT) AS pos, token, CAST(floor(pos / 9) + 1 AS BIGINT) AS verse FROM (
+  SELECT doc_id AS chapter, posexplode(regexp_extract_all(text, '{_WORDS}', 0)) AS (pos, token) FROM documents) t"""
+TOKEN_SQL = f"""SELECT chapter, CAST(pos AS BIGINT) AS pos, token, CAST(floor(pos / 9) + 1 AS BIGINT) AS verse FROM (
+  SELECT doc_id AS chapter, unnest(range(len(l))) AS pos, unnest(l) AS token FROM (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS l FROM documents) d) t"""
+
+VERSE = "SELECT chapter, verse, CAST(min(pos) AS BIGINT) AS first_pos, CAST(count(*) AS BIGINT) AS n_words FROM v_token GROUP BY chapter, verse"
+
+# boundaries that schemes treat apart: ends that some don't count, and splits inside a verse that some add
+DELTA = """SELECT chapter, verse, 'end' AS kind, CAST(0 AS BIGINT) AS after_position, 'base,split' AS counted_by FROM (
+  SELECT chapter, verse, max(verse) OVER (PARTITION BY chapter) AS last_verse FROM v_verse) e WHERE (chapter * 31 + verse) % 11 = 0 AND verse < last_verse
+UNION ALL SELECT chapter, verse, 'internal' AS kind, CAST(4 AS BIGINT) AS after_position, 'split,both' AS counted_by FROM v_verse WHERE (chapter + verse) % 7 = 0 AND n_words > 4"""
+
+REVISION = """SELECT conv_id AS review_id, turn AS number, role AS kind, text AS payload, CAST(floor(conv_id / 10) AS BIGINT) AS collection_id, conv_id % 10 + 1 AS page_number FROM conversations"""
+
+TRUTH = """SELECT d.doc_id, d.source, d.lang, CAST(d.doc_id % 40 + 1 AS BIGINT) AS page_number, CAST(floor(d.doc_id / 40) AS BIGINT) AS line, CASE WHEN l.quality = 1 THEN 'body' WHEN l.quality = 0 THEN 'mark' END AS truth,
+  CASE WHEN d.n_chars % 2 = 0 THEN 'body' ELSE 'mark' END AS predicted, l.toxic = 1 AS exception, CAST(d.n_chars % 13 AS BIGINT) AS score, CAST(d.n_chars AS BIGINT) AS n_chars
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+# every third component is shared by two words if it is a body
+ALLOCATION = """SELECT line, label, x, w, role, CAST(floor(label / 3) AS BIGINT) AS word_id, CASE WHEN role = 'body' THEN CAST(label % 2 + 1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS pieces FROM v_component
+UNION ALL SELECT line, label, x, w, role, CAST(floor(label / 3) + 1 AS BIGINT) AS word_id, CAST(1 AS BIGINT) AS pieces FROM v_component WHERE label % 3 = 2 AND role = 'body'"""
+
+VIEWS = {"v_page": PAGE, "v_segment_all": SEGMENT_ALL, "v_line": LINE, "v_segment": SEGMENT, "v_component": COMPONENT, "v_word": WORD, "v_status": STATUS, "v_job": JOB, "v_token": TOKEN, "v_verse": VERSE, "v_delta": DELTA, "v_revision": REVISION, "v_truth": TRUTH, "v_allocation": ALLOCATION}
+#: What other SQL engines read where Spark's form isn't theirs.
+OTHER = {"v_token": TOKEN_SQL}
+_NEEDS = {"v_segment_all": ["v_page"], "v_line": ["v_segment_all"], "v_segment": ["v_segment_all"], "v_status": ["v_word"], "v_verse": ["v_token"], "v_delta": ["v_verse"], "v_allocation": ["v_component"]}
+_TABLES = ("orders", "lineitem", "events", "documents", "labels", "conversations", "embeddings", "customer", "supplier", "nation", "part")
 
 
 def order(name: str) -> list[str]:
@@ -48,12 +76,17 @@ def order(name: str) -> list[str]:
     return [*found, name]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain view over the tables in sf_dir."""
-    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "events") if any(t in VIEWS[v] for v in order(name))}
-    for v in order(name):
+def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Domain views over the tables in sf_dir; what several of them read is one frame, so its exchanges are reused."""
+    needed = list(dict.fromkeys(v for name in names for v in order(name)))
+    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if any(_uses(VIEWS[v], t) for v in needed)}
+    for v in needed:
         given[v] = spark.sql(_bound(VIEWS[v], given), **{k: d for k, d in given.items() if _uses(VIEWS[v], k)})
-    return given[name]
+    return [given[name] for name in names]
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return views(spark, sf_dir, name)[0]
 
 
 def _uses(sql: str, name: str) -> bool:
@@ -69,7 +102,9 @@ def with_views(sql: str) -> str:
     names: list[str] = []
     for v in re.findall(r"\bv_\w+", sql):
         names += [n for n in order(v) if n in VIEWS and n not in names] if v in VIEWS else []
-    heads = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    heads = ", ".join(f"{n} AS ({OTHER.get(n, VIEWS[n])})" for n in names)
     if not heads:
         return sql
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {sql.lstrip()[15:]}"
     return f"WITH {heads}, {sql.lstrip()[5:]}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {heads} {sql}"
