@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: marks that aren't letters, letters that don't join onwards, the bare hamza, and dotted letters
+# fixed values: marks that aren't letters, letters that don't join onwards, letters that don't join backwards, and dotted letters
 MARKS = "\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED\u0640"
 NON_JOINERS = "اأإآٱدذرزوؤةءٲٳٵٶٷٮۃ"
-BARE_HAMZA = "ء"
+NON_RECEIVERS = "ءٴ"
 DOTS_ABOVE = "تثخذزشضظغفقنة"
 DOTS_BELOW = "بجي"
 
@@ -18,9 +18,9 @@ def letters_of(word: Column) -> Column:
 
 
 def pieces(word: Column) -> Column:
-    """Groups of letters that a spelling joins: broken after a non-joiner and on both sides of a bare hamza."""
+    """Groups of letters that a spelling joins: broken after a non-joiner and before a non-receiver."""
     core = F.regexp_replace(letters_of(word), f"([{NON_JOINERS}])", "$1|")
-    core = F.regexp_replace(core, f"({BARE_HAMZA})", "|$1")
+    core = F.regexp_replace(core, f"([{NON_RECEIVERS}])", "|$1")
     return F.filter(F.split(core, "\\|"), lambda x: x != "")
 
 

@@ -38,19 +38,32 @@ def interval_union(df: DataFrame, group: str, left: str, right: str) -> DataFram
     return merged.withColumn("ord", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("right")))).select(group, "ord", "left", "right", "merged")
 
 
-def body_scores(components: DataFrame) -> DataFrame:
-    """Scores as a body, and the costs of taking a component as a body or as a mark; halves round to even."""
-    typical = components.groupBy("line").agg(F.expr("percentile(area, 0.5)").alias("median"))
-    band, top = 30.0, 10
-    overlap = F.greatest(F.lit(0), F.least(F.col("y") + F.col("h"), F.lit(top + 30)) - F.greatest(F.col("y"), F.lit(top)))
-    crosses = ((F.col("y") <= 25) & (F.col("y") + F.col("h") > 25)).cast("int")
-    raw = 6 * crosses + 3 * overlap / band + 3 * F.least(F.lit(1.0), F.col("area") / F.greatest(F.col("median"), F.lit(1.0))) + 2 * F.least(F.lit(1.0), F.col("h") / band)
-    scored = components.join(typical, "line").withColumn("score", F.greatest(F.lit(0), F.bround(F.round(raw, 9), 0)).cast("int"))
+def typical_sizes(components: DataFrame, peak: int) -> DataFrame:
+    """Each line's median area of the components that cross the densest row (and 1.0 for none), median height of bodies, and the
+    smallest crossing area (0 for none)."""
+    crossing = F.when((F.col("y") <= peak) & (peak < F.col("y") + F.col("h")), F.col("area"))
+    body = F.when(F.col("role") == "body", F.col("h"))
+    return components.groupBy("line").agg(F.median(crossing).alias("median_area"), F.coalesce(F.median(crossing), F.lit(1.0)).alias("typical_area"), F.median(body).alias("median_height"), F.coalesce(F.min(crossing), F.lit(0)).alias("smallest"))
+
+
+def body_scores(components: DataFrame, bands: DataFrame) -> DataFrame:
+    """Scores as a body, and the costs of taking a component as a body or as a mark; halves round to even.
+
+    bands: (line, top, bottom, peak), each line's own. A component scores for crossing the densest row, for its overlap with the band,
+    its area against the median of those that cross, and its height; one nested in a larger component loses."""
+    rows = components.join(bands, "line").withColumns({"band": F.greatest(F.lit(1), F.col("bottom") - F.col("top") + 1), "crosses": (F.col("y") <= F.col("peak")) & (F.col("peak") < F.col("y") + F.col("h"))})
+    typical = rows.groupBy("line").agg(F.coalesce(F.median(F.when(F.col("crosses"), F.col("area"))), F.lit(1.0)).alias("median"))
+    inside = nested(components).select("line", "label", F.lit(4).alias("nested"))
+    overlap = F.greatest(F.lit(0), F.least(F.col("y") + F.col("h"), F.col("bottom") + 1) - F.greatest("y", "top"))
+    raw = 6 * F.col("crosses").cast("int") + 3 * F.least(F.lit(1.0), overlap / F.col("band")) + 3 * F.least(F.lit(1.0), F.col("area") / F.greatest(F.col("median"), F.lit(1.0))) + 2 * F.least(F.lit(1.0), F.col("h") / F.col("band")) - F.coalesce("nested", F.lit(0))
+    scored = rows.join(typical, "line").join(inside, ["line", "label"], "left").withColumn("score", F.greatest(F.lit(0), F.bround(F.round(raw, 9), 0)).cast("int"))
     return scored.select("line", "label", "score", (14 - F.col("score")).alias("cost_as_body"), F.least("score", F.lit(6)).alias("cost_as_mark"))
 
 
 def role_counts(components: DataFrame) -> DataFrame:
-    return components.groupBy("line").agg(F.count_if(F.col("role") == "body").alias("bodies"), F.count_if(F.col("role") == "mark").alias("marks"), F.expr("percentile(h, 0.5)").alias("median_height"))
+    """Components of each line by role, and those whose role is open."""
+    by = {"bodies": "body", "marks": "mark", "ornaments": "ornament", "symbols": "symbol"}
+    return components.groupBy("line").agg(*(F.count_if(F.col("role") == r).alias(n) for n, r in by.items()), F.count_if("ambiguous").alias("ambiguous"))
 
 
 def word_boxes(components: DataFrame) -> DataFrame:

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ["collection_id", "page_number"]
 
 
 def page_summary(pages: DataFrame, lines: DataFrame, segments: DataFrame) -> DataFrame:
-    per_line = lines.groupBy(*PAGE).agg(F.count("*").alias("n_lines"), F.count_if(F.col("type") == "header").alias("n_headers"))
+    """Lines, headers, segments, verses and chapters (distinct, in order) of each page; pages without lines have zeros."""
+    per_line = lines.groupBy(*PAGE).agg(F.count("*").alias("n_lines"), F.count_if(F.col("type") == "header").alias("n_headers"), F.sort_array(F.collect_set("chapter")).alias("chapters"))
     per_segment = segments.groupBy(*PAGE).agg(F.count("*").alias("n_segments"), F.count_if("closes").alias("n_verses"))
     zero = {c: 0 for c in ("n_lines", "n_headers", "n_segments", "n_verses")}
     out = pages.select(*PAGE, "reviewed").join(per_line, PAGE, "left").join(per_segment, PAGE, "left").fillna(zero)
-    return out.withColumn("has_header", F.col("n_headers") > 0)
+    return out.withColumns({"has_header": F.col("n_headers") > 0, "chapters": F.coalesce("chapters", F.array().cast("array<bigint>"))})
 
 
 def collection_stats(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    a = lines.groupBy("collection_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("type") == "header").alias("n_headers"), F.count_if(F.col("type") == "basmala").alias("n_basmalas"))
+    """Lines, headers, basmalas, exported images (neither null nor empty), segments and verses of each collection."""
+    a = lines.groupBy("collection_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("type") == "header").alias("n_headers"), F.count_if(F.col("type") == "basmala").alias("n_basmalas"), F.count_if(F.col("image") != "").alias("n_exported"))
     b = segments.groupBy("collection_id").agg(F.count("*").alias("n_segments"), F.count_if("closes").alias("n_verses"))
     return a.join(b, "collection_id", "left").fillna(0, ["n_segments", "n_verses"])
 
@@ -36,19 +38,28 @@ def status_histogram(status: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(whole)).select("status", "n", F.round(F.col("n") / F.col("whole"), 6).alias("share"))  # one row
 
 
+def reason_histogram(status: DataFrame) -> DataFrame:
+    """How many lines give each reason; a line's reasons are joined by "; "."""
+    return status.select(F.explode(F.split("reason", "; ")).alias("reason")).filter("reason <> ''").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def totals_by(df: DataFrame, group: str, item: str, metrics: list[str]) -> DataFrame:
-    """Sums of metrics for each item of each group and for each group: both levels in one pass."""
-    return df.rollup(group, item).agg(*(F.sum(m).alias(m) for m in metrics)).filter(F.col(group).isNotNull())
+    """Sums of metrics for each item of each group (whole = false) and for each group (whole = true), in one pass; null groups and
+    null items are groups and items like others."""
+    sums = df.rollup(group, item).agg(F.grouping_id().alias("level"), *(F.sum(m).alias(m) for m in metrics))
+    return sums.filter("level < 3").select(group, item, (F.col("level") == 1).alias("whole"), *metrics)
 
 
-def collections_listing(pages: DataFrame) -> DataFrame:
-    """Pages and reviewed pages of each collection."""
-    return pages.groupBy("collection_id").agg(F.count("*").alias("n_pages"), F.count_if("reviewed").alias("n_reviewed"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
+def collections_listing(collections: DataFrame, pages: DataFrame) -> DataFrame:
+    """Collections with their processed and reviewed pages, newest first. collections: (collection_id, created)."""
+    by = pages.groupBy("collection_id").agg(F.count("*").alias("n_processed"), F.count_if("reviewed").alias("n_reviewed"))
+    place = F.row_number().over(Window.orderBy(F.desc("created"), F.desc("collection_id"))).cast("long")  # a place in the whole list: one row a collection
+    return collections.join(by, "collection_id", "left").fillna(0, ["n_processed", "n_reviewed"]).select(place.alias("place"), "collection_id", "n_processed", "n_reviewed")
 
 
 def source_pages(pages: DataFrame) -> DataFrame:
     """Physical page of each logical one: an override, or counted from the first; and the same with 0 as no override."""
-    counted = F.lit(3) + F.col("page_number") - 1
+    counted = F.col("first_page") + F.col("page_number") - 1
     return pages.select(*PAGE, F.coalesce("source_page", counted).alias("physical"), F.coalesce(F.nullif("source_page", F.lit(0)), counted).alias("physical_nonzero"))
 
 

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 
 def asof(tokens: DataFrame, starts: DataFrame, scheme: str, token: str, start: str, carried: list[str]) -> DataFrame:
     """Each token with the last start at or before it in its scheme, by a union and a running last: no range join, no broadcast."""
-    names = [scheme, token, *tokens.columns]
     left = tokens.select(*tokens.columns, F.lit(1).alias("_kind"), *(F.lit(None).cast(starts.schema[c].dataType).alias(c) for c in carried), F.lit(None).cast("long").alias("_start"))
     right = starts.select(*(F.col(scheme) if c == scheme else F.col(start).alias(c) if c == token else F.lit(None).cast(tokens.schema[c].dataType).alias(c) for c in tokens.columns), F.lit(0).alias("_kind"), *carried, F.col(start).alias("_start"))
     w = Window.partitionBy(scheme).orderBy(token, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(F.when(F.col("_kind") == 0, F.struct(*carried)), ignorenulls=True).over(w)
     out = left.unionByName(right).withColumn("_held", held).filter("_kind = 1")
-    del names
     return out.select(*tokens.columns, *(F.col("_held")[c].alias(c) for c in carried))
 
 
@@ -37,7 +35,7 @@ def line_gaps(words: DataFrame, most: int = 20) -> DataFrame:
     line = words.filter("word_id is not null").groupBy("page_id", "line_number").agg(F.min_by("word_id", "position").alias("first_id"), F.max_by("word_id", "position").alias("last_id"))
     w = Window.partitionBy("page_id").orderBy("line_number")
     line = line.withColumn("before", F.lag("last_id").over(w)).filter("first_id > before + 1")
-    return line.select("page_id", "line_number", "before", "first_id", (F.col("first_id") - F.col("before") - 1).alias("n_missing"), F.least(F.lit(most), F.col("first_id") - F.col("before") - 1).alias("n_listed"))
+    return line.select("page_id", "line_number", "before", "first_id", (F.col("first_id") - F.col("before") - 1).alias("n_missing"), F.array_join(F.sequence(F.col("before") + 1, F.least(F.col("first_id") - 1, F.col("before") + most)).cast("array<string>"), ",").alias("missing"))
 
 
 def stretches(words: DataFrame, span: int = 50) -> DataFrame:

@@ -57,13 +57,6 @@ def a09_verse_rectangles(spark, sf_dir):
     return N.verse_rectangles(_walked(spark, sf_dir), view(spark, sf_dir, "v_line"))
 
 
-@query(_WALK + "SELECT collection_id, chapter, count(*) FILTER (closes) AS closing, CASE WHEN chapter % 3 <> 0 THEN chapter * 2 END AS expected, (CASE WHEN chapter % 3 <> 0 THEN chapter * 2 END) IS DISTINCT FROM count(*) FILTER (closes) AS differs FROM walked GROUP BY collection_id, chapter")
-def e08_renumber_report(spark, sf_dir):
-    walked = _walked(spark, sf_dir)
-    expected = walked.filter("chapter % 3 <> 0").select("collection_id", "chapter", (F.col("chapter") * 2).alias("expected")).distinct()
-    return N.renumber_report(walked, expected)
-
-
 @query("""WITH cl AS (SELECT collection_id, page_number, line_number, bool_or(closes) AS b FROM v_segment GROUP BY ALL),
 l AS (SELECT *, lag(type) OVER (PARTITION BY collection_id ORDER BY page_number, line_number) AS previous FROM v_line)
 SELECT collection_id, page_number, line_number, NOT coalesce(b, false) AS basmala FROM l LEFT JOIN cl USING (collection_id, page_number, line_number) WHERE type <> 'header' AND previous = 'header'""")
@@ -72,18 +65,23 @@ def e09_basmala_lines(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT collection_id, page_number, count(*) AS n_lines, count(*) FILTER (type = 'header') AS n_headers FROM v_line GROUP BY ALL),
+ch AS (SELECT collection_id, page_number, string_agg(c, ',' ORDER BY c) AS chapters FROM (SELECT DISTINCT collection_id, page_number, x % 4 AS c FROM v_line WHERE x % 9 <> 0) GROUP BY ALL),
 b AS (SELECT collection_id, page_number, count(*) AS n_segments, count(*) FILTER (closes) AS n_verses FROM v_segment GROUP BY ALL)
-SELECT collection_id, page_number, reviewed, coalesce(n_lines, 0) AS n_lines, coalesce(n_headers, 0) AS n_headers, coalesce(n_segments, 0) AS n_segments, coalesce(n_verses, 0) AS n_verses, coalesce(n_headers, 0) > 0 AS has_header
-FROM v_page LEFT JOIN a USING (collection_id, page_number) LEFT JOIN b USING (collection_id, page_number)""")
-def d01_page_summary(spark, sf_dir):
-    return M.page_summary(*_views(spark, sf_dir, "page", "line", "segment"))
+SELECT collection_id, page_number, reviewed, coalesce(n_lines, 0) AS n_lines, coalesce(n_headers, 0) AS n_headers, coalesce(n_segments, 0) AS n_segments, coalesce(n_verses, 0) AS n_verses, coalesce(n_headers, 0) > 0 AS has_header, coalesce(chapters, '') AS chapters
+FROM v_page LEFT JOIN a USING (collection_id, page_number) LEFT JOIN b USING (collection_id, page_number) LEFT JOIN ch USING (collection_id, page_number)""")
+def d01_l03_page_summary(spark, sf_dir):
+    pages, lines, segments = _views(spark, sf_dir, "page", "line", "segment")
+    found = M.page_summary(pages, lines.withColumn("chapter", F.when(F.col("x") % 9 != 0, F.col("x") % 4)), segments)
+    return found.withColumn("chapters", F.array_join("chapters", ","))
 
 
-@query("""WITH a AS (SELECT collection_id, count(*) AS n_lines, count(*) FILTER (type = 'header') AS n_headers, count(*) FILTER (type = 'basmala') AS n_basmalas FROM v_line GROUP BY ALL),
+@query("""WITH a AS (SELECT collection_id, count(*) AS n_lines, count(*) FILTER (type = 'header') AS n_headers, count(*) FILTER (type = 'basmala') AS n_basmalas, count(*) FILTER (line_number % 3 = 0) AS n_exported FROM v_line GROUP BY ALL),
 b AS (SELECT collection_id, count(*) AS n_segments, count(*) FILTER (closes) AS n_verses FROM v_segment GROUP BY ALL)
-SELECT collection_id, n_lines, n_headers, n_basmalas, coalesce(n_segments, 0) AS n_segments, coalesce(n_verses, 0) AS n_verses FROM a LEFT JOIN b USING (collection_id)""")
+SELECT collection_id, n_lines, n_headers, n_basmalas, n_exported, coalesce(n_segments, 0) AS n_segments, coalesce(n_verses, 0) AS n_verses FROM a LEFT JOIN b USING (collection_id)""")
 def d02_collection_stats(spark, sf_dir):
-    return M.collection_stats(*_views(spark, sf_dir, "line", "segment"))
+    lines, segments = _views(spark, sf_dir, "line", "segment")
+    image = F.when(F.col("line_number") % 3 == 0, "p.png").when(F.col("line_number") % 3 == 1, "")
+    return M.collection_stats(lines.withColumn("image", image), segments)
 
 
 @query("""WITH l AS (SELECT page_id, line_number, count(*) AS n, count(word_id) AS k FROM v_word GROUP BY ALL)
@@ -93,9 +91,12 @@ def d03_word_coverage(spark, sf_dir):
     return M.word_coverage(*_views(spark, sf_dir, "word", "status"))
 
 
-@query("SELECT collection_id, count(*) AS n_pages, count(*) FILTER (reviewed) AS n_reviewed, min(page_number) AS first_page, max(page_number) AS last_page FROM v_page GROUP BY collection_id")
+@query("""WITH c AS (SELECT DISTINCT CAST(floor(o_orderkey / 100) AS BIGINT) AS collection_id FROM orders), p AS (SELECT * FROM v_page WHERE collection_id % 7 <> 3), s AS (SELECT collection_id, count(*) AS n, count(*) FILTER (reviewed) AS r FROM p GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY collection_id * 37 % 101 DESC, collection_id DESC) AS place, collection_id, coalesce(n, 0) AS n_processed, coalesce(r, 0) AS n_reviewed FROM c LEFT JOIN s USING (collection_id)""")
 def d04_collections_listing(spark, sf_dir):
-    return M.collections_listing(view(spark, sf_dir, "v_page"))
+    pages = view(spark, sf_dir, "v_page")
+    collections = pages.select("collection_id").distinct().withColumn("created", F.col("collection_id") * 37 % 101)
+    return M.collections_listing(collections, pages.filter("collection_id % 7 <> 3"))
 
 
 @query("SELECT status, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM v_status GROUP BY status")
@@ -103,18 +104,30 @@ def d12_status_histogram(spark, sf_dir):
     return M.status_histogram(view(spark, sf_dir, "v_status"))
 
 
-@query("SELECT line, count(*) FILTER (role = 'body') AS bodies, count(*) FILTER (role = 'mark') AS marks, CAST(median(h) AS DOUBLE) AS median_height FROM v_component GROUP BY line")
+@query("""WITH r AS (SELECT line_number, unnest(string_split(CASE WHEN page_id % 3 = 0 THEN 'a; b' WHEN page_id % 3 = 1 THEN 'b; c' ELSE '' END, '; ')) AS reason FROM v_status WHERE status <> 'exact') SELECT reason, count(*) AS n FROM r WHERE reason <> '' GROUP BY reason""")
+def d12_reason_histogram(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_status").filter("status <> 'exact'").selectExpr("CASE WHEN page_id % 3 = 0 THEN 'a; b' WHEN page_id % 3 = 1 THEN 'b; c' ELSE '' END AS reason")
+    return M.reason_histogram(rows)
+
+
+@query("""WITH c AS (SELECT *, CASE WHEN y <= 25 AND y + h > 25 THEN area END AS crossing FROM v_component) SELECT line, median(crossing) AS median_area, coalesce(median(crossing), 1.0) AS typical_area, median(CASE WHEN role = 'body' THEN h END) AS median_height, coalesce(min(crossing), 0) AS smallest FROM c GROUP BY line""")
+def d17_typical_sizes(spark, sf_dir):
+    return C.typical_sizes(view(spark, sf_dir, "v_component"), 25)
+
+
+@query("SELECT line, count(*) FILTER (role = 'body') AS bodies, count(*) FILTER (role = 'mark') AS marks, count(*) FILTER (role = 'ornament') AS ornaments, count(*) FILTER (role = 'symbol') AS symbols, count(*) FILTER (w % 6 = 0) AS ambiguous FROM (SELECT line, w, CASE WHEN label % 11 = 0 THEN 'ornament' WHEN label % 9 = 4 THEN 'symbol' ELSE role END AS role FROM v_component) GROUP BY line")
 def d13_role_counts(spark, sf_dir):
-    return C.role_counts(view(spark, sf_dir, "v_component"))
+    role = F.when(F.col("label") % 11 == 0, "ornament").when(F.col("label") % 9 == 4, "symbol").otherwise(F.col("role"))
+    return C.role_counts(view(spark, sf_dir, "v_component").withColumns({"role": role, "ambiguous": F.col("w") % 6 == 0}))
 
 
-@query("SELECT collection_id, page_number, CAST(sum(CAST(type = 'header' AS INT)) AS BIGINT) AS headers, CAST(sum(CAST(type = 'text' AS INT)) AS BIGINT) AS texts FROM v_line GROUP BY ROLLUP (collection_id, page_number) HAVING collection_id IS NOT NULL")
+@query("WITH l AS (SELECT CASE WHEN collection_id % 5 <> 2 THEN collection_id END AS collection_id, CASE WHEN page_number % 9 <> 4 THEN page_number END AS page_number, type FROM v_line) SELECT collection_id, page_number, false AS whole, count(*) FILTER (type = 'header') AS headers, count(*) FILTER (type = 'text') AS texts FROM l GROUP BY collection_id, page_number UNION ALL SELECT collection_id, NULL, true, count(*) FILTER (type = 'header'), count(*) FILTER (type = 'text') FROM l GROUP BY collection_id")
 def d24_rollup_totals(spark, sf_dir):
-    lines = view(spark, sf_dir, "v_line").withColumns({"headers": (F.col("type") == "header").cast("int"), "texts": (F.col("type") == "text").cast("int")})
+    lines = view(spark, sf_dir, "v_line").selectExpr("CASE WHEN collection_id % 5 <> 2 THEN collection_id END AS collection_id", "CASE WHEN page_number % 9 <> 4 THEN page_number END AS page_number", "type").withColumns({"headers": (F.col("type") == "header").cast("int"), "texts": (F.col("type") == "text").cast("int")})
     return M.totals_by(lines, "collection_id", "page_number", ["headers", "texts"])
 
 
-@query("SELECT collection_id, page_number, coalesce(source_page, 3 + page_number - 1) AS physical, coalesce(nullif(source_page, 0), 3 + page_number - 1) AS physical_nonzero FROM v_page")
+@query("SELECT collection_id, page_number, coalesce(source_page, first_page + page_number - 1) AS physical, coalesce(nullif(source_page, 0), first_page + page_number - 1) AS physical_nonzero FROM v_page")
 def b03_source_pages(spark, sf_dir):
     return M.source_pages(view(spark, sf_dir, "v_page"))
 
@@ -155,11 +168,15 @@ def f11_interval_union(spark, sf_dir):
     return C.interval_union(rows, "line", "left", "right")
 
 
-@query("""WITH m AS (SELECT line, median(area) AS med FROM v_component GROUP BY line),
-s AS (SELECT line, label, CAST(greatest(0, round_even(round(6 * CAST(y <= 25 AND y + h > 25 AS INT) + 3 * greatest(0, least(y + h, 40) - greatest(y, 10)) / 30.0 + 3 * least(1.0, area / greatest(med, 1.0)) + 2 * least(1.0, h / 30.0), 9), 0)) AS INT) AS score FROM v_component JOIN m USING (line))
+@query("""WITH geo AS (SELECT line, CAST(8 + line % 5 AS BIGINT) AS top, CAST(38 + line % 7 AS BIGINT) AS bottom, CAST(20 + line % 9 AS BIGINT) AS peak FROM (SELECT DISTINCT line FROM v_component)),
+c AS (SELECT v.*, top, bottom, bottom - top + 1 AS band, y <= peak AND peak < y + h AS crosses FROM v_component v JOIN geo USING (line)), m AS (SELECT line, coalesce(median(area) FILTER (crosses), 1.0) AS med FROM c GROUP BY line),
+ne AS (SELECT DISTINCT a.line, a.label FROM v_component a JOIN v_component b ON a.line = b.line AND a.label <> b.label AND b.x <= a.x AND b.y <= a.y AND a.x + a.w <= b.x + b.w AND a.y + a.h <= b.y + b.h AND a.area < 0.35 * b.area),
+s AS (SELECT c.line, c.label, CAST(greatest(0, round_even(round(6 * CAST(crosses AS INT) + 3 * least(1.0, greatest(0, least(y + h, bottom + 1) - greatest(y, top)) / CAST(band AS DOUBLE)) + 3 * least(1.0, area / greatest(med, 1.0)) + 2 * least(1.0, h / CAST(band AS DOUBLE)) - CASE WHEN ne.line IS NOT NULL THEN 4 ELSE 0 END, 9), 0)) AS INT) AS score
+  FROM c JOIN m USING (line) LEFT JOIN ne ON ne.line = c.line AND ne.label = c.label)
 SELECT line, label, score, 14 - score AS cost_as_body, least(score, 6) AS cost_as_mark FROM s""")
 def g10_g11_body_scores(spark, sf_dir):
-    return C.body_scores(view(spark, sf_dir, "v_component"))
+    components = view(spark, sf_dir, "v_component")
+    return C.body_scores(components, components.selectExpr("line", "8 + line % 5 AS top", "38 + line % 7 AS bottom", "20 + line % 9 AS peak").distinct())
 
 
 @query("WITH p AS (SELECT *, lag(word_id) OVER (PARTITION BY page_id, line_number ORDER BY position) AS previous FROM v_word WHERE word_id IS NOT NULL) SELECT page_id, line_number, position, word_id, previous FROM p WHERE word_id < previous")
@@ -174,7 +191,7 @@ def e18_overlaps(spark, sf_dir):
 
 @query("""WITH l AS (SELECT page_id, line_number, arg_min(word_id, position) AS first_id, arg_max(word_id, position) AS last_id FROM v_word WHERE word_id IS NOT NULL GROUP BY ALL),
 g AS (SELECT *, lag(last_id) OVER (PARTITION BY page_id ORDER BY line_number) AS before FROM l)
-SELECT page_id, line_number, before, first_id, first_id - before - 1 AS n_missing, least(20, first_id - before - 1) AS n_listed FROM g WHERE first_id > before + 1""")
+SELECT page_id, line_number, before, first_id, first_id - before - 1 AS n_missing, array_to_string(range(before + 1, least(first_id, before + 21)), ',') AS missing FROM g WHERE first_id > before + 1""")
 def e18_line_gaps(spark, sf_dir):
     return W.line_gaps(view(spark, sf_dir, "v_word"))
 
@@ -226,11 +243,12 @@ def f04_local_minima(spark, sf_dir):
     return S.local_minima(S.moving_average(_series(spark, sf_dir), 7)).withColumn("smooth", F.round("smooth", 6))
 
 
-_ARABIC = "".join(chr(0x0627 + k) if k < 20 else chr(0x0641 + k - 20) for k in range(26))
+# letters of the test text as Arabic ones; q, x and z as marks and as a letter that only takes part in breaks
+_ARABIC = "".join(chr(0x0627 + k) if k < 20 else chr(0x0641 + k - 20) for k in range(26)).translate({0x0627 + 16: 0x064E, 0x0644: 0x0670, 0x0646: 0x0674})
 
 
 @query(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS raw FROM documents), a AS (SELECT raw, translate(raw, 'abcdefghijklmnopqrstuvwxyz', '{_ARABIC}') AS word FROM t)
-SELECT raw, greatest(1, len(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(word, '[{arabic.MARKS}]', '', 'g'), '([{arabic.NON_JOINERS}])', '\\1|', 'g'), '({arabic.BARE_HAMZA})', '|\\1', 'g'), '|'), lambda x: x <> '')))::INTEGER AS pieces,
+SELECT raw, greatest(1, len(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(word, '[{arabic.MARKS}]', '', 'g'), '([{arabic.NON_JOINERS}])', '\\1|', 'g'), '([{arabic.NON_RECEIVERS}])', '|\\1', 'g'), '|'), lambda x: x <> '')))::INTEGER AS pieces,
  (length(word) - length(regexp_replace(word, '[{arabic.DOTS_ABOVE}]', '', 'g')))::INTEGER AS above, (length(word) - length(regexp_replace(word, '[{arabic.DOTS_BELOW}]', '', 'g')))::INTEGER AS below FROM a""")
 def g02_g04_spelling(spark, sf_dir):
     raw = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("raw")).distinct()
@@ -266,4 +284,4 @@ def k07_throughput(spark, sf_dir):
     return J.throughput(_table(spark, sf_dir, "events"))
 
 
-from leafmark.plans import layout, review, schemes  # noqa: E402, F401  (they add their queries)
+from leafmark.plans import layout, numbering, review, schemes  # noqa: E402, F401  (they add their queries)
