@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def profile(components: DataFrame, group: str) -> DataFrame:
+    """Ink in each row of a group's content: the widths of the components that cover it, 0 for rows between that none covers."""
+    rows = components.select(F.col(group).alias("grp"), F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)).alias("position"), "w")
+    return filled(rows.groupBy("grp", "position").agg(F.sum("w").alias("value")))
+
+
 def filled(df: DataFrame, group: str = "grp", position: str = "position", value: str = "value") -> DataFrame:
     """Missing positions between a group's first and last with value 0."""
     ends = df.groupBy(group).agg(F.min(position).alias("a"), F.max(position).alias("b"))

@@ -24,12 +24,14 @@ def collection_stats(lines: DataFrame, segments: DataFrame) -> DataFrame:
     return a.join(b, "collection_id", "left").fillna(0, ["n_segments", "n_verses"])
 
 
-def word_coverage(words: DataFrame, status: DataFrame) -> DataFrame:
-    """Lines, words and lines to review of each page."""
-    per_line = words.groupBy("page_id", "line_number").agg(F.count("*").alias("n"), F.count("word_id").alias("labelled"))
-    joined = per_line.join(status, ["page_id", "line_number"], "left")
-    out = joined.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_words"), F.sum("labelled").alias("n_labelled"), F.count_if(F.col("status").isin("scored", "partial", "unresolved")).alias("needs_review"))
-    return out.withColumn("complete", F.col("needs_review") == 0)
+def word_coverage(lines: DataFrame, words: DataFrame, status: DataFrame) -> DataFrame:
+    """Text lines, those with words, words and lines to review of each page; a page is complete if each text line has words and none is to review."""
+    key = ["page_id", "line_number"]
+    n = words.groupBy(*key).agg(F.count("*").alias("n"), F.count("word_id").alias("labelled"))
+    joined = lines.filter("type = 'text'").select(*key).join(n, key, "left").join(status.select(*key, "status"), key, "left")
+    review = F.count_if(F.col("status").isin("scored", "partial", "unresolved"))
+    out = joined.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.count("n").alias("n_worded"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_words"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("n_labelled"), review.alias("needs_review"))
+    return out.withColumn("complete", (F.col("needs_review") == 0) & (F.col("n_worded") == F.col("n_lines")))
 
 
 def status_histogram(status: DataFrame) -> DataFrame:

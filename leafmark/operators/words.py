@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(tokens: DataFrame, starts: DataFrame, scheme: str, token: str, start: str, carried: list[str]) -> DataFrame:
-    """Each token with the last start at or before it in its scheme, by a union and a running last: no range join, no broadcast."""
-    left = tokens.select(*tokens.columns, F.lit(1).alias("_kind"), *(F.lit(None).cast(starts.schema[c].dataType).alias(c) for c in carried), F.lit(None).cast("long").alias("_start"))
-    right = starts.select(*(F.col(scheme) if c == scheme else F.col(start).alias(c) if c == token else F.lit(None).cast(tokens.schema[c].dataType).alias(c) for c in tokens.columns), F.lit(0).alias("_kind"), *carried, F.col(start).alias("_start"))
-    w = Window.partitionBy(scheme).orderBy(token, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last(F.when(F.col("_kind") == 0, F.struct(*carried)), ignorenulls=True).over(w)
-    out = left.unionByName(right).withColumn("_held", held).filter("_kind = 1")
-    return out.select(*tokens.columns, *(F.col("_held")[c].alias(c) for c in carried))
+def asof(tokens: DataFrame, starts: DataFrame, scheme: str, token: str, start: str, carried: list[str], width: int = 1 << 16) -> DataFrame:
+    """Each token with the last start at or before it in its scheme; null before the first.
+
+    Tokens and starts fall into ranges of `width` numbers, and windows stay in a range; the last start before a range comes from one
+    window over the ranges of a scheme, which are a `width`th of its tokens at most. No range join, no broadcast."""
+    held = F.struct(F.col(start).alias("at"), *carried)
+    right = starts.select(F.col(scheme), F.floor(F.col(start) / width).alias("range"), held.alias("held"))
+    left = tokens.withColumn("range", F.floor(F.col(token) / width))
+    last = right.groupBy(scheme, "range").agg(F.max("held").alias("last"))
+    ranges = left.select(scheme, "range").distinct().join(last, [scheme, "range"], "full")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy(scheme).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    carry = ranges.select(scheme, "range", before.alias("before"))
+    both = left.select(scheme, "range", F.col(token).alias("at"), F.struct(*tokens.columns).alias("row"), F.lit(None).cast(right.schema["held"].dataType).alias("held"))
+    both = both.unionByName(right.select(scheme, "range", F.col("held.at").alias("at"), F.lit(None).cast(both.schema["row"].dataType).alias("row"), "held"))
+    # a start comes before the tokens with its number
+    w = Window.partitionBy(scheme, "range").orderBy("at", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("inside", F.last("held", ignorenulls=True).over(w)).filter("row is not null").join(carry, [scheme, "range"])
+    value = F.coalesce("inside", "before")
+    return found.select("row.*", *(value[c].alias(c) for c in carried))
 
 
 def out_of_sequence(words: DataFrame) -> DataFrame:

@@ -84,11 +84,21 @@ def d02_collection_stats(spark, sf_dir):
     return M.collection_stats(lines.withColumn("image", image), segments)
 
 
-@query("""WITH l AS (SELECT page_id, line_number, count(*) AS n, count(word_id) AS k FROM v_word GROUP BY ALL)
-SELECT page_id, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_words, CAST(sum(k) AS BIGINT) AS n_labelled, count(*) FILTER (status IN ('scored', 'partial', 'unresolved')) AS needs_review, count(*) FILTER (status IN ('scored', 'partial', 'unresolved')) = 0 AS complete
-FROM l LEFT JOIN v_status USING (page_id, line_number) GROUP BY page_id""")
+@query("""WITH l AS (SELECT page_id, line_number FROM v_status WHERE (page_id + line_number) % 13 > 1 UNION ALL SELECT DISTINCT page_id, 99 FROM v_status WHERE page_id % 7 = 0), n AS (SELECT page_id, line_number, count(*) AS n, count(word_id) AS k FROM v_word WHERE (page_id * 3 + line_number) % 11 <> 4 GROUP BY ALL),
+c AS (SELECT page_id, count(*) AS n_lines, count(n) AS n_worded, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_labelled, count(*) FILTER (status IN ('scored', 'partial', 'unresolved')) AS needs_review FROM l LEFT JOIN n USING (page_id, line_number) LEFT JOIN v_status USING (page_id, line_number) GROUP BY page_id)
+SELECT *, needs_review = 0 AND n_worded = n_lines AS complete FROM c""")
 def d03_word_coverage(spark, sf_dir):
-    return M.word_coverage(*_views(spark, sf_dir, "word", "status"))
+    """Some text lines have no words, and headers aren't counted."""
+    words, status = _views(spark, sf_dir, "word", "status")
+    kind = F.when((F.col("page_id") + F.col("line_number")) % 13 > 1, "text").otherwise("header")
+    lines = status.select("page_id", "line_number", kind.alias("type")).unionAll(status.filter("page_id % 7 = 0").select("page_id", F.lit(99), F.lit("text")).distinct())
+    return M.word_coverage(lines, words.filter("(page_id * 3 + line_number) % 11 <> 4"), status)
+
+
+@query("""WITH r AS (SELECT line AS grp, w, unnest(range(y, y + h)) AS position FROM v_component), s AS (SELECT grp, position, sum(w) AS value FROM r GROUP BY ALL), e AS (SELECT grp, unnest(range(min(position), max(position) + 1)) AS position FROM s GROUP BY grp)
+SELECT grp, position, CAST(coalesce(value, 0) AS DOUBLE) AS value FROM e LEFT JOIN s USING (grp, position)""")
+def f01_profiles(spark, sf_dir):
+    return S.profile(view(spark, sf_dir, "v_component"), "line")
 
 
 @query("""WITH c AS (SELECT DISTINCT CAST(floor(o_orderkey / 100) AS BIGINT) AS collection_id FROM orders), p AS (SELECT * FROM v_page WHERE collection_id % 7 <> 3), s AS (SELECT collection_id, count(*) AS n, count(*) FILTER (reviewed) AS r FROM p GROUP BY ALL)
@@ -284,4 +294,4 @@ def k07_throughput(spark, sf_dir):
     return J.throughput(_table(spark, sf_dir, "events"))
 
 
-from leafmark.plans import labels, layout, numbering, planning, review, schemes, trees  # noqa: E402, F401  (they add their queries)
+from leafmark.plans import feeds, labels, layout, numbering, planning, review, schemes, trees  # noqa: E402, F401  (they add their queries)
