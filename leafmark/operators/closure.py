@@ -8,23 +8,35 @@ from pyspark.sql import functions as F
 from leafmark.sources.shared import stored
 
 
-def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(id, root): the least id that links (a, b) reach from each id in one.
 
-    Labels fall to the least of their neighbours' labels and then to that label's own label, so rounds grow with the
-    logarithm of a group's width in all but adversarial orders; more than most_rounds is an error, never a wrong result."""
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"), "labels")
+    A round hooks each root to the least root beside it, shortens hooks by doubling until they end, and keeps only links between
+    different roots: half of the linked roots go at least, so rounds grow with the logarithm of the ids. More than most_rounds is
+    an error, never a wrong result."""
+    key = links.schema["a"].dataType
+    edges = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    found = None
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
-        lower = labels.join(near, "id").select("id", F.least("low", "root").alias("root"), F.col("root").alias("old"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
-        moved = Observation()
-        following = lower.join(jump, "root", "left").select("id", F.coalesce("beyond", "root").alias("root"), "old")
-        labels = stored(following.observe(moved, F.count_if(F.col("root") != F.col("old")).alias("n")), "labels").select("id", "root")
-        if not moved.get["n"]:
-            return labels
-    raise RuntimeError(f"connected: labels still moved after {most_rounds} rounds")
+        hooks = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"), "hooks")
+        for _ in range(most_rounds):
+            moved = Observation()
+            beyond = hooks.select(F.col("id").alias("root"), F.col("root").alias("far"))
+            shorter = hooks.join(beyond, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved"))
+            hooks = stored(shorter.observe(moved, F.count_if(F.col("moved")).alias("n")), "hooks").select("id", "root")
+            if not moved.get["n"]:
+                break
+        else:
+            raise RuntimeError(f"connected: hooks didn't end after {most_rounds} doublings")
+        lower = hooks.select(F.col("id").cast(key).alias("root"), F.col("root").alias("low"))
+        found = hooks if found is None else stored(found.join(lower, "root", "left").select("id", F.coalesce("low", "root").alias("root")), "roots")
+        left = Observation()
+        ends = [hooks.select(F.col("id").alias(c), F.col("root").alias(f"to_{c}")) for c in ("a", "b")]
+        across = edges.join(ends[0], "a").join(ends[1], "b").filter("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct()
+        edges = stored(across.observe(left, F.count(F.lit(1)).alias("n")), "edges")
+        if not left.get["n"]:
+            return found
+    raise RuntimeError(f"connected: links were left after {most_rounds} rounds")
 
 
 def fused_units(shared: DataFrame, words: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def gaps(islands: DataFrame, lines: DataFrame) -> DataFrame:
 def chunks(islands: DataFrame, last_verses: DataFrame, target: int = 60) -> DataFrame:
     """(collection_id, island, chunk, from_chapter, from_verse, to_chapter, to_verse): an island cut after `target` distinct lines, at ends
     of verses only. The verse on which the count is reached is the last of its chunk, though it may run on; the line of a cut counts for
-    both chunks; nothing is cut at or past the island's last verse.
+    both chunks; nothing is cut at or past the island's last verse. A verse that runs on over
+    `target` lines more is cut again, and the chunk between those cuts is empty: it ends before it begins.
 
     Where a cut falls depends on the cut before, so this is a fold over an island's entries, which a window has put in order."""
     v = lambda c, n: F.struct(c.alias("chapter"), n.alias("verse"))
@@ -71,7 +72,7 @@ def chunks(islands: DataFrame, last_verses: DataFrame, target: int = 60) -> Data
     ends = F.concat(F.transform("c", lambda x: x["at"]), F.array("end"))
     begins = F.concat(F.array("first"), F.transform("c", lambda x: x["f"]))
     made = cuts.select("collection_id", "island", F.posexplode(F.arrays_zip(begins.alias("a"), ends.alias("z"))).alias("chunk", "s"))
-    return made.select("collection_id", "island", F.col("chunk").cast("long").alias("chunk"), F.col("s.a.chapter").alias("from_chapter"), F.col("s.a.verse").alias("from_verse"), F.col("s.z.chapter").alias("to_chapter"), F.col("s.z.verse").alias("to_verse")).filter(F.struct("from_chapter", "from_verse") <= F.struct(F.col("to_chapter"), F.col("to_verse")))
+    return made.select("collection_id", "island", F.col("chunk").cast("long").alias("chunk"), F.col("s.a.chapter").alias("from_chapter"), F.col("s.a.verse").alias("from_verse"), F.col("s.z.chapter").alias("to_chapter"), F.col("s.z.verse").alias("to_verse"))
 
 
 def verse_places(numbered: DataFrame) -> DataFrame:
