@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -11,11 +13,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time; a longer document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -32,8 +34,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share; a temporary folder only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmark-")
+    """A new path in the folder that all executors share; a temporary folder only where none is set and all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="leafmark-")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +50,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with over one in HEAVY rows is brought to its rows by a broadcast, which so has HEAVY rows at most.
+HEAVY = 4096
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, n: str, values: list[str]) -> DataFrame:
+    """rows left-joined by key, a number, with the values of table, which has each key once and in n how many rows hold it.
+
+    Keys with over one in HEAVY of all rows are looked up in a broadcast of at most HEAVY rows, and these rows are then dealt at
+    random; so no key of the shuffled join has more than that share. Rows without a match have null values."""
+    whole = table.agg(F.sum(n).alias("n")).first()["n"] or 0
+    found = F.struct(*values)
+    heavy = table.filter(F.col(n) * HEAVY > whole).select(F.col(key).alias("_heavy"), found.alias("_at_once"))
+    light = table.filter(F.col(n) * HEAVY <= whole).select(F.col(key).alias("_light"), found.alias("_shuffled"))
+    first = rows.join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    dealt = F.when(F.col("_heavy").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    both = first.withColumn("_dealt", dealt).join(light, F.col("_dealt") == F.col("_light"), "left")
+    held = F.when(F.col("_heavy").isNull(), F.col("_shuffled")).otherwise(F.col("_at_once"))
+    return both.withColumn("_held", held).select(*rows.columns, *(F.col("_held")[v].alias(v) for v in values))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application."""
     context = spark.sparkContext
@@ -58,10 +84,30 @@ def ship(spark: SparkSession) -> None:
     context._leafmark_sent = True
 
 
+def written_n(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """written(df), and how many rows it has, counted by the same job."""
+    seen = Observation()
+    return written(df.observe(seen, F.count(F.lit(1)).alias("n")), tag), seen.get["n"]
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system; Spark keeps a worker that has ended its task beside the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand in the workers."""
+    """df.mapInArrow with this package at hand in the workers, which give memory back after each batch."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(iter([batch]))
+            del batch
+            give_back()
+
+    return df.mapInArrow(one_by_one, schema)
 
 
 def in_fold(doc_id: str | Column, folds: int, fold: int) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import Slice, documents, in_fold, labels, mapped, slices, word_bounds
+from leafmark.llm.common import Slice, documents, give_back, in_fold, labels, mapped, slices, word_bounds
 from leafmark.llm.compression import labelled_sample
 
 #: Most rows of each class and most terms that the lexicon is made from; least texts (as a number and as a share of the
@@ -282,22 +282,24 @@ class ToxicityModel:
         total = seen.sum(axis=2)
         model.weight = np.clip((seen[:, :, 1] + 2 * prior) / (total + 2), 0, 0.995)
         model.none = silent[1] / sum(silent) if sum(silent) else base
+        give_back()
         return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row as a struct `row` with score, hits and fuzzy (hits with an edit)."""
+    """Every row as a struct `row` (or its id alone) with score, hits and fuzzy (hits with an edit)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    whole = id_col is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(0).field(text) if whole else batch.column(1)):
                 found, _ = model.hits(part)
                 columns = [pa.array([model.score(h) for h in found], pa.float64()), pa.array([len(h) for h in found], pa.int64()), pa.array([sum(e for _, e, _ in h) for h in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.at, part.n), *columns], names=["row", "score", "hits", "fuzzy"])
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text")) if id_col is None else docs.select(F.col(id_col).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")) if whole else docs.select(F.col(id_col).alias("row"), F.col(text).alias("text"))
     return mapped(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, score double, hits long, fuzzy long")
 
 
