@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import Slice, ship, slices
+from leafmark.llm.common import Slice, give_back, ship, slices
 
 BLOCK_BYTES = 4 << 20
 #: Text for each bucket: what it gathers must fit a task.
@@ -52,6 +52,7 @@ def counted_blocks(
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("block_key"), F.lit(blocks))).drop("block_key").repartition("block")
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()  # what the group before left
         table = prepare(table)
         families = [items] if pairs is None else [items, pairs]
         found = []
@@ -64,18 +65,18 @@ def counted_blocks(
                 weights.append(w)
             h, w = _summed(np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(weights or [np.zeros(0, np.int64)]))
             found.append((h, w.astype(np.int32), np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))))
-        h, w, cuts = found[0]
-        full = np.arange(buckets)
-        columns = {"bucket": pa.array(full, pa.int64()), "block": pa.array([key[0].as_py()] * buckets, pa.int64()), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "weights": pa.array([w[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
-        if pairs is not None:
-            h, w, cuts = found[1]
-            low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :width]
-            columns["pairs"] = pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            columns["pair_weights"] = pa.array([w[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-        some = sum(np.diff(cuts) for _, _, cuts in found) > 0
-        return pa.table(columns).filter(pa.array(some))
+        # only buckets that the block holds items of: never more rows than items, however many blocks and buckets there are
+        full = np.unique(np.concatenate([bucket_of(h, buckets) for h, _, _ in found]))
+        columns = {"bucket": pa.array(full, pa.int64()), "block": pa.array([key[0].as_py()] * len(full), pa.int64())}
+        for name, (h, w, cuts) in zip(("hash", "pair"), found):
+            low = h if name == "hash" else np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :width]
+            ends = list(zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True))
+            columns["hashes" if name == "hash" else "pairs"] = pa.array([low[a:b].tobytes() for a, b in ends], pa.binary())
+            columns["weights" if name == "hash" else "pair_weights"] = pa.array([w[a:b].tobytes() for a, b in ends], pa.binary())
+        return pa.table(columns)
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        give_back()
         hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
         mine, distinct = _totals(hashes, table.column("weights"))
         keep = [m >= least for m in mine]
@@ -91,6 +92,7 @@ def counted_blocks(
         return pa.table(columns)
 
     def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers.column("hashes")] or [np.zeros(0, np.uint64)])
         n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answers.column("counts")] or [np.zeros(0, np.int64)])
         if texts.num_rows:

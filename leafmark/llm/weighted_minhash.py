@@ -2,17 +2,21 @@
 
 1. Documents with the same words in the same order are one class from the start; the least id stands for it.
 2. A shingle is SHINGLE consecutive words (a shorter text is one shingle of all its words); its weight is its count in the text times
-   1 + ln((1 + texts) / (1 + texts with it)) / ln(1 + texts), between 1 and 2, so that a word changed in one copy of many
-   doesn't outweigh all that the copies share. Numbers of texts come to the texts through lookup.py, so no table of shingles is broadcast.
+   1 + RARE * ln((1 + texts) / (1 + texts with it)) / ln(1 + texts), between 1 and 1 + RARE, so that a word changed in one copy of
+   many doesn't outweigh all that the copies share. Numbers of texts come to the texts through lookup.py, so no table of shingles is broadcast.
 3. A text can be THRESHOLD similar to another only if shingles that others have too hold that share of its weight; other texts
    are alone, exactly. The rest get BANDS * ROWS consistent weighted samples, ROWS to a band.
-4. In each band bucket every text is compared with the bucket's least one (the leader) by weighted Jaccard similarity; links join
-   texts to components. Where a bucket still holds several components, its texts outside the largest one are compared with
-   ROUNDS more texts of it, and those that are then still outside with all texts of other components. So no pair that could join
-   two components is left out, but few of a large group's pairs are made.
-
-Cases: null and empty texts have no shingles and are one class; rows with equal ids are one node; equal texts are one class; a
-null id is kept with a null class; other columns are ignored; an empty table gives an empty result; ties go to the least id.
+4. Texts that share a band bucket are candidates, and their weighted Jaccard similarity is verified; links join texts to
+   components. Not all pairs are made: in each of ROUNDS rounds every text outside the largest component of a bucket is
+   compared with one text, the least (in an order that changes with the round) that its buckets offer from their largest
+   components. Where a bucket still holds several components after that, its texts outside the largest one are compared with
+   all of other components that share a rare shingle with them early enough: similar texts share one of the rarest shingles that
+   hold 1 - THRESHOLD of their weights (`prefix`), so no pair that could join two components is left out.
+
+Cases: null and empty texts have no shingles and are one class; a text under SHINGLE words is like others with the same words only;
+equal texts are one class; rows with one id and different texts are different nodes with that id; a null id is kept, with the
+class of its text, or a null class if no row of the class has an id; other columns are ignored or carried and may have any names;
+an empty table gives an empty result; ties go to the least id; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -22,17 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import Slice, documents, mapped, mix, range_hashes, slices, sums, word_bounds, written
+from leafmark.llm.common import Slice, documents, lookup_join, mapped, mix, range_hashes, slices, sums, word_bounds, written, written_n
 from leafmark.llm.lookup import bucket_number, bucket_of, counted_blocks, get, low_bits
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: What a shingle that no other text has weighs more than one that all have.
+RARE = 0.25
 #: A pair at the threshold shares no band with probability (1 - 0.8**3)**20 < 1e-6.
 BANDS, ROWS = 20, 3
-#: Further leaders that a bucket's texts outside its largest component are compared with before all that are left.
-ROUNDS = 4
+#: Rounds in which a text is compared with one other before all that are left.
+ROUNDS = 2
 
 
 def shingles(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -99,26 +105,40 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return float(low / whole) if whole else 0.0
 
 
+def prefix(hashes: np.ndarray, weights: np.ndarray, texts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shared ones among a text's rarest shingles that a text as similar as the threshold must share one of, and the weight of
+    the shingles before each.
+
+    What two such texts share weighs the threshold's part of either at least. So the first shingle that they share, in an order that
+    is the same for all texts, stands where less than that has been left out of both."""
+    by = np.lexsort((hashes, texts))
+    before = np.cumsum(weights[by]) - weights[by]
+    end = np.searchsorted(before, (1 - threshold) * weights.sum() * (1 + 1e-6), "right")
+    some = np.flatnonzero(texts[by[:end]] > 1)
+    return hashes[by[some]], before[some]
+
+
 def _wide_key(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Bucket and low bits of a hash in one number."""
     return (bucket.astype(np.uint64) << np.uint64(40)) | low
 
 
 def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFrame:
-    """(id, total, bands, hashes, weights) of the texts that can have a partner.
+    """(id, total, bands, rare, before, hashes, weights) of the texts that can have a partner; id is the md5 of a text's words.
 
-    docs: (id, text, chosen) with a row of chosen = true without text for each id whose text counts, besides the texts."""
+    docs: (doc_id, id, text, chosen) with a row of chosen = true without text for each (doc_id, id) whose text counts, besides the texts."""
     buckets = bucket_number(size)
 
     def prepare(table: pa.Table) -> pa.Table:
         marks = table.column("chosen")
-        chosen = set(table.filter(marks).column("id").to_pylist())
-        rows = table.filter(pc.invert(marks))
+        keys = list(zip(table.column("doc_id").to_pylist(), table.column("id").to_pylist(), strict=True))
+        chosen = {k for k, mark in zip(keys, marks.to_pylist(), strict=True) if mark}
         keep = []
-        for i in rows.column("id").to_pylist():
-            keep.append(i in chosen)
-            chosen.discard(i)
-        return rows.filter(pa.array(keep, pa.bool_()))
+        for k, mark in zip(keys, marks.to_pylist(), strict=True):
+            keep.append(not mark and k in chosen)
+            if keep[-1]:
+                chosen.discard(k)
+        return table.filter(pa.array(keep, pa.bool_()))
 
     def none(part: Slice, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -133,7 +153,7 @@ def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFra
         return hashes[some].tobytes() + counts[some].tobytes()
 
     def finish(rows: pa.Table, _hashes: np.ndarray, _counts: np.ndarray, packed: list) -> pa.Table:
-        out = {k: [] for k in ("id", "total", "bands", "hashes", "weights")}
+        out = {k: [] for k in ("id", "total", "bands", "rare", "before", "hashes", "weights")}
         keys, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for bucket, raw in packed:
             n = len(raw) // 16
@@ -145,7 +165,7 @@ def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFra
         for part in slices(rows.column("text")) if rows.num_rows else ():
             h, tf, at = distinct(*shingles(part))
             df = np.maximum(get(keys, numbers, _wide_key(bucket_of(h, buckets), low_bits(h))), 1)
-            w = tf * (1 + np.log((1 + texts) / (1 + df)) / np.log(1 + max(texts, 1)))
+            w = tf * (1 + RARE * np.log((1 + texts) / (1 + df)) / np.log(1 + max(texts, 1)))
             shared = sums(np.where(df > 1, w, 0.0), at)
             total = sums(w, at)
             for k in np.flatnonzero((shared >= threshold * total * (1 - 1e-9)) & (total > 0)):
@@ -153,13 +173,16 @@ def _signed(docs: DataFrame, texts: int, size: int, threshold: float) -> DataFra
                 out["id"].append(rows.column("id")[part.at + int(k)].as_py())
                 out["total"].append(float(total[k]))
                 out["bands"].append(bands_of(samples(h[some], w[some])).tolist())
+                rare, before = prefix(h[some], w[some], df[some], threshold)
+                out["rare"].append(rare.view(np.int64).tolist())
+                out["before"].append(before.tolist())
                 out["hashes"].append(h[some].tobytes())
                 out["weights"].append(w[some].astype(np.float32).tobytes())
-        types = [rows.schema.field("id").type, pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        types = [pa.string(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary()]
         return pa.table([pa.array(out[k], t) for k, t in zip(out, types, strict=True)], names=list(out))
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, total double, bands array<long>, hashes binary, weights binary"
-    return counted_blocks(docs.withColumn("block_key", F.struct("id")), none, finish, schema, size, pairs=items, pack=pack, prepare=prepare)
+    schema = "id string, total double, bands array<long>, rare array<long>, before array<double>, hashes binary, weights binary"
+    return counted_blocks(docs.withColumn("block_key", F.struct("doc_id", "id")), none, finish, schema, size, pairs=items, pack=pack, prepare=prepare)
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -189,9 +212,10 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         roots = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
         for _ in range(most_rounds):
             jump = roots.select(F.col("id").alias("label"), F.col("label").alias("lower"))
-            following = written(roots.join(jump, "label").select("id", F.col("lower").alias("label"), F.col("label").alias("old")), "labels")
-            roots = following.select("id", "label")
-            if not following.filter("label <> old").limit(1).count():
+            moved = Observation()
+            following = roots.join(jump, "label").select("id", F.col("lower").alias("label"), F.col("label").alias("old"))
+            roots = written(following.observe(moved, F.count_if(F.col("label") != F.col("old")).alias("n")), "labels").select("id", "label")
+            if not moved.get["n"]:
                 break
         else:
             raise RuntimeError(f"components: hooks didn't end after {most_rounds} doublings")
@@ -201,60 +225,109 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
             higher = roots.select(F.col("id").alias("label"), F.col("label").alias("lower"))
             labels = written(labels.join(higher, "label", "left").select("id", F.coalesce("lower", "label").alias("label")), "labels")
         ends = roots.select(F.col("id").alias("a"), F.col("label").alias("la")), roots.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        edges = written(edges.join(ends[0], "a").join(ends[1], "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
-        if not edges.limit(1).count():
+        edges, left = written_n(edges.join(ends[0], "a").join(ends[1], "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        if not left:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components: links were left after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id (the least id of its class) of every row."""
-    space = r"[\x20\x09-\x0D]+"
-    words = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), space, " "))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.md5(words).alias("copy"))
-    keys = written(rows.select("id", "copy", F.octet_length("text").alias("size")), "copies")
-    first = written(keys.groupBy("copy").agg(F.min("id").alias("least"), F.max("size").alias("size")), "first-copies")
-    r = first.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    marked = rows.select("id", "text", F.lit(False).alias("chosen")).unionAll(first.select(F.col("least").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("chosen")))
-    vectors = written(_signed(marked, r["n"] or 0, r["size"] or 0, threshold), "vectors")
+def extended(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """found, components as of `components`, with more links (a, b): only these and the components that they join are gone through again."""
+    if found is None:
+        return components(links)
+    ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+    low, high = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
+    joined = components(links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(low.alias("a"), high.alias("b")).filter("a <> b").distinct())
+    new = joined.join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+    lower = joined.select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    return written(found.unionByName(new).join(lower, "component", "left").select("id", F.coalesce("lower", "component").alias("component")), "components")
+
+
+def _held(banded: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Texts by bucket with their components; a text without links is one."""
+    if found is None:
+        return banded.withColumn("component", F.col("id"))
+    return banded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def similar(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame | None:
+    """(id, component) of texts with links among those that share a bucket; None if there are no links. vectors: see _signed."""
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= threshold * F.greatest(a, b) * (1 - 1e-6)
+
     banded = written(vectors.select("id", "total", F.explode("bands").alias("key")), "bands")
-    leaders = banded.groupBy("key").agg(F.min(F.struct("id", "total")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    near_size = F.least(F.col("total"), F.col("leader.total")) >= threshold * F.greatest(F.col("total"), F.col("leader.total")) * (1 - 1e-6)
-    tried = written(banded.join(leaders, "key").filter((F.col("id") != F.col("leader.id")) & near_size).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).distinct(), "pairs")
-    links = written(_verified(tried, vectors, threshold), "links")
-    found = components(links)
-    # buckets that still hold several components: other leaders from the largest one, then what is left in full
-    for k in range(ROUNDS + 1):
-        held = banded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = None
+    for k in range(rounds):
+        held = _held(banded, found)
         groups = held.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "total")).alias("next"))
-        mixed = groups.groupBy("key").agg(F.max(F.struct("n", "component", "next")).alias("largest"), F.count("*").alias("kinds")).filter("kinds > 1")
-        open_ = written(held.join(mixed.select("key", F.col("largest.component").alias("largest"), F.col("largest.next.id").alias("next"), F.col("largest.next.total").alias("next_total")), "key"), "open-buckets")
-        outside = open_.filter("component <> largest")
-        if k < ROUNDS:
-            fits = F.least("total", "next_total") >= threshold * F.greatest("total", "next_total") * (1 - 1e-6)
-            pairs = outside.filter(fits).select(F.greatest("id", "next").alias("a"), F.least("id", "next").alias("b"))
-        else:
-            outside = outside.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("total").alias("ta"))
-            others = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("total").alias("tb"))
-            fits = (F.col("ca") != F.col("cb")) & (F.least("ta", "tb") >= threshold * F.greatest("ta", "tb") * (1 - 1e-6))
-            pairs = outside.join(others, (outside["key"] == others["key"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        more = written(_verified(pairs, vectors, threshold), "links")
-        tried = tried.unionAll(pairs)
-        if more.limit(1).count():
-            links = links.unionAll(more)
-            found = components(links)
-    final = first.join(found.withColumnRenamed("id", "least"), "least", "left").select("copy", F.coalesce("component", "least").alias("class_id"))
-    return keys.join(final, "copy").select(F.col("id").alias("doc_id"), "class_id")
+        mixed = groups.groupBy("key").agg(F.max(F.struct("n", "component", "next")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+        offers = mixed.select("key", F.col("most.component").alias("largest"), F.col("most.next").alias("next"))
+        met = held.join(offers, "key").filter((F.col("component") != F.col("largest")) & fits("total", "next.total"))
+        pairs, n = written_n(met.groupBy("id").agg(F.min("next").alias("next")).select(F.col("id").alias("a"), F.col("next.id").alias("b")), "pairs")
+        if not n:
+            break
+        more, n = written_n(_verified(pairs, vectors, threshold), "links")
+        if n:
+            found = extended(found, more)
+    # what is left, exactly
+    held = _held(banded, found)
+    sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+    open_ = held.join(mixed.select("key", F.col("most.component").alias("largest")), "key")
+    open_ = open_.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("largest")).alias("outside"))
+    some = open_.join(vectors.select("id", "total", F.explode(F.arrays_zip("rare", "before")).alias("s")), "id")
+    some = written(some.select("id", "component", "total", "outside", F.col("s.rare").alias("shingle"), (F.col("total") - F.col("s.before")).alias("left")), "rare-shingles")
+    shared = some.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("last"), F.bool_or("outside").alias("any")).filter("least <> last and any")
+    some = some.join(shared.select("shingle"), "shingle", "left_semi")
+    columns = ["id", "component", "total", "outside", "left"]
+    a = some.filter("outside").select("shingle", *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = some.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns))
+    # all that two texts share from their first common shingle on weighs what is left of either from there at most
+    whole = F.col("total_a") + F.col("total_b")
+    enough = F.least("left_a", "left_b") >= whole * (threshold / (1 + threshold) * (1 - 1e-6))
+    rest = (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") > F.col("id_b"))) & enough
+    pairs, n = written_n(a.join(b, rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
+    if n:
+        more, n = written_n(_verified(pairs, vectors, threshold), "links")
+        if n:
+            found = extended(found, more)
+    return found
+
+
+def _copy(text: str):
+    """Hash of a text's words; a null text is an empty one."""
+    return F.md5(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """(doc_id, copy, class_id, class_copy) of every row; class_copy is the copy whose text stands for the class."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), _copy(text).alias("copy"))
+    keys = written(rows.select("doc_id", "copy", F.octet_length("text").alias("size")), "copies")
+    first = written(keys.groupBy("copy").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"), F.count("*").alias("n")), "first-copies")
+    r = first.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    marks = first.select(F.col("least").alias("doc_id"), F.col("copy").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("chosen"))
+    marked = rows.select("doc_id", F.col("copy").alias("id"), "text", F.lit(False).alias("chosen")).unionAll(marks)
+    found = similar(written(_signed(marked, r["n"] or 0, r["size"] or 0, threshold), "vectors"), threshold)
+    nodes = _held(first.withColumnRenamed("copy", "id"), found)
+    # the least id of a class; a null one only if there is no other
+    heads = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("head"), F.count("*").alias("rows"))
+    named = lookup_join(nodes.select("id", "n", F.xxhash64("component").alias("of")), heads.select(F.xxhash64("component").alias("of"), "head", "rows"), "of", "rows", ["head"])
+    table = written(named.select(F.xxhash64("id").alias("of"), F.col("n").alias("rows"), F.col("head.least").alias("class_id"), F.col("head.id").alias("class_copy")), "classes")
+    return lookup_join(keys.select("doc_id", "copy", F.xxhash64("copy").alias("of")), table, "of", "rows", ["class_id", "class_copy"]).drop("of")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id (the least id of its class) of every row."""
+    return _classes(docs, id_col, text, threshold).select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but the least id of each class; rows without an id are kept."""
-    classes = near_duplicates(docs, id_col, text, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    none = classes.sparkSession.range(1).select(F.lit(None).cast(classes.schema["_kept_id"].dataType).alias("_kept_id"))
-    return docs.join(classes.unionAll(none), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """docs without all rows but those with the least id and the text that stand for a class; rows without an id are kept."""
+    kept = _classes(docs, id_col, text, threshold).filter("doc_id = class_id and copy = class_copy").select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), _copy(text).alias("copy"))
+    named = rows.filter("doc_id is not null").join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("copy") == F.col("kept_copy")), "left_semi")
+    return named.select("row.*").unionAll(rows.filter("doc_id is null").select("row.*"))
 
 
 def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
