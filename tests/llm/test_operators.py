@@ -140,11 +140,20 @@ def test_within_equals_levenshtein(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(5)
-    rows = [("".join(rng.choices("abé", k=rng.randint(1, 9))), "".join(rng.choices("abé", k=rng.randint(1, 9)))) for _ in range(300)]
+    rows = [("".join(rng.choices("abé", k=rng.randint(0, 9))), "".join(rng.choices("abé", k=rng.randint(0, 9)))) for _ in range(300)]
+    for _ in range(300):
+        a = rng.choices("abcdé ", k=rng.randint(30, 60))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 1)] = rng.choices("abcdé", k=rng.randint(0, 1))
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
     for k in (1, 2, 3):
-        pad = F.array_repeat(F.lit(""), k)
-        df = spark.createDataFrame(rows, "a string, b string").select("a", "b", F.split("a", "").alias("ca"), F.concat(pad, F.split("b", ""), pad).alias("cb"))
-        assert df.filter(lines.within(k) != (F.levenshtein("a", "b") <= k)).count() == 0
+        near = F.levenshtein("a", "b") <= k
+        assert df.filter(lines.within("a", "b", k) != near).count() == 0
+        assert df.filter(near & ~lines.ends_allow("a", "b", k)).count() == 0
+    assert df.filter((F.char_length("a") >= 40) & ~lines.ends_allow("a", "b", 2)).count() > 0
 
 
 def test_ring(docs, none):
