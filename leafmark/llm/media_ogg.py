@@ -5,7 +5,9 @@ packet; a second stream holds the unpadded length. Reading verifies every page's
 number, reassembles packets from lacing values (over page ends too) and takes times from granule positions.
 
 Cases: a null or empty text is one packet of padding; equal texts give equal media, since serial numbers come from
-the payload; damaged media raise OggError naming the page; ids are passed through with any nulls or repeats.
+the payload; in a table, null media have null features, and damaged media null features and an error that names the page (`read`
+itself raises OggError); ids are passed through with any nulls or repeats; texts may be of any length; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,6 +150,8 @@ def encode(text: str | None) -> bytes:
 def describe(media: bytes) -> dict:
     """What the media hold, from the stored bytes alone."""
     streams = read(media)
+    if len(streams) != 2 or not all(s.packets for s in streams.values()):
+        raise OggError("two logical streams are expected")
     samples, extra = (streams[s] for s in sorted(streams))
     payload = b"".join(samples.packets)
     n = int.from_bytes(extra.packets[0], "little")
@@ -157,7 +161,18 @@ def describe(media: bytes) -> dict:
     return {"n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
 
 
-_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_FIELDS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
+_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+
+
+def _described(media: bytes | None) -> dict:
+    """describe(), or what is wrong with the media."""
+    if media is None:
+        return {}
+    try:
+        return describe(media)
+    except OggError as e:
+        return {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "error": str(e)}
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,17 +188,17 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """doc_id and describe() of stored media."""
+    """doc_id, describe() of stored media and error. media: (doc_id, media)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                found = [describe(m.as_py()) for m in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([f[k] for f in found]) for k in found[0])], names=["doc_id", *found[0]])
+                found = [_described(m.as_py()) for m in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([f.get(k) for f in found], t) for k, t in _FIELDS.items())], names=["doc_id", *_FIELDS])
 
-    return mapped(media.select("doc_id", "media"), run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {_FIELDS}")
+    return mapped(media.select("doc_id", "media"), run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
 
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(to_media(documents(spark, sf_dir)))
+    return media_features(to_media(documents(spark, sf_dir))).drop("error")

@@ -9,7 +9,7 @@ from the front whose running tokens fit into the rest. No window holds more than
 
 Cases: null sources are one source (""); null and empty texts have 0 tokens and come with each pass and the rest's
 front; a source without tokens has weight 0 and one copy of each document; rows with equal ids are ordered by tokens;
-an empty table gives an empty result; columns besides those named are carried or ignored and may have any names.
+an empty table gives an empty result; very long texts are one document; columns besides those named are carried or ignored and may have any names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from leafmark.llm.common import documents, written
 #: Share of the way from the sources' own entropy to the largest possible one; most passes over a source.
 GAIN, REPEATS = 0.5, 4.0
 #: Hex digits of a document's hash that name its block, parts that one division makes, and divisions: 2**-30.
-BLOCK_DIGITS, PARTS, ROUNDS = 3, 32, 6
+BLOCK_DIGITS, PARTS, ROUNDS = 4, 32, 6
 SEED = "mix-1"
 
 
@@ -93,7 +93,8 @@ def _narrow_up(totals: DataFrame, tokens: float, repeats: float) -> float:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", gain: float = GAIN, repeats: float = REPEATS, budget: float | str = "tokens", seed: str = SEED) -> tuple[DataFrame, float]:
-    """Every row as a struct `row` with source, n_tokens, weight and copies; and the exponent.
+    """Every row as a struct `row` with source, n_tokens, weight, copies and reached (its source's tokens up to it in the permuted
+    order of blocks, which decides who gets one copy more); and the exponent.
 
     budget: "tokens" for as many tokens as there are, "cover" for as many as give each source a whole pass, or a number."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -118,8 +119,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     offsets = blocks.select("source", "block", F.coalesce(before, F.lit(0)).alias("offset")).join(plan, F.col("source") == F.col("of")).drop("of")
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key", F.col(f"row.{id_col}"), "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("inside", inside).join(offsets, ["source", "block"])
-    copies = F.col("passes") + F.when(F.col("offset") + F.col("inside") <= F.col("rest"), 1).otherwise(0)
-    return placed.select("row", "source", "n_tokens", "weight", copies.cast("int").alias("copies")), alpha
+    reached = F.col("offset") + F.col("inside")
+    copies = F.col("passes") + F.when(reached <= F.col("rest"), 1).otherwise(0)
+    return placed.select("row", "source", "n_tokens", "weight", copies.cast("int").alias("copies"), reached.alias("reached")), alpha
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -132,7 +134,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     narrow = docs.select("doc_id", "source", "text")
     placed, alpha = mixed(narrow)
-    return placed.select(F.col("row.doc_id").alias("doc_id"), "source", "n_tokens", F.round("weight", 9).alias("weight"), F.round(F.lit(alpha), 6).alias("exponent"), "copies")
+    return placed.select(F.col("row.doc_id").alias("doc_id"), "source", "n_tokens", F.round("weight", 9).alias("weight"), F.round(F.lit(alpha), 6).alias("exponent"), "copies", "reached")
 
 
 OP6_SQL = r"""
@@ -171,6 +173,6 @@ plan AS (
 run AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM rows)
 SELECT doc_id, run.source, n_tokens, round(weight, 9) AS weight, round((SELECT a FROM alpha), 6) AS exponent,
-       (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
+       (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies, upto::BIGINT AS reached
 FROM run JOIN plan USING (source)
 """

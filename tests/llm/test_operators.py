@@ -1,5 +1,6 @@
 """The operators against brute force on small tables with nulls, empty and repeated rows."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -83,6 +84,7 @@ def test_ogg_round_trip(docs, none):
     for i, t in enumerate(TEXTS):
         payload, n = media_ogg.payload_of(t)
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].tail_crc32) == (n, len(payload), zlib.crc32(payload[-32:]))
+        assert got[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[i].media_bytes == len(media_ogg.encode(t)) and got[i].error is None
     long = media_ogg.encode("é" * 60_000)
     assert media_ogg.describe(long)["n_bytes"] == 120_000
     with pytest.raises(media_ogg.OggError):
@@ -92,6 +94,15 @@ def test_ogg_round_trip(docs, none):
     assert media_ogg.media_features(media_ogg.to_media(none)).count() == 0
 
 
+def test_null_and_damaged_media(spark):
+    good = media_ogg.encode("some text")
+    rows = [(1, bytearray(good)), (2, None), (3, bytearray(good[:-1])), (4, bytearray(b"")), (None, bytearray(good[:40] + b"?" + good[41:]))]
+    got = {r.doc_id: r for r in media_ogg.media_features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].error is None and got[1].n_bytes == 9
+    assert got[2].error is None and got[2].n_bytes is None and got[2].feature is None
+    assert all(got[k].error and got[k].n_bytes is None for k in (3, None)) and len(got) == 5
+
+
 def test_ogg_checksum_bit_by_bit():
     def slow(raw):
         c = 0
@@ -123,10 +134,21 @@ def test_base_score(docs, none):
     for i, x in tokens.items():
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(x), sum(c[w] > 0 for w in x), n, out[i])
         assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), rel_tol=1e-9)
-    assert got[3].score == got[4].score
+    assert got[3].base_score == got[4].base_score and abs(got[3].score - got[4].score) < 1
     assert bloom_lm.score(none).count() == 0
 
 
+def test_log_bloom_errs_upwards_and_rarely():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    entry, count = np.unique(rng.integers(0, 1 << 40, 20_000).astype(np.uint64)), None
+    count = rng.integers(0, 9, len(entry))
+    f = bloom_lm.LogBloom.of(entry[count > 0], count[count > 0])
+    true, read = np.where(count > 0, bloom_lm.LogBloom.level(count), 0), f.levels(entry)
+    assert (read >= true).all() and (read > true).mean() < 0.04
+
+
 def test_line_dedup(docs, none):
     got = {(r.doc_id, r.line_no): (r.first_doc, r.first_line, r.near) for r in lines.removals(docs).collect()}
     assert got[4, 0] == (3, 0, False) and got[6, 1] == (3, 0, False) and got[12, 1] == (11, 1, True)
@@ -216,7 +238,9 @@ def test_pair_model_sums_to_one_at_most(spark):
     rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
     for r in bloom_lm.score(rows, folds=1, fold=1).collect():
         x = texts[r.doc_id]
-        assert not r.held_out and math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([None, *x], [*x, None])), rel_tol=1e-9)
+        exact = sum(math.log10(p(a, b)) for a, b in zip([None, *x], [*x, None]))
+        # a filter errs upwards only
+        assert not r.held_out and exact - 1e-9 <= r.score <= exact + 0.1 * len(x) + 1e-9
 
 
 def test_components_of_long_paths(spark):
