@@ -178,7 +178,6 @@ e AS (SELECT line, s, rest, CASE WHEN len(s) < 3 THEN 'missing_part' WHEN NOT re
 SELECT md5(line) AS line, CASE WHEN error IS NULL THEN s[1]::BIGINT END AS chapter, CASE WHEN error IS NULL THEN s[2]::BIGINT END AS verse, CASE WHEN error IS NULL THEN array_to_string(regexp_extract_all(rest, '[^ \t\n\r]+'), ' ') END AS words, error FROM e""")
 def a01_numbered_text(spark, sf_dir):
     (docs,) = tables(spark, sf_dir, "documents")
-    docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "l"))
     lines = spark.sql("WITH " + _LINES.format("(SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, l) FROM {d}) e") + " SELECT value FROM ln", d=docs)
     found = S.numbered_text(lines)
     return found.select(F.md5("line").alias("line"), "chapter", "verse", F.array_join("words", " ").alias("words"), "error")
