@@ -38,7 +38,7 @@ RARE = 0.25
 #: A pair at the threshold shares no band with probability (1 - 0.8**3)**20 < 1e-6.
 BANDS, ROWS = 20, 3
 #: Rounds in which a text is compared with one other before all that are left.
-ROUNDS = 2
+ROUNDS = 4
 
 
 def shingles(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -276,17 +276,20 @@ def similar(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUN
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
     open_ = held.join(mixed.select("key", F.col("most.component").alias("largest")), "key")
     open_ = open_.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("largest")).alias("outside"))
-    some = open_.join(vectors.select("id", "total", F.explode(F.arrays_zip("rare", "before")).alias("s")), "id")
-    some = written(some.select("id", "component", "total", "outside", F.col("s.rare").alias("shingle"), (F.col("total") - F.col("s.before")).alias("left")), "rare-shingles")
+    one = F.transform("rare", lambda x, i: F.struct(x.alias("shingle"), F.get("rare", i - 1).alias("previous"), F.get("before", i).alias("before")))
+    some = open_.join(vectors.select("id", "total", F.explode(one).alias("s")), "id")
+    some = written(some.select("id", "component", "total", "outside", "s.shingle", "s.previous", (F.col("total") - F.col("s.before")).alias("left")), "rare-shingles")
     shared = some.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("last"), F.bool_or("outside").alias("any")).filter("least <> last and any")
     some = some.join(shared.select("shingle"), "shingle", "left_semi")
-    columns = ["id", "component", "total", "outside", "left"]
+    columns = ["id", "component", "total", "outside", "left", "previous"]
     a = some.filter("outside").select("shingle", *(F.col(c).alias(f"{c}_a") for c in columns))
     b = some.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns))
     # all that two texts share from their first common shingle on weighs what is left of either from there at most
     whole = F.col("total_a") + F.col("total_b")
     enough = F.least("left_a", "left_b") >= whole * (threshold / (1 + threshold) * (1 - 1e-6))
-    rest = (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") > F.col("id_b"))) & enough
+    # where the rare shingles before are one, an earlier shingle has made the pair
+    first = F.coalesce(F.col("previous_a") != F.col("previous_b"), F.lit(True))
+    rest = (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") > F.col("id_b"))) & enough & first
     pairs, n = written_n(a.join(b, rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
     if n:
         more, n = written_n(_verified(pairs, vectors, threshold), "links")
