@@ -29,7 +29,6 @@ def counted_blocks(
     finish: Callable[[pa.Table, np.ndarray, np.ndarray, list], pa.Table],
     schema: str,
     text_bytes: int,
-    least: int = 1,
     pairs: Callable[[Slice, pa.Table], tuple[np.ndarray, np.ndarray]] | None = None,
     pack: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
     prepare: Callable[[pa.Table], pa.Table] = lambda table: table,
@@ -39,9 +38,8 @@ def counted_blocks(
     """finish(texts of a block, item hashes, counts, packed) for each block, as rows of schema.
 
     docs has columns block_key (any hashable identity) and text besides those that items and finish read. items(slice,
-    rows of the slice) gives item hashes (repeats allowed) and how much each counts. Only counts of `least` or more
-    are answered. finish is also called once for each bucket with an empty table and one count: how many distinct
-    hashes with a positive count the bucket has.
+    rows of the slice) gives item hashes (repeats allowed) and how much each counts. A bucket answers with counts alone, in the order
+    of the hashes; the block finds these again from its texts.
 
     pairs gives a second, larger family of hashes in the same way. These travel with `width` bytes besides their bucket, and
     their answer is pack(hashes, counts) of a block's hashes in one bucket; finish gets them as a fourth argument, a list of
@@ -77,33 +75,26 @@ def counted_blocks(
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
         give_back()
-        hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-        mine, distinct = _totals(hashes, table.column("weights"))
-        keep = [m >= least for m in mine]
-        out_hash = [h[k].tobytes() for h, k in zip(hashes, keep, strict=True)]
-        out_count = [m[k].tobytes() for m, k in zip(mine, keep, strict=True)]
-        block = table.column("block").to_pylist()
-        columns = {"block": pa.array([*block, -1 - key[0].as_py()], pa.int64()), "bucket": pa.array([key[0].as_py()] * (len(block) + 1), pa.int64()), "hashes": pa.array([*out_hash, b""], pa.binary()), "counts": pa.array([*out_count, np.array([distinct], np.int64).tobytes()], pa.binary())}
-        packed = [b""] * len(block)
+        counts = _totals([np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")], table.column("weights"))
+        packed = [b""] * len(counts)
         if pairs is not None:
             asked_pairs = [_wide(x.as_py(), width) for x in table.column("pairs")]
-            packed = [pack(h, m) for h, m in zip(asked_pairs, _totals(asked_pairs, table.column("pair_weights"))[0], strict=True)]
-        columns["packed"] = pa.array([*packed, b""], pa.binary())
-        return pa.table(columns)
+            packed = [pack(h, m) for h, m in zip(asked_pairs, _totals(asked_pairs, table.column("pair_weights")), strict=True)]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array([_small(m) for m in counts], pa.binary()), "packed": pa.array(packed, pa.binary())})
 
     def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
         give_back()
-        h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers.column("hashes")] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answers.column("counts")] or [np.zeros(0, np.int64)])
-        if texts.num_rows:
-            by = np.argsort(h)
-            h, n = h[by], n[by]
+        rows = prepare(texts.drop_columns(["block"]))
+        mine = [np.unique(items(part, rows.slice(part.at, part.n))[0]) for part in slices(rows.column("text"))] if rows.num_rows else []
+        hashes = np.unique(np.concatenate(mine or [np.zeros(0, np.uint64)]))
+        answers = answers.sort_by("bucket")
+        counts = np.concatenate([_large(x.as_py()) for x in answers.column("counts")] or [np.zeros(0, np.int64)])
         packed = [] if pairs is None else [(b.as_py(), p.as_py()) for b, p in zip(answers.column("bucket"), answers.column("packed"), strict=True)]
-        return finish(prepare(texts.drop_columns(["block"])), h, n, packed)
+        return finish(rows, hashes, counts, packed)
 
     more = "" if pairs is None else ", pairs binary, pair_weights binary"
     asked = dealt.groupBy("block").applyInArrow(gather, f"bucket long, block long, hashes binary, weights binary{more}")
-    answers = asked.groupBy("bucket").applyInArrow(add_up, "block long, bucket long, hashes binary, counts binary, packed binary")
+    answers = asked.groupBy("bucket").applyInArrow(add_up, "block long, bucket long, counts binary, packed binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 
 
@@ -136,13 +127,23 @@ def _summed(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[first], np.add.reduceat(weights[by].astype(np.int64), first) if len(h) else np.zeros(0, np.int64)
 
 
-def _totals(asked: list[np.ndarray], weights: pa.ChunkedArray) -> tuple[list[np.ndarray], int]:
-    """For each block's hashes their sums over all blocks; and how many hashes have a positive sum."""
+def _totals(asked: list[np.ndarray], weights: pa.ChunkedArray) -> list[np.ndarray]:
+    """For each block's hashes their sums over all blocks."""
     w = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in weights] or [np.zeros(0, np.int32)])
     some, at = np.unique(np.concatenate(asked or [np.zeros(0, np.uint64)]), return_inverse=True)
     total = np.bincount(at, weights=w, minlength=len(some)).astype(np.int64)
     ends = np.cumsum([len(x) for x in asked])
-    return [total[at[end - len(of) : end]] for of, end in zip(asked, ends, strict=True)], int((total > 0).sum())
+    return [total[at[end - len(of) : end]] for of, end in zip(asked, ends, strict=True)]
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers where they fit, after a byte that says so."""
+    fits = int(counts.max(initial=0) < 1 << 32)
+    return bytes([fits]) + counts.astype(np.uint32 if fits else np.int64).tobytes()
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32 if raw[0] else np.int64, offset=1).astype(np.int64)
 
 
 def get(hashes: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
