@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmark.llm import bloom_lm, compression, hash_ring, lines, media_ogg, mixing, perplexity, pieces, toxicity, weighted_minhash
+from leafmark.llm import bloom_lm, compression, hash_ring, lines, media_ogg, mixing, perplexity, pieces, spelling, toxicity, weighted_minhash
 
 QUERIES = {
     "op1_perplexity": perplexity.op1_perplexity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_ring": hash_ring.op9_ring,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling": spelling.op11_spelling,
 }
 
-SQL = {"op6_mixing": mixing.OP6_SQL}
+SQL = {"op6_mixing": mixing.OP6_SQL, "op11_spelling": spelling.OP11_SQL}
