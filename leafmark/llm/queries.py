@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmark.llm import bloom_lm, compression, hash_ring, lines, media_ogg, merkle, mixing, perplexity, pieces, spelling, toxicity, weighted_minhash
+from leafmark.llm import bloom_lm, compression, fingerprints, hash_ring, lines, media_ogg, merkle, mixing, perplexity, pieces, spelling, toxicity, weighted_minhash
 
 QUERIES = {
     "op1_perplexity": perplexity.op1_perplexity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ring": hash_ring.op9_ring,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_spelling": spelling.op11_spelling,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_merkle": merkle.op13_merkle,
 }
 
