@@ -6,8 +6,9 @@
    places of the index, chosen by dynamic programming over the word's positions.
 3. One edit touches one of two disjoint bigrams at most. So of two near words, the one whose prefix ends earlier in the order has a
    pivot that stands in the other's prefix: at the same place if the words are equally long, there or one on if the other is one longer,
-   there or one before if it is one shorter. Bigram, length and place are keys of an equality join, and each pair that
-   meets is verified by edit distance before it becomes a row.
+   there or one before if it is one shorter. Bigram, length and place are keys of an equality join. Of the pairs that meet, those
+   whose letters' parities differ in more than two letters can't be near; the others are verified by edit distance, and no pair is a
+   row before that.
 4. A form has ten times its word's occurrences or more, so a chain of forms has no cycle and 18 steps at most: five doublings find each root.
 
 The number of bigrams is that of two letters of LETTERS, so their counts are a broadcast of at most 8,100 rows at any size. A word has
@@ -21,7 +22,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import documents, written, written_n
@@ -66,29 +67,33 @@ def _pivots(prefix: Column) -> Column:
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """(word, n, length, last, prefix, pivots): the last place of the prefix in the order of bigrams, and bigrams with their places."""
+    """(word, n, length, last, parity, prefix, pivots): the last rank of the prefix in the order of bigrams, the letters' parities, bigrams with their places."""
     cut = F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring("word", i, F.lit(GRAM)))
     cells = words.select("word", "n", F.posexplode(cut).alias("place", "gram"))
     counts = cells.groupBy("gram").agg(F.count("*").alias("cost"))
     # at most 90 * 90 bigrams, whatever the number of words
-    ordered = cells.join(F.broadcast(counts), "gram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("cost", "gram", "place"))).alias("all"))
-    last = F.element_at("all", GRAM * EDITS + 1)
-    ordered = ordered.withColumn("last", F.struct(last["cost"].alias("cost"), last["gram"].alias("gram")))
-    held = F.filter("all", lambda g: F.struct(g["cost"], g["gram"]) <= F.struct(F.col("last.cost"), F.col("last.gram")))
-    ordered = ordered.withColumn("prefix", F.array_sort(held, lambda a, b: a["place"] - b["place"]))
-    return ordered.select("word", "n", F.char_length("word").alias("length"), "last", "prefix", _pivots(F.col("prefix")).alias("pivots"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy("cost", "gram")))
+    ordered = cells.join(F.broadcast(ranked), "gram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("rank", "place", "gram", "cost"))).alias("all"))
+    ordered = ordered.withColumn("last", F.element_at("all", GRAM * EDITS + 1)["rank"])
+    held = F.filter("all", lambda g: g["rank"] <= F.col("last"))
+    prefix = F.array_sort(F.transform(held, lambda g: F.struct(g["cost"].alias("cost"), g["gram"].alias("gram"), g["place"].alias("place"))), lambda a, b: a["place"] - b["place"])
+    # a bit for each letter (some share one): whether the word has it an odd number of times; an edit changes two at most
+    parity = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    ordered = ordered.select("word", "n", "last", prefix.alias("prefix"), parity.alias("parity"))
+    return ordered.select("word", "n", F.char_length("word").alias("length"), "last", "parity", "prefix", _pivots(F.col("prefix")).alias("pivots"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n): all ordered pairs of words one edit apart. words: (word, n), each word once, of GRAM * EDITS + 2 code points or more."""
     signed = written(signatures(words), "spelling-signatures")
-    index = signed.select("length", "last", F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode("prefix").alias("g")).select(F.col("g.gram").alias("gram"), "length", F.col("g.place").alias("place"), "b", "n_b", F.col("last").alias("last_b"))
+    index = signed.select("length", F.col("parity").alias("parity_b"), "last", F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode("prefix").alias("g")).select(F.col("g.gram").alias("gram"), "length", F.col("g.place").alias("place"), "b", "n_b", "parity_b", F.col("last").alias("last_b"))
     aligned = F.array(*(F.struct(F.lit(longer).alias("longer"), F.lit(later).alias("later")) for longer, later in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))))
-    probes = signed.select("length", "last", F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode("pivots").alias("g"))
-    probes = probes.select("*", F.explode(aligned).alias("s")).select(F.col("g.gram").alias("gram"), (F.col("length") + F.col("s.longer")).alias("length"), (F.col("g.place") + F.col("s.later")).alias("place"), "a", "n_a", F.col("last").alias("last_a"))
+    probes = signed.select("length", F.col("parity").alias("parity_a"), "last", F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode("pivots").alias("g"))
+    probes = probes.select("*", F.explode(aligned).alias("s")).select(F.col("g.gram").alias("gram"), (F.col("length") + F.col("s.longer")).alias("length"), (F.col("g.place") + F.col("s.later")).alias("place"), "a", "n_a", "parity_a", F.col("last").alias("last_a"))
     p, i = probes.alias("p"), index.alias("i")
     meet = (F.col("p.gram") == F.col("i.gram")) & (F.col("p.length") == F.col("i.length")) & (F.col("p.place") == F.col("i.place"))
-    near = meet & (F.col("last_a") <= F.col("last_b")) & (F.levenshtein("a", "b", EDITS) == EDITS)
+    alike = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * EDITS
+    near = meet & (F.col("last_a") <= F.col("last_b")) & alike & (F.levenshtein("a", "b", EDITS) == EDITS)
     first = F.col("a") < F.col("b")
     pairs = p.join(i, near).select(F.least("a", "b").alias("a"), F.when(first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("near"), F.col("n_b").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("near"), F.col("n_a").alias("near_n"))))
