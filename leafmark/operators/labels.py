@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.operators.neighbours import nearest
+
 #: Neighbours, least groups and pages, greatest distance, least margin to the other role, greatest ratio to it; weights of the two
 #: blocks of features and where the second begins.
 NEIGHBOURS, SUPPORT, PAGES, FAR, MARGIN, RATIO = 5, 5, 2, 0.15, 0.10, 0.5
@@ -14,12 +16,13 @@ PER_TYPE, TYPE_FAR, SURE_RATIO, SURE_SUPPORT, EXACT = 3, 0.35, 0.85, 2, 1e-6
 
 
 def folded(examples: DataFrame, by: str) -> DataFrame:
-    """Examples with equal features and equal `by` as one group, with its first id and all references; groups of different `by` stay apart.
+    """A collection's examples with equal features and equal `by` as one group, with its first id and all references; groups of different
+    `by` stay apart.
 
-    examples: sample_id, by, features, snapshot_id, page_number. Adding 0.0 makes both zeros equal."""
+    examples: collection_id, sample_id, by, features, snapshot_id, page_number. Adding 0.0 makes both zeros equal."""
     rows = examples.withColumn("features", F.transform("features", lambda x: x + F.lit(0.0)))
     refs = F.sort_array(F.collect_list(F.struct("sample_id", "snapshot_id", "page_number")))
-    return rows.groupBy(by, "features").agg(F.min("sample_id").alias("group_id"), F.count("*").alias("copies"), refs.alias("refs"))
+    return rows.groupBy("collection_id", by, "features").agg(F.min("sample_id").alias("group_id"), F.count("*").alias("copies"), refs.alias("refs"))
 
 
 def conflicting(examples: DataFrame) -> DataFrame:
@@ -28,21 +31,12 @@ def conflicting(examples: DataFrame) -> DataFrame:
     return examples.groupBy("sample_id").agg(F.count_distinct(digest).alias("contents")).filter("contents > 1")
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Weighted Euclidean distance of two feature vectors, to nine places."""
-    square = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    total = lambda c, w: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) * w
-    return F.round(F.sqrt(total(F.slice(square, 1, SECOND), WEIGHTS[0]) + total(F.slice(square, SECOND + 1, 1 << 20), WEIGHTS[1])), 9)
-
-
-def _near(queries: DataFrame, groups: DataFrame, by: str) -> DataFrame:
-    """(query_id, group) with distances. Queries are one page's components, so they are broadcast against all groups in their partitions.
+def _near(queries: DataFrame, groups: DataFrame, by: str, k: int) -> DataFrame:
+    """(query_id, group) with distances: each query's k nearest groups of each `by` in its collection.
 
-    Groups whose every snapshot a query excludes (its own) don't count, nor do such references."""
-    q = F.broadcast(queries.select("query_id", F.col("features").alias("asked"), F.col("snapshot_id").alias("own")))
-    refs = F.filter("refs", lambda r: ~r["snapshot_id"].eqNullSafe(F.col("own")))
-    both = groups.crossJoin(q).withColumn("refs", refs).filter(F.size("refs") > 0)
-    return both.select("query_id", by, "group_id", "copies", "refs", distance(F.col("features"), F.col("asked")).alias("distance"))
+    Groups whose every snapshot a query excludes (its own) don't count, nor do such references, nor those from its page `before` on."""
+    asked = queries if "before" in queries.columns else queries.withColumn("before", F.lit(None).cast("long"))
+    return nearest(asked, groups, by, k, WEIGHTS, SECOND)
 
 
 def matched_pages(pages: Column, most: int = NEIGHBOURS) -> Column:
@@ -60,7 +54,8 @@ def role_proposals(queries: DataFrame, groups: DataFrame) -> DataFrame:
 
     The nearest must agree, be enough, stand on enough different pages and be near; the nearest group of the other role must be known and
     clearly farther. Confidence is the least of the gates' strengths."""
-    near = _near(queries, groups, "role")
+    # the nearest of each role hold the nearest of all
+    near = _near(queries, groups, "role", NEIGHBOURS)
     w = Window.partitionBy("query_id").orderBy("distance", "group_id")
     best = near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= NEIGHBOURS)
     pages = F.transform(F.sort_array(F.collect_list(F.struct("k", F.transform("refs", lambda r: r["page_number"]).alias("p")))), lambda x: F.array_distinct(x["p"]))
@@ -84,10 +79,8 @@ def role_proposals(queries: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.select("query_id", F.when(passed, F.col("candidate")).alias("role"), F.when(passed, F.round(strength, 6)).otherwise(0.0).alias("confidence"), F.col("support").cast("long").alias("support"), "pages", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _types(near: DataFrame) -> DataFrame:
+def _types(few: DataFrame) -> DataFrame:
     """(query_id, subtype) with the mean of the type's nearest groups, the nearest, and how many are close."""
-    w = Window.partitionBy("query_id", "subtype").orderBy("distance", "group_id")
-    few = near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PER_TYPE)
     return few.groupBy("query_id", "subtype").agg(F.round(F.avg("distance"), 9).alias("score"), F.min("distance").alias("nearest"), F.count_if(F.col("distance") < TYPE_FAR).alias("close"))
 
 
@@ -95,7 +88,7 @@ def type_guesses(queries: DataFrame, groups: DataFrame) -> DataFrame:
     """The likeliest type of each query: each type is judged by its own nearest groups, so a common one can't outvote a closer rare one.
 
     One type with an exact match wins; a guess is sure if it is that one, or clearly nearer than the next with enough close groups."""
-    ranked = _types(_near(queries, groups, "subtype"))
+    ranked = _types(_near(queries, groups, "subtype", PER_TYPE))
     order = F.struct("score", (-F.col("close")).alias("few"), "subtype", "nearest", "close")
     by = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("r"), F.min("nearest").alias("any"))
     near = F.filter("r", lambda x: x["close"] > 0)
@@ -114,23 +107,23 @@ def type_guesses(queries: DataFrame, groups: DataFrame) -> DataFrame:
 
 def type_evidence(queries: DataFrame, groups: DataFrame, types: int = 3) -> DataFrame:
     """The nearest examples of the nearest types of each query: types by rounded score and name, examples by distance and group."""
-    near = _near(queries, groups, "subtype")
     w = Window.partitionBy("query_id", "subtype").orderBy("distance", "group_id")
-    few = near.withColumn("example", F.row_number().over(w).cast("long")).filter(F.col("example") <= PER_TYPE)
+    few = _near(queries, groups, "subtype", PER_TYPE).withColumn("example", F.row_number().over(w).cast("long"))
     few = few.withColumn("score", F.round(F.round(F.avg("distance").over(Window.partitionBy("query_id", "subtype")), 9), 4))
     ranked = few.withColumn("place", F.dense_rank().over(Window.partitionBy("query_id").orderBy("score", "subtype")).cast("long")).filter(F.col("place") <= types)
     return ranked.select("query_id", "place", "subtype", "score", "example", F.col("refs")[0]["sample_id"].alias("sample_id"), F.round("distance", 4).alias("distance"), F.size("refs").cast("long").alias("copies"))
 
 
 def type_suggestions(queries: DataFrame, examples: DataFrame, page: int) -> DataFrame:
-    """Suggestions for untyped queries of a page, from all examples and those of the page; doubts of typed ones, from other pages only.
+    """Suggestions for untyped queries of one page of each collection, from all examples and those of the page; doubts of typed ones, from
+    other pages only.
 
     A typed one is doubted if another type is guessed for sure, and its own is known elsewhere."""
     others = examples.filter(F.col("page_number") != page)
     untyped = queries.filter("subtype = ''")
     suggested = type_guesses(untyped, folded(examples, "subtype")).filter("subtype <> ''").select("query_id", F.lit("suggestion").alias("kind"), "subtype", "sure")
     typed = queries.filter("subtype <> ''")
-    known = typed.select("query_id", F.col("subtype").alias("own_type")).join(F.broadcast(others.select(F.col("subtype").alias("own_type")).distinct()), "own_type", "left_semi")
+    known = typed.select("query_id", "collection_id", F.col("subtype").alias("own_type")).join(others.select("collection_id", F.col("subtype").alias("own_type")).distinct(), ["collection_id", "own_type"], "left_semi").drop("collection_id")
     doubted = type_guesses(typed, folded(others, "subtype")).join(known, "query_id").filter("sure and subtype <> own_type")
     return suggested.unionAll(doubted.select("query_id", F.lit("doubt").alias("kind"), "subtype", "sure"))
 
@@ -175,19 +168,20 @@ def proposal_quality(rows: DataFrame) -> DataFrame:
     return known.groupBy("predicted").agg(F.count("*").alias("made"), F.count_if(F.col("truth") != F.col("predicted")).alias("wrong"), F.count_if("exception").alias("released"))
 
 
-def prequential(rows: DataFrame) -> DataFrame:
-    """Each page's proposals judged by a rule learned from earlier pages only: the likelier role so far for each prediction; and the totals.
-
-    A page's proposal for a prediction is the role that most components with it had on pages before; equal counts and no earlier page
-    propose nothing. rows: collection_id, page_number, predicted, truth."""
-    known = rows.filter("truth is not null")
-    by = known.groupBy("collection_id", "page_number", "predicted").agg(F.count_if(F.col("truth") == "body").alias("bodies"), F.count_if(F.col("truth") == "mark").alias("marks"))
-    w = Window.partitionBy("collection_id", "predicted").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumns({"b": F.coalesce(F.sum("bodies").over(w), F.lit(0)), "m": F.coalesce(F.sum("marks").over(w), F.lit(0))})
-    made = F.when(F.col("b") != F.col("m"), F.col("bodies") + F.col("marks")).otherwise(0)
-    wrong = F.when(F.col("b") > F.col("m"), F.col("marks")).when(F.col("m") > F.col("b"), F.col("bodies")).otherwise(0)
-    each = by.withColumns({"made": made, "wrong": wrong})
-    return each.rollup("page_number").agg(F.grouping("page_number").alias("g"), F.sum(F.col("bodies") + F.col("marks")).alias("components"), F.sum("made").alias("made"), F.sum("wrong").alias("wrong")).select("page_number", (F.col("g") == 1).alias("whole"), "components", "made", "wrong")
+def prequential(examples: DataFrame) -> DataFrame:
+    """Every page's roles proposed from the pages before it in its collection, and judged by what was confirmed: for each page, each
+    collection and all, components, and proposals made and wrong for each role.
+
+    A page sees groups by their references on earlier pages only, so no page helps to judge itself or those before it.
+    examples: collection_id, sample_id, role, features, snapshot_id, page_number; sample ids are distinct."""
+    queries = examples.select(F.col("sample_id").alias("query_id"), "collection_id", "features", "snapshot_id", F.col("page_number").alias("before"))
+    found = role_proposals(queries, folded(examples, "role")).select(F.col("query_id").alias("sample_id"), F.col("role").alias("proposed"))
+    rows = examples.select("sample_id", "collection_id", "page_number", "role").join(found, "sample_id", "left")
+    made = lambda r: F.count_if(F.col("proposed") == r)
+    wrong = lambda r: F.count_if((F.col("proposed") == r) & (F.col("role") != r))
+    by = rows.rollup("collection_id", "page_number").agg(F.grouping_id().alias("level"), F.count("*").alias("components"), made("body").alias("bodies"), wrong("body").alias("wrong_bodies"), made("mark").alias("marks"), wrong("mark").alias("wrong_marks"))
+    scope = F.element_at(F.create_map(F.lit(0), F.lit("page"), F.lit(1), F.lit("collection"), F.lit(3), F.lit("all")), F.col("level").cast("int"))
+    return by.select("collection_id", "page_number", scope.alias("scope"), "components", "bodies", "wrong_bodies", "marks", "wrong_marks")
 
 
 def side_by_side(readings: DataFrame, names: list[str]) -> DataFrame:

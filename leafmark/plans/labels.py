@@ -8,29 +8,32 @@ from leafmark.operators import labels as H
 from leafmark.plans.base import domain, query, tables
 
 # examples: two roles and types by label, moved so that distances tell them apart, and copies of some under other ids
-_EX = """e0 AS (SELECT vec_id AS sample_id, CASE WHEN (label % 2 = 0) = (vec_id % 40 <> 0) THEN 'body' ELSE 'mark' END AS role, CAST(label AS VARCHAR) AS subtype, CAST(vec_id % 25 + 1 AS BIGINT) AS page_number, CAST(floor(vec_id / 4) AS BIGINT) AS snapshot_id, [0.1::DOUBLE * e::DOUBLE + 0.05::DOUBLE * label for e in embedding] AS features FROM embeddings),
-ex AS (SELECT * FROM e0 UNION ALL SELECT sample_id + 1000000, role, subtype, page_number % 25 + 1, snapshot_id + 500000, features FROM e0 WHERE sample_id % 10 = 3)"""
+_EX = """e0 AS (SELECT vec_id AS sample_id, CASE WHEN (label % 2 = 0) = (vec_id % 40 <> 0) THEN 'body' ELSE 'mark' END AS role, CAST(label AS VARCHAR) AS subtype, CAST(vec_id % 25 + 1 AS BIGINT) AS page_number, CAST(floor(vec_id / 4) AS BIGINT) AS snapshot_id, CAST(floor(vec_id / 250) AS BIGINT) AS collection_id, [0.1::DOUBLE * e::DOUBLE + 0.05::DOUBLE * label for e in embedding] AS features FROM embeddings),
+ex AS (SELECT * FROM e0 UNION ALL SELECT sample_id + 1000000, role, subtype, page_number % 25 + 1, snapshot_id + 500000, collection_id, features FROM e0 WHERE sample_id % 10 = 3)"""
 
 
 def _examples(spark, sf_dir):
     (vectors,) = tables(spark, sf_dir, "embeddings")
     features = F.transform("embedding", lambda e: F.lit(0.1) * e.cast("double") + F.lit(0.05) * F.col("label"))
-    rows = vectors.select(F.col("vec_id").alias("sample_id"), F.when((F.col("label") % 2 == 0) == (F.col("vec_id") % 40 != 0), "body").otherwise("mark").alias("role"), F.col("label").cast("string").alias("subtype"), (F.col("vec_id") % 25 + 1).cast("long").alias("page_number"), F.floor(F.col("vec_id") / 4).alias("snapshot_id"), features.alias("features"))
-    copies = rows.filter("sample_id % 10 = 3").selectExpr("sample_id + 1000000 AS sample_id", "role", "subtype", "page_number % 25 + 1 AS page_number", "snapshot_id + 500000 AS snapshot_id", "features")
+    rows = vectors.select(F.col("vec_id").alias("sample_id"), F.when((F.col("label") % 2 == 0) == (F.col("vec_id") % 40 != 0), "body").otherwise("mark").alias("role"), F.col("label").cast("string").alias("subtype"), (F.col("vec_id") % 25 + 1).cast("long").alias("page_number"), F.floor(F.col("vec_id") / 4).alias("snapshot_id"), F.floor(F.col("vec_id") / 250).alias("collection_id"), features.alias("features"))
+    copies = rows.filter("sample_id % 10 = 3").selectExpr("sample_id + 1000000 AS sample_id", "role", "subtype", "page_number % 25 + 1 AS page_number", "snapshot_id + 500000 AS snapshot_id", "collection_id", "features")
     return rows.unionByName(copies)
 
 
 def _queries(examples, page: int):
-    return examples.filter(F.col("page_number") == page).select(F.col("sample_id").alias("query_id"), "features", "snapshot_id", "subtype")
+    return examples.filter(F.col("page_number") == page).select(F.col("sample_id").alias("query_id"), "collection_id", "features", "snapshot_id", "subtype")
 
 
 def _groups(by: str) -> str:
-    return f"gr AS (SELECT {by}, features, min(sample_id) AS group_id, count(*) AS copies, list({{'s': sample_id, 'n': snapshot_id, 'p': page_number}} ORDER BY sample_id) AS refs FROM ex GROUP BY {by}, features)"
+    return f"gr AS (SELECT collection_id, {by}, features, min(sample_id) AS group_id, count(*) AS copies, list({{'s': sample_id, 'n': snapshot_id, 'p': page_number}} ORDER BY sample_id) AS refs FROM ex GROUP BY collection_id, {by}, features)"
 
 
-def _near(by: str, queries: str = "SELECT sample_id AS query_id, features AS f, snapshot_id AS own FROM ex WHERE page_number = 7") -> str:
-    square = "[(features[i] - f[i]) * (features[i] - f[i]) for i in range(1, len(f) + 1)]"
-    return f"""{_groups(by)}, qs AS ({queries}), nr AS (SELECT query_id, {by}, group_id, [r for r in refs if r.n IS DISTINCT FROM own] AS refs, round(sqrt(list_sum({square}[1:58]) * 0.5 + list_sum({square}[59:]) * 0.5), 9) AS distance FROM gr CROSS JOIN qs), nn AS (SELECT * FROM nr WHERE len(refs) > 0)"""
+_DIFF = "[(features[i] - f[i]) * (features[i] - f[i]) for i in range(1, len(f) + 1)]"
+_SQUARE = f"round(sqrt(list_sum({_DIFF}[1:58]) * 0.5 + list_sum({_DIFF}[59:]) * 0.5), 9)"
+
+
+def _near(by: str, queries: str = "SELECT sample_id AS query_id, collection_id, features AS f, snapshot_id AS own FROM ex WHERE page_number = 7") -> str:
+    return f"""{_groups(by)}, qs AS ({queries}), nr AS (SELECT query_id, {by}, group_id, [r for r in refs if r.n IS DISTINCT FROM own] AS refs, {_SQUARE} AS distance FROM gr JOIN qs USING (collection_id)), nn AS (SELECT * FROM nr WHERE len(refs) > 0)"""
 
 
 @query(f"WITH {_EX}, {_groups('role')} SELECT group_id, role, copies, list_sum([r.p for r in refs])::BIGINT AS pages, array_to_string([r.s for r in refs], ',') AS samples FROM gr")
@@ -58,7 +61,7 @@ m AS (SELECT *, round(opposite - farthest, 9) AS margin, CASE WHEN opposite > 0
 r AS (SELECT *, concat_ws(',', CASE WHEN candidate IS NULL THEN 'no_examples' WHEN NOT one THEN 'mixed_neighbors' END, CASE WHEN support < 5 THEN 'insufficient_support' END, CASE WHEN pages < 2 THEN 'insufficient_pages' END, CASE WHEN farthest >= 0.15 THEN 'too_far' END, CASE WHEN opposite IS NULL THEN 'missing_opposite' WHEN margin <= 0.10 THEN 'insufficient_margin' END, CASE WHEN opposite IS NOT NULL AND (ratio IS NULL OR ratio >= 0.5) THEN 'insufficient_ratio' END) AS reasons FROM m)
 SELECT query_id, CASE WHEN reasons = '' THEN candidate END AS role, CASE WHEN reasons = '' THEN round(least(1 - farthest / 0.15, 1 - 0.10 / margin, 1 - ratio / 0.5), 6) ELSE 0.0 END AS confidence, CAST(support AS BIGINT) AS support, CAST(pages AS BIGINT) AS pages, reasons FROM r""")
 def h02_h03_role_proposals(spark, sf_dir):
-    """Components of one page against all examples."""
+    """Components of one page of each collection against all its examples."""
     examples = _examples(spark, sf_dir)
     return H.role_proposals(_queries(examples, 7), H.folded(examples, "role"))
 
@@ -83,12 +86,12 @@ def h05_type_evidence(spark, sf_dir):
     return H.type_evidence(_queries(examples, 7), H.folded(examples, "subtype"))
 
 
-_ASKED = "SELECT sample_id AS query_id, features AS f, snapshot_id AS own FROM ex0 WHERE page_number = 7 AND sample_id % 3 {} 0"
+_ASKED = "SELECT sample_id AS query_id, collection_id, features AS f, snapshot_id AS own FROM ex0 WHERE page_number = 7 AND sample_id % 3 {} 0"
 
 
 @query(f"""WITH {_EX.replace('ex AS', 'ex0 AS')}, un AS (WITH ex AS (SELECT * FROM ex0), {_near('subtype', _ASKED.format('='))}, {_TYPES} SELECT * FROM gs), ty_ AS (WITH ex AS (SELECT * FROM ex0 WHERE page_number <> 7), {_near('subtype', _ASKED.format('<>'))}, {_TYPES} SELECT * FROM gs),
-ow AS (SELECT sample_id AS query_id, CASE WHEN sample_id % 5 = 1 THEN '0' ELSE subtype END AS own_type FROM ex0 WHERE page_number = 7)
-SELECT query_id, 'suggestion' AS kind, subtype, sure FROM un WHERE subtype <> '' UNION ALL SELECT query_id, 'doubt', subtype, sure FROM ty_ JOIN ow USING (query_id) WHERE sure AND subtype <> own_type AND own_type IN (SELECT subtype FROM ex0 WHERE page_number <> 7)""")
+ow AS (SELECT sample_id AS query_id, collection_id, CASE WHEN sample_id % 5 = 1 THEN '0' ELSE subtype END AS own_type FROM ex0 WHERE page_number = 7)
+SELECT query_id, 'suggestion' AS kind, subtype, sure FROM un WHERE subtype <> '' UNION ALL SELECT query_id, 'doubt', subtype, sure FROM ty_ JOIN ow USING (query_id) WHERE sure AND subtype <> own_type AND EXISTS (SELECT 1 FROM ex0 WHERE page_number <> 7 AND ex0.subtype = own_type AND ex0.collection_id = ow.collection_id)""")
 def h06_type_suggestions(spark, sf_dir):
     """A third of the page's components is untyped, a fifth typed alike whatever they are."""
     examples = _examples(spark, sf_dir)
@@ -135,12 +138,17 @@ def h11_proposal_quality(spark, sf_dir):
     return H.proposal_quality(*domain(spark, sf_dir, "truth"))
 
 
-@query("""WITH b AS (SELECT line % 3 AS collection_id, page_number, predicted, count(*) FILTER (truth = 'body') AS bodies, count(*) FILTER (truth = 'mark') AS marks FROM v_truth WHERE truth IS NOT NULL GROUP BY ALL),
-w AS (SELECT *, coalesce(sum(bodies) OVER o, 0) AS b, coalesce(sum(marks) OVER o, 0) AS m FROM b WINDOW o AS (PARTITION BY collection_id, predicted ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), e AS (SELECT *, CASE WHEN b <> m THEN bodies + marks ELSE 0 END AS made, CASE WHEN b > m THEN marks WHEN m > b THEN bodies ELSE 0 END AS wrong FROM w)
-SELECT page_number, grouping(page_number) = 1 AS whole, CAST(sum(bodies + marks) AS BIGINT) AS components, CAST(sum(made) AS BIGINT) AS made, CAST(sum(wrong) AS BIGINT) AS wrong FROM e GROUP BY ROLLUP (page_number)""")
+_GATES = """rl AS (SELECT query_id, min(distance) FILTER (role = 'body') AS body, min(distance) FILTER (role = 'mark') AS mark FROM nn GROUP BY query_id),
+g AS (SELECT query_id, candidate, n, n - lack AS pages, farthest, CASE candidate WHEN 'body' THEN mark WHEN 'mark' THEN body END AS opposite FROM pg JOIN lk USING (query_id) JOIN rl USING (query_id) WHERE roles = 1)"""
+
+
+@query(f"""WITH {_EX}, {_groups('role')}, qs AS (SELECT sample_id AS query_id, collection_id, features AS f, snapshot_id AS own, page_number AS before FROM ex),
+nr AS (SELECT query_id, role, [r for r in refs if r.n IS DISTINCT FROM own AND r.p < before] AS refs, {_SQUARE} AS distance FROM gr JOIN qs USING (collection_id)), nn AS (SELECT *, refs[1].s AS group_id FROM nr WHERE len(refs) > 0), {_TOP}, {_GATES},
+pr AS (SELECT collection_id, page_number, ex.role, CASE WHEN n >= 5 AND pages >= 2 AND farthest < 0.15 AND round(opposite - farthest, 9) > 0.10 AND opposite > 0 AND round(farthest / opposite, 9) < 0.5 THEN candidate END AS proposed FROM ex LEFT JOIN g ON g.query_id = ex.sample_id)
+SELECT collection_id, page_number, CASE grouping(collection_id, page_number) WHEN 0 THEN 'page' WHEN 1 THEN 'collection' ELSE 'all' END AS scope, count(*) AS components, count(*) FILTER (proposed = 'body') AS bodies, count(*) FILTER (proposed = 'body' AND role <> 'body') AS wrong_bodies, count(*) FILTER (proposed = 'mark') AS marks, count(*) FILTER (proposed = 'mark' AND role <> 'mark') AS wrong_marks FROM pr GROUP BY ROLLUP (collection_id, page_number)""")
 def h12_prequential(spark, sf_dir):
-    (rows,) = domain(spark, sf_dir, "truth")
-    return H.prequential(rows.withColumn("collection_id", F.col("line") % 3))
+    """All pages of all collections, each against the pages before it."""
+    return H.prequential(_examples(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT page_id AS line, CASE position % 2 WHEN 0 THEN 'frozen' ELSE 'live' END AS reading, count(*) AS n, min(word_id) AS a, max(word_id) AS z FROM v_word GROUP BY ALL)
