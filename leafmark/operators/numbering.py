@@ -92,28 +92,6 @@ def entry_states(pages: DataFrame, lines: DataFrame, segments: DataFrame) -> Dat
     return both.select(*PAGE, state("e_chapter", "start_chapter").alias("chapter"), state("e_verse", "start_verse").alias("verse"))
 
 
-def renumbered_from(pages: DataFrame, lines: DataFrame, segments: DataFrame, start: DataFrame) -> DataFrame:
-    """Segments of the pages that a renumbering from one page on changes, with their new numbers: it walks forward from the entry
-    state and stops at a gap, or after the first page that it leaves as it was.
-
-    start: (collection_id, from_page); lines and segments carry stored numbers (chapter, verse)."""
-    entry = entry_states(pages, lines, segments).withColumnsRenamed({"chapter": "seed_chapter", "verse": "seed_verse"})
-    first = start.join(entry, (start["collection_id"] == entry["collection_id"]) & (start["from_page"] == entry["page_number"])).select(start["collection_id"], "from_page", "seed_chapter", "seed_verse")
-    held = islands(pages.join(start, "collection_id").filter("page_number >= from_page"), "collection_id", "page_number")
-    head = held.filter("page_number = from_page").select("collection_id", "island")
-    seeded = held.join(head, ["collection_id", "island"], "left_semi").join(first.drop("from_page"), "collection_id").select(*PAGE, "island", "seed_chapter", "seed_verse")
-    rows = walked_rows(pages, lines, segments, seeded)
-    stored = segments.select(*ORDERED, F.col("verse").alias("old_verse"))
-    new = rows.filter(~F.col("header")).select(*ORDERED, "chapter", "verse").join(stored, ORDERED)
-    old_lines = lines.select(*PAGE, "line_number", F.col("chapter").alias("old_chapter"))
-    new = new.join(old_lines, [*PAGE, "line_number"])
-    changed = new.withColumn("changed", ~(F.col("verse").eqNullSafe(F.col("old_verse")) & F.col("chapter").eqNullSafe(F.col("old_chapter"))))
-    by = seeded.select(*PAGE).join(changed.groupBy(*PAGE).agg(F.bool_or("changed").alias("changed")), PAGE, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
-    w = Window.partitionBy("collection_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
-    live = by.withColumn("live", F.bool_and("changed").over(w)).filter("live")
-    return changed.join(live.select(*PAGE), PAGE, "left_semi").filter("changed").select(*ORDERED, "chapter", "verse")
-
-
 def renumber_plan(pages: DataFrame, lines: DataFrame, segments: DataFrame, expected: DataFrame) -> DataFrame:
     """(collection_id, chapter, closing, expected): chapters whose closing segments differ from the expected number.
 
@@ -127,12 +105,6 @@ def renumber_plan(pages: DataFrame, lines: DataFrame, segments: DataFrame, expec
     return both.filter("closing <> expected").select("collection_id", "chapter", "closing", "expected")
 
 
-def renumber_changes(numbered: DataFrame, stored: DataFrame) -> DataFrame:
-    """(collection_id, segments, changed): how many stored verses a walk would change."""
-    both = numbered.select(*ORDERED, "verse").join(stored.select(*ORDERED, F.col("verse").alias("old")), ORDERED)
-    return both.groupBy("collection_id").agg(F.count("*").alias("segments"), F.count_if(~F.col("verse").eqNullSafe(F.col("old"))).alias("changed"))
-
-
 def held_chapters(numbered: DataFrame) -> DataFrame:
     """Chapters that a collection holds: first and last verse, first and last page, pages and closing segments."""
     return numbered.groupBy("collection_id", "chapter").agg(F.min("verse").alias("first_verse"), F.max("verse").alias("last_verse"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count_distinct("page_number").alias("n_pages"), F.count_if("closes").alias("closing"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmark.operators import numbering as N
+from leafmark.operators import transfers as T
 from leafmark.plans.base import domain, query
 
 _SEED = """isl AS (SELECT *, page_number - row_number() OVER (PARTITION BY collection_id ORDER BY page_number) AS island FROM v_page),
@@ -59,26 +60,49 @@ def e06_entry_states(spark, sf_dir):
     return N.entry_states(pages, stored, segments.withColumn("verse", F.when(F.col("x") % 9 != 0, (F.col("segment_order") + F.col("line_number")).cast("long"))))
 
 
-_LATER = """sl AS (SELECT l.collection_id, l.page_number, l.line_number, l.type, CAST(max(r.chapter) AS BIGINT) AS chapter FROM v_line l LEFT JOIN rows0 r ON r.collection_id = l.collection_id AND r.page_number = l.page_number AND r.line_number = l.line_number AND r.header = 0 GROUP BY ALL),
-ss AS (SELECT collection_id, page_number, line_number, segment_order, c = 1 AS closes, CAST(verse + CASE WHEN page_number BETWEEN 21 AND 21 + collection_id % 5 THEN 1 ELSE 0 END AS BIGINT) AS verse FROM rows0 WHERE header = 0)"""
-_FROM = """hp AS (SELECT *, page_number - row_number() OVER (PARTITION BY collection_id ORDER BY page_number) AS island FROM v_page WHERE page_number >= 21), hi AS (SELECT collection_id, island FROM hp WHERE page_number = 21),
-seed1 AS (SELECT hp.collection_id, hp.page_number, island, en.chapter AS s0, en.verse AS v0 FROM hp JOIN hi USING (collection_id, island) JOIN en ON en.collection_id = hp.collection_id AND en.page_number = 21)"""
-
-
-@query(f"""WITH {_SEED}, {_rows(tag='0')}, {_LATER}, {_exits('sl', 'ss')}, {_FROM}, {_rows('seed1', tag='1')},
-nw AS (SELECT r.collection_id, r.page_number, r.line_number, r.segment_order, r.chapter, r.verse, r.verse IS DISTINCT FROM ss.verse OR r.chapter IS DISTINCT FROM sl.chapter AS changed FROM rows1 r JOIN ss USING (collection_id, page_number, line_number, segment_order) JOIN sl ON sl.collection_id = r.collection_id AND sl.page_number = r.page_number AND sl.line_number = r.line_number WHERE r.header = 0),
-pc AS (SELECT seed1.collection_id, seed1.page_number, coalesce(bool_or(changed), false) AS changed FROM seed1 LEFT JOIN nw USING (collection_id, page_number) GROUP BY ALL),
-lv AS (SELECT *, bool_and(changed) OVER (PARTITION BY collection_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) AS live FROM pc)
-SELECT collection_id, page_number, line_number, segment_order, CAST(chapter AS BIGINT) AS chapter, CAST(verse AS BIGINT) AS verse FROM nw JOIN lv USING (collection_id, page_number) WHERE live AND nw.changed""")
-def e07_renumbered_from(spark, sf_dir):
-    """Stored numbers are the walk's, moved by one on some pages from page 21 on; headers and basmalas have none."""
+# every line's chapter by the walk: that of the last numbered row up to it in its island
+_LINE_CHAPTERS = """nl AS (SELECT collection_id, page_number, line_number, max(chapter) AS chapter FROM rows0 GROUP BY ALL),
+lc AS (SELECT l.*, CAST(coalesce(last_value(nl.chapter IGNORE NULLS) OVER (PARTITION BY l.collection_id, island ORDER BY l.page_number, l.line_number ROWS UNBOUNDED PRECEDING), s0) AS BIGINT) AS walked
+  FROM v_line l JOIN seed USING (collection_id, page_number) LEFT JOIN nl ON nl.collection_id = l.collection_id AND nl.page_number = l.page_number AND nl.line_number = l.line_number)"""
+_MOVED = "page_number BETWEEN 21 AND 21 + collection_id % 5"
+_LATER = f"""sl AS (SELECT collection_id, page_number, line_number, type, CASE WHEN type = 'header' AND {_MOVED} THEN CASE x % 3 WHEN 0 THEN NULL WHEN 1 THEN walked + 5 ELSE walked END ELSE walked END AS chapter FROM lc),
+ss AS (SELECT collection_id, page_number, line_number, segment_order, c = 1 AS closes, CAST(verse + CASE WHEN {_MOVED} AND segment_order = 1 THEN 1 ELSE 0 END AS BIGINT) AS verse FROM rows0 WHERE header = 0)"""
+# the rule itself, one line or segment after the other; kind -1 begins a page
+_SEQUENTIAL = """hp AS (SELECT collection_id, page_number, page_number - row_number() OVER (PARTITION BY collection_id ORDER BY page_number) AS island FROM v_page WHERE page_number >= 21), hi AS (SELECT collection_id, island FROM hp WHERE page_number = 21),
+on_ AS (SELECT collection_id, page_number FROM hp JOIN hi USING (collection_id, island)),
+ev1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY page_number, line_number, kind, segment_order) AS rn FROM (
+  SELECT collection_id, page_number, 0 AS line_number, -1 AS kind, 0 AS segment_order, '' AS type, CAST(NULL AS BIGINT) AS stored, false AS closes FROM on_
+  UNION ALL SELECT collection_id, page_number, line_number, 0, 0, type, chapter, false FROM sl SEMI JOIN on_ USING (collection_id, page_number)
+  UNION ALL SELECT collection_id, page_number, line_number, 1, segment_order, 'text', verse, closes FROM ss SEMI JOIN on_ USING (collection_id, page_number)) e),
+go AS (SELECT collection_id, CAST(0 AS BIGINT) AS rn, CAST(chapter AS BIGINT) AS s, CAST(verse AS BIGINT) AS v, true AS ch, 0 AS page_number, 0 AS line_number, -1 AS kind, 0 AS segment_order, CAST(0 AS BIGINT) AS own, false AS hit FROM en SEMI JOIN on_ USING (collection_id, page_number) WHERE page_number = 21
+  UNION ALL SELECT collection_id, rn, s, CASE WHEN type = 'header' THEN 1 WHEN closes THEN own + 1 ELSE own END, CASE kind WHEN -1 THEN false ELSE ch OR hit END, page_number, line_number, kind, segment_order, own, hit FROM (
+    SELECT *, CASE kind WHEN 0 THEN stored IS DISTINCT FROM s WHEN 1 THEN stored IS DISTINCT FROM own ELSE false END AS hit FROM (
+      SELECT e.*, CASE WHEN e.type = 'header' AND g.v <> 1 THEN g.s + 1 ELSE g.s END AS s, g.v AS own, g.ch FROM go g JOIN ev1 e ON e.collection_id = g.collection_id AND e.rn = g.rn + 1 WHERE e.kind >= 0 OR g.ch) a) b)"""
+
+
+def _stored(spark, sf_dir):
+    """Pages, and lines and segments with the walk's numbers; on some pages from 21 on the first segments of lines are moved by one, and headers have
+    none or another chapter."""
     pages, lines, segments = domain(spark, sf_dir, "page", "line", "segment")
-    numbered = N.walk(pages, lines, segments)
-    chapters = numbered.groupBy(*N.PAGE, "line_number").agg(F.max("chapter").alias("chapter"))
-    moved = F.when(F.col("page_number").between(21, 21 + F.col("collection_id") % 5), 1).otherwise(0)
-    stored = numbered.withColumn("verse", F.col("verse") + moved).drop("chapter")
+    rows = T.page_rows(lines.withColumn("chapter", F.lit(None).cast("long")), segments.withColumn("verse", F.lit(None).cast("long")))
+    seeded = N.with_seeds(pages).select(*N.PAGE, "island", "seed_chapter", "seed_verse")
+    walked = T.numbered(rows, T.entered(seeded, T.page_functions(rows), ["collection_id", "island"]))
+    here = F.col("page_number").between(21, 21 + F.col("collection_id") % 5)
+    chapters = walked.filter("segment_order is null").select(*N.PAGE, "line_number", "chapter")
+    other = F.when(F.col("x") % 3 == 0, None).when(F.col("x") % 3 == 1, F.col("chapter") + 5).otherwise(F.col("chapter"))
+    moved = lines.join(chapters, [*N.PAGE, "line_number"]).withColumn("chapter", F.when((F.col("type") == "header") & here, other).otherwise(F.col("chapter")))
+    verses = walked.filter("segment_order is not null").select(*N.ORDERED, "verse")
+    texts = segments.join(verses, N.ORDERED).withColumn("verse", F.col("verse") + F.when(here & (F.col("segment_order") == 1), 1).otherwise(0))
+    return pages, moved, texts
+
+
+@query(f"""WITH RECURSIVE {_SEED}, {_rows(tag='0')}, {_LINE_CHAPTERS}, {_LATER}, {_exits('sl', 'ss')}, {_SEQUENTIAL}
+SELECT collection_id, page_number, line_number, CASE WHEN kind = 1 THEN segment_order END AS segment_order, s AS chapter, CASE WHEN kind = 1 THEN own END AS verse FROM go WHERE hit""")
+def e07_renumbered_from(spark, sf_dir):
+    """From page 21 of each collection on."""
+    pages, lines, segments = _stored(spark, sf_dir)
     start = pages.filter("page_number = 21").select("collection_id", F.lit(21).alias("from_page"))
-    return N.renumbered_from(pages, lines.join(chapters, [*N.PAGE, "line_number"], "left"), stored, start)
+    return T.renumbered_from(pages, lines, segments, start)
 
 
 @query(f"""WITH {_SEED}, {_rows()}, {_EXPECTED}, ie AS (SELECT collection_id, island, max(chapter) AS last, min(s0) AS s0, min(v0) AS v0 FROM rows GROUP BY ALL),
@@ -88,12 +112,14 @@ def e08_renumber_plan(spark, sf_dir):
     return N.renumber_plan(*domain(spark, sf_dir, "page", "line", "segment"), _expected(spark))
 
 
-@query(f"""WITH {_SEED}, {_rows()} SELECT r.collection_id, count(*) AS segments, count(*) FILTER (r.verse IS DISTINCT FROM CASE WHEN s.x % 11 <> 0 THEN CAST(s.segment_order + s.line_number % 3 AS BIGINT) END) AS changed
-FROM rows r JOIN v_segment s USING (collection_id, page_number, line_number, segment_order) WHERE header = 0 GROUP BY r.collection_id""")
+@query(f"""WITH {_SEED}, {_rows(tag='0')}, {_LINE_CHAPTERS}, a AS (SELECT collection_id, count(*) AS lines, count(*) FILTER (walked IS DISTINCT FROM CASE WHEN x % 5 <> 4 THEN (collection_id + line_number) % 7 + 1 END) AS lines_changed FROM lc GROUP BY collection_id),
+b AS (SELECT r.collection_id, count(*) AS segments, count(*) FILTER (r.verse IS DISTINCT FROM CASE WHEN s.x % 11 <> 0 THEN CAST(s.segment_order + s.line_number % 3 AS BIGINT) END) AS segments_changed FROM rows0 r JOIN v_segment s USING (collection_id, page_number, line_number, segment_order) WHERE header = 0 GROUP BY r.collection_id)
+SELECT collection_id, lines, coalesce(segments, 0) AS segments, lines_changed, coalesce(segments_changed, 0) AS segments_changed FROM a LEFT JOIN b USING (collection_id)""")
 def e08_renumber_changes(spark, sf_dir):
     pages, lines, segments = domain(spark, sf_dir, "page", "line", "segment")
+    chapters = lines.withColumn("chapter", F.when(F.col("x") % 5 != 4, (F.col("collection_id") + F.col("line_number")) % 7 + 1))
     stored = segments.withColumn("verse", F.when(F.col("x") % 11 != 0, (F.col("segment_order") + F.col("line_number") % 3).cast("long")))
-    return N.renumber_changes(N.walk(pages, lines, segments), stored)
+    return T.renumber_changes(N.with_seeds(pages), chapters, stored)
 
 
 @query(f"""WITH {_SEED}, {_rows()} SELECT collection_id, CAST(chapter AS BIGINT) AS chapter, CAST(min(verse) AS BIGINT) AS first_verse, CAST(max(verse) AS BIGINT) AS last_verse, min(page_number) AS first_page, max(page_number) AS last_page, count(DISTINCT page_number) AS n_pages, CAST(sum(c) AS BIGINT) AS closing FROM rows WHERE header = 0 GROUP BY collection_id, chapter""")

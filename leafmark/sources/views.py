@@ -98,11 +98,11 @@ def _bound(sql: str, given: dict[str, DataFrame]) -> str:
 
 
 def with_views(sql: str) -> str:
-    """An oracle's SQL with the views that it names in front."""
+    """An oracle's SQL with the views that it names in front, each made once."""
     names: list[str] = []
     for v in re.findall(r"\bv_\w+", sql):
         names += [n for n in order(v) if n in VIEWS and n not in names] if v in VIEWS else []
-    heads = ", ".join(f"{n} AS ({OTHER.get(n, VIEWS[n])})" for n in names)
+    heads = ", ".join(f"{n} AS MATERIALIZED ({OTHER.get(n, VIEWS[n])})" for n in names)
     if not heads:
         return sql
     if sql.lstrip().upper().startswith("WITH RECURSIVE "):
