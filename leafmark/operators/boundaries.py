@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.functions.arabic import LEVELS, match_level
+from leafmark.functions.arabic import LEVELS, forms
+
+
+def spelling_index(words: DataFrame) -> DataFrame:
+    """(word, level, form): each distinct word's spellings at each level, so that words are alike at a level where they share a form."""
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), f.alias("forms")) for k, f in enumerate(forms(F.col("word")))))
+    rows = words.select("word").distinct().select("word", F.explode(levels).alias("l"))
+    return rows.select("word", "l.level", F.explode(F.array_distinct("l.forms")).alias("form"))
 
 
 def placed_boundaries(words: DataFrame, sought: DataFrame) -> DataFrame:
-    """(chapter, verse, after_position, note): the asked occurrence of the word that a boundary stands after.
-
-    Looser spellings count only where no tighter one matches in the verse; a choice among several and a loose match are noted.
-    words: (chapter, verse, position, word); sought: (chapter, verse, sought, occurrence)."""
-    verse = ["chapter", "verse"]
-    rows = words.join(sought, verse).withColumn("level", match_level(F.col("sought"), F.col("word")))
-    rows = rows.withColumn("best", F.min("level").over(Window.partitionBy(*verse))).filter("level = best")
-    w = Window.partitionBy(*verse)
-    rows = rows.withColumns({"k": F.row_number().over(w.orderBy("position")), "n": F.count("*").over(w)})
-    best = rows.select(*verse, "best").distinct()
-    found = rows.filter("k = occurrence").select(*verse, "position", "k", "n")
-    both = sought.select(*verse).join(best, verse, "left").join(found, verse, "left")
+    """(chapter, verse, boundary, after_position, note): the asked occurrence of the word that a boundary stands after.
+
+    Looser spellings count only where no tighter one matches in the verse; a choice among several and a loose match are noted. Forms are made
+    once for each distinct word, and words meet by equal forms. words: (chapter, verse, position, word); sought: (chapter, verse, boundary,
+    sought, occurrence), where (chapter, verse, boundary) is a boundary's identity."""
+    verse, key = ["chapter", "verse"], ["chapter", "verse", "boundary"]
+    near = words.join(sought, verse).select(*key, "position", "word", "sought", "occurrence")
+    asked = spelling_index(sought.select(F.col("sought").alias("word"))).select(F.col("word").alias("sought"), "level", "form")
+    alike = asked.join(spelling_index(words), ["level", "form"]).groupBy("sought", "word").agg(F.min("level").alias("level"))
+    rows = near.join(alike, ["sought", "word"])
+    every = Window.partitionBy(*key)
+    rows = rows.withColumn("best", F.min("level").over(every)).filter("level = best")
+    rows = rows.withColumns({"k": F.row_number().over(every.orderBy("position")), "n": F.count("*").over(every)})
+    found = rows.groupBy(*key).agg(F.first("best").alias("best"), F.max(F.when(F.col("k") == F.col("occurrence"), F.struct("position", "k", "n"))).alias("f"))
+    both = sought.select(*key).join(found, key, "left").select(*key, "best", "f.*")
     several = F.when(F.col("n") > 1, F.concat(F.col("n"), F.lit(" occurrences, took #"), F.col("k")))
     loose = F.when(F.col("best") > 0, F.concat(F.lit("matched "), F.get(F.array(*(F.lit(x) for x in LEVELS)), F.col("best"))))
     note = F.when(F.col("best").isNull(), "no match").when(F.col("position").isNull(), "no such occurrence").otherwise(F.nullif(F.concat_ws(", ", several, loose), F.lit("")))
-    return both.select(*verse, F.col("position").alias("after_position"), note.alias("note"))
+    return both.select(*key, F.col("position").alias("after_position"), note.alias("note"))

@@ -32,19 +32,23 @@ def verse_islands(entries: DataFrame, last_verses: DataFrame) -> DataFrame:
 
 
 def gaps(islands: DataFrame, lines: DataFrame) -> DataFrame:
-    """What lies between an island and the next: the verses and pages on both sides, and lines between them without a number in either."""
+    """What lies between an island and the next: the verses and pages on both sides, and lines between them without a number in either.
+
+    Islands are runs in reading order, so all lines strictly between two have no number in either. One pass: both ends of each gap are put
+    among the lines, and a count of lines so far gives each gap's as a difference."""
     place = F.struct("page_number", "line_number", "segment_order")
     ends = islands.groupBy("collection_id", "island").agg(F.min(F.struct(place.alias("p"), "chapter", "verse")).alias("a"), F.max(F.struct(place.alias("p"), "chapter", "verse")).alias("z"))
     w = Window.partitionBy("collection_id").orderBy("island")
     pairs = ends.withColumn("next", F.lead("a").over(w)).filter("next is not null")
-    pairs = pairs.select("collection_id", "island", F.col("z.chapter").alias("after_chapter"), F.col("z.verse").alias("after_verse"), F.col("z.p.page_number").alias("after_page"), F.col("z.p.line_number").alias("low_line"), F.col("next.chapter").alias("before_chapter"), F.col("next.verse").alias("before_verse"), F.col("next.p.page_number").alias("before_page"), F.col("next.p.line_number").alias("high_line"))
-    numbered = islands.select("collection_id", "page_number", "line_number", "island").distinct()
-    open_ = pairs.join(lines.select("collection_id", "page_number", "line_number"), "collection_id")
-    key = F.struct("page_number", "line_number")
-    open_ = open_.filter((key > F.struct(F.col("after_page").alias("page_number"), F.col("low_line").alias("line_number"))) & (key < F.struct(F.col("before_page").alias("page_number"), F.col("high_line").alias("line_number"))))
-    of = numbered.select("collection_id", "page_number", "line_number", F.explode(F.array("island", F.col("island") - 1)).alias("island")).distinct()
-    n = open_.join(of, ["collection_id", "island", "page_number", "line_number"], "left_anti").groupBy("collection_id", "island").agg(F.count("*").alias("unnumbered"))
-    return pairs.drop("low_line", "high_line").join(n, ["collection_id", "island"], "left").fillna(0, ["unnumbered"])
+    # the far end stands before a line of its own place, the near end after it
+    side = lambda c, order: F.struct(F.col(c)["page_number"].alias("page_number"), F.col(c)["line_number"].alias("line_number"), F.lit(order).alias("order"))
+    marks = pairs.select("collection_id", "island", F.explode(F.array(side("next.p", 0), side("z.p", 2))).alias("m")).select("collection_id", "m.*", "island")
+    all_ = lines.select("collection_id", "page_number", "line_number", F.lit(1).alias("order"), F.lit(None).cast("long").alias("island")).unionByName(marks)
+    order = Window.partitionBy("collection_id").orderBy("page_number", "line_number", "order").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = all_.withColumn("lines", F.count_if(F.col("order") == 1).over(order)).filter("island is not null")
+    n = so_far.groupBy("collection_id", "island").agg(F.greatest(F.sum(F.when(F.col("order") == 0, F.col("lines")).otherwise(-F.col("lines"))), F.lit(0)).alias("unnumbered"))
+    named = pairs.select("collection_id", "island", F.col("z.chapter").alias("after_chapter"), F.col("z.verse").alias("after_verse"), F.col("z.p.page_number").alias("after_page"), F.col("next.chapter").alias("before_chapter"), F.col("next.verse").alias("before_verse"), F.col("next.p.page_number").alias("before_page"))
+    return named.join(n, ["collection_id", "island"])
 
 
 def chunks(islands: DataFrame, last_verses: DataFrame, target: int = 60) -> DataFrame:

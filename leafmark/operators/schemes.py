@@ -140,12 +140,22 @@ def problem_list(**parts: DataFrame) -> DataFrame:
     return out
 
 
+def compared_places(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Each of our boundaries, by (chapter, verse, kind, word), with the other source's place: agree, shifted or missing.
+
+    Both: chapter, verse, kind, word, position; of several of theirs with one key the last counts, and each of ours is looked up."""
+    key = ["chapter", "verse", "kind", "word"]
+    last = theirs.groupBy(*key).agg(F.max("position").alias("theirs"))
+    both = ours.select(*key, F.col("position").alias("ours")).join(last, key, "left")
+    return both.withColumn("state", F.when(F.col("theirs").isNull(), "missing").when(F.col("ours") == F.col("theirs"), "agree").otherwise("shifted"))
+
+
 def place_differences(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Boundaries of two sources by (chapter, verse, kind): agree, shifted, or held by one only; counted by kind."""
-    key = ["chapter", "verse", "kind"]
-    both = ours.select(*key, F.col("position").alias("p")).join(theirs.select(*key, F.col("position").alias("q")), key, "full")
-    p, q = F.col("p"), F.col("q")
-    return both.groupBy("kind").agg(F.count_if(p == q).alias("agree"), F.count_if(p != q).alias("shifted"), F.count_if(q.isNull()).alias("missing_theirs"), F.count_if(p.isNull()).alias("missing_ours"))
+    """How many of our boundaries of each kind agree with another source, are shifted, or missing there, and how many of theirs we lack."""
+    key = ["chapter", "verse", "kind", "word"]
+    rows = compared_places(ours, theirs).select("kind", "state").unionAll(theirs.select(*key).distinct().join(ours, key, "left_anti").select("kind", F.lit("lacking").alias("state")))
+    n = lambda s: F.count_if(F.col("state") == s)
+    return rows.groupBy("kind").agg(n("agree").alias("agree"), n("shifted").alias("shifted"), n("missing").alias("missing_theirs"), n("lacking").alias("missing_ours"))
 
 
 def stream_starts(tokens: DataFrame) -> DataFrame:

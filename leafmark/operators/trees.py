@@ -122,10 +122,26 @@ def restart_plan(revisions: DataFrame) -> DataFrame:
     return first.join(old, "review_id", "left")
 
 
+def approval_versions(approvals: DataFrame) -> DataFrame:
+    """Each collection's approvals in page order as versions of a growing set: version, the approvals up to and with this one, and the pages
+    from_page to to_page (null: all later ones) for which that version is in force, which begin after the approval's own.
+
+    approvals: collection_id, page_number and number; of several for a page the greatest number holds. Several versions may begin with one
+    page only if it has one approval, so each page has one version: one row for each approval, none for a pair of pages."""
+    last = approvals.groupBy(*PAGE).agg(F.max("number").alias("number"))
+    w = Window.partitionBy("collection_id").orderBy("page_number")
+    rows = last.withColumns({"version": F.row_number().over(w).cast("long"), "next": F.lead("page_number").over(w)})
+    return rows.select("collection_id", "version", "page_number", "number", (F.col("page_number") + 1).alias("from_page"), F.col("next").alias("to_page"))
+
+
 def approved_before(approvals: DataFrame, pages: DataFrame) -> DataFrame:
-    """Each page with the approvals of earlier pages of its collection only, so that none learns from itself."""
-    a = approvals.select("collection_id", F.col("page_number").alias("from_page"), "number")
-    return pages.select(*PAGE).join(a, "collection_id").filter(F.col("from_page") < F.col("page_number"))
+    """(page, version): the version of its collection's approvals that each page may learn from, those of earlier pages only; 0 if there are
+    none. One as-of look-up over pages and approvals together."""
+    versions = approval_versions(approvals).select("collection_id", F.col("from_page").alias("page_number"), "version")
+    rows = pages.select(*PAGE, F.lit(None).cast("long").alias("version"), F.lit(True).alias("page")).unionByName(versions.select(*PAGE, "version", F.lit(False).alias("page")))
+    # a version is in force from its first page on, that page too
+    w = Window.partitionBy("collection_id").orderBy("page_number", "page").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("version", F.coalesce(F.max("version").over(w), F.lit(0))).filter("page").select(*PAGE, "version")
 
 
 def approved_context(revisions: DataFrame, wanted: DataFrame) -> DataFrame:

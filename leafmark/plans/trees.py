@@ -209,10 +209,21 @@ def j11_restart_plan(spark, sf_dir):
     return T.restart_plan(spark.sql(_KINDS.format("{r}"), r=revisions))
 
 
-@query("WITH a AS (SELECT DISTINCT collection_id, page_number, number FROM v_revision WHERE number = 1), p AS (SELECT DISTINCT collection_id, page_number FROM v_revision) SELECT p.collection_id, p.page_number, a.page_number AS from_page, number FROM p JOIN a ON a.collection_id = p.collection_id AND a.page_number < p.page_number")
+_APPROVED = "SELECT collection_id, page_number, number FROM {} WHERE kind = 'assistant' AND review_id % 4 <> 2"
+
+
+@query(f"""WITH a AS ({_APPROVED.format('v_revision')}), l AS (SELECT collection_id, page_number, max(number) AS number FROM a GROUP BY ALL), p AS (SELECT DISTINCT collection_id, page_number FROM v_revision)
+SELECT p.collection_id, p.page_number, (SELECT count(*) FROM l WHERE l.collection_id = p.collection_id AND l.page_number < p.page_number) AS version FROM p""")
 def c18_approved_before(spark, sf_dir):
     (revisions,) = domain(spark, sf_dir, "revision")
-    return T.approved_before(revisions.filter("number = 1").select("collection_id", "page_number", "number").distinct(), revisions.select("collection_id", "page_number").distinct())
+    return T.approved_before(spark.sql(_APPROVED.format("{r}"), r=revisions), revisions.select("collection_id", "page_number").distinct())
+
+
+@query(f"""WITH a AS ({_APPROVED.format('v_revision')}), l AS (SELECT collection_id, page_number, max(number) AS number FROM a GROUP BY ALL)
+SELECT collection_id, (SELECT count(*) FROM l b WHERE b.collection_id = l.collection_id AND b.page_number <= l.page_number) AS version, page_number, number, page_number + 1 AS from_page, (SELECT min(page_number) FROM l b WHERE b.collection_id = l.collection_id AND b.page_number > l.page_number) AS to_page FROM l""")
+def c18_approval_versions(spark, sf_dir):
+    (revisions,) = domain(spark, sf_dir, "revision")
+    return T.approval_versions(spark.sql(_APPROVED.format("{r}"), r=revisions))
 
 
 @query("SELECT review_id, number, sha256(payload) AS digest FROM v_revision WHERE kind = 'assistant' AND review_id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY number DESC) = 1")
@@ -308,19 +319,24 @@ def g06_g07_match_levels(spark, sf_dir):
     return raw.select("raw", arabic.match_level(F.translate("raw", _LETTERS, _LEFT), F.translate(other, _LETTERS, _RIGHT)).alias("level"))
 
 
-@query(f"""WITH t AS (SELECT chapter, verse, pos % 9 + 1 AS position, translate(regexp_extract(lower(token), '[a-z]+'), '{_LETTERS}', '{_LEFT}') AS a, translate(regexp_extract(lower(first_value(token) OVER (PARTITION BY chapter, verse ORDER BY pos)), '[a-z]+'), '{_LETTERS}', '{_RIGHT}') AS b FROM v_token WHERE chapter % 4 = 0),
-m AS (SELECT chapter, verse, position, {_LEVEL} AS level FROM t), v AS (SELECT chapter, verse, min(level) AS best FROM m GROUP BY ALL), k AS (SELECT m.chapter, m.verse, position, best, row_number() OVER (PARTITION BY m.chapter, m.verse ORDER BY position) AS occurrence, count(*) OVER (PARTITION BY m.chapter, m.verse) AS n FROM m JOIN v ON v.chapter = m.chapter AND v.verse = m.verse AND level = best)
-SELECT v.chapter, v.verse, position AS after_position, CASE WHEN best IS NULL THEN 'no match' WHEN position IS NULL THEN 'no such occurrence' ELSE nullif(concat_ws(', ', CASE WHEN n > 1 THEN n || ' occurrences, took #' || occurrence END, CASE best WHEN 1 THEN 'matched hamza-insensitive' WHEN 2 THEN 'matched skeleton' END), '') END AS note
-FROM v LEFT JOIN (SELECT chapter, verse, position, occurrence, n FROM k WHERE occurrence = CASE WHEN verse % 5 = 0 THEN 2 ELSE 1 END) x USING (chapter, verse)""")
+# a boundary after a verse's first word and one after its fourth
+_SOUGHT = f"""tk AS MATERIALIZED (SELECT chapter, verse, pos % 9 + 1 AS position, regexp_extract(lower(token), '[a-z]+') AS raw FROM v_token), so AS (SELECT chapter, verse, CASE position WHEN 1 THEN 'first' ELSE 'fourth' END AS boundary, translate(raw, '{_LETTERS}', '{_RIGHT}') AS b, CASE WHEN (verse + position) % 5 = 0 THEN 2 ELSE 1 END AS occurrence FROM tk WHERE position IN (1, 4)),
+wd AS (SELECT chapter, verse, position, translate(raw, '{_LETTERS}', '{_LEFT}') AS a FROM tk)"""
+
+
+@query(f"""WITH {_SOUGHT}, t AS (SELECT so.chapter, so.verse, boundary, occurrence, position, a, b FROM so JOIN wd ON so.chapter = wd.chapter AND so.verse = wd.verse), pa AS (SELECT DISTINCT a, b FROM t), lv AS MATERIALIZED (SELECT a, b, {_LEVEL} AS level FROM pa), m AS (SELECT t.*, level FROM t JOIN lv ON t.a = lv.a AND t.b = lv.b),
+v AS (SELECT chapter, verse, boundary, any_value(occurrence) AS occurrence, min(level) AS best FROM m GROUP BY ALL), k AS (SELECT v.*, position, row_number() OVER o AS k, count(*) OVER (PARTITION BY v.chapter, v.verse, v.boundary) AS n FROM v JOIN m ON m.chapter = v.chapter AND m.verse = v.verse AND m.boundary = v.boundary AND level = best WINDOW o AS (PARTITION BY v.chapter, v.verse, v.boundary ORDER BY position))
+SELECT v.chapter, v.verse, v.boundary, position AS after_position, CASE WHEN v.best IS NULL THEN 'no match' WHEN position IS NULL THEN 'no such occurrence' ELSE nullif(concat_ws(', ', CASE WHEN n > 1 THEN n || ' occurrences, took #' || k END, CASE v.best WHEN 1 THEN 'matched hamza-insensitive' WHEN 2 THEN 'matched skeleton' END), '') END AS note
+FROM v LEFT JOIN k ON k.chapter = v.chapter AND k.verse = v.verse AND k.boundary = v.boundary AND k.k = v.occurrence""")
 def g08_placed_boundaries(spark, sf_dir):
+    """Two boundaries in each verse of four words or more."""
     from leafmark.operators import boundaries as B
 
     (tokens,) = domain(spark, sf_dir, "token")
-    some = tokens.filter("chapter % 4 = 0")
-    plain = lambda c: F.regexp_extract(F.lower(c), "[a-z]+", 0)
-    words = some.select("chapter", "verse", (F.col("pos") % 9 + 1).alias("position"), F.translate(plain(F.col("token")), _LETTERS, _LEFT).alias("word"))
-    sought = some.groupBy("chapter", "verse").agg(F.min_by("token", "pos").alias("t")).select("chapter", "verse", F.translate(plain(F.col("t")), _LETTERS, _RIGHT).alias("sought"), F.when(F.col("verse") % 5 == 0, 2).otherwise(1).alias("occurrence"))
-    return B.placed_boundaries(words, sought)
+    words = tokens.select("chapter", "verse", (F.col("pos") % 9 + 1).alias("position"), F.regexp_extract(F.lower("token"), "[a-z]+", 0).alias("raw"))
+    occurrence = F.when((F.col("verse") + F.col("position")) % 5 == 0, 2).otherwise(1)
+    sought = words.filter("position in (1, 4)").select("chapter", "verse", F.when(F.col("position") == 1, "first").otherwise("fourth").alias("boundary"), F.translate("raw", _LETTERS, _RIGHT).alias("sought"), occurrence.alias("occurrence"))
+    return B.placed_boundaries(words.select("chapter", "verse", "position", F.translate("raw", _LETTERS, _LEFT).alias("word")), sought)
 
 
 @query("SELECT line, label, round(w / (30.0 + w), 6) AS a, round(h / (30.0 + h), 6) AS b, round(area / (900.0 + area), 6) AS c, round(area / CAST(w * h AS DOUBLE), 6) AS d, round(w / CAST(w + h AS DOUBLE), 6) AS e, round((y - 25) / (30.0 + abs(y - 25)), 6) AS f FROM v_component")

@@ -77,15 +77,38 @@ def tailed(logs: DataFrame, offsets: DataFrame) -> DataFrame:
     return both.select("log", lines.alias("lines"), (F.col("begin") + F.char_length("whole")).cast("long").alias("offset"))
 
 
-def capacity(jobs: DataFrame, most: int, each: int) -> DataFrame:
+def _open_at(jobs: DataFrame, by: list[str], width: str) -> DataFrame:
+    """(by, at, open): jobs open at each time at which one starts, those that start or end at that very time not among them.
+
+    A running sum of +1 and -1 in three levels: changes at one time, sums within a range of times, and what ranges before carry in; so a
+    window holds one range's times, or one row for each range."""
+    some = jobs.filter("ended is null or ended > started")
+    change = F.explode(F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("ended").alias("at"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    changes = some.select(*by, change.alias("c")).select(*by, "c.*").filter("at is not null")
+    # jobs that are never open ask too
+    changes = changes.unionAll(jobs.filter("ended <= started").select(*by, F.col("started").alias("at"), F.lit(0).alias("up"), F.lit(0).alias("down")))
+    times = changes.groupBy(*by, "at").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).withColumn("range", F.date_trunc(width, "at"))
+    ranges = times.groupBy(*by, "range").agg(F.sum(F.col("up") - F.col("down")).alias("net"))
+    order = Window.partitionBy(*by or [F.lit(0)]).orderBy("range")
+    carried = ranges.select(*(F.col(c).alias(f"of_{c}") for c in [*by, "range"]), F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"))
+    inside = Window.partitionBy(*by, "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = times.withColumn("inside", F.sum(F.col("up") - F.col("down")).over(inside) - F.col("up"))
+    same = F.col("range") == F.col("of_range")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return sums.join(carried, same).select(*by, "at", (F.col("carry") + F.col("inside")).alias("open"))
+
+
+def capacity(jobs: DataFrame, most: int, each: int, width: str = "hour") -> DataFrame:
     """Starts of jobs with how many are open over all and for their user at that time, and whether both limits leave room.
 
-    jobs: job, user, started, ended (null while open), day, which bounds how long a job may stay open: each start is compared with the
-    jobs of its own and the day before only."""
-    starts = jobs.select(F.col("job").alias("new"), F.col("user").alias("new_user"), F.col("started").alias("at"), F.explode(F.array("day", F.col("day") - 1)).alias("day"))
-    both = starts.join(jobs, "day").filter((F.col("started") < F.col("at")) & (F.col("ended").isNull() | (F.col("ended") > F.col("at"))))
-    n = both.groupBy("new").agg(F.count("*").alias("open"), F.count_if(F.col("user") == F.col("new_user")).alias("own"))
-    return jobs.select(F.col("job").alias("new")).join(n, "new", "left").fillna(0).select(F.col("new").alias("job"), "open", "own", ((F.col("open") < most) & (F.col("own") < each)).alias("allowed"))
+    A job counts from after its start until its end, for ever if it has none; one without a user counts over all only.
+    jobs: job, user, started, ended (null while open); width: a unit of date_trunc, the ranges of the running sums."""
+    whole = _open_at(jobs, [], width).withColumnRenamed("at", "at_all")
+    own = _open_at(jobs.filter("user is not null"), ["user"], width).select(F.col("user").alias("of"), F.col("at").alias("at_own"), F.col("open").alias("own"))
+    both = jobs.select("job", "user", "started").join(whole, F.col("started") == F.col("at_all"), "left").join(own, (F.col("user") == F.col("of")) & (F.col("started") == F.col("at_own")), "left")
+    both = both.select("job", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("open", "own")))
+    return both.withColumn("allowed", (F.col("open") < most) & (F.col("own") < each))
 
 
 def sessions(events: DataFrame, silent_seconds: int) -> DataFrame:
