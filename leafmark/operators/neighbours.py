@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.sources.shared import ship
+
 PIVOTS = 48
 #: Queries of a collection that one task bounds together.
 CHUNK = 4096
@@ -107,6 +109,7 @@ def nearest(queries: DataFrame, groups: DataFrame, by: str, k: int, weights: tup
     if not chosen:
         kind = {f.name: f.dataType.simpleString() for f in groups.schema}
         return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {by} {kind[by]}, group_id {kind['group_id']}, copies {kind['copies']}, refs {kind['refs']}, distance double")
+    ship(queries.sparkSession)
     known = _celled(groups, chosen, weights, second)
     asked = _celled(queries.select("query_id", "collection_id", "features", "snapshot_id", "before"), chosen, weights, second)
     sizes = queries.groupBy("collection_id").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.sources.shared import ship
+
+#: Positions that one task goes over at a time.
+TILE = 4096
+
 
 def profile(components: DataFrame, group: str) -> DataFrame:
     """Ink in each row of a group's content: the widths of the components that cover it, 0 for rows between that none covers."""
@@ -34,26 +42,125 @@ def local_minima(df: DataFrame, group: str = "grp", position: str = "position",
     return marked.filter((F.col("_a") >= v) & (v <= F.col("_b")) & ((F.col("_a") > v) | (v < F.col("_b")))).drop("_a", "_b")
 
 
-def strongest_apart(df: DataFrame, most: int, apart: int, group: str = "grp", position: str = "position", score: str = "score") -> DataFrame:
-    """Greedily the strongest positions at least `apart` from each other, earlier ones first at ties; a fold over a group's candidates."""
-    picked = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(position).alias("p")))).alias("c"))
-    none = F.expr("cast(array() as array<bigint>)")
-    fold = F.aggregate("c", none, lambda acc, x: F.when((F.size(acc) < most) & F.forall(acc, lambda s: F.abs(s - x["p"]) >= apart), F.concat(acc, F.array(x["p"]))).otherwise(acc))
-    return picked.select(group, F.posexplode(fold).alias("rank", position)).withColumn("rank", F.col("rank") + 1)
+def _apart(apart: float):
+    """Greedy picks of one cluster of candidates. Two picks can't stand in one bin of the least distance, so a candidate meets three bins at most."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held, keep = {}, []
+        for score, at, k in sorted(zip(-rows["_score"], rows["_at"], range(len(rows)), strict=True)):
+            bin_ = int(at // apart) if apart > 0 else at
+            if apart <= 0 or all(abs(held.get(b, math.inf) - at) >= apart for b in (bin_ - 1, bin_, bin_ + 1)):
+                held[bin_] = at
+                keep.append(k)
+        return rows.iloc[keep][["_grp", "_at", "_score"]]
 
+    return run
 
-def prominences(minima: DataFrame, series: DataFrame, group: str = "grp", position: str = "position", value: str = "smooth") -> DataFrame:
+
+def strongest_apart(df: DataFrame, most: int, apart: int, group: str = "grp", position: str = "position", score: str = "score") -> DataFrame:
+    """Greedily the strongest positions at least `apart` from each other, earlier ones first at ties.
+
+    Candidates with a gap of `apart` or more between them don't meet, so each cluster between such gaps is picked by itself, and the
+    first `most` of a group are ranked after that."""
+    ship(df.sparkSession)
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    rows = df.select(F.col(group).alias("_grp"), F.col(position).alias("_at"), F.col(score).cast("double").alias("_score"))
+    w = Window.partitionBy("_grp").orderBy("_at")
+    rows = rows.withColumn("_new", F.coalesce((F.col("_at") - F.lag("_at").over(w) >= apart).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    picked = rows.groupBy("_grp", "_cluster").applyInPandas(_apart(apart), f"_grp {kind[group]}, _at {kind[position]}, _score double")
+    rank = F.row_number().over(Window.partitionBy("_grp").orderBy(F.desc("_score"), "_at"))
+    return picked.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("_grp").alias(group), "rank", F.col("_at").alias(position))
+
+
+def _walls(values: list[float], asked: list[int]) -> tuple[list[tuple[float, bool]], list[tuple[float, float]], float]:
+    """What a tile says about walls on the left: for each asked place the highest value from the nearest lower one on, and whether there is one;
+    the minima that a place further right can end at, from left to right, each with the highest value after it up to the next; and the
+    highest value before the first of them.
+
+    stack: places whose values rise, each with the highest value after it so far."""
+    stack: list[list[float]] = []
+    base, wanted, found = -math.inf, set(asked), {}
+    for k, v in enumerate(values):
+        high = -math.inf
+        while stack and stack[-1][0] >= v:
+            u, after = stack.pop()
+            high = max(high, u, after)
+        if k in wanted:
+            lower = bool(stack)
+            found[k] = (max(high, stack[-1][1], v) if lower else max(high, base, v), lower)
+        if stack:
+            stack[-1][1] = max(stack[-1][1], high)
+        else:
+            base = max(base, high)
+        stack.append([v, -math.inf])
+    return [found[k] for k in asked], [(v, after) for v, after in stack], base
+
+
+_TILE = "_grp {g}, _tile long, _at {p}, _v double, left double, left_done boolean, right double, right_done boolean, ends array<double>, starts array<double>, top double"
+
+
+def _tile(rows: pd.DataFrame) -> pd.DataFrame:
+    """A tile's minima with their walls inside it, and one more row of what other tiles need to know of it."""
+    rows = rows.sort_values("_at").reset_index(drop=True)
+    values, n = rows["_v"].tolist(), len(rows)
+    asked = rows.index[rows["_min"]].tolist()
+    left, ends, before = _walls(values, asked)
+    right, starts, after = _walls(values[::-1], [n - 1 - k for k in asked])
+    out = rows.loc[asked, ["_grp", "_tile", "_at", "_v"]].assign(left=[x for x, _ in left], left_done=[x for _, x in left], right=[x for x, _ in right], right_done=[x for _, x in right], ends=None, starts=None, top=None)
+    flat = lambda base, pairs: [base, *(x for pair in pairs for x in pair)]
+    summary = pd.DataFrame({"_grp": [rows["_grp"].iloc[0]], "_tile": [rows["_tile"].iloc[0]], "_at": [None], "_v": [None], "left": [None], "left_done": [None], "right": [None], "right_done": [None], "ends": [flat(before, ends)], "starts": [flat(after, starts)], "top": [max(values)]})
+    return pd.concat([out.astype(object), summary.astype(object)], ignore_index=True)
+
+
+def _carry(rows: pd.DataFrame, done: str, wall: str, summary: str, backwards: bool) -> None:
+    """Walls of one side that leave their tile, by what the tiles passed so far hold: a stack of minima as in a tile."""
+    stack: list[list[float]] = []
+    base = -math.inf
+    for _, tile in sorted(rows.groupby("_tile"), key=lambda x: x[0], reverse=backwards):
+        for k, r in tile[tile["_at"].notna()].iterrows():
+            if r[done]:
+                continue
+            high, j = r[wall], len(stack) - 1
+            while j >= 0 and stack[j][0] >= r["_v"]:
+                high = max(high, stack[j][0], stack[j][1])
+                j -= 1
+            rows.at[k, wall] = max(high, stack[j][1] if j >= 0 else base)
+        flat = tile.loc[tile["_at"].isna(), summary].iloc[0]
+        high, pairs = flat[0], list(zip(flat[1::2], flat[2::2], strict=True))
+        while stack and stack[-1][0] >= pairs[0][0]:
+            u, after = stack.pop()
+            high = max(high, u, after)
+        if stack:
+            stack[-1][1] = max(stack[-1][1], high)
+        else:
+            base = max(base, high)
+        stack += [list(p) for p in pairs]
+
+
+def _between(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.reset_index(drop=True)
+    _carry(rows, "left_done", "left", "ends", False)
+    _carry(rows, "right_done", "right", "starts", True)
+    return rows.loc[rows["_at"].notna(), ["_grp", "_at", "_v", "left", "right"]]
+
+
+def prominences(minima: DataFrame, series: DataFrame, group: str = "grp", position: str = "position", value: str = "smooth", tile: int = TILE) -> DataFrame:
     """Minima with their prominence: the lower of the highest values on both sides, up to the nearest lower position, less their own.
 
-    Two joins inside a group: the nearest lower positions, and the highest values between them."""
-    m = minima.select(group, F.col(position).alias("_p"), F.col(value).alias("_v"))
-    s = series.select(group, F.col(position).alias("_q"), F.col(value).alias("_u"))
-    lower = m.join(s, group).filter(F.col("_u") < F.col("_v"))
-    bounds = lower.groupBy(group, "_p").agg(F.max(F.when(F.col("_q") < F.col("_p"), F.col("_q"))).alias("_a"), F.min(F.when(F.col("_q") > F.col("_p"), F.col("_q"))).alias("_b"))
-    held = m.join(bounds, [group, "_p"], "left").join(s, group)
-    inside = held.filter((F.col("_a").isNull() | (F.col("_q") > F.col("_a"))) & (F.col("_b").isNull() | (F.col("_q") < F.col("_b"))))
-    walls = inside.groupBy(group, "_p", "_v").agg(F.max(F.when(F.col("_q") <= F.col("_p"), F.col("_u"))).alias("_l"), F.max(F.when(F.col("_q") >= F.col("_p"), F.col("_u"))).alias("_r"))
-    return walls.select(group, F.col("_p").alias(position), F.col("_v").alias(value), (F.least("_l", "_r") - F.col("_v")).alias("prominence"))
+    Nearest lower positions come from a stack of rising minima over tiles of a series; only minima whose walls leave their tile, and each tile's own
+    stack, meet in their group, where the same stack runs over tiles. All is linear in the series' length."""
+    ship(series.sparkSession)
+    kind = {f.name: f.dataType.simpleString() for f in series.schema}
+    marks = minima.select(F.col(group).alias("_grp"), F.col(position).alias("_at"), F.lit(True).alias("_min"))
+    rows = series.select(F.col(group).alias("_grp"), F.col(position).alias("_at"), F.col(value).cast("double").alias("_v"))
+    rows = rows.join(marks, ["_grp", "_at"], "left").withColumns({"_min": F.coalesce("_min", F.lit(False)), "_tile": F.floor(F.col("_at") / tile).cast("long")})
+    tiled = rows.groupBy("_grp", "_tile").applyInPandas(_tile, _TILE.format(g=kind[group], p=kind[position]))
+    inside = tiled.filter("_at is not null and left_done and right_done").select("_grp", "_at", "_v", "left", "right")
+    open_ = tiled.filter("_at is null or not (left_done and right_done)")
+    across = open_.groupBy("_grp").applyInPandas(_between, f"_grp {kind[group]}, _at {kind[position]}, _v double, left double, right double")
+    both = inside.unionByName(across)
+    return both.select(F.col("_grp").alias(group), F.col("_at").alias(position), F.col("_v").alias(value), (F.least("left", "right") - F.col("_v")).alias("prominence"))
 
 
 def smoothed(df: DataFrame, widths: DataFrame, group: str = "grp", position: str = "position", value: str = "value") -> DataFrame:
