@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmark.plans.base import query, tables
+from leafmark.sources.shared import shared_folder
 from leafmark.streaming import feeds as S
+from leafmark.streaming import timed
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS heartbeat, count(*) AS n_events FROM events GROUP BY user_id")
@@ -15,6 +17,47 @@ def k02_streamed_states(spark, sf_dir):
     return S.newest(updates, "user_id")
 
 
+_TERMINAL = ("purchase", "error")
+
+
+@query("""WITH l AS (SELECT user_id AS job_id, max(ts) AS heartbeat, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id)
+SELECT job_id, heartbeat FROM l WHERE state NOT IN ('purchase', 'error') AND heartbeat + INTERVAL 8 HOUR < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def k01_timed_jobs(spark, sf_dir):
+    """Jobs that their timers have interrupted when the stream is empty, by the events' clock."""
+    stream = S.events_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    with timed.rocks(spark):
+        updates = S.drained(timed.job_states(stream, 8 * 3600, _TERMINAL, "2 hours"), "timed-jobs", "update")
+    return S.newest(updates, "job_id").filter("state = 'interrupted'").select("job_id", F.col("heartbeat").cast("timestamp_ntz").alias("heartbeat"))
+
+
+@query("""WITH r AS (SELECT *, coalesce(sum(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events)
+SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS heartbeat, count(*) AS n_events FROM r WHERE event_type IS NOT NULL GROUP BY user_id, run HAVING bool_or(event_type IN ('purchase', 'error'))""")
+def k02_ended_jobs(spark, sf_dir):
+    """Every end of a job, as the stream gives it."""
+    stream = S.events_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    with timed.rocks(spark):
+        updates = S.drained(timed.job_states(stream, 8 * 3600, _TERMINAL, "40 days"), "ended-jobs", "update")
+    return updates.filter(F.col("state").isin(*_TERMINAL)).select("job_id", "state", F.col("heartbeat").cast("timestamp_ntz").alias("heartbeat"), "n_events")
+
+
+@query("""WITH d AS (SELECT doc_id AS log, text, length(text) - strpos(reverse(text), chr(10)) + 1 AS n FROM documents WHERE contains(text, chr(10)))
+SELECT log, CAST(n - length(replace(text[1:n], chr(10), '')) AS BIGINT) AS n_lines, md5(text[1:n]) AS digest FROM d""")
+def k06_streamed_tail(spark, sf_dir):
+    """Each text as a log that arrives in two parts, wherever its middle falls, read in two runs."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    first = docs.select(F.col("doc_id").alias("log"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("arrival"), F.substr("text", F.lit(1), half).alias("content"))
+    second = docs.select(F.col("doc_id").alias("log"), half.cast("long").alias("start"), F.lit(2).cast("long").alias("arrival"), F.substr("text", half + 1, F.char_length("text")).alias("content"))
+    folder = shared_folder(spark, "log-parts")
+    for part in (first, second):
+        part.write.mode("append").parquet(f"{folder}/parts")
+        with timed.rocks(spark):
+            S.committed(timed.tailed_stream(spark.readStream.schema(part.schema).parquet(f"{folder}/parts").withColumn("log", F.col("log").cast("string"))), folder)
+    lines = spark.read.schema("log string, start long, line string").parquet(f"{folder}/batches")
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("start", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))
+    return lines.groupBy(F.col("log").cast("long").alias("log")).agg(F.count("*").alias("n_lines"), F.md5(F.array_join(whole, "")).alias("digest"))
+
+
 _SESSIONS = """g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)"""
 
 
