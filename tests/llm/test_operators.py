@@ -287,3 +287,41 @@ def test_keep_first_of_null_and_repeated_ids(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text) for r in weighted_minhash.keep_first(table).collect())
     assert got == sorted([(0, "without an id"), (0, A), (1, A), (3, "alone"), (3, "alone")])
+
+
+@pytest.mark.parametrize("texts", [3, 256])
+def test_blocks_lose_no_link(spark, monkeypatch, texts):
+    """Variants of a few texts around the threshold, all left to the last step: components equal those of all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(weighted_minhash, "BLOCK_TEXTS", texts)
+    rng = np.random.default_rng(17)
+    vectors = {}
+    for base in range(4):
+        words = [f"{base}-{k}" for k in range(120)]
+        for v in range(25):
+            own = list(words)
+            for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+                own[at] = f"new{rng.integers(0, 9)}"
+            text = " ".join(own)
+            (part,) = weighted_minhash.slices(__import__("pyarrow").array([text]))
+            h, tf, _ = weighted_minhash.distinct(*weighted_minhash.shingles(part))
+            vectors[f"{base}:{v:02}"] = (h, tf.astype(np.float64))
+    count = {}
+    for h, _ in vectors.values():
+        for x in h.tolist():
+            count[x] = count.get(x, 0) + 1
+    rows = []
+    for name, (h, w) in vectors.items():
+        rare, before = weighted_minhash.prefix(h, w, np.array([count[x] for x in h.tolist()]), 0.8)
+        rows.append((name, float(w.sum()), [7], rare.view(np.int64).tolist(), before.tolist(), bytearray(h.tobytes()), bytearray(w.astype(np.float32).tobytes())))
+    table = spark.createDataFrame(rows, "id string, total double, bands array<long>, rare array<long>, before array<double>, hashes binary, weights binary")
+    got = {r.id: r.component for r in weighted_minhash.similar(table, 0.8, rounds=0).collect()}
+    of = {name: name for name in vectors}
+    names = sorted(vectors)
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if weighted_minhash.similarity(*vectors[a], *vectors[b]) >= 0.8 and of[a] != of[b]:
+                low, high = sorted((of[a], of[b]))
+                of = {n: low if c == high else c for n, c in of.items()}
+    assert {n: got.get(n, n) for n in names} == of and 4 < len(set(of.values())) < 100
