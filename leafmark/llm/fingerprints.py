@@ -145,11 +145,26 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
 
 
 VALUES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
-_SCHEMA = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+#: As stored between the steps: an edited text's fingerprint is kept by how it differs from the text's own.
+_SCHEMA = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = ["doc_id", *VALUES, "range", "first", "open"]
 
 
+def difference(own: np.ndarray, other: np.ndarray) -> bytes:
+    """A bit for each sample that differs, and the other's samples there."""
+    apart = own != other
+    return np.packbits(apart).tobytes() + other[apart].tobytes()
+
+
+def restored(own: np.ndarray, stored: bytes) -> np.ndarray:
+    bits = -(-len(own) // 8)
+    apart = np.unpackbits(np.frombuffer(stored, np.uint8, bits), count=len(own)).astype(bool)
+    out = own.copy()
+    out[apart] = np.frombuffer(stored, own.dtype, offset=bits)
+    return out
+
+
 def _compared(texts: list[str], shingle: int, samples: int) -> dict[str, pa.Array]:
     """The values of all texts but the last, each compared with the one after it."""
     n = len(texts) - 1
@@ -157,9 +172,9 @@ def _compared(texts: list[str], shingle: int, samples: int) -> dict[str, pa.Arra
     keys, weights, at = terms(texts + changed, shingle)
     signs, some = signatures(keys, weights, at, samples), np.diff(at) > 0
     own, other, mine, its = signs[:n], signs[n + 1 :], some[:n], some[n + 1 :]
-    stored = [pa.array([x.tobytes() for x in part.astype(">u2")], pa.binary()) for part in (own, other)]
+    stored = [pa.array([x.tobytes() for x in own.astype(">u2")], pa.binary()), pa.array([difference(a, b) for a, b in zip(own.astype(">u2"), other.astype(">u2"), strict=True)], pa.binary())]
     near = [pa.array(likeness(own, b, mine, c)) for b, c in ((other, its), (signs[1 : n + 1], some[1 : n + 1]))]
-    found = [pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()), *stored, *near]
+    found = [pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()), *stored, *near]
     return dict(zip(VALUES, found, strict=True))
 
 
@@ -223,8 +238,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
                 one = _compared([batch.column(1)[k].as_py(), batch.column(2)[k].as_py()], shingle, samples)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *one.values()], names=["doc_id", *VALUES])
 
-    whole = found.filter("range is null").select("doc_id", *VALUES).unionByName(lasts.mapInArrow(pairs, f"doc_id {kind}, {_SCHEMA}"))
-    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(2)
+            other = [restored(np.frombuffer(a.as_py(), ">u2"), b.as_py()).tobytes() for a, b in zip(own, batch.column(3), strict=True)]
+            yield batch.set_column(3, "edited_fingerprint", pa.array(other, pa.binary()))
+
+    rows = found.filter("range is null").select("doc_id", *VALUES).unionByName(lasts.mapInArrow(pairs, f"doc_id {kind}, {_SCHEMA}"))
+    rows = rows.select(*VALUES, "doc_id").mapInArrow(whole, f"{_SCHEMA}, doc_id {kind}")
+    return rows.select("doc_id", *(F.lower(F.hex(c)).alias(c) if c in ("edited_sha256", "fingerprint", "edited_fingerprint") else F.col(c) for c in VALUES))
 
 
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
