@@ -94,23 +94,35 @@ def available_spans(collections: DataFrame, numbered: DataFrame) -> DataFrame:
     return both.select("collection_id", F.col("a.chapter").alias("from_chapter"), F.col("a.verse").alias("from_verse"), F.col("z.chapter").alias("to_chapter"), F.col("z.verse").alias("to_verse"))
 
 
-def run_totals(lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Lines, lines by status, words and the share of lines to look at, for each run and (run null, whole true) over all."""
+STATUSES = ("exact", "scored", "partial", "unresolved")
+
+
+def run_totals(lines: DataFrame, words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Lines, lines by status, words, the share of lines to look at, and chunks that don't account for all words of their span, for each run
+    and (run null, whole true) over all.
+
+    lines: run, chunk, line, status; words: run, line; chunks: run, chunk and expected, the words of its span."""
     n = words.groupBy("run", "line").agg(F.count("*").alias("words"))
-    rows = lines.join(n, ["run", "line"], "left")
-    status = F.col("status")
-    by = rows.rollup("run").agg(F.grouping("run").alias("g"), F.count("*").alias("lines"), F.sum(F.coalesce("words", F.lit(0))).alias("words"), *(F.count_if(status == s).alias(s) for s in ("exact", "scored", "partial", "unresolved")))
-    flagged = (F.col("lines") - F.col("exact")) / F.col("lines")
-    return by.select("run", (F.col("g") == 1).alias("whole"), "lines", "words", "exact", "scored", "partial", "unresolved", F.round(flagged, 6).alias("flagged"))
+    rows = lines.join(n, ["run", "line"], "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    parts = rows.groupBy("run", "chunk").agg(F.count("*").alias("lines"), F.sum("words").alias("words"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
+    both = chunks.join(parts, ["run", "chunk"], "full").fillna(0, ["lines", "words", "expected", *STATUSES])
+    by = both.rollup("run").agg(F.grouping("run").alias("g"), *(F.sum(c).alias(c) for c in ("lines", "words", *STATUSES)), F.count_if(F.col("words") < F.col("expected")).alias("incomplete"))
+    flagged = F.when(F.col("lines") > 0, (F.col("lines") - F.col("exact")) / F.col("lines")).otherwise(0.0)
+    return by.select("run", (F.col("g") == 1).alias("whole"), "lines", "words", *STATUSES, F.round(flagged, 6).alias("flagged"), "incomplete")
+
 
+def run_report(lines: DataFrame, words: DataFrame, ornaments: DataFrame, most: int) -> DataFrame:
+    """One JSON row for each run: totals of all statuses, separators found, and its lines in order, with their words and ornaments up to `most`
+    lines, else with word counts alone.
 
-def run_report(lines: DataFrame, words: DataFrame, most: int) -> DataFrame:
-    """One JSON row for each run: totals by status and its lines in order, with their words up to `most` lines, else with word counts."""
+    lines: run, line, status; words: run, line, position, word_id; ornaments: run, line, left, right."""
     item = F.sort_array(F.collect_list(F.struct("position", "word_id")))
     by_line = words.groupBy("run", "line").agg(F.transform(item, lambda x: x["word_id"]).alias("w"))
-    rows = lines.join(by_line, ["run", "line"], "left").withColumn("w", F.coalesce("w", F.array().cast("array<bigint>")))
-    by = rows.groupBy("run").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "exact").alias("exact"), F.sort_array(F.collect_list(F.struct("line", "status", "w"))).alias("l"))
-    full = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["status"].alias("status"), x["w"].alias("words")))
-    slim = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["status"].alias("status"), F.size(x["w"]).alias("word_count")))
-    head = lambda lines: F.to_json(F.struct(F.col("n").alias("lines"), F.col("exact").alias("exact"), lines.alias("detail")))
+    marks = ornaments.groupBy("run", "line").agg(F.sort_array(F.collect_list(F.struct("left", "right"))).alias("o"))
+    rows = lines.join(by_line, ["run", "line"], "left").join(marks, ["run", "line"], "left")
+    rows = rows.withColumns({"w": F.coalesce("w", F.array().cast("array<bigint>")), "o": F.coalesce("o", F.array().cast("array<struct<left:bigint,right:bigint>>"))})
+    by = rows.groupBy("run").agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.sum(F.size("o")).alias("separators"), F.sort_array(F.collect_list(F.struct("line", "status", "w", "o"))).alias("l"))
+    full = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["status"].alias("status"), F.size(x["o"]).alias("separators"), x["w"].alias("words"), x["o"].alias("ornaments")))
+    slim = F.transform("l", lambda x: F.struct(x["line"].alias("line"), x["status"].alias("status"), F.size(x["o"]).alias("separators"), F.size(x["w"]).alias("word_count")))
+    head = lambda lines: F.to_json(F.struct(F.col("n").alias("lines"), F.col("separators").alias("separators_found"), F.struct(*STATUSES).alias("totals"), lines.alias("detail")))
     return by.select("run", (F.col("n") <= most).alias("full"), F.when(F.col("n") <= most, head(full)).otherwise(head(slim)).alias("report"))

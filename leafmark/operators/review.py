@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.operators.ranges import range_join_binned
+
 #: Scores that are neither clearly a body's nor clearly a mark's; most pieces of one body.
 UNCERTAIN, MOST_PIECES = range(6, 10), 8
 EXCEPTIONS = ["", "flagged", "damaged", "unreadable"]
@@ -144,18 +146,18 @@ def reading_events(components: DataFrame, ornaments: DataFrame) -> DataFrame:
     return a.unionByName(b).unionByName(ends).withColumn("event", F.row_number().over(order).cast("long"))
 
 
-def exact_alignment(bodies: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(line, label, word): the n-th body from the right belongs to the word whose pieces hold n; and lines whose counts differ.
+def exact_alignment(bodies: DataFrame, words: DataFrame, verse: list[str], order: list) -> tuple[DataFrame, DataFrame]:
+    """(verse, label and place of a body, word): the n-th body of a verse, over all its lines, belongs to the word whose pieces hold n; and verses
+    whose numbers of bodies and pieces differ, with both.
 
-    words: (line, word, pieces) with word in reading order."""
-    n = F.row_number().over(Window.partitionBy("line").orderBy(F.desc(F.col("x") + F.col("w")), "label"))
-    upto = F.sum("pieces").over(Window.partitionBy("line").orderBy("word").rowsBetween(Window.unboundedPreceding, 0))
-    spans = words.withColumn("upto", upto)
-    numbered = bodies.withColumn("n", n)
-    held = numbered.join(spans, "line").filter((F.col("n") > F.col("upto") - F.col("pieces")) & (F.col("n") <= F.col("upto"))).select("line", "label", "word")
-    found = bodies.groupBy("line").agg(F.count("*").alias("found"))
-    expected = words.groupBy("line").agg(F.sum("pieces").alias("expected"))
-    report = expected.join(found, "line", "full").select("line", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found")).filter("expected <> found")
+    bodies: the columns of `verse`, those that `order` names (reading order), and others, which are kept; words: verse, word (in reading order), pieces."""
+    numbered = bodies.withColumn("n", F.row_number().over(Window.partitionBy(*verse).orderBy(*order)))
+    upto = F.sum("pieces").over(Window.partitionBy(*verse).orderBy("word").rowsBetween(Window.unboundedPreceding, 0))
+    spans = words.withColumn("upto", upto).select(*verse, "word", (F.col("upto") - F.col("pieces")).alias("after"), "upto")
+    held = range_join_binned(numbered, spans, verse, "n", "after", "upto").drop("n", "after", "upto")
+    found = bodies.groupBy(*verse).agg(F.count("*").alias("found"))
+    expected = words.groupBy(*verse).agg(F.sum("pieces").alias("expected"))
+    report = expected.join(found, verse, "full").select(*verse, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found")).filter("expected <> found")
     return held, report
 
 

@@ -91,26 +91,35 @@ def d21_available_spans(spark, sf_dir):
     return P.available_spans(collections, numbered.filter("collection_id % 5 <> 1"))
 
 
-_RUNS = "ls AS (SELECT page_id % 20 AS run, page_id * 10 + line_number AS line, status FROM v_status), ws AS (SELECT page_id % 20 AS run, page_id * 10 + line_number AS line, position, word_id FROM v_word WHERE word_id IS NOT NULL)"
+_LINES = "SELECT page_id % 20 AS run, CAST(floor(page_id / 100) AS BIGINT) AS chunk, page_id * 10 + line_number AS line, status FROM {s}"
+_PLACED_WORDS = "SELECT page_id % 20 AS run, page_id * 10 + line_number AS line, position, word_id FROM {w} WHERE word_id IS NOT NULL"
+_CHUNKS = "SELECT page_id % 20 AS run, CAST(floor(page_id / 100) AS BIGINT) AS chunk, count(word_id) + CASE WHEN floor(page_id / 100) % 6 = 2 THEN 1 ELSE 0 END AS expected FROM {w} GROUP BY page_id % 20, floor(page_id / 100)"
+_ORNAMENTS = "SELECT line % 20 AS run, line * 10 + label % 7 + 1 AS line, x AS left, x + w AS right FROM {c} WHERE label % 5 = 2"
+_RUNS = f"ls AS ({_LINES.format(s='v_status')}), ws AS ({_PLACED_WORDS.format(w='v_word')}), ck AS ({_CHUNKS.format(w='v_word')}), orn AS ({_ORNAMENTS.format(c='v_component').replace('AS left', 'AS l').replace('AS right', 'AS r')})"
+_TOTALS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in P.STATUSES)
 
 
 def _runs(spark, sf_dir):
     words, status = domain(spark, sf_dir, "word", "status")
-    lines = status.selectExpr("page_id % 20 AS run", "page_id * 10 + line_number AS line", "status")
-    return lines, words.filter("word_id is not null").selectExpr("page_id % 20 AS run", "page_id * 10 + line_number AS line", "position", "word_id")
+    return spark.sql(_LINES.format(s="{s}"), s=status), spark.sql(_PLACED_WORDS.format(w="{w}"), w=words), spark.sql(_CHUNKS.format(w="{w}"), w=words)
 
 
-@query(f"""WITH {_RUNS}, n AS (SELECT run, line, count(*) AS words FROM ws GROUP BY ALL), r AS (SELECT run, words, status FROM ls LEFT JOIN n USING (run, line))
-SELECT run, grouping(run) = 1 AS whole, count(*) AS lines, CAST(sum(coalesce(words, 0)) AS BIGINT) AS words, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'scored') AS scored, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'unresolved') AS unresolved, round((count(*) - count(*) FILTER (status = 'exact')) / count(*), 6) AS flagged FROM r GROUP BY ROLLUP (run)""")
+@query(f"""WITH {_RUNS}, n AS (SELECT run, line, count(*) AS words FROM ws GROUP BY ALL), r AS (SELECT run, chunk, coalesce(words, 0) AS words, status FROM ls LEFT JOIN n USING (run, line)), p AS (SELECT run, chunk, count(*) AS lines, sum(words) AS words, {_TOTALS} FROM r GROUP BY ALL),
+b AS (SELECT coalesce(ck.run, p.run) AS run, coalesce(lines, 0) AS lines, coalesce(words, 0) AS words, coalesce(expected, 0) AS expected, {', '.join(f'coalesce({s}, 0) AS {s}' for s in P.STATUSES)} FROM ck FULL JOIN p ON ck.run = p.run AND ck.chunk = p.chunk)
+SELECT run, grouping(run) = 1 AS whole, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(words) AS BIGINT) AS words, {', '.join(f'CAST(sum({s}) AS BIGINT) AS {s}' for s in P.STATUSES)}, round((sum(lines) - sum(exact)) / sum(lines), 6) AS flagged, count(*) FILTER (words < expected) AS incomplete FROM b GROUP BY ROLLUP (run)""")
 def d20_run_totals(spark, sf_dir):
     return P.run_totals(*_runs(spark, sf_dir))
 
 
-@query(f"""WITH {_RUNS}, w AS (SELECT run, line, list(word_id ORDER BY position, word_id) AS w FROM ws GROUP BY ALL), l AS (SELECT run, line, status, coalesce(w, []) AS w FROM ls LEFT JOIN w USING (run, line)), m AS (SELECT count(*) // 20 AS most FROM ls)
-SELECT run, count(*) <= any_value(most) AS "full", md5(CASE WHEN count(*) <= any_value(most) THEN to_json({{'lines': count(*), 'exact': count(*) FILTER (status = 'exact'), 'detail': list({{'line': line, 'status': status, 'words': w}} ORDER BY line)}}) ELSE to_json({{'lines': count(*), 'exact': count(*) FILTER (status = 'exact'), 'detail': list({{'line': line, 'status': status, 'word_count': len(w)}} ORDER BY line)}}) END) AS report FROM l, m GROUP BY run""")
+_HEAD = "'lines': count(*), 'separators_found': CAST(sum(len(o)) AS BIGINT), 'totals': {" + ", ".join(f"'{s}': count(*) FILTER (status = '{s}')" for s in P.STATUSES) + "}"
+
+
+@query(f"""WITH {_RUNS}, w AS (SELECT run, line, list(word_id ORDER BY position, word_id) AS w FROM ws GROUP BY ALL), o AS (SELECT run, line, list({{'left': l, 'right': r}} ORDER BY l, r) AS o FROM orn GROUP BY ALL), l AS (SELECT run, line, status, coalesce(w, []) AS w, coalesce(o, []) AS o FROM ls LEFT JOIN w USING (run, line) LEFT JOIN o USING (run, line)), m AS (SELECT count(*) // 20 AS most FROM ls)
+SELECT run, count(*) <= any_value(most) AS "full", md5(CASE WHEN count(*) <= any_value(most) THEN to_json({{{_HEAD}, 'detail': list({{'line': line, 'status': status, 'separators': len(o), 'words': w, 'ornaments': o}} ORDER BY line)}}) ELSE to_json({{{_HEAD}, 'detail': list({{'line': line, 'status': status, 'separators': len(o), 'word_count': len(w)}} ORDER BY line)}}) END) AS report FROM l, m GROUP BY run""")
 def a10_run_report(spark, sf_dir):
-    lines, words = _runs(spark, sf_dir)
-    return P.run_report(lines, words, lines.count() // 20).withColumn("report", F.md5("report"))
+    lines, words, _ = _runs(spark, sf_dir)
+    (components,) = domain(spark, sf_dir, "component")
+    return P.run_report(lines.drop("chunk"), words, spark.sql(_ORNAMENTS.format(c="{c}"), c=components), lines.count() // 20).withColumn("report", F.md5("report"))
 
 
 _PLACED = "list_reduce({free}, lambda acc, x: list_concat(acc[1:coalesce(list_position([r.end_x < x[1].end_x for r in acc], true) - 1, len(acc))], x, acc[coalesce(list_position([r.end_x < x[1].end_x for r in acc], true), len(acc) + 1):]), {labelled})"

@@ -145,20 +145,27 @@ def e25_reading_events(spark, sf_dir):
     return R.reading_events(components, components.filter("label % 4 = 1").select("line", ord_.alias("ord"), (F.col("x") + F.col("w") + 60).alias("right")))
 
 
-_ALIGN = """b AS (SELECT line, label, row_number() OVER (PARTITION BY line ORDER BY x + w DESC, label) AS n FROM v_component WHERE role = 'body'), ws AS (SELECT DISTINCT line, word_id AS word, word_id % 2 + 1 AS pieces FROM v_allocation),
-u AS (SELECT *, sum(pieces) OVER (PARTITION BY line ORDER BY word ROWS UNBOUNDED PRECEDING) AS upto FROM ws)"""
+# a page is sixteen lines; ornaments among its components end verses, so verses run over lines; words have a few pieces more or less than bodies
+_VERSES = """SELECT *, count(CASE WHEN role = 'mark' AND label % 9 = 4 THEN 1 END) OVER (PARTITION BY page ORDER BY line, x + w DESC, label ROWS UNBOUNDED PRECEDING) AS verse FROM (SELECT *, CAST(floor(line / 16) AS BIGINT) AS page FROM {c}) p"""
+_SPOKEN = "SELECT page, verse, CAST(label * 100 + line % 16 AS BIGINT) AS word, CAST((label + line) % 3 + CASE WHEN line % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS pieces FROM {v} WHERE role = 'body' AND (line + label) % 2 = 0"
+_ALIGN = f"""v AS MATERIALIZED ({_VERSES.format(c='v_component')}), b AS (SELECT page, verse, line, label, row_number() OVER (PARTITION BY page, verse ORDER BY line, x + w DESC, label) AS n FROM v WHERE role = 'body'), ws AS ({_SPOKEN.format(v='v')}),
+u AS (SELECT *, sum(pieces) OVER (PARTITION BY page, verse ORDER BY word ROWS UNBOUNDED PRECEDING) AS upto FROM ws)"""
 
 
-@query(f"WITH {_ALIGN} SELECT b.line, label, word FROM b JOIN u ON b.line = u.line AND n > upto - pieces AND n <= upto")
+def _aligned(spark, sf_dir):
+    (components,) = domain(spark, sf_dir, "component")
+    verses = spark.sql(_VERSES.format(c="{c}"), c=components)
+    return R.exact_alignment(verses.filter("role = 'body'").select("page", "verse", "line", "label", "x", "w"), spark.sql(_SPOKEN.format(v="{v}"), v=verses), ["page", "verse"], ["line", F.desc(F.col("x") + F.col("w")), "label"])
+
+
+@query(f"WITH {_ALIGN} SELECT b.page, b.verse, b.line, label, word FROM b JOIN u ON b.page = u.page AND b.verse = u.verse AND n > upto - pieces AND n <= upto")
 def e26_exact_alignment(spark, sf_dir):
-    components, allocations = domain(spark, sf_dir, "component", "allocation")
-    return R.exact_alignment(components.filter("role = 'body'"), allocations.selectExpr("line", "word_id AS word", "word_id % 2 + 1 AS pieces").distinct())[0]
+    return _aligned(spark, sf_dir)[0].select("page", "verse", "line", "label", "word")
 
 
-@query(f"WITH {_ALIGN}, f AS (SELECT line, count(*) AS found FROM b GROUP BY line), x AS (SELECT line, CAST(sum(pieces) AS BIGINT) AS expected FROM ws GROUP BY line) SELECT line, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM x FULL JOIN f USING (line) WHERE coalesce(expected, 0) <> coalesce(found, 0)")
+@query(f"WITH {_ALIGN}, f AS (SELECT page, verse, count(*) AS found FROM b GROUP BY ALL), x AS (SELECT page, verse, CAST(sum(pieces) AS BIGINT) AS expected FROM ws GROUP BY ALL) SELECT page, verse, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM x FULL JOIN f USING (page, verse) WHERE coalesce(expected, 0) <> coalesce(found, 0)")
 def e26_count_report(spark, sf_dir):
-    components, allocations = domain(spark, sf_dir, "component", "allocation")
-    return R.exact_alignment(components.filter("role = 'body'"), allocations.selectExpr("line", "word_id AS word", "word_id % 2 + 1 AS pieces").distinct())[1]
+    return _aligned(spark, sf_dir)[1]
 
 
 @query("SELECT line, label, CASE WHEN y <= 25 AND 25 < y + h THEN 'body' WHEN y <= 39 AND y + h > 10 THEN 'mark' ELSE 'mark-only' END AS preferred FROM v_component")
