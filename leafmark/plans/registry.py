@@ -54,7 +54,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY collection_id, page_number ORDER
 SELECT collection_id, page_number, CAST(verse_order AS INT) AS verse_order, chapter, verse, CAST(row_number() OVER (PARTITION BY collection_id, page_number, chapter, verse ORDER BY line_number, segment_order) AS INT) AS rect_order, s.x, l.y, s.w, l.h
 FROM walked s JOIN o USING (collection_id, page_number, chapter, verse) JOIN v_line l USING (collection_id, page_number, line_number)""")
 def a09_verse_rectangles(spark, sf_dir):
-    return N.verse_rectangles(_walked(spark, sf_dir), view(spark, sf_dir, "v_line"))
+    pages, lines, segments = _views(spark, sf_dir, "page", "line", "segment")
+    return N.verse_rectangles(N.walk(pages, lines, segments), lines)
 
 
 @query("""WITH cl AS (SELECT collection_id, page_number, line_number, bool_or(closes) AS b FROM v_segment GROUP BY ALL),
