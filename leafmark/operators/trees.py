@@ -7,32 +7,12 @@ from pyspark.sql import functions as F
 
 PAGE = ["collection_id", "page_number"]
 LINE = [*PAGE, "line_number"]
-SEGMENTS = "array<struct<segment_order:int,x:bigint,w:bigint,closes:boolean>>"
-LINES = f"array<struct<line_number:int,type:string,x:bigint,y:bigint,w:bigint,h:bigint,segments:{SEGMENTS}>>"
-
-
-def page_trees(pages: DataFrame, lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """(collection_id, page_number, lines): each page's lines in order with their segments in order; pages and lines without any keep empty lists."""
-    s = segments.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("segment_order", "x", "w", "closes"))).alias("segments"))
-    both = lines.join(s, LINE, "left").withColumn("segments", F.coalesce("segments", F.array().cast(SEGMENTS)))
-    one = both.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line_number", "type", "x", "y", "w", "h", "segments"))).alias("lines"))
-    return pages.select(*PAGE).join(one, PAGE, "left").select(*PAGE, F.coalesce("lines", F.array().cast(LINES)).alias("lines"))
 
 
 def as_json(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def tree_rows(documents: DataFrame, text: str = "lines") -> tuple[DataFrame, DataFrame]:
-    """Lines and segments of page documents in JSON. A segment without an order takes its place from 1, one without `closes` doesn't close."""
-    pages = documents.select(*PAGE, F.from_json(text, LINES).alias("lines"))
-    rows = pages.select(*PAGE, F.explode("lines").alias("l"))
-    lines = rows.select(*PAGE, "l.line_number", "l.type", "l.x", "l.y", "l.w", "l.h")
-    each = rows.select(*PAGE, "l.line_number", F.posexplode("l.segments").alias("i", "s"))
-    segments = each.select(*LINE, F.coalesce("s.segment_order", F.col("i") + 1).alias("segment_order"), "s.x", "s.w", F.coalesce("s.closes", F.lit(False)).alias("closes"))
-    return lines, segments
-
-
 def ordered_scan(lines: DataFrame) -> DataFrame:
     """Lines with their place in their collection's reading order."""
     return lines.select(*LINE, F.row_number().over(Window.partitionBy("collection_id").orderBy("page_number", "line_number")).cast("long").alias("place"))
@@ -55,18 +35,6 @@ def inspected_bundles(bundles: DataFrame, collections: DataFrame) -> DataFrame:
     return both.select("bundle_id", "collection_id", F.coalesce(F.col("name") != F.col("own_name"), F.lit(False)).alias("name_differs"), F.coalesce(F.col("first_page") != F.col("own_first"), F.lit(False)).alias("range_differs"), state.alias("state"))
 
 
-def replaced_pages(held: DataFrame, new: DataFrame) -> DataFrame:
-    """All lines after those of new's pages are replaced; new ones have no numbers yet, and their pages are no longer reviewed."""
-    kept = held.join(new.select(*PAGE).distinct(), PAGE, "left_anti").withColumn("replaced", F.lit(False))
-    return kept.unionByName(new.withColumn("chapter", F.lit(None).cast(held.schema["chapter"].dataType)).select(*held.columns).withColumn("replaced", F.lit(True)))
-
-
-def finalized(lines: DataFrame, given: DataFrame) -> DataFrame:
-    """Lines with given heights and tops over their own; all else stays."""
-    new = given.select(*LINE, F.col("y").alias("new_y"), F.col("h").alias("new_h"))
-    return lines.join(new, LINE, "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in ("y", "h") else F.col(c) for c in lines.columns))
-
-
 def bulk_saved(pages: DataFrame, flips: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages with `reviewed` set for the listed ones only; and one event for each collection's newly reviewed pages: a single page or a range."""
     new = flips.select(*PAGE, F.col("reviewed").alias("new"))
@@ -173,16 +141,3 @@ def exported_history(revisions: DataFrame, profiles: DataFrame) -> DataFrame:
     h = revisions.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("number", "kind", "digest"))).alias("history"))
     portable = F.map_filter("profile", lambda k, v: ~k.isin("mode", "activated_by", "activated_at"))
     return h.join(profiles.select(*PAGE, portable.alias("profile")), PAGE, "left")
-
-
-def restored_history(incoming: DataFrame, held: DataFrame, lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """Imported revisions fit into a target: numbers go on after the target's, rows are bound to its own line of the same page and number
-    with the old id kept beside, request ids in use are dropped, and the mode is `shadow`.
-
-    incoming: collection_id, page_number, number, line_number, line_id, request_id."""
-    current = held.groupBy(*PAGE).agg(F.max("number").alias("current"))
-    own = lines.select(*LINE, F.col("line_id").alias("own_id"))
-    used = requests.select("request_id").distinct().withColumn("used", F.lit(True))
-    both = incoming.join(current, PAGE, "left").join(own, LINE, "left").join(used, "request_id", "left")
-    moved = F.col("own_id").isNotNull() & (F.col("own_id") != F.col("line_id"))
-    return both.select(*PAGE, (F.col("number") + F.coalesce("current", F.lit(0))).alias("number"), "line_number", F.coalesce("own_id", "line_id").alias("line_id"), F.when(moved, F.col("line_id")).alias("source_line_id"), F.when(F.col("used").isNull(), F.col("request_id")).alias("request_id"), F.lit("shadow").alias("mode"))

@@ -295,4 +295,4 @@ def k07_throughput(spark, sf_dir):
     return J.throughput(_table(spark, sf_dir, "events"))
 
 
-from leafmark.plans import feeds, labels, layout, numbering, planning, review, schemes, trees  # noqa: E402, F401  (they add their queries)
+from leafmark.plans import bundles, feeds, labels, layout, numbering, planning, review, schemes, trees  # noqa: E402, F401  (they add their queries)

@@ -92,29 +92,11 @@ def b17_collection_steps(spark, sf_dir):
     return G.collection_steps(by.withColumn("n_worded", F.when(F.col("collection_id") % 6 == 0, F.col("n_pages")).otherwise(0)))
 
 
-_TREE = """sg AS (SELECT collection_id, page_number, line_number, list({'segment_order': segment_order, 'x': x, 'w': w, 'closes': closes} ORDER BY segment_order) AS segments FROM v_segment GROUP BY ALL),
-tr AS (SELECT collection_id, page_number, list({'line_number': line_number, 'type': type, 'x': x, 'y': y, 'w': w, 'h': h, 'segments': coalesce(segments, [])} ORDER BY line_number) AS lines FROM v_line LEFT JOIN sg USING (collection_id, page_number, line_number) GROUP BY ALL)"""
-
-
-@query(f"WITH {_TREE} SELECT collection_id, page_number, md5(coalesce(to_json(lines)::VARCHAR, '[]')) AS lines FROM v_page LEFT JOIN tr USING (collection_id, page_number)")
-def a05_a11_page_trees(spark, sf_dir):
-    return T.page_trees(*domain(spark, sf_dir, "page", "line", "segment")).withColumn("lines", F.md5(T.as_json(F.col("lines"))))
-
-
 @query("SELECT collection_id, page_number, line_number, row_number() OVER (PARTITION BY collection_id ORDER BY page_number, line_number) AS place FROM v_line")
 def a04_ordered_scan(spark, sf_dir):
     return T.ordered_scan(*domain(spark, sf_dir, "line"))
 
 
-@query("SELECT collection_id, page_number, line_number, CASE WHEN page_number % 2 = 0 THEN segment_order ELSE CAST(row_number() OVER (PARTITION BY collection_id, page_number, line_number ORDER BY segment_order) AS INT) END AS segment_order, x, w, CASE WHEN page_number % 2 = 0 THEN closes ELSE false END AS closes FROM v_segment")
-def a06_tree_rows(spark, sf_dir):
-    """Documents of odd pages have segments without order and closing marks."""
-    trees = T.page_trees(*domain(spark, sf_dir, "page", "line", "segment"))
-    bare = F.transform("lines", lambda l: l.withField("segments", F.transform(l["segments"], lambda s: F.struct(s["x"].alias("x"), s["w"].alias("w")))))
-    text = F.when(F.col("page_number") % 2 == 0, F.to_json("lines")).otherwise(F.to_json(bare))
-    return T.tree_rows(trees.select("collection_id", "page_number", text.alias("lines")))[1]
-
-
 @query("""WITH c AS (SELECT collection_id, page_number, line_number, string_agg(x, ',' ORDER BY segment_order) AS cuts FROM v_segment WHERE closes GROUP BY ALL) SELECT collection_id, page_number, line_number, coalesce(cuts, '') AS cuts FROM v_line LEFT JOIN c USING (collection_id, page_number, line_number) WHERE type = 'text'""")
 def a12_review_rows(spark, sf_dir):
     return T.review_rows(*domain(spark, sf_dir, "line", "segment")).withColumn("cuts", F.array_join("cuts", ","))
@@ -131,21 +113,6 @@ def a13_inspected_bundles(spark, sf_dir):
     return T.inspected_bundles(spark.sql(_BUNDLE.format("{d}"), d=docs), spark.sql(_TARGET.format("{d}"), d=docs))
 
 
-@query("""WITH h AS (SELECT collection_id, page_number, line_number, type, x % 9 AS chapter FROM v_line), n AS (SELECT collection_id, page_number, line_number + 1 AS line_number, type FROM v_line WHERE page_number % 4 = 1 AND line_number < 4)
-SELECT *, false AS replaced FROM h WHERE (collection_id, page_number) NOT IN (SELECT (collection_id, page_number) FROM n) UNION ALL SELECT *, NULL, true FROM n""")
-def j01_replaced_pages(spark, sf_dir):
-    (lines,) = domain(spark, sf_dir, "line")
-    held = lines.selectExpr("collection_id", "page_number", "line_number", "type", "x % 9 AS chapter")
-    return T.replaced_pages(held, lines.filter("page_number % 4 = 1 and line_number < 4").selectExpr("collection_id", "page_number", "line_number + 1 AS line_number", "type"))
-
-
-@query("SELECT collection_id, page_number, line_number, x, CASE WHEN x % 3 = 0 THEN y + 2 ELSE y END AS y, CASE WHEN x % 3 = 0 AND x % 2 = 0 THEN h - 1 ELSE h END AS h FROM v_line")
-def j06_finalized(spark, sf_dir):
-    (lines,) = domain(spark, sf_dir, "line")
-    given = lines.filter("x % 3 = 0").selectExpr("collection_id", "page_number", "line_number", "y + 2 AS y", "CASE WHEN x % 2 = 0 THEN h - 1 END AS h")
-    return T.finalized(lines.select("collection_id", "page_number", "line_number", "x", "y", "h"), given)
-
-
 _FLIPS = "CASE WHEN page_number % 5 = 2 THEN start_verse > 1 END"
 
 
@@ -263,18 +230,6 @@ def a08_exported_history(spark, sf_dir):
     return found.select("collection_id", "page_number", F.md5(T.as_json(F.col("history"))).alias("history"), flat.alias("profile"))
 
 
-@query("""WITH i AS (SELECT collection_id, page_number, review_id, number, CAST(number % 4 + 1 AS INT) AS line_number, 'old' || review_id AS line_id, 'q' || review_id * 10 + number AS request_id FROM v_revision WHERE collection_id % 2 = 0),
-c AS (SELECT collection_id, page_number, max(number) AS current FROM v_revision WHERE collection_id % 4 = 0 GROUP BY ALL), l AS (SELECT collection_id, CAST(page_number AS BIGINT) AS page_number, line_number, 'own' || x AS line_id FROM v_line WHERE line_number < 4), u AS (SELECT DISTINCT request_id FROM i WHERE review_id % 5 = 0)
-SELECT i.collection_id, i.page_number, number + coalesce(current, 0) AS number, i.line_number, coalesce(l.line_id, i.line_id) AS line_id, CASE WHEN l.line_id IS NOT NULL THEN i.line_id END AS source_line_id, CASE WHEN u.request_id IS NULL THEN i.request_id END AS request_id, 'shadow' AS mode
-FROM i LEFT JOIN c USING (collection_id, page_number) LEFT JOIN l ON l.collection_id = i.collection_id AND l.page_number = i.page_number AND l.line_number = i.line_number LEFT JOIN u ON u.request_id = i.request_id""")
-def a07_c20_restored_history(spark, sf_dir):
-    revisions, lines = domain(spark, sf_dir, "revision", "line")
-    incoming = revisions.filter("collection_id % 2 = 0").selectExpr("collection_id", "page_number", "number", "CAST(number % 4 + 1 AS INT) AS line_number", "concat('old', review_id) AS line_id", "concat('q', review_id * 10 + number) AS request_id")
-    own = lines.filter("line_number < 4").selectExpr("collection_id", "CAST(page_number AS BIGINT) AS page_number", "line_number", "concat('own', x) AS line_id")
-    used = revisions.filter("collection_id % 2 = 0 and review_id % 5 = 0").selectExpr("concat('q', review_id * 10 + number) AS request_id")
-    return T.restored_history(incoming, revisions.filter("collection_id % 4 = 0"), own, used)
-
-
 _MARKED = f"regexp_replace({{}}, '[{arabic.MARKS}]', '', 'g')"
 _FOLD = f"translate({{}}, '{arabic.ALEF_FORMS}', '{arabic.ALEF * len(arabic.ALEF_FORMS)}')"
 _FOUR, _THREE = "بِسْمِ ٱللَّهِ ٱلرَّحْمَٰنِ ٱلرَّحِيمِ", "بسم اللهالرحمن الرحيم"
