@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leafmark.operators.neighbours import nearest
 
+_PAGE = ["collection_id", "page_number"]
+
 #: Neighbours, least groups and pages, greatest distance, least margin to the other role, greatest ratio to it; weights of the two
 #: blocks of features and where the second begins.
 NEIGHBOURS, SUPPORT, PAGES, FAR, MARGIN, RATIO = 5, 5, 2, 0.15, 0.10, 0.5
@@ -133,10 +135,26 @@ def training_samples(approved: DataFrame, components: DataFrame, features: DataF
     return components.join(approved, "page_number", "left_semi").join(features, "sample_id").select("sample_id", "page_number", "role", "features")
 
 
-def profile(revisions: DataFrame, version: int, config: str) -> DataFrame:
-    """One digest for each collection of what its proposals rest on: version, configuration and the approved revisions in order."""
-    ids = F.array_join(F.sort_array(F.collect_list("revision_id")), ",")
-    return revisions.groupBy("collection_id").agg(F.sha2(F.concat_ws("|", F.lit(str(version)), F.lit(config), ids), 256).alias("profile"), F.count("*").alias("revisions"))
+def profiles(approvals: DataFrame, pages: DataFrame, settings: DataFrame, version: int, config: str) -> DataFrame:
+    """(collection_id, page_number, signature, min_pages, revisions): for each page a digest of what its proposals rest on, the feature version, the
+    configuration and the approved revisions of earlier pages in page order, and these. Opting in to experiments lets one page be enough.
+
+    approvals: collection_id, page_number, revision_id, one for each page; settings: collection_id, experimental. Pages with the same approvals
+    before them have one signature."""
+    marks = approvals.select(*_PAGE, "revision_id", F.lit(1).alias("kind")).unionByName(pages.select(*_PAGE, F.lit(None).cast(approvals.schema["revision_id"].dataType).alias("revision_id"), F.lit(0).alias("kind")))
+    # a page stands before the approval of its own
+    w = Window.partitionBy("collection_id").orderBy("page_number", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.withColumn("revisions", F.collect_list("revision_id").over(w)).filter("kind = 0")
+    rows = rows.join(settings.select("collection_id", "experimental"), "collection_id", "left")
+    least = F.when(F.coalesce("experimental", F.lit(False)), 1).otherwise(PAGES)
+    signature = F.sha2(F.concat_ws("|", F.lit(str(version)), F.lit(config), F.concat(F.lit("pages="), least), F.array_join("revisions", ",")), 256)
+    return rows.select(*_PAGE, signature.alias("signature"), least.alias("min_pages"), "revisions")
+
+
+def rebuilt_examples(profiles: DataFrame, samples: DataFrame) -> DataFrame:
+    """(collection_id, signature) with the samples of exactly the revisions that a profile records, whatever is approved now. samples: revision_id and others."""
+    recorded = profiles.select("collection_id", "signature", "revisions").dropDuplicates(["collection_id", "signature"])
+    return recorded.select("collection_id", "signature", F.explode("revisions").alias("revision_id")).join(samples, "revision_id")
 
 
 def role_errors(found: DataFrame, truth: DataFrame, group: list[str]) -> DataFrame:

@@ -125,6 +125,16 @@ def count_differences(built: DataFrame, expected: DataFrame, keys: list[str]) ->
     return both.filter(~F.col("built").eqNullSafe(F.col("expected")))
 
 
+def seed_totals(words: DataFrame, index: DataFrame, starts: DataFrame) -> DataFrame:
+    """(total, n) of what was built: word rows, their pieces, the running index's end, and each scheme's verses.
+
+    words: word rows with pieces; index: verses with start and n_words; starts: scheme, number."""
+    one = words.agg(F.count("*").alias("words"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"))
+    out = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("total"), F.col(c).cast("long").alias("n")) for c in ("words", "pieces")))).alias("t")).select("t.*")
+    end = index.agg(F.coalesce(F.max(F.col("start") + F.col("n_words") - 1), F.lit(0)).alias("n")).select(F.lit("index").alias("total"), F.col("n").cast("long").alias("n"))
+    return out.unionAll(end).unionAll(starts.groupBy("scheme").agg(F.count("*").alias("n")).select(F.concat(F.lit("verses:"), "scheme").alias("total"), "n"))
+
+
 def missing_members(required: DataFrame, held: DataFrame, key: str) -> DataFrame:
     """Required members that aren't held."""
     return required.select(key).exceptAll(held.select(key).distinct()).distinct()

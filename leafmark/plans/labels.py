@@ -108,10 +108,28 @@ def h07_training_samples(spark, sf_dir):
     return found.select("sample_id", "page_number", "role", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("WITH r AS (SELECT collection_id, review_id * 100 + number AS revision_id FROM v_revision WHERE kind = 'assistant') SELECT collection_id, sha256(concat_ws('|', '3', 'k=5', string_agg(revision_id, ',' ORDER BY revision_id))) AS profile, count(*) AS revisions FROM r GROUP BY collection_id")
-def h08_profiles(spark, sf_dir):
+# a page's first approval is what profiles were made from; later ones are approved now
+_APPROVALS = "SELECT collection_id, page_number, min(review_id * 100 + number) AS revision_id FROM {r} WHERE kind = 'assistant' AND review_id % 4 <> 2 GROUP BY collection_id, page_number"
+_SAMPLES = "SELECT review_id * 100 + number AS revision_id, review_id * 1000 + number * 10 + k AS sample_id, CASE WHEN (number + k) % 2 = 0 THEN 'body' ELSE 'mark' END AS role FROM {r} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) z WHERE kind = 'assistant'"
+_PROFILES = f"""ap AS ({_APPROVALS.format(r='v_revision')}), pg AS (SELECT DISTINCT collection_id, page_number FROM v_revision), rv AS (SELECT pg.collection_id, pg.page_number, list(revision_id ORDER BY ap.page_number) FILTER (revision_id IS NOT NULL) AS revisions FROM pg LEFT JOIN ap ON ap.collection_id = pg.collection_id AND ap.page_number < pg.page_number GROUP BY ALL),
+pf AS (SELECT collection_id, page_number, CASE WHEN collection_id % 3 = 0 THEN 1 ELSE 2 END AS min_pages, coalesce(revisions, []) AS revisions FROM rv), ps AS (SELECT *, sha256(concat_ws('|', '3', 'k=5', 'pages=' || min_pages, array_to_string(revisions, ','))) AS signature FROM pf)"""
+
+
+def _profiles(spark, sf_dir):
     (revisions,) = domain(spark, sf_dir, "revision")
-    return H.profile(revisions.filter("kind = 'assistant'").selectExpr("collection_id", "review_id * 100 + number AS revision_id"), 3, "k=5")
+    pages = revisions.select("collection_id", "page_number").distinct()
+    settings = pages.select("collection_id").distinct().withColumn("experimental", F.col("collection_id") % 3 == 0)
+    return H.profiles(spark.sql(_APPROVALS.format(r="{r}"), r=revisions), pages, settings, 3, "k=5"), spark.sql(_SAMPLES.format(r="{r}"), r=revisions)
+
+
+@query(f"WITH {_PROFILES} SELECT collection_id, page_number, signature, min_pages, len(revisions) AS n_revisions FROM ps")
+def h08_profiles(spark, sf_dir):
+    return _profiles(spark, sf_dir)[0].select("collection_id", "page_number", "signature", "min_pages", F.size("revisions").cast("long").alias("n_revisions"))
+
+
+@query(f"WITH {_PROFILES}, d AS (SELECT DISTINCT collection_id, signature, revisions FROM ps), x AS (SELECT collection_id, signature, unnest(revisions) AS revision_id FROM d), s AS ({_SAMPLES.format(r='v_revision')}) SELECT collection_id, signature, revision_id, sample_id, role FROM x JOIN s USING (revision_id)")
+def h08_rebuilt_examples(spark, sf_dir):
+    return H.rebuilt_examples(*_profiles(spark, sf_dir))
 
 
 @query("SELECT page_number, count(*) FILTER (truth = 'body' AND predicted = 'mark') AS body_as_mark, count(*) FILTER (truth = 'mark' AND predicted = 'body') AS mark_as_body FROM v_truth WHERE truth IS NOT NULL GROUP BY page_number")

@@ -151,6 +151,24 @@ def d10_l01_l02_l07_seed_problems(spark, sf_dir):
     return S.problem_list(count=S.count_differences(built, expected, ["scheme", "chapter"]), missing=S.missing_members(required, starts, "scheme"))
 
 
+# every eleventh word row was lost, and one scheme is expected to have a verse more
+_PIECES = "length(regexp_replace(token, '[^aeiou]', '', 'g')) + 1"
+_TOTALS = f"""built AS (SELECT 'words' AS total, count(*) AS n FROM v_token WHERE pos % 11 <> 7 UNION ALL SELECT 'pieces', CAST(sum({_PIECES}) AS BIGINT) FROM v_token WHERE pos % 11 <> 7 UNION ALL SELECT 'index', max(start + n_words - 1) FROM idx UNION ALL SELECT 'verses:' || scheme, count(*) FROM starts GROUP BY scheme),
+want AS (SELECT 'words' AS total, CAST(sum(n_words) AS BIGINT) AS n FROM v_verse UNION ALL SELECT 'pieces', CAST(sum({_PIECES}) AS BIGINT) FROM v_token UNION ALL SELECT 'index', CAST(sum(n_words) AS BIGINT) FROM v_verse UNION ALL SELECT 'verses:' || scheme, count(*) + CASE scheme WHEN 'split' THEN 1 ELSE 0 END FROM starts GROUP BY scheme)"""
+
+
+@query(f"WITH {_STARTS}, {_TOTALS} SELECT total, b.n AS built, w.n AS expected FROM built b FULL JOIN want w USING (total) WHERE b.n IS DISTINCT FROM w.n")
+def d10_total_problems(spark, sf_dir):
+    tokens, verses = domain(spark, sf_dir, "token", "verse")
+    index, deltas = _index(spark, sf_dir)
+    starts = S.scheme_starts(index, deltas, SCHEMES)
+    words = tokens.withColumn("pieces", F.char_length(F.regexp_replace("token", "[^aeiou]", "")) + 1)
+    whole = words.agg(F.sum("pieces").alias("n")).select(F.lit("pieces").alias("total"), F.col("n").cast("long").alias("n"))
+    sizes = verses.agg(F.sum("n_words").alias("n")).select(F.explode(F.array(*(F.struct(F.lit(t).alias("total"), F.col("n").cast("long").alias("n")) for t in ("words", "index")))).alias("t")).select("t.*")
+    schemes = starts.groupBy("scheme").agg(F.count("*").alias("n")).select(F.concat(F.lit("verses:"), "scheme").alias("total"), (F.col("n") + F.when(F.col("scheme") == "split", 1).otherwise(0)).alias("n"))
+    return S.count_differences(S.seed_totals(words.filter("pos % 11 <> 7"), index, starts), whole.unionAll(sizes).unionAll(schemes), ["total"])
+
+
 # two boundaries inside a verse and one at its end; the other source lacks some, has some elsewhere and some that we don't have
 _OURS = "SELECT chapter, verse, CASE pos % 9 WHEN 8 THEN 'end' ELSE 'internal' END AS kind, token AS word, pos % 9 + 1 AS position FROM {} WHERE pos % 9 IN (2, 5, 8) AND (chapter + verse) % 3 = 0"
 _THEIRS = "SELECT chapter, verse, kind, word, position + CASE WHEN chapter % 5 = 0 AND position = 3 THEN 1 ELSE 0 END AS position FROM {o} WHERE (verse + position) % 7 <> 3 UNION ALL SELECT chapter, verse, 'internal', token, pos % 9 + 1 FROM {t} WHERE pos % 9 = 0 AND chapter % 8 = 0"
