@@ -2,8 +2,8 @@
 
 Terms are learned from a bounded sample of labelled rows: words, or beginnings of words, that stand in toxic texts
 and hardly in others; copies of one text count once. The trie of the terms
-and the Levenshtein automaton of each (one edit for whole words of FUZZY_LENGTH letters or more) are intersected into
-one deterministic automaton, which reads all tokens of a batch at once. Each hit's weight is the share of toxic texts among
+and the Levenshtein automaton of each (one edit of a code point for whole words of FUZZY_LENGTH letters or more) are intersected
+into one deterministic automaton, which reads all tokens of a batch at once. Each hit's weight is the share of toxic texts among
 the sample's texts with such a hit; a hit that its window of words shows as quoted counts for little (QUOTED), and
 hits of a text add up as independent evidence.
 
@@ -54,10 +54,17 @@ def tokens(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return left, np.maximum(last, left), first
 
 
+def points(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's code points, A-Z lower-cased, and for each byte how many code points begin before it."""
+    letters = np.frombuffer(part.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    small = np.where((letters >= 65) & (letters <= 90), letters + np.uint32(32), letters)
+    return small, np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+
+
 class Term:
     __slots__ = ("edits", "prefix", "text")
 
-    def __init__(self, text: bytes, prefix: bool):
+    def __init__(self, text: str, prefix: bool):
         self.text, self.prefix = text, prefix
         self.edits = int(not prefix and len(text) >= FUZZY_LENGTH)
 
@@ -75,17 +82,17 @@ class Automaton:
         for k, term in enumerate(terms):
             node = 0
             room[0] = max(room[0], term.edits)
-            for byte in term.text:
-                if byte not in children[node]:
-                    children[node][byte] = len(children)
+            for letter in map(ord, term.text):
+                if letter not in children[node]:
+                    children[node][letter] = len(children)
                     children.append({})
                     ends.append(-1)
                     room.append(0)
-                node = children[node][byte]
+                node = children[node][letter]
                 room[node] = max(room[node], term.edits)
             ends[node] = k
-        letters = sorted({b for t in terms for b in t.text})
-        self.letter = np.zeros(256, np.int64)  # 0: in no term
+        letters = sorted({ord(c) for t in terms for c in t.text})
+        self.letter = np.zeros(max(letters, default=0) + 2, np.int64)  # 0: in no term, and the last for all letters beyond
         self.letter[letters] = np.arange(1, len(letters) + 1)
         self.longest = max((len(t.text) + t.edits for t in terms), default=0)
 
@@ -103,15 +110,15 @@ class Automaton:
             hit = [ends[node] for node, e in state if e == 0 and ends[node] >= 0 and terms[ends[node]].prefix]
             return hit[0] if hit else -1
 
-        def step(state: frozenset, byte: int) -> frozenset:
+        def step(state: frozenset, letter: int) -> frozenset:
             found: dict[int, int] = {}
             for node, e in state:
-                if (child := children[node].get(byte)) is not None and e <= room[child]:
+                if (child := children[node].get(letter)) is not None and e <= room[child]:
                     found[child] = min(found.get(child, 9), e)
                 if e < room[node]:
                     found[node] = min(found.get(node, 9), e + 1)
                 for other, child in children[node].items():
-                    if other != byte and e + 1 <= room[child]:
+                    if other != letter and e + 1 <= room[child]:
                         found[child] = min(found.get(child, 9), e + 1)
             return closed(found)
 
@@ -127,8 +134,8 @@ class Automaton:
                 rows.append([at] * (len(letters) + 1))
             else:
                 row = []
-                for byte in [-1, *letters]:
-                    following = step(state, byte)
+                for letter in [-1, *letters]:
+                    following = step(state, letter)
                     if following not in number:
                         number[following] = len(order)
                         order.append(following)
@@ -147,7 +154,7 @@ class Automaton:
                 self.edits[k], self.term[k] = min(hits)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The state in which each token ends."""
+        """The state in which each token ends. data: code points, A-Z lower-cased; starts and ends count these."""
         state = np.ones(len(starts), np.int32)
         alive = np.flatnonzero(ends > starts)
         state[ends <= starts] = 0
@@ -155,19 +162,19 @@ class Automaton:
             alive = alive[starts[alive] + k < ends[alive]]
             if not len(alive):
                 break
-            state[alive] = self.moves[state[alive], self.letter[_LOWER[data[starts[alive] + k]]]]
+            state[alive] = self.moves[state[alive], self.letter[np.minimum(data[starts[alive] + k], len(self.letter) - 1)]]
             alive = alive[state[alive] > 0]
         return state
 
 
-def _words(text: str) -> list[bytes]:
+def _words(text: str) -> list[str]:
     raw = text.encode()
     starts, ends, _ = tokens(Slice(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
     lower = raw.translate(bytes(_LOWER))
-    return [lower[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [lower[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _copies(texts: list[list[bytes]], minima: int = 8) -> list[int]:
+def _copies(texts: list[list[str]], minima: int = 8) -> list[int]:
     """A group number for each of a sample's texts: texts that share one of their smallest pair hashes are copies."""
     group = list(range(len(texts)))
 
@@ -179,7 +186,7 @@ def _copies(texts: list[list[bytes]], minima: int = 8) -> list[int]:
 
     first: dict[int, int] = {}
     for k, words in enumerate(texts):
-        for h in sorted({zlib.crc32(b" ".join(words[i : i + 2])) for i in range(max(1, len(words) - 1))})[:minima]:
+        for h in sorted({zlib.crc32(" ".join(words[i : i + 2]).encode()) for i in range(max(1, len(words) - 1))})[:minima]:
             group[root(k)] = root(first.setdefault(h, k))
     return [root(k) for k in range(len(texts))]
 
@@ -191,7 +198,7 @@ def learn_terms(sample: list[tuple[str, int]], most: int = TERMS, support: int =
     if not n_toxic or not n_clean:
         return []
 
-    def beginnings(w: bytes) -> list[tuple[bytes, bool]]:
+    def beginnings(w: str) -> list[tuple[str, bool]]:
         return [(w, False), *((w[:m], True) for m in PREFIXES if m < len(w))]
 
     of_copy: dict[int, set] = defaultdict(set)
@@ -201,7 +208,7 @@ def learn_terms(sample: list[tuple[str, int]], most: int = TERMS, support: int =
     n = len(of_copy)
     support = max(support, round(SUPPORT_SHARE * n))
     often = Counter(c for words in of_copy.values() for w in words for c in beginnings(w))
-    inside: dict[tuple[bytes, bool], set] = {c: set() for c, k in often.items() if k >= support}
+    inside: dict[tuple[str, bool], set] = {c: set() for c, k in often.items() if k >= support}
     del often
     for d, words in of_copy.items():
         for w in words:
@@ -215,7 +222,7 @@ def learn_terms(sample: list[tuple[str, int]], most: int = TERMS, support: int =
         if not label:
             clean_df.update({c for w in set(_words(text)) for c in beginnings(w) if c in fit})
 
-    def worth(c: tuple[bytes, bool], pairs: set) -> float:
+    def worth(c: tuple[str, bool], pairs: set) -> float:
         """Pairs explained less the clean texts that it would accuse, each as ten."""
         return len(pairs) - 10.0 * clean_df[c] * n_toxic / n_clean
 
@@ -248,7 +255,8 @@ class ToxicityModel:
         found: list[list[tuple[int, int, bool]]] = [[] for _ in range(part.n)]
         raw_starts, raw_ends, first = word_bounds(part)
         starts, ends, _ = tokens(part)
-        state = self.automaton.run(part.data, starts, ends)
+        letters, before = points(part)
+        state = self.automaton.run(letters, before[starts], before[ends])
         at = np.flatnonzero(self.automaton.term[state] >= 0)
         of = np.searchsorted(first, at, "right") - 1
         for k, d in zip(at.tolist(), of.tolist(), strict=True):

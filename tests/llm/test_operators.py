@@ -191,19 +191,21 @@ def test_ring(docs, none):
 def test_toxicity_automaton():
     import numpy as np
 
-    terms = [toxicity.Term(b"idiot", False), toxicity.Term(b"vequ", True), toxicity.Term(b"scum", False)]
+    terms = [toxicity.Term("idiot", False), toxicity.Term("vequ", True), toxicity.Term("scum", False), toxicity.Term("crétin", False)]
     a = toxicity.Automaton(terms)
 
     def hit(word):
-        raw = np.frombuffer(word, np.uint8)
-        s = a.run(raw, np.array([0]), np.array([len(raw)]))[0]
+        raw = word.encode()
+        letters, before = toxicity.points(toxicity.Slice(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        s = a.run(letters, before[[0]], before[[len(raw)]])[0]
         return (int(a.term[s]), int(a.edits[s])) if a.term[s] >= 0 else None
 
-    assert [hit(w) for w in (b"idiot", b"IDIOT", b"idoit", b"idiott", b"idot", b"1diot", b"idi0t", b"vequanything", b"veq", b"scum", b"scam")] == [(0, 0), (0, 0), None, (0, 1), (0, 1), (0, 1), (0, 1), (1, 0), None, (2, 0), None]
+    assert [hit(w) for w in ("crétin", "cretin", "crêtin", "crétiné", "crétîñ", "CRéTIN", "😀rétin")] == [(3, 0), (3, 1), (3, 1), (3, 1), None, (3, 0), (3, 1)]
+    assert [hit(w) for w in ("idiot", "IDIOT", "idoit", "idiott", "idot", "1diot", "idi0t", "vequanything", "veq", "scum", "scam")] == [(0, 0), (0, 0), None, (0, 1), (0, 1), (0, 1), (0, 1), (1, 0), None, (2, 0), None]
 
 
 def test_toxicity_quotes(spark, none):
-    model = toxicity.ToxicityModel([toxicity.Term(b"idiot", False)], 0.01)
+    model = toxicity.ToxicityModel([toxicity.Term("idiot", False)], 0.01)
     model.weight[:] = 0.9
     table = spark.createDataFrame([(1, "you idiot go"), (2, 'they wrote "you idiot" there'), (3, None), (4, "")], "doc_id long, text string")
     got = {r.row: r.score for r in toxicity.score_documents(table, model).collect()}

@@ -88,7 +88,7 @@ def test_toxicity_stage(spark, sf_dir):
     def hits(text):
         found = []
         for w in WORD.findall(text or ""):
-            w = re.sub(r"^[^0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff]+$", "", w).encode().lower()
+            w = re.sub(r"^[^0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff]+$", "", w).translate({c: c + 32 for c in range(65, 91)})
             prefix = [k for k, t in enumerate(terms) if t.prefix and w.startswith(t.text)]
             near = sorted((_distance(w, t.text), k) for k, t in enumerate(terms) if not t.prefix)
             if prefix:
