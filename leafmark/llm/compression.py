@@ -17,18 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import documents, in_fold, labels, mapped
 
-#: Most rows of each class that the model is fitted on.
-SAMPLE = 3000
+#: Most rows of each class that the model is fitted on, and most bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
 PIECE, DICTIONARY, LEVEL = 1000, 110 << 10, 3
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, each: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Up to `each` texts of class 0 and of class 1, the first by hash of the id, and how many rows each class has."""
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, each: int = SAMPLE, id_col: str = "doc_id", text: str = "text", most: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Up to `each` texts of class 0 and of class 1, the first by hash of the id, as many of these as hold `most` bytes together, and how many rows
+    each class has."""
     known = marks.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ids = [r for k in (0, 1) for r in known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(each).collect()]
@@ -36,6 +37,8 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, each: int = S
         return [], counts
     chosen = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in ids], known.schema)
     got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.first("label").alias("label"))  # 2 * each rows
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    got = got.withColumn("so_far", so_far).filter(F.col("so_far") <= most)
     return [(r["text"], r["label"]) for r in got.orderBy("id").collect()], counts
 
 

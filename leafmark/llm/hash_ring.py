@@ -1,13 +1,13 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 Each shard owns `virtual` points of a ring of 2**32 positions; a row belongs to the first point at or after the
-hash of its id. Shards hold floor or ceil of rows / shards (law "rows"), so that counts are at most one apart. Rows
+hash of its id and its text's checksum. Shards hold floor or ceil of rows / shards (law "rows"), so that counts are at most one apart. Rows
 are placed in ring order; those that find their shard full go on clockwise to the next shard with room. Only counts
 for each arc of the ring (shards * virtual numbers, however many rows there are) meet in one place: there a fold
 gives each arc's runs of ranks to shards, and rows take their shard by arc and rank.
 
-Cases: rows with equal ids share a position and are ranked by size and checksum; equal rows are interchangeable; a
-null id hashes as an empty one; a null text is empty; an empty table gives an empty result; other columns are ignored.
+Cases: rows with equal ids and different texts stand apart; equal rows share a position and are interchangeable; a
+null id hashes as an empty one, with its text; a null text is empty; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,8 +74,9 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, i
     """doc_id, size, text_crc32, home_shard, shard and slot of every row."""
     points = ring(docs.sparkSession, shards, virtual)
     body = F.coalesce(F.col(text), F.lit(""))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.md5(name).alias("hash"), _position(name).alias("at"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    hash_ = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32"))
+    rows = rows.withColumn("hash", hash_).withColumn("at", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"))
     rows = rows.withColumn("cell", F.shiftright("at", 20)).join(F.broadcast(_cells(points)), "cell")  # CELLS rows at any size
     arc = F.col("before") + F.size(F.filter("inside", lambda p: p < F.col("at")))
     rows = rows.withColumn("arc", (arc % F.col("points")).cast("int")).select("doc_id", "size", "text_crc32", "hash", "arc")

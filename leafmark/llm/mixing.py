@@ -92,13 +92,15 @@ def _narrow_up(totals: DataFrame, tokens: float, repeats: float) -> float:
     return low / (1 << 30)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", gain: float = GAIN, repeats: float = REPEATS, budget: float | str = "tokens", seed: str = SEED) -> tuple[DataFrame, float]:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", gain: float = GAIN, repeats: float = REPEATS, budget: float | str = "tokens", seed: str = SEED, digits: int = BLOCK_DIGITS) -> tuple[DataFrame, float]:
     """Every row as a struct `row` with source, n_tokens, weight, copies and reached (its source's tokens up to it in the permuted
     order of blocks, which decides who gets one copy more); and the exponent.
 
-    budget: "tokens" for as many tokens as there are, "cover" for as many as give each source a whole pass, or a number."""
+    budget: "tokens" for as many tokens as there are, "cover" for as many as give each source a whole pass, or a number.
+    digits: hex digits of the key that name a block; 16 ** digits blocks of a source, one window each, so a source of more rows wants more. The order
+    within a source is that of the whole keys, so the result doesn't depend on it."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("source"), _words(text).alias("n_tokens"), key.alias("key")).withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(source), F.lit("")).alias("source"), _words(text).alias("n_tokens"), key.alias("key")).withColumn("block", F.substring("key", 1, digits))
     light = rows.select("source", "block", "n_tokens")
     blocks = written(light.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens")), "mix-blocks")
     totals = written(blocks.groupBy("source").agg(F.sum("block_tokens").alias("n_tokens")), "mix-sources")
@@ -117,7 +119,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     plan = plan.select(F.col("source").alias("of"), "weight", F.when(F.col("n_tokens") > 0, F.floor(F.col("quota") / F.col("n_tokens"))).otherwise(1).alias("passes"), F.when(F.col("n_tokens") > 0, F.col("quota") % F.col("n_tokens")).otherwise(-1).alias("rest"))
     before = F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("source", "block", F.coalesce(before, F.lit(0)).alias("offset")).join(plan, F.col("source") == F.col("of")).drop("of")
-    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key", F.col(f"row.{id_col}"), "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key", F.col(f"row.`{id_col}`"), "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("inside", inside).join(offsets, ["source", "block"])
     reached = F.col("offset") + F.col("inside")
     copies = F.col("passes") + F.when(reached <= F.col("rest"), 1).otherwise(0)

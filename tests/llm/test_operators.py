@@ -327,3 +327,82 @@ def test_blocks_lose_no_link(spark, monkeypatch, texts):
                 low, high = sorted((of[a], of[b]))
                 of = {n: low if c == high else c for n, c in of.items()}
     assert {n: got.get(n, n) for n in names} == of and 4 < len(set(of.values())) < 100
+
+
+def plain_ring(rows, shards, virtual):
+    """(id, text) -> (home shard, shard, slot), by walking the ring."""
+    points = sorted((int(hashlib.md5(f"shard:{s}:{v}".encode()).hexdigest()[:8], 16), s, v) for s in range(shards) for v in range(virtual))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    placed, used, out = {}, [0] * shards, []
+    for i, t in rows:
+        raw = (t or "").encode()
+        key = hashlib.md5(f"{'' if i is None else i}:{zlib.crc32(raw)}".encode()).hexdigest()
+        at = next((k for k, p in enumerate(points) if p[0] >= int(key[:8], 16)), 0)
+        placed.setdefault(at, []).append((key, -1 if i is None else i, len(raw) + 16, zlib.crc32(raw), (i, t)))
+    for at in range(len(points)):
+        for *_, row in sorted(placed.get(at, []), key=lambda r: r[:4]):
+            k = at
+            while used[points[k % len(points)][1]] == room[points[k % len(points)][1]]:
+                k += 1
+            shard = points[k % len(points)][1]
+            out.append((row, points[at][1], shard, used[shard]))
+            used[shard] += 1
+    return out
+
+
+def test_ring_equals_a_plain_walk(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(None, None), (None, "a"), (None, "b"), (7, "another seven"), (8, "é" * 40_000)] + [(None, "same")] * 40
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, slot int, hash string")
+    got = [((r.doc_id, r.text_crc32), r.home_shard, r.shard, r.slot) for r in hash_ring.ring_shards(docs, 7, 5).collect()]
+    want = [((i, zlib.crc32((t or "").encode())), home, shard, slot) for (i, t), home, shard, slot in plain_ring(rows, 7, 5)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_few_rows_move(spark):
+    """One shard more takes its share and little else moves; 1 % rows more move few of the old ones."""
+    docs = spark.range(4000).select("id", "id").toDF("doc_id", "n").selectExpr("doc_id", "concat('text ', n) AS text")
+    at = lambda df, shards: {r.doc_id: r.shard for r in hash_ring.ring_shards(df, shards, 64).collect()}
+    base = at(docs, 40)
+    grown, more = at(docs, 41), at(docs.union(spark.range(4000, 4040).selectExpr("id", "concat('text ', id)")), 40)
+    moved = [sum(base[i] != x[i] for i in base) / len(base) for x in (grown, more)]
+    assert moved[0] < 0.15 and moved[1] < 0.10, moved
+
+
+def test_mixing_with_a_dot_in_a_name(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x", f"s{i % 2}", i) for i in range(40)], "doc_id long, text string, source string, `a.b` int")
+    placed, _ = mixing.mixed(docs)
+    assert placed.select("row.`a.b`").count() == 40
+    other = {r.row.doc_id: (r.copies, r.reached) for r in mixing.mixed(docs, digits=1)[0].collect()}
+    assert other == {r.row.doc_id: (r.copies, r.reached) for r in placed.collect()}
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sample, counts = compression.labelled_sample(docs, marks, "quality", most=5500)
+    assert counts == {0: 20, 1: 20} and sorted(label for _, label in sample) == [0] * 5 + [1] * 5
+
+
+def test_compression_scores_equal_plain_sizes(spark):
+    """Scores of whole texts against the formula over compressed sizes, piece by piece, with repeats, ties and a long text."""
+    import math
+
+    import zstandard
+
+    good, bad = [f"the calm river number {k} runs on through the hills" for k in range(40)], [f"$$$ win {k} !!! %%% now now now" for k in range(40)]
+    model = compression.CompressionClassifier.fit([(t, 1) for t in good] + [(t, 0) for t in bad], {0: 40, 1: 40})
+    texts = [good[0], good[0], bad[0], "", None, "river " * 4000, "é" * 1501]
+    docs = spark.createDataFrame([(k % 6, t, 0.5) for k, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = sorted((r.doc_id, round(r.score, 9)) for r in compression.score_documents(docs, model).collect())
+
+    def plain(text):
+        raw, sizes = (text or "").encode(), []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=compression.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + compression.PIECE])) for i in range(0, len(raw), compression.PIECE)))
+        x = [(sizes[1] - sizes[0]) / len(raw), sizes[0] / len(raw)] if raw else [0.0, 0.0]
+        line = model.coefficients[0] + sum(c * v / s for c, v, s in zip(model.coefficients[1:], x, model.scale))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, line))))
+
+    want = sorted((k % 6, round(plain(t), 9)) for k, t in enumerate(texts))
+    assert got == want and got[0][1] > 0.5
