@@ -10,8 +10,9 @@
    components. Not all pairs are made: in each of ROUNDS rounds every text outside the largest component of a bucket is
    compared with one text, the least (in an order that changes with the round) that its buckets offer from their largest
    components. Where a bucket still holds several components after that, its texts outside the largest one are compared with
-   all of other components that share a rare shingle with them early enough: similar texts share one of the rarest shingles that
-   hold 1 - THRESHOLD of their weights (`prefix`), so no pair that could join two components is left out.
+   all of other components that could be similar, block by block: similar texts share one of the rarest shingles that hold
+   1 - THRESHOLD of their weights (`prefix`), and only blocks with such a shingle in common meet, so no pair that could join two
+   components is left out.
 
 Cases: null and empty texts have no shingles and are one class; a text under SHINGLE words is like others with the same words only;
 equal texts are one class; rows with one id and different texts are different nodes with that id; a null id is kept, with the
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import Slice, documents, lookup_join, mapped, mix, range_hashes, slices, sums, word_bounds, written, written_n
+from leafmark.llm.common import Slice, documents, give_back, lookup_join, mapped, mix, range_hashes, slices, sums, word_bounds, written, written_n
 from leafmark.llm.lookup import bucket_number, bucket_of, counted_blocks, get, low_bits
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,7 +39,9 @@ RARE = 0.25
 #: A pair at the threshold shares no band with probability (1 - 0.8**3)**20 < 1e-6.
 BANDS, ROWS = 20, 3
 #: Rounds in which a text is compared with one other before all that are left.
-ROUNDS = 4
+ROUNDS = 2
+#: Texts, and bytes of their vectors, that are compared with another block's at a time.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 16 << 20
 
 
 def shingles(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -64,25 +67,38 @@ def distinct(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[first], np.diff(np.append(first, len(h))), np.searchsorted(d[first], np.arange(len(at)))
 
 
-_ONE = np.float64(2.0**-64)
-
-
-def _uniform(x: np.ndarray) -> np.ndarray:
-    return (x.astype(np.float64) + 0.5) * _ONE
+_SEEDS = mix((np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+_SCALE = np.float32(2.0**-32)
+#: Shingles times samples that are drawn at a time: about what a processor's cache holds.
+CELLS = 1 << 15
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The BANDS * ROWS consistent weighted samples (shingle and quantised weight, hashed) of one text."""
-    log_w = np.log(weights)
-    out = np.empty(BANDS * ROWS, np.uint64)
-    for k in range(len(out)):
-        u = [mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (5 * k + j) % 2**64)) for j in range(1, 6)]
-        u = [_uniform(x) for x in u]
-        r, c, beta = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]  # two Gamma(2, 1) and a uniform
-        t = np.floor(log_w / r + beta)
-        a = np.log(c) - r * (t - beta) - r
-        best = int(np.argmin(a))
-        out[k] = hashes[best] ^ mix(np.array([int(t[best])], np.int64).view(np.uint64))[0]
+    """The BANDS * ROWS consistent weighted samples (shingle and quantised weight, hashed) of one text.
+
+    A shingle and a sample draw r and c from Gamma(2, 1), each minus the logarithm of a product of two uniform numbers, and b from [0, 1);
+    t = floor(ln w / r + b), and the shingle of least ln c - r (t - b) - r is taken with its t."""
+    log_w = np.log(weights).astype(np.float32)
+    best = np.full(len(_SEEDS), np.inf, np.float32)
+    out = np.zeros(len(_SEEDS), np.uint64)
+    columns = np.arange(len(_SEEDS))
+    step = max(1, CELLS // len(_SEEDS))
+    for k in range(0, len(hashes), step):
+        some = hashes[k : k + step]
+        x = mix(some[:, None] ^ _SEEDS[None, :])
+        u = x.view("<u2").reshape(*x.shape, 4).astype(np.float32)
+        u += np.float32(0.5)
+        less_r, ln_c = np.log(u[..., 0] * u[..., 1] * _SCALE), np.log(-np.log(u[..., 2] * u[..., 3] * _SCALE))
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        b = (x >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        t = np.floor(b - log_w[k : k + step, None] / less_r)
+        ln_c += less_r * (t - b + np.float32(1))
+        at = ln_c.argmin(0)
+        low = ln_c[at, columns]
+        new = low < best
+        best[new] = low[new]
+        out[new] = (some[at] ^ mix(t[at, columns].astype(np.int64).view(np.uint64)))[new]
     return mix(out)
 
 
@@ -276,26 +292,86 @@ def similar(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUN
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
     open_ = held.join(mixed.select("key", F.col("most.component").alias("largest")), "key")
     open_ = open_.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("largest")).alias("outside"))
-    one = F.transform("rare", lambda x, i: F.struct(x.alias("shingle"), F.get("rare", i - 1).alias("previous"), F.get("before", i).alias("before")))
-    some = open_.join(vectors.select("id", "total", F.explode(one).alias("s")), "id")
-    some = written(some.select("id", "component", "total", "outside", "s.shingle", "s.previous", (F.col("total") - F.col("s.before")).alias("left")), "rare-shingles")
-    shared = some.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("last"), F.bool_or("outside").alias("any")).filter("least <> last and any")
-    some = some.join(shared.select("shingle"), "shingle", "left_semi")
-    columns = ["id", "component", "total", "outside", "left", "previous"]
-    a = some.filter("outside").select("shingle", *(F.col(c).alias(f"{c}_a") for c in columns))
-    b = some.select("shingle", *(F.col(c).alias(f"{c}_b") for c in columns))
-    # all that two texts share from their first common shingle on weighs what is left of either from there at most
-    whole = F.col("total_a") + F.col("total_b")
-    enough = F.least("left_a", "left_b") >= whole * (threshold / (1 + threshold) * (1 - 1e-6))
-    # where the rare shingles before are one, an earlier shingle has made the pair
-    first = F.coalesce(F.col("previous_a") != F.col("previous_b"), F.lit(True))
-    rest = (a["shingle"] == b["shingle"]) & (F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("id_a") > F.col("id_b"))) & enough & first
-    pairs, n = written_n(a.join(b, rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "pairs")
-    if n:
-        more, n = written_n(_verified(pairs, vectors, threshold), "links")
-        if n:
-            found = extended(found, more)
-    return found
+    links = _linked_blocks(open_, vectors, threshold)
+    return found if links is None else extended(found, links)
+
+
+def _linked_blocks(open_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between texts of different components, of which one is outside: for any two components with such a pair, at least one;
+    None if there are none. open_: (id, component, outside).
+
+    Texts meet by blocks, not one by one: a text belongs to the shingle of its prefix that most of these texts share, and such a cluster is
+    split by hash into blocks of BLOCK_TEXTS texts or BLOCK_BYTES of vectors. Two blocks meet if they share a shingle of prefixes from
+    which on enough weight is left in both, and then all their texts are compared. So rows grow with blocks that have something to
+    compare, and a vector moves once for each such block, not for each pair."""
+    one = F.transform("rare", lambda x, i: F.struct(x.alias("shingle"), F.get("before", i).alias("before")))
+    size = (F.octet_length("hashes") + F.octet_length("weights")).cast("long")
+    some = open_.join(vectors.select("id", "total", size.alias("size"), F.explode(one).alias("s")), "id")
+    some = written(some.select("id", "component", "total", "outside", "size", "s.shingle", (F.col("total") - F.col("s.before")).alias("left")), "rare-shingles")
+    counts = some.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("last"), F.bool_or("outside").alias("any"))
+    shared = counts.filter("least <> last and any").select("shingle", "n", F.col("n").alias("texts"))
+    some = written(lookup_join(some, shared, "shingle", "n", ["texts"]).filter("texts is not null"), "shared-shingles")
+    texts = some.groupBy("id").agg(*(F.first(c).alias(c) for c in ("component", "total", "outside", "size")), F.max(F.struct("texts", "shingle"))["shingle"].alias("cluster"))
+    clusters = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    texts = lookup_join(texts, clusters, "cluster", "n", ["blocks"])
+    texts = written(texts.withColumn("block", F.xxhash64("cluster", F.pmod(F.xxhash64("id"), F.col("blocks")))).select("id", "component", "total", "outside", "block"), "blocks")
+    by = some.select("id", "shingle", "left").join(texts, "id").groupBy("shingle", "block").agg(F.max("left").alias("left"), F.min("total").alias("total"), F.bool_or("outside").alias("outside"), F.min("component").alias("low"), F.max("component").alias("high"))
+    by = written(by, "block-shingles")
+    a, b = (by.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "left", "total", "outside", "low", "high"))) for side in "ab")
+    enough = F.least("left_a", "left_b") >= (F.col("total_a") + F.col("total_b")) * (threshold / (1 + threshold) * (1 - 1e-6))
+    differ = (F.col("low_a") != F.col("high_b")) | (F.col("high_a") != F.col("low_b"))
+    meet = (a["shingle"] == b["shingle"]) & (F.col("block_a") <= F.col("block_b")) & (F.col("outside_a") | F.col("outside_b")) & differ & enough
+    pairs, n = written_n(a.join(b, meet).select("block_a", "block_b").distinct(), "block-pairs")
+    if not n:
+        return None
+    members = written(texts.join(vectors.select("id", "hashes", "weights"), "id"), "members")
+    sides = [pairs.join(members.withColumnRenamed("block", f"block_{side}"), f"block_{side}").select(F.col("block_a").alias(f"x{side}"), F.col("block_b").alias(f"y{side}"), *(F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "outside", "hashes", "weights"))) for side in "ab"]
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
+        out, seen = {"a": [], "b": []}, set()
+        if left.num_rows and right.num_rows:
+            ids, parts = right.column("id_b").to_pylist(), right.column("component_b").to_pylist()
+            vectors_b = [(np.frombuffer(h.as_py(), np.uint64), np.frombuffer(w.as_py(), np.float32).astype(np.float64)) for h, w in zip(right.column("hashes_b"), right.column("weights_b"), strict=True)]
+            index = Postings(vectors_b)
+            free = np.array(right.column("outside_b").to_pylist())
+            for i, (name, part, outside) in enumerate(zip(*(left.column(c).to_pylist() for c in ("id_a", "component_a", "outside_a")), strict=True)):
+                h, w = np.frombuffer(left.column("hashes_a")[i].as_py(), np.uint64), np.frombuffer(left.column("weights_a")[i].as_py(), np.float32).astype(np.float64)
+                for k in np.flatnonzero((index.similarities(h, w) >= threshold) & (outside | free)):
+                    link = (min(part, parts[k]), max(part, parts[k]))
+                    if part != parts[k] and link not in seen:
+                        seen.add(link)
+                        out["a"].append(name)
+                        out["b"].append(ids[k])
+        return pa.table({c: pa.array(out[c], left.schema.field("id_a").type) for c in "ab"})
+
+    links, n = written_n(sides[0].groupBy("xa", "ya").cogroup(sides[1].groupBy("xb", "yb")).applyInArrow(compare, f"a {kind}, b {kind}"), "links")
+    return links if n else None
+
+
+class Postings:
+    """Sparse vectors by shingle, for the weighted Jaccard similarities of one more vector to all of them at once."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
+        hashes = np.concatenate([h for h, _ in vectors])
+        by = np.argsort(hashes, kind="stable")
+        owner_ = np.repeat(np.arange(len(vectors)), [len(h) for h, _ in vectors])
+        self.owner, self.weights = owner_[by], np.concatenate([w for _, w in vectors])[by]
+        self.hashes, self.first = np.unique(hashes[by], return_index=True)
+        self.ends = np.append(self.first[1:], len(hashes))
+        self.totals = np.array([w.sum() for _, w in vectors])
+
+    def similarities(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        some = np.flatnonzero(at < len(self.hashes))
+        some = some[self.hashes[at[some]] == hashes[some]]
+        first, n = self.first[at[some]], self.ends[at[some]] - self.first[at[some]]
+        # all postings of the shared shingles, one after the other
+        place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(some) else np.zeros(0, np.int64)
+        low = np.bincount(self.owner[place], np.minimum(self.weights[place], np.repeat(weights[some], n)), len(self.totals))
+        whole = self.totals + weights.sum() - low
+        return np.divide(low, whole, out=np.zeros(len(low)), where=whole > 0)
 
 
 def _copy(text: str):
