@@ -3,8 +3,9 @@
 A pair's training count c is quantised to the number q of powers of b (rounded up, each number once) that are c at most, and
 a filter holds its q events (pair, 1) to (pair, q); probing j = 1, 2, ... until an event is missing gives q back, never too
 small, and too large by one with the filter's error rate (2.2 % at 8 bits and 5 hash functions an event). q is read as the least
-count of its level. A token's probability after the one before it is PAIRS parts of the pair's read-back count over the first
-token's exact count, and the rest of the token's own smoothed share. Without the filter's errors the read-back counts of pairs with
+count of its level. A token's probability after the one before it is a share of the pair's read-back count over the first
+token's exact count, and the rest of the token's own smoothed share; of the shares in PAIRS that one is taken with which the training texts are
+likeliest when each of their tokens is left out of the counts that speak for it. Without the filter's errors the read-back counts of pairs with
 one first token add up to its count at most, so probabilities after a token add up to 1 at most; a pair is never read as more often than
 either of its tokens, which bounds what an error adds. A text's score is the sum of its tokens' log10 probabilities.
 
@@ -36,8 +37,8 @@ LOG_BASE, BITS, HASHES = 1.25, 8, 5
 LEVELS = np.unique(np.ceil(LOG_BASE ** np.arange(190) - 1e-9).astype(np.int64))
 #: Bytes of a pair's hash besides its bucket, which holds some millions of pairs at any corpus size; and text of a block.
 WIDTH, BLOCK = 5, 12 << 20
-#: Share of a pair's own frequency in a probability.
-PAIRS = 0.1
+#: Shares of a pair's own frequency in a probability, of which the best for the training texts is taken.
+PAIRS = (0.05, 0.1, 0.2, 0.3, 0.45, 0.6)
 _END = np.uint64(0x0E0D)  # hash of the end token, which also stands before a text
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -122,9 +123,14 @@ def pair_counts(packed: list[tuple[int, bytes]], pairs: np.ndarray, buckets: int
     return least(level)
 
 
-def probabilities(count: np.ndarray, before: np.ndarray, both: np.ndarray, whole: float) -> np.ndarray:
+def probabilities(count: np.ndarray, before: np.ndarray, both: np.ndarray, whole: float, share: float) -> np.ndarray:
     """Of tokens with their counts, those of the tokens before them, and the pairs' read-back counts."""
-    return (1 - PAIRS) * (count + 0.5) / whole + PAIRS * np.minimum(both, np.minimum(count, before)) / np.maximum(before, 1)
+    return (1 - share) * (count + 0.5) / whole + share * np.minimum(both, np.minimum(count, before)) / np.maximum(before, 1)
+
+
+def without_one(count: np.ndarray, before: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of tokens of the training texts as the other tokens have them: each left out once, so that a text doesn't speak for itself."""
+    return tuple(np.maximum(x - 1, 0) for x in (count, before, np.minimum(both, np.minimum(count, before))))
 
 
 def vocabulary(rows: DataFrame) -> int:
@@ -138,7 +144,7 @@ def vocabulary(rows: DataFrame) -> int:
     return mapped(rows.filter(~F.col("held_out")).select("text"), run, "token long").distinct().count()
 
 
-def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text: str = "text", shares: tuple[float, ...] = PAIRS) -> DataFrame:
     """The rows of op7 for every document; those of the fold are held out from both models."""
     rows = docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col, folds, fold).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
@@ -147,6 +153,8 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "
     v = vocabulary(rows)
     whole, buckets = train + 0.5 * (v + 1), bucket_number(size)
 
+    names, fits = [f"score_{k}" for k in range(len(shares))], [f"fit_{k}" for k in range(len(shares))]
+
     def items(part: Slice, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         h, first = token_hashes(part)
         return h, (~table.column("held_out").to_numpy())[owner(first)].astype(np.int64)
@@ -156,24 +164,32 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "
         return pair_hashes(h), w
 
     def finish(texts: pa.Table, hashes: np.ndarray, counts: np.ndarray, packed: list) -> pa.Table:
-        out = {k: [] for k in ("n_tokens", "n_known", "log_sum", "score")}
+        out = {k: [] for k in ("n_tokens", "n_known", "log_sum", *names, *fits)}
+        trained = ~texts.column("held_out").to_numpy()
         for part in slices(texts.column("text")):
             h, first = token_hashes(part)
             c = get(hashes, counts, h)
             end = get(hashes, counts, np.array([_END]))
             before = np.concatenate([end, c[:-1]])
-            p = probabilities(c, before, pair_counts(packed, pair_hashes(h), buckets), whole)
+            both = pair_counts(packed, pair_hashes(h), buckets)
+            left = without_one(c, before, both)
+            known = trained[part.at : part.to]
             out["n_tokens"].append(np.diff(first))
             out["n_known"].append(sums((c > 0).astype(np.int64), first))
             out["log_sum"].append(sums(np.log10(c + 0.5), first))
-            out["score"].append(sums(np.log10(p), first))
+            for share, name, fit in zip(shares, names, fits, strict=True):
+                out[name].append(sums(np.log10(probabilities(c, before, both, whole, share)), first))
+                out[fit].append(np.where(known, sums(np.log10(probabilities(*left, whole, share)), first), 0.0))
         types = {k: pa.int64() if k.startswith("n_") else pa.float64() for k in out}
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **{k: pa.array(np.concatenate([[], *x]), types[k]) for k, x in out.items()}})
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
+    columns = ", ".join(f"{c} double" for c in ("log_sum", *names, *fits))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, {columns}"
     found = written(counted_blocks(rows.withColumn("block_key", F.struct("doc_id", F.xxhash64("text"))), items, finish, schema, size, pairs=pairs, pack=pack, width=WIDTH, block_bytes=BLOCK), "lm-scores")
     base = F.col("log_sum") - F.col("n_tokens") * float(np.log10(whole))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    fitted = found.agg(*(F.sum(c).alias(c) for c in fits)).first()
+    best = max(range(len(shares)), key=lambda k: fitted[fits[k]] or 0.0)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), F.col(names[best]).alias("score"))
 
 
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

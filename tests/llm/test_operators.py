@@ -231,14 +231,15 @@ def test_pair_model_sums_to_one_at_most(spark):
     read = {p: int(bloom_lm.least(bloom_lm.LogBloom.level(np.array([c])))[0]) for p, c in pairs.items()}
     whole = n + 0.5 * (v + 1)
 
-    def p(before, token):
+    def p(before, token, share=0.45):
         one = [np.array([x]) for x in (single[token], single[before], read.get((before, token), 0))]
-        return float(bloom_lm.probabilities(*one, whole)[0])
+        return float(bloom_lm.probabilities(*one, whole, share)[0])
 
     for before in [*single, "unseen"]:
-        assert sum(p(before, t) for t in single) + p(before, "unseen") <= 1 + 1e-9
+        for share in bloom_lm.PAIRS:
+            assert sum(p(before, t, share) for t in single) + p(before, "unseen", share) <= 1 + 1e-9
     rows = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
-    for r in bloom_lm.score(rows, folds=1, fold=1).collect():
+    for r in bloom_lm.score(rows, folds=1, fold=1, shares=(0.45,)).collect():
         x = texts[r.doc_id]
         exact = sum(math.log10(p(a, b)) for a, b in zip([None, *x], [*x, None]))
         # a filter errs upwards only
