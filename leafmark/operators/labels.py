@@ -17,12 +17,17 @@ WEIGHTS, SECOND = (0.5, 0.5), 58
 PER_TYPE, TYPE_FAR, SURE_RATIO, SURE_SUPPORT, EXACT = 3, 0.35, 0.85, 2, 1e-6
 
 
+def _collected(df: DataFrame) -> DataFrame:
+    """Rows without a collection belong to one."""
+    return df if "collection_id" in df.columns else df.withColumn("collection_id", F.lit(0).cast("long"))
+
+
 def folded(examples: DataFrame, by: str) -> DataFrame:
     """A collection's examples with equal features and equal `by` as one group, with its first id and all references; groups of different
     `by` stay apart.
 
     examples: collection_id, sample_id, by, features, snapshot_id, page_number. Adding 0.0 makes both zeros equal."""
-    rows = examples.withColumn("features", F.transform("features", lambda x: x + F.lit(0.0)))
+    rows = _collected(examples).withColumn("features", F.transform("features", lambda x: x + F.lit(0.0)))
     refs = F.sort_array(F.collect_list(F.struct("sample_id", "snapshot_id", "page_number")))
     return rows.groupBy("collection_id", by, "features").agg(F.min("sample_id").alias("group_id"), F.count("*").alias("copies"), refs.alias("refs"))
 
@@ -37,6 +42,7 @@ def _near(queries: DataFrame, groups: DataFrame, by: str, k: int) -> DataFrame:
     """(query_id, group) with distances: each query's k nearest groups of each `by` in its collection.
 
     Groups whose every snapshot a query excludes (its own) don't count, nor do such references, nor those from its page `before` on."""
+    queries = _collected(queries)
     asked = queries if "before" in queries.columns else queries.withColumn("before", F.lit(None).cast("long"))
     return nearest(asked, groups, by, k, WEIGHTS, SECOND)
 
