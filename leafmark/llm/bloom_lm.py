@@ -123,9 +123,15 @@ def pair_counts(packed: list[tuple[int, bytes]], pairs: np.ndarray, buckets: int
     return least(level)
 
 
+def frequencies(count: np.ndarray, before: np.ndarray, both: np.ndarray, whole: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens their own smoothed share of all, and how often they follow the tokens before them, by the pairs' read-back counts."""
+    return (count + 0.5) / whole, np.minimum(both, np.minimum(count, before)) / np.maximum(before, 1)
+
+
 def probabilities(count: np.ndarray, before: np.ndarray, both: np.ndarray, whole: float, share: float) -> np.ndarray:
     """Of tokens with their counts, those of the tokens before them, and the pairs' read-back counts."""
-    return (1 - share) * (count + 0.5) / whole + share * np.minimum(both, np.minimum(count, before)) / np.maximum(before, 1)
+    own, after = frequencies(count, before, both, whole)
+    return own + share * (after - own)
 
 
 def without_one(count: np.ndarray, before: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,14 +178,20 @@ def score(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "
             end = get(hashes, counts, np.array([_END]))
             before = np.concatenate([end, c[:-1]])
             both = pair_counts(packed, pair_hashes(h), buckets)
-            left = without_one(c, before, both)
+            own, after = frequencies(c, before, both, whole)
+            after -= own
+            # only training texts say which share is best
             known = trained[part.at : part.to]
+            rows = known[owner(first)]
+            left, left_after = frequencies(*(x[rows] for x in without_one(c, before, both)), whole)
+            left_after -= left
+            ends = np.concatenate([[0], np.cumsum(np.diff(first) * known)])
             out["n_tokens"].append(np.diff(first))
             out["n_known"].append(sums((c > 0).astype(np.int64), first))
             out["log_sum"].append(sums(np.log10(c + 0.5), first))
             for share, name, fit in zip(shares, names, fits, strict=True):
-                out[name].append(sums(np.log10(probabilities(c, before, both, whole, share)), first))
-                out[fit].append(np.where(known, sums(np.log10(probabilities(*left, whole, share)), first), 0.0))
+                out[name].append(sums(np.log10(own + share * after), first))
+                out[fit].append(sums(np.log10(left + share * left_after), ends))
         types = {k: pa.int64() if k.startswith("n_") else pa.float64() for k in out}
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **{k: pa.array(np.concatenate([[], *x]), types[k]) for k, x in out.items()}})
 
