@@ -62,6 +62,11 @@ def forms(word: Column) -> tuple[Column, Column, Column]:
     return tight, loose, F.transform(loose, lambda w: F.translate(w, ALEFS, ""))
 
 
+def skeleton(word: Column) -> Column:
+    """The one spelling at the loosest level: with alefs dropped, both of its forms are the same. Words alike at any level have it in common."""
+    return F.translate(F.translate(F.translate(letters_of(word), ALEF_FORMS + "ى", ALEF * len(ALEF_FORMS) + "ي"), HAMZAS, ""), ALEFS, "")
+
+
 def match_level(a: Column, b: Column) -> Column:
     """The tightest level (0, 1, 2) at which two spellings have a form in common, or null."""
     out = F.lit(None).cast("int")

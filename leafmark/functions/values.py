@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,8 @@ def colour(label: Column) -> Column:
 
 def label_of(rgb: Column) -> Column:
     return rgb["r"] + F.shiftleft(rgb["g"], 8) + F.shiftleft(rgb["b"], 16)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once for a row, however often it is used, also inside lambda functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -172,3 +172,11 @@ def test_neighbours_equal_brute_force(spark, before):
                 want.setdefault((name, role), []).append((round(d, 9), group if page is None else min(r[0] for r in seen), len(seen)))
     assert {key: sorted(v) for key, v in got.items()} == {key: sorted(v)[:k] for key, v in want.items()}
     assert neighbours.nearest(q, g.filter("1 = 0"), "role", k, (0.5, 0.25), 2).count() == 0
+
+
+def test_words_meet_their_boundaries_in_one_exchange(spark):
+    words = spark.range(40).selectExpr("id div 20 AS chapter", "id div 10 AS verse", "id % 10 + 1 AS position", "concat('ق', id % 3) AS word")
+    sought = words.filter("position in (1, 4)").selectExpr("chapter", "verse", "concat('b', position) AS boundary", "word AS sought", "1 AS occurrence")
+    plan = boundaries.placed_boundaries(words, sought)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {r.after_position for r in boundaries.placed_boundaries(words, sought).collect()} == {1}
