@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.operators.neighbours import nearest
+from leafmark.operators.neighbours import nearest, nearest_of_all
 
 _PAGE = ["collection_id", "page_number"]
 
@@ -42,6 +42,8 @@ def _near(queries: DataFrame, groups: DataFrame, by: str, k: int) -> DataFrame:
     """(query_id, group) with distances: each query's k nearest groups of each `by` in its collection.
 
     Groups whose every snapshot a query excludes (its own) don't count, nor do such references, nor those from its page `before` on."""
+    if "collection_id" not in queries.columns and "before" not in queries.columns:
+        return nearest_of_all(queries, groups, by, k, WEIGHTS, SECOND)
     queries = _collected(queries)
     asked = queries if "before" in queries.columns else queries.withColumn("before", F.lit(None).cast("long"))
     return nearest(asked, groups, by, k, WEIGHTS, SECOND)

@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from leafmark.sources.shared import ship
 
 PIVOTS = 48
+#: Queries and groups that one task compares at a time where all groups are asked.
+ASKED, BLOCK = 2048, 8192
 #: Queries of a collection that one task bounds together.
 CHUNK = 4096
 #: What rounding and the order of sums may change in a distance.
 SLACK = 1e-7
+#: The same for distances by products of matrices, which lose half of the digits near zero.
+NEAR_SLACK = 1e-5
 
 
 def distance(a: Column, b: Column, weights: tuple[float, float], second: int) -> Column:
@@ -129,3 +133,62 @@ def nearest(queries: DataFrame, groups: DataFrame, by: str, k: int, weights: tup
     w = Window.partitionBy("query_id", "kind").orderBy("distance", "group_id")
     few = rows.select("query_id", "kind", "group_id", "copies", "refs", "distance").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
     return few.select("query_id", F.col("kind").alias(by), "group_id", "copies", "refs", "distance")
+
+
+def _of_block(k: int, weights: tuple[float, float], second: int):
+    """A chunk of queries against a block of groups: each query's k nearest of each class, with all that rounding could put among them.
+
+    Products of matrices find them, and their distances are then summed in the order of elements, as everywhere."""
+
+    def run(queries: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "class": [], "group_id": [], "exact": []}
+        if len(queries) and len(groups):
+            asked = np.array(queries["asked"].tolist())
+            scale = np.sqrt(np.where(np.arange(asked.shape[1]) < second, *weights))
+            own, slack = queries["own"].to_numpy(), NEAR_SLACK * max(1.0, np.abs(asked).max(initial=0.0))
+            for c, some in groups.groupby("class"):
+                held, only, ids = np.array(some["held"].tolist()), some["only"].to_numpy(), some["group_id"].to_numpy()
+                points = held * scale
+                for at in range(0, len(asked), 256):
+                    rows = asked[at : at + 256] * scale
+                    square = np.maximum((rows**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * rows @ points.T, 0.0)
+                    # a group of the query's own snapshot alone isn't seen
+                    square[own[at : at + 256, None] == only[None, :]] = np.inf
+                    d = np.sqrt(square)
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                    q, g = np.nonzero((d <= last[:, None] + slack) & np.isfinite(d))
+                    difference = (held[g] - asked[at + q]) ** 2
+                    block = [np.zeros(len(q)), np.zeros(len(q))]
+                    for j in range(asked.shape[1]):
+                        block[j >= second] = block[j >= second] + difference[:, j]
+                    for name, values in zip(out, (queries["query_id"].to_numpy()[at + q], np.full(len(q), c, object), ids[g], np.sqrt(block[0] * weights[0] + block[1] * weights[1])), strict=True):
+                        out[name].append(values)
+        return pd.DataFrame({name: np.concatenate(parts) if parts else [] for name, parts in out.items()})
+
+    return run
+
+
+def nearest_of_all(queries: DataFrame, groups: DataFrame, by: str, k: int, weights: tuple[float, float], second: int) -> DataFrame:
+    """nearest for queries that ask all groups, whatever their collection: chunks of queries meet blocks of groups, each pair in one task.
+
+    That is all pairs, so its time grows with queries times groups; a task holds one chunk, one block and a strip of their distances."""
+    ship(queries.sparkSession)
+    blocks = groups.agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    chunks = queries.agg(F.ceil(F.count("*") / ASKED).alias("chunks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)) - 1))
+    sizes = F.broadcast(blocks.crossJoin(chunks))
+    # null where a group stands in several snapshots: no query leaves it out then
+    only = F.when(F.array_min("refs.snapshot_id") == F.array_max("refs.snapshot_id"), F.array_min("refs.snapshot_id"))
+    there = groups.select(F.col(by).alias("class"), "group_id", F.col("features").alias("held"), only.alias("only")).crossJoin(sizes)
+    there = there.withColumn("block", F.pmod(F.xxhash64("class", "group_id"), "blocks")).withColumn("chunk", every("chunks")).drop("blocks", "chunks")
+    asked = queries.select("query_id", F.col("features").alias("asked"), F.col("snapshot_id").alias("own")).crossJoin(sizes)
+    asked = asked.withColumn("by_chunk", F.pmod(F.xxhash64("query_id"), "chunks")).withColumn("by_block", every("blocks")).drop("blocks", "chunks")
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *groups.schema.fields]}
+    found = asked.groupBy("by_chunk", "by_block").cogroup(there.groupBy("chunk", "block")).applyInPandas(_of_block(k, weights, second), f"query_id {kind['query_id']}, class {kind[by]}, group_id {kind['group_id']}, exact double")
+    w = Window.partitionBy("query_id", "class").orderBy("distance", "group_id")
+    few = found.select("query_id", "class", "group_id", F.round("exact", 9).alias("distance")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k).drop("k")
+    own = queries.select(F.col("query_id").alias("_query"), F.col("snapshot_id").alias("own"))
+    known = groups.select(F.col(by).alias("_class"), F.col("group_id").alias("_group"), "copies", "refs")
+    rows = few.join(own, F.col("query_id") == F.col("_query")).join(known, (F.col("class") == F.col("_class")) & (F.col("group_id") == F.col("_group")))
+    refs = F.filter("refs", lambda r: ~r["snapshot_id"].eqNullSafe(F.col("own")))
+    return rows.select("query_id", F.col("class").alias(by), "group_id", "copies", refs.alias("refs"), "distance")

@@ -21,7 +21,11 @@ def _examples(spark, sf_dir):
 
 
 def _queries(examples, page: int):
-    return examples.filter(F.col("page_number") == page).select(F.col("sample_id").alias("query_id"), "collection_id", "features", "snapshot_id", "subtype")
+    return examples.filter(F.col("page_number") == page).select(F.col("sample_id").alias("query_id"), *(c for c in ("collection_id",) if c in examples.columns), "features", "snapshot_id", "subtype")
+
+
+def _all_groups(by: str) -> str:
+    return f"gr AS (SELECT {by}, features, min(sample_id) AS group_id, count(*) AS copies, list({{'s': sample_id, 'n': snapshot_id, 'p': page_number}} ORDER BY sample_id) AS refs FROM ex GROUP BY {by}, features)"
 
 
 def _groups(by: str) -> str:
@@ -36,6 +40,11 @@ def _near(by: str, queries: str = "SELECT sample_id AS query_id, collection_id,
     return f"""{_groups(by)}, qs AS ({queries}), nr AS (SELECT query_id, {by}, group_id, [r for r in refs if r.n IS DISTINCT FROM own] AS refs, {_SQUARE} AS distance FROM gr JOIN qs USING (collection_id)), nn AS (SELECT * FROM nr WHERE len(refs) > 0)"""
 
 
+def _all_near(by: str) -> str:
+    """One page of each collection against the examples of all."""
+    return f"""{_all_groups(by)}, qs AS (SELECT sample_id AS query_id, features AS f, snapshot_id AS own FROM ex WHERE page_number = 7), nr AS (SELECT query_id, {by}, group_id, [r for r in refs if r.n IS DISTINCT FROM own] AS refs, {_SQUARE} AS distance FROM gr CROSS JOIN qs), nn AS (SELECT * FROM nr WHERE len(refs) > 0)"""
+
+
 @query(f"WITH {_EX}, {_groups('role')} SELECT group_id, role, copies, list_sum([r.p for r in refs])::BIGINT AS pages, array_to_string([r.s for r in refs], ',') AS samples FROM gr")
 def h01_folded(spark, sf_dir):
     groups = H.folded(_examples(spark, sf_dir), "role")
@@ -55,14 +64,14 @@ _TOP = """bs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dis
 sb AS (SELECT query_id, s, [p[i] for i in range(1, len(p) + 1) if (s >> (i - 1)) & 1 = 1] AS c FROM pg, (SELECT unnest(range(32)) AS s) z WHERE s < (1 << len(p))), lk AS (SELECT query_id, max(len(c) - len(list_distinct(flatten(c)))) AS lack FROM sb GROUP BY query_id)"""
 
 
-@query(f"""WITH {_EX}, {_near('role')}, {_TOP}, rl AS (SELECT query_id, min(distance) FILTER (role = 'body') AS body, min(distance) FILTER (role = 'mark') AS mark FROM nn GROUP BY query_id),
+@query(f"""WITH {_EX}, {_all_near('role')}, {_TOP}, rl AS (SELECT query_id, min(distance) FILTER (role = 'body') AS body, min(distance) FILTER (role = 'mark') AS mark FROM nn GROUP BY query_id),
 g AS (SELECT qs.query_id, candidate, coalesce(roles = 1, false) AS one, CASE WHEN roles = 1 THEN n ELSE 0 END AS support, CASE WHEN roles = 1 THEN n - lack ELSE 0 END AS pages, farthest, CASE candidate WHEN 'body' THEN mark WHEN 'mark' THEN body END AS opposite FROM qs LEFT JOIN pg USING (query_id) LEFT JOIN lk USING (query_id) LEFT JOIN rl USING (query_id)),
 m AS (SELECT *, round(opposite - farthest, 9) AS margin, CASE WHEN opposite > 0 THEN round(farthest / opposite, 9) END AS ratio FROM g),
 r AS (SELECT *, concat_ws(',', CASE WHEN candidate IS NULL THEN 'no_examples' WHEN NOT one THEN 'mixed_neighbors' END, CASE WHEN support < 5 THEN 'insufficient_support' END, CASE WHEN pages < 2 THEN 'insufficient_pages' END, CASE WHEN farthest >= 0.15 THEN 'too_far' END, CASE WHEN opposite IS NULL THEN 'missing_opposite' WHEN margin <= 0.10 THEN 'insufficient_margin' END, CASE WHEN opposite IS NOT NULL AND (ratio IS NULL OR ratio >= 0.5) THEN 'insufficient_ratio' END) AS reasons FROM m)
 SELECT query_id, CASE WHEN reasons = '' THEN candidate END AS role, CASE WHEN reasons = '' THEN round(least(1 - farthest / 0.15, 1 - 0.10 / margin, 1 - ratio / 0.5), 6) ELSE 0.0 END AS confidence, CAST(support AS BIGINT) AS support, CAST(pages AS BIGINT) AS pages, reasons FROM r""")
 def h02_h03_role_proposals(spark, sf_dir):
-    """Components of one page of each collection against all its examples."""
-    examples = _examples(spark, sf_dir)
+    """Components of one page of each collection against the examples of all."""
+    examples = _examples(spark, sf_dir).drop("collection_id")
     return H.role_proposals(_queries(examples, 7), H.folded(examples, "role"))
 
 

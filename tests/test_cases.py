@@ -180,3 +180,27 @@ def test_words_meet_their_boundaries_in_one_exchange(spark):
     plan = boundaries.placed_boundaries(words, sought)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert {r.after_position for r in boundaries.placed_boundaries(words, sought).collect()} == {1}
+
+
+@pytest.mark.parametrize("name", ["h02_h03_role_proposals", "h04_type_guesses", "h05_type_evidence"])
+def test_examples_of_all_collections_are_asked(name):
+    from leafmark.plans import registry
+
+    assert "FROM gr CROSS JOIN qs" in registry.SQL[name]
+
+
+def test_nearest_of_all_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKED", 7)
+    monkeypatch.setattr(neighbours, "BLOCK", 11)
+    r = random.Random(5)
+    vectors = {i: [r.choice((0.0, 0.5, 1.0)) for _ in range(4)] for i in range(60)}
+    rows = [(i // 10, i, "ab"[i % 2], v, [(i, i // 3, 1)], 1) for i, v in vectors.items()]
+    groups = spark.createDataFrame(rows, "collection_id long, group_id long, kind string, features array<double>, refs array<struct<sample_id:long,snapshot_id:long,page_number:long>>, copies long")
+    queries = groups.filter("group_id % 4 = 0").selectExpr("group_id AS query_id", "features", "group_id div 3 AS snapshot_id")
+    got = {}
+    for x in neighbours.nearest_of_all(queries, groups, "kind", 3, (0.5, 0.5), 2).collect():
+        got.setdefault((x.query_id, x.kind), []).append((x.distance, x.group_id))
+    for q in range(0, 60, 4):
+        for c in "ab":
+            every = sorted((round(sum((a - b) ** 2 * 0.5 for a, b in zip(vectors[q], v, strict=True)) ** 0.5, 9), i) for i, v in vectors.items() if "ab"[i % 2] == c and i // 3 != q // 3)
+            assert sorted(got[q, c]) == every[:3]
