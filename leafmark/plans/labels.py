@@ -82,9 +82,9 @@ gs AS (SELECT qs.query_id, coalesce(wi.subtype, '') AS subtype, CASE WHEN wi.sub
   coalesce(wi.n_exact = 1 OR ((ru.score IS NULL OR wi.score <= 0.85 * ru.score) AND wi.close >= 2), false) AS sure, coalesce(ru.subtype, '') AS runner_up, round(ru.score, 4) AS runner_distance FROM qs LEFT JOIN wi USING (query_id) LEFT JOIN ru USING (query_id) LEFT JOIN mn USING (query_id))"""
 
 
-@query(f"WITH {_EX}, {_near('subtype')}, {_TYPES} SELECT * FROM gs")
+@query(f"WITH {_EX}, {_all_near('subtype')}, {_TYPES} SELECT * FROM gs")
 def h04_type_guesses(spark, sf_dir):
-    examples = _examples(spark, sf_dir)
+    examples = _examples(spark, sf_dir).drop("collection_id")
     return H.type_guesses(_queries(examples, 7), H.folded(examples, "subtype"))
 
 
