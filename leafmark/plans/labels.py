@@ -88,10 +88,10 @@ def h04_type_guesses(spark, sf_dir):
     return H.type_guesses(_queries(examples, 7), H.folded(examples, "subtype"))
 
 
-@query(f"""WITH {_EX}, {_near('subtype')}, {_TYPES}, sc AS (SELECT *, round(round(avg(distance) OVER (PARTITION BY query_id, subtype), 9), 4) AS score FROM fw), pl AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY score, subtype) AS place FROM sc)
+@query(f"""WITH {_EX}, {_all_near('subtype')}, {_TYPES}, sc AS (SELECT *, round(round(avg(distance) OVER (PARTITION BY query_id, subtype), 9), 4) AS score FROM fw), pl AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY score, subtype) AS place FROM sc)
 SELECT query_id, place, subtype, score, k AS example, refs[1].s AS sample_id, round(distance, 4) AS distance, len(refs) AS copies FROM pl WHERE place <= 3""")
 def h05_type_evidence(spark, sf_dir):
-    examples = _examples(spark, sf_dir)
+    examples = _examples(spark, sf_dir).drop("collection_id")
     return H.type_evidence(_queries(examples, 7), H.folded(examples, "subtype"))
 
 
