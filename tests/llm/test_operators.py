@@ -53,6 +53,16 @@ def test_kneser_ney_sums_to_one(spark, docs):
         assert abs((10 ** perplexity.look_up(*model, code)).sum() - 1) < 1e-3
 
 
+def test_four_grams_of_texts_that_fail_the_base_rules_count(spark, docs):
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([("three short words",), ("",), (None,)], "text string")
+    assert perplexity.four_gram_counts(few).agg(F.sum("n")).first()[0] == len("three short words") + 3
+    # each symbol and each text's end ends a four-gram
+    want = sum(len((t or "").encode()) + 1 for t in [*TEXTS, "no id"])
+    assert perplexity.four_gram_counts(docs).agg(F.sum("n")).first()[0] == want
+
+
 def test_near_duplicates(docs, none):
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
     assert got[3] == got[4] == got[5] == 3 and got[0] == got[1] == 0 and got[2] == 2
