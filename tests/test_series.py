@@ -46,3 +46,16 @@ def test_picks_equal_the_greedy_rule(spark, apart):
             want += [(g, k + 1, p) for k, p in enumerate(picked)]
         got = sorted((r.grp, r["rank"], r.position) for r in series.strongest_apart(df, most, apart).collect())
         assert got == sorted(want)
+
+
+def test_profiles_spread_no_component_over_its_rows(spark):
+    rows = [(1, 5, 3, 10), (1, 6, 2, 7), (1, 12, 1, 4), (1, 5, 3, 1), (2, 0, 2, 3)]
+    components = spark.createDataFrame(rows, "line long, y long, h long, w long")
+    found = series.profile(components, "line")
+    want = {}
+    for line, y, h, w in rows:
+        for k in range(y, y + h):
+            want[line, k] = want.get((line, k), 0) + w
+    want |= {(1, k): 0 for k in range(8, 12)}
+    assert {(r.grp, r.position): r.value for r in found.collect()} == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
