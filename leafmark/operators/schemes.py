@@ -215,6 +215,8 @@ def listing(editions: DataFrame, language: str = "own") -> DataFrame:
 
 def dropped_marks(tokens: DataFrame, positions: DataFrame) -> DataFrame:
     """Positions that count tokens without letters too, corrected to count words only."""
-    words = tokens.groupBy("chapter", "verse").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
-    n = F.size(F.filter(F.slice("t", 1, F.col("position").cast("int")), lambda x: x["token"].rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"))).cast("long")
+    # only whether a token has letters goes to its verse
+    lettered = tokens.select("chapter", "verse", "pos", F.col("token").rlike(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]").alias("lettered"))
+    words = lettered.groupBy("chapter", "verse").agg(F.sort_array(F.collect_list(F.struct("pos", "lettered"))).alias("t"))
+    n = F.size(F.filter(F.slice("t", 1, F.col("position").cast("int")), lambda x: x["lettered"])).cast("long")
     return positions.join(words, ["chapter", "verse"]).select("chapter", "verse", "position", n.alias("corrected"))

@@ -204,3 +204,11 @@ def test_nearest_of_all_is_brute_force(spark, monkeypatch):
         for c in "ab":
             every = sorted((round(sum((a - b) ** 2 * 0.5 for a, b in zip(vectors[q], v, strict=True)) ** 0.5, 9), i) for i, v in vectors.items() if "ab"[i % 2] == c and i // 3 != q // 3)
             assert sorted(got[q, c]) == every[:3]
+
+
+def test_tokens_stay_where_they_are_when_marks_are_dropped(spark):
+    tokens = spark.createDataFrame([(1, 1, k, t) for k, t in enumerate(["ab", "12", "c", "--", None, "d"])], "chapter long, verse long, pos long, token string")
+    found = schemes.dropped_marks(tokens, spark.createDataFrame([(1, 1, 4), (1, 1, 6)], "chapter long, verse long, position long"))
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "collect_list" in x]
+    assert exchanges and not any("token" in x for x in exchanges)
+    assert sorted((r.position, r.corrected) for r in found.collect()) == [(4, 2), (6, 3)]
