@@ -47,12 +47,20 @@ def bulk_saved(pages: DataFrame, flips: DataFrame) -> tuple[DataFrame, DataFrame
 def free_names(wanted: DataFrame, taken: DataFrame, most: int = 256) -> DataFrame:
     """A free name for each wanted copy: the name itself, "x (copy)", "x (copy 2)", ..., cut to `most` characters.
 
-    A name has as many candidates as its owner has names, and two more, so one is free."""
-    n = taken.groupBy("owner").agg(F.count("*").alias("held"))
-    each = wanted.join(n, "owner", "left").select("owner", "name", F.explode(F.sequence(F.lit(0), F.coalesce("held", F.lit(0)).cast("int") + 1)).alias("k"))
+    Each held name says which copy (k) of which name it is. The least free k is 0 or follows a held one, so only these are looked at,
+    not as many candidates as an owner has names."""
+    many = r"(?s)\A(.*) \(copy ([1-9][0-9]{0,17})\)\z"
+    k = F.regexp_extract("name", many, 2).cast("long")
+    form = lambda name, k: F.struct(name.alias("name"), k.cast("long").alias("k"))
+    one = F.when(F.col("name").endswith(" (copy)"), form(F.expr("left(name, length(name) - 7)"), F.lit(1)))
+    more = F.when(F.col("name").rlike(many) & (F.when(F.col("name").rlike(many), k) > 1), form(F.regexp_extract("name", many, 1), F.when(F.col("name").rlike(many), k)))
+    held = taken.select("owner", "name").distinct().select("owner", F.explode(F.array_compact(F.array(form(F.col("name"), F.lit(0)), one, more))).alias("f")).select("owner", "f.name", "f.k").distinct()
+    after = held.join(wanted.select("owner", "name").distinct(), ["owner", "name"], "left_semi").select("owner", "name", (F.col("k") + 1).alias("k"))
+    # only distinct names meet here; a wanted name without any held form is free itself
+    each = wanted.select("owner", "name", F.lit(0).cast("long").alias("k")).unionByName(after)
+    free = each.join(held, ["owner", "name", "k"], "left_anti")
     candidate = F.when(F.col("k") == 0, F.col("name")).when(F.col("k") == 1, F.concat("name", F.lit(" (copy)"))).otherwise(F.concat("name", F.lit(" (copy "), F.col("k").cast("string"), F.lit(")")))
-    free = each.withColumn("candidate", candidate).join(taken.select("owner", F.col("name").alias("candidate")).distinct(), ["owner", "candidate"], "left_anti")
-    return free.groupBy("owner", "name").agg(F.substring(F.min_by("candidate", "k"), 1, most).alias("free_name"))
+    return free.groupBy("owner", "name").agg(F.min("k").alias("k")).select("owner", "name", F.substring(candidate, 1, most).alias("free_name"))
 
 
 def cascaded(tables: dict[str, DataFrame], gone: DataFrame, key: str = "collection_id") -> dict[str, DataFrame]:
