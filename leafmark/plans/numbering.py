@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmark.operators import numbering as N
 from leafmark.operators import transfers as T
 from leafmark.plans.base import domain, query
+from leafmark.sources.views import row_parts
 
 _SEED = """isl AS (SELECT *, page_number - row_number() OVER (PARTITION BY collection_id ORDER BY page_number) AS island FROM v_page),
 seed AS (SELECT collection_id, page_number, island, first_value(start_chapter) OVER w AS s0, first_value(start_verse) OVER w AS v0 FROM isl WINDOW w AS (PARTITION BY collection_id, island ORDER BY page_number))"""
@@ -39,7 +40,7 @@ UNION ALL SELECT collection_id, page_number, line_number, segment_order, 'bounda
 def e10_anchored_warnings(spark, sf_dir):
     pages, lines, segments = domain(spark, sf_dir, "page", "line", "segment")
     anchored = lines.withColumn("anchor", F.when(F.col("x") % 3 == 1, F.col("collection_id") % 6 + 2))
-    return N.anchored_warnings(pages, anchored, segments, _expected(spark))
+    return N.anchored_warnings(pages, anchored, segments, _expected(spark), row_parts(spark, sf_dir))
 
 
 _STORED = """sl AS (SELECT collection_id, page_number, line_number, type, CASE WHEN x % 5 <> 4 THEN (collection_id + line_number) % 7 + 1 END AS chapter FROM v_line), ss AS (SELECT collection_id, page_number, line_number, segment_order, closes, CASE WHEN x % 9 <> 0 THEN CAST(segment_order + line_number AS BIGINT) END AS verse FROM v_segment)"""
@@ -124,7 +125,7 @@ def e08_renumber_changes(spark, sf_dir):
 
 @query(f"""WITH {_SEED}, {_rows()} SELECT collection_id, CAST(chapter AS BIGINT) AS chapter, CAST(min(verse) AS BIGINT) AS first_verse, CAST(max(verse) AS BIGINT) AS last_verse, min(page_number) AS first_page, max(page_number) AS last_page, count(DISTINCT page_number) AS n_pages, CAST(sum(c) AS BIGINT) AS closing FROM rows WHERE header = 0 GROUP BY collection_id, chapter""")
 def d11_d23_held_chapters(spark, sf_dir):
-    return N.held_chapters(N.walk(*domain(spark, sf_dir, "page", "line", "segment")))
+    return N.held_chapters(N.walk(*domain(spark, sf_dir, "page", "line", "segment"), row_parts(spark, sf_dir)))
 
 
 @query("""WITH h AS (SELECT p.collection_id, p.page_number, bool_or(type = 'header') IS TRUE AS header FROM v_page p LEFT JOIN v_line USING (collection_id, page_number) GROUP BY ALL),
