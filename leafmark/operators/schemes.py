@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.sources.shared import dealt
+
 #: Chapters whose sizes one window adds up; the sums of these groups are added up in a second, smaller one.
 GROUP = 1024
 
@@ -31,20 +33,26 @@ def _counts(scheme: str = "scheme") -> Column:
     return F.array_contains(F.split("counted_by", ","), F.col(scheme))
 
 
-def scheme_starts(starts: DataFrame, deltas: DataFrame, schemes: list[str]) -> DataFrame:
+def scheme_starts(starts: DataFrame, deltas: DataFrame, schemes: list[str], parts: int | None = None) -> DataFrame:
     """(scheme, chapter, number, start): where each scheme's verses start.
 
     A verse stops at each end that the scheme doesn't opt out of and at each split that it opts in to; the next starts there. A
     chapter always ends where it ends, so numbers and starts are found chapter by chapter."""
-    named = F.explode(F.array(*(F.lit(s) for s in schemes))).alias("scheme")
-    ends = starts.select(named, "chapter", "verse", (F.col("start") + F.col("n_words")).alias("stop"), "start")
-    opted = deltas.filter("kind = 'end'").select("chapter", "verse", "counted_by")
-    ends = ends.join(opted, ["chapter", "verse"], "left").filter(F.col("counted_by").isNull() | _counts()).select("scheme", "chapter", "stop")
-    inside = deltas.filter("kind = 'internal'").join(starts.select("chapter", "verse", "start"), ["chapter", "verse"]).select(named, "chapter", "counted_by", (F.col("start") + F.col("after_position")).alias("stop")).filter(_counts())
-    stops = ends.unionByName(inside.select("scheme", "chapter", "stop"))
-    first = starts.groupBy("chapter").agg(F.min("start").alias("first"))
+    found = deltas.groupBy("chapter", "verse").agg(F.collect_list(F.struct("kind", "after_position", "counted_by")).alias("found"))
+    first = F.min("start").over(Window.partitionBy("chapter"))
+    rows = starts.filter("chapter is not null").select("chapter", "verse", "start", "n_words", first.alias("first")).join(found.hint("shuffle_hash"), ["chapter", "verse"], "left")
+    rows = dealt(rows, parts, "chapter")
+    rows = rows.select("*", F.explode(F.array(*(F.lit(s) for s in schemes))).alias("scheme"))
+    of = lambda kind: F.filter("found", lambda d: d["kind"] == kind)
+    counts = lambda d: F.array_contains(F.split(d["counted_by"], ","), F.col("scheme"))
+    end = F.col("start") + F.col("n_words")
+    ends = F.transform(F.filter(of("end"), lambda d: d["counted_by"].isNull() | counts(d)), lambda d: end)
+    inside = F.transform(F.filter(of("internal"), counts), lambda d: F.col("start") + d["after_position"])
+    # a verse without deltas, as most are, ends where it ends
+    stops = F.when(F.col("found").isNull(), F.array(end)).otherwise(F.concat(F.when(F.size(of("end")) == 0, F.array(end)).otherwise(ends), inside))
+    rows = rows.select("scheme", "chapter", "first", F.explode(stops).alias("stop"))
     w = Window.partitionBy("scheme", "chapter").orderBy("stop")
-    return stops.join(first, "chapter").select("scheme", "chapter", number(["scheme", "chapter"], ["stop"]).alias("number"), F.coalesce(F.lag("stop").over(w), "first").alias("start"))
+    return rows.select("scheme", "chapter", number(["scheme", "chapter"], ["stop"]).alias("number"), F.coalesce(F.lag("stop").over(w), "first").alias("start"))
 
 
 def open_chapters(starts: DataFrame, deltas: DataFrame, schemes: list[str]) -> DataFrame:
@@ -61,13 +69,15 @@ def with_ends(starts: DataFrame, chapters: DataFrame) -> DataFrame:
     return starts.withColumn("next", following).join(chapters, "chapter", "left").select(*starts.columns, F.coalesce(F.col("next") - 1, F.col("last_token")).alias("last"))
 
 
-def resolved_spans(spans: DataFrame, verses: DataFrame) -> DataFrame:
+def resolved_spans(spans: DataFrame, verses: DataFrame, parts: int | None = None) -> DataFrame:
     """Spans (scheme, from_chapter, from_number, to_chapter, to_number) with status and tokens. verses: see with_ends.
 
     A missing verse and a span that runs backwards are told apart."""
     a = verses.select("scheme", F.col("chapter").alias("from_chapter"), F.col("number").alias("from_number"), F.col("start").alias("first_token"))
     b = verses.select("scheme", F.col("chapter").alias("to_chapter"), F.col("number").alias("to_number"), F.col("last").alias("last_token"))
-    both = spans.join(a, ["scheme", "from_chapter", "from_number"], "left").join(b, ["scheme", "to_chapter", "to_number"], "left")
+    both = spans
+    for side, key in ((a, ["scheme", "from_chapter", "from_number"]), (b, ["scheme", "to_chapter", "to_number"])):
+        both = dealt(both, parts, *key).join(dealt(side, parts, *key), key, "left")
     status = F.when(F.col("first_token").isNull(), "missing_start").when(F.col("last_token").isNull(), "missing_end").when(F.col("last_token") < F.col("first_token"), "backwards").otherwise("ok")
     return both.withColumn("status", status).withColumn("n_tokens", F.when(F.col("status") == "ok", F.col("last_token") - F.col("first_token") + 1))
 
@@ -79,10 +89,11 @@ def verses_between(spans: DataFrame, verses: DataFrame) -> DataFrame:
     return each.join(verses.select("chapter", "verse"), "chapter").filter(inside).select("span_id", "chapter", "verse")
 
 
-def tiling_problems(starts: DataFrame, schemes: list[str], chapters: DataFrame) -> DataFrame:
+def tiling_problems(starts: DataFrame, schemes: list[str], chapters: DataFrame, parts: int | None = None) -> DataFrame:
     """(scheme, problem, n): starts that don't begin at 1 or repeat, schemes without verses, chapters without a first verse, and
     chapters that start on different tokens in different schemes (scheme null)."""
-    by = starts.groupBy("scheme").agg(F.min("start").alias("first"), (F.count("*") - F.count_distinct("start")).alias("repeats"))
+    each = dealt(starts, parts, "scheme", "start").groupBy("scheme", "start").agg(F.count("*").alias("n"))
+    by = each.groupBy("scheme").agg(F.min("start").alias("first"), F.sum(F.col("n") - F.when(F.col("start").isNull(), 0).otherwise(1)).alias("repeats"))
     first = by.filter("first <> 1").select("scheme", F.lit("first_start").alias("problem"), F.col("first").alias("n"))
     repeats = by.filter("repeats > 0").select("scheme", F.lit("repeated_start").alias("problem"), F.col("repeats").alias("n"))
     wanted = starts.sparkSession.createDataFrame([(s,) for s in schemes], "scheme string")
@@ -112,9 +123,10 @@ def scheme_totals(starts: DataFrame) -> DataFrame:
 
 def next_verses(starts: DataFrame) -> DataFrame:
     """Each verse with the one after it: in its chapter, or the first of the next chapter; null at the end."""
-    last = starts.groupBy("scheme", "chapter").agg(F.max("number").alias("last_number"))
-    rolled = last.select("scheme", (F.col("chapter") - 1).alias("chapter"), F.col("chapter").alias("rolled"))
-    both = starts.join(last, ["scheme", "chapter"]).join(rolled, ["scheme", "chapter"], "left")
+    rolled = starts.select("scheme", "chapter").distinct().select("scheme", (F.col("chapter") - 1).alias("chapter"), F.col("chapter").alias("rolled"))
+    last = F.max("number").over(Window.partitionBy("scheme", "chapter"))
+    # one row a chapter is hashed, the verses stream past it
+    both = starts.withColumn("last_number", last).join(rolled.hint("shuffle_hash"), ["scheme", "chapter"], "left")
     inside = F.col("number") < F.col("last_number")
     return both.select("scheme", "chapter", "number", F.when(inside, F.col("chapter")).otherwise(F.col("rolled")).alias("next_chapter"), F.when(inside, F.col("number") + 1).when(F.col("rolled").isNotNull(), F.lit(1)).cast("long").alias("next_number"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmark.operators import schemes as S
 from leafmark.plans.base import domain, query, tables
+from leafmark.sources.views import text_parts
 
 SCHEMES = ["base", "fewer", "split", "both"]
 
@@ -24,14 +25,18 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return S.first_tokens(verses), deltas
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    return text_parts(tables(spark, sf_dir, "documents")[0])
+
+
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.scheme_starts(*_index(spark, sf_dir), SCHEMES)
+    return S.scheme_starts(*_index(spark, sf_dir), SCHEMES, _parts(spark, sf_dir))
 
 
 def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, deltas = _index(spark, sf_dir)
     chapters = index.groupBy("chapter").agg((F.max(F.col("start") + F.col("n_words")) - 1).alias("last_token"))
-    return S.with_ends(S.scheme_starts(index, deltas, SCHEMES), chapters)
+    return S.with_ends(S.scheme_starts(index, deltas, SCHEMES, _parts(spark, sf_dir)), chapters)
 
 
 @query(f"WITH {_INDEX} SELECT * FROM idx")
@@ -70,7 +75,7 @@ def e03_tiling_problems(spark, sf_dir):
     moved = F.when(F.expr("scheme = 'split' AND chapter % 97 = 5 AND number = 1"), F.col("start") + 1).when(F.expr("scheme = 'fewer' AND chapter % 10 = 1 AND number = 2"), F.col("start") - 1).otherwise(F.col("start"))
     bad = starts.filter("scheme <> 'both' AND NOT (scheme = 'fewer' AND start = 1) AND NOT (chapter % 50 = 7 AND number = 1)").withColumn("start", moved)
     twice = bad.filter("scheme = 'base' AND chapter % 40 = 2 AND number = 1").withColumn("number", F.col("number") + 100_000)
-    return S.tiling_problems(bad.unionByName(twice), SCHEMES, domain(spark, sf_dir, "verse")[0].select("chapter").distinct())
+    return S.tiling_problems(bad.unionByName(twice), SCHEMES, domain(spark, sf_dir, "verse")[0].select("chapter").distinct(), _parts(spark, sf_dir))
 
 
 _EDITIONS = """ed AS (SELECT n.n_name AS edition, r.r_name AS tradition, CASE r.r_regionkey WHEN 0 THEN 'base' WHEN 1 THEN 'fewer' WHEN 2 THEN 'split' WHEN 3 THEN 'both' END AS scheme
@@ -102,7 +107,7 @@ SELECT *, CASE WHEN status = 'ok' THEN last_token - first_token + 1 END AS n_tok
 def c03_resolved_spans(spark, sf_dir):
     verses = _ended(spark, sf_dir)
     spans = verses.filter("number % 5 = 2").selectExpr("scheme", "chapter AS from_chapter", "number + chapter % 3 AS from_number", "chapter + number % 2 AS to_chapter", "number + number % 4 - 1 AS to_number")
-    return S.resolved_spans(spans, verses)
+    return S.resolved_spans(spans, verses, _parts(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT chapter AS span_id, chapter AS from_chapter, verse AS from_verse, chapter + 1 AS to_chapter, 2 AS to_verse FROM v_verse WHERE verse = 3)
