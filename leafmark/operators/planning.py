@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.sources.shared import dealt
+
 ENTRY = ["collection_id", "page_number", "line_number", "segment_order", "chapter", "verse"]
 
 
 def span_entries(numbered: DataFrame, spans: DataFrame) -> DataFrame:
     """Numbered segments of each collection's requested verses. spans: (collection_id, from_chapter, from_verse, to_chapter, to_verse)."""
     inside = F.struct("chapter", "verse").between(F.struct(F.col("from_chapter"), F.col("from_verse")), F.struct(F.col("to_chapter"), F.col("to_verse")))
-    return numbered.filter("chapter is not null and verse is not null").join(spans, "collection_id").filter(inside).select(*ENTRY)
+    return numbered.filter("chapter is not null and verse is not null").join(spans.hint("shuffle_hash"), "collection_id").filter(inside).select(*ENTRY)
 
 
 def verse_islands(entries: DataFrame, last_verses: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def verse_islands(entries: DataFrame, last_verses: DataFrame) -> DataFrame:
     return rows.withColumn("breaks", breaks).withColumn("island", F.sum("breaks").over(upto)).select(*ENTRY, "island")
 
 
-def gaps(islands: DataFrame, lines: DataFrame) -> DataFrame:
+def gaps(islands: DataFrame, lines: DataFrame, parts: int | None = None) -> DataFrame:
     """What lies between an island and the next: the verses and pages on both sides, and lines between them without a number in either.
 
     Islands are runs in reading order, so all lines strictly between two have no number in either. One pass: both ends of each gap are put
@@ -45,10 +47,10 @@ def gaps(islands: DataFrame, lines: DataFrame) -> DataFrame:
     marks = pairs.select("collection_id", "island", F.explode(F.array(side("next.p", 0), side("z.p", 2))).alias("m")).select("collection_id", "m.*", "island")
     all_ = lines.select("collection_id", "page_number", "line_number", F.lit(1).alias("order"), F.lit(None).cast("long").alias("island")).unionByName(marks)
     order = Window.partitionBy("collection_id").orderBy("page_number", "line_number", "order").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = all_.withColumn("lines", F.count_if(F.col("order") == 1).over(order)).filter("island is not null")
+    so_far = dealt(all_, parts, "collection_id").withColumn("lines", F.count_if(F.col("order") == 1).over(order)).filter("island is not null")
     n = so_far.groupBy("collection_id", "island").agg(F.greatest(F.sum(F.when(F.col("order") == 0, F.col("lines")).otherwise(-F.col("lines"))), F.lit(0)).alias("unnumbered"))
     named = pairs.select("collection_id", "island", F.col("z.chapter").alias("after_chapter"), F.col("z.verse").alias("after_verse"), F.col("z.p.page_number").alias("after_page"), F.col("next.chapter").alias("before_chapter"), F.col("next.verse").alias("before_verse"), F.col("next.p.page_number").alias("before_page"))
-    return named.join(n, ["collection_id", "island"])
+    return named.join(n.hint("shuffle_hash"), ["collection_id", "island"])
 
 
 def chunks(islands: DataFrame, last_verses: DataFrame, target: int = 60) -> DataFrame:

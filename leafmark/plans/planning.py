@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from leafmark.operators import planning as P
 from leafmark.operators import words as W
 from leafmark.plans.base import domain, query
+from leafmark.sources.shared import dealt
+from leafmark.sources.views import row_parts
 
 # numbers as a run finds them: some lines have none
 _NUMBERED = "nb AS (SELECT collection_id, page_number, line_number, segment_order, CAST(floor(page_number / 20) + 1 AS BIGINT) AS chapter, CASE WHEN (page_number * 7 + line_number) % 23 <> 5 THEN CAST(page_number % 20 * 3 + line_number + CASE WHEN x % 50 = 7 THEN 2 ELSE 0 END AS BIGINT) END AS verse FROM v_segment)"
@@ -22,7 +24,7 @@ def _entries(spark, sf_dir):
     verse = F.expr("CASE WHEN (page_number * 7 + line_number) % 23 <> 5 THEN CAST(page_number % 20 * 3 + line_number + CASE WHEN x % 50 = 7 THEN 2 ELSE 0 END AS BIGINT) END")
     numbered = segments.select("collection_id", "page_number", "line_number", "segment_order", (F.floor(F.col("page_number") / 20) + 1).alias("chapter"), verse.alias("verse"))
     spans = numbered.select("collection_id").distinct().selectExpr("collection_id", "1L AS from_chapter", "4L + collection_id % 3 AS from_verse", "5L AS to_chapter", "40L AS to_verse")
-    return P.span_entries(numbered, spans), numbered, lines
+    return dealt(P.span_entries(numbered, spans), row_parts(spark, sf_dir), "collection_id"), numbered, lines
 
 
 def _last(spark):
@@ -51,7 +53,7 @@ un AS (SELECT pb.collection_id, pb.island, count(*) AS n FROM pb JOIN v_line l O
 SELECT pb.collection_id, pb.island, z[4] AS after_chapter, z[5] AS after_verse, z[1] AS after_page, nx[4] AS before_chapter, nx[5] AS before_verse, nx[1] AS before_page, coalesce(n, 0) AS unnumbered FROM pb LEFT JOIN un USING (collection_id, island)""")
 def e15_gaps(spark, sf_dir):
     islands, _, lines = _islands(spark, sf_dir)
-    return P.gaps(islands, lines)
+    return P.gaps(islands, lines, row_parts(spark, sf_dir))
 
 
 # long islands for chunks: numbers that run on
