@@ -23,34 +23,55 @@ _LINE = f"STRUCT<line_number: INT, type: STRING, chapter: BIGINT, x: BIGINT, y:
 PAGE_TREE = f"STRUCT<schema: STRING, source_page: BIGINT, x: BIGINT, y: BIGINT, w: BIGINT, h: BIGINT, reviewed: BOOLEAN, lines: ARRAY<{_LINE}>>"
 
 
-def _children(rows: DataFrame, fields: list[str], order: list[str], name: str) -> DataFrame:
-    """Rows of each line as one list in order."""
-    each = F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"_{c}") for c in order), F.struct(*fields).alias("v"))))
-    return rows.groupBy(*LINE).agg(F.transform(each, lambda x: x["v"]).alias(name))
+def _by_page(rows: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
+    """A page's rows as one list of (n, v) by line and order: the line's number and the fields."""
+    each = F.struct(F.col("line_number").alias("n"), *(F.col(c).alias(f"_{c}") for c in order), F.struct(*fields).alias("v"))
+    return rows.groupBy(*PAGE).agg(F.sort_array(F.collect_list(each)).alias(name))
 
 
 def exported_trees(pages: DataFrame, lines: DataFrame, segments: DataFrame, strokes: DataFrame, words: DataFrame, status: DataFrame) -> DataFrame:
     """(collection_id, page_number, tree): each page as one value of PAGE_TREE, lines by number and their parts in order; a line or page without
-    some has empty lists, a line without a status null.
+    some has empty lists, a line without a status null. All is grouped and joined by page alone, so rows that are dealt out by page stay where they are.
 
     strokes: line, ord, size, points; words: line, position, word_id, start_x, end_x; status: line, status, reason, deviations, ties, edited."""
-    s = _children(segments, ["segment_order", "x", "w", "closes", "verse"], ["segment_order"], "segments")
-    k = _children(strokes, ["size", "points"], ["ord"], "strokes")
-    w = _children(words, ["word_id", "position", "start_x", "end_x"], ["position", "word_id"], "words")
-    t = status.select(*LINE, F.struct("status", "reason", "deviations", "ties", "edited").alias("status"))
-    both = lines
-    for part in (s, k, w, t):
-        both = both.join(part, LINE, "left")
-    line = F.struct("line_number", "type", "chapter", "x", "y", "w", "h", *(F.coalesce(c, F.array()).alias(c) for c in ("segments", "strokes", "words")), "status").cast(_LINE)
-    one = both.groupBy(*PAGE).agg(F.array_sort(F.collect_list(line), lambda a, b: a["line_number"] - b["line_number"]).alias("lines"))
-    tree = F.struct(F.lit(SCHEMA).alias("schema"), "source_page", "x", "y", "w", "h", "reviewed", F.coalesce("lines", F.array()).alias("lines")).cast(PAGE_TREE)
-    return pages.join(one, PAGE, "left").select(*PAGE, tree.alias("tree"))
+    found = _by_page(lines, "lines", [], ["type", "chapter", "x", "y", "w", "h"])
+    for part in (_by_page(segments, "segments", ["segment_order"], ["segment_order", "x", "w", "closes", "verse"]), _by_page(strokes, "strokes", ["ord"], ["size", "points"]),
+                 _by_page(words, "words", ["position", "word_id"], ["word_id", "position", "start_x", "end_x"]), _by_page(status, "status", [], ["status", "reason", "deviations", "ties", "edited"])):
+        found = found.join(part, PAGE, "left")
+    of = lambda name, n: F.coalesce(F.transform(F.filter(name, lambda p: p["n"] == n), lambda p: p["v"]), F.array())
+
+    def line(l):
+        own = [l["v"][c].alias(c) for c in ("type", "chapter", "x", "y", "w", "h")]
+        return F.struct(l["n"].alias("line_number"), *own, *(of(name, l["n"]).alias(name) for name in ("segments", "strokes", "words")), F.get(of("status", l["n"]), F.lit(0)).alias("status"))
+
+    tree = F.struct(F.lit(SCHEMA).alias("schema"), "source_page", "x", "y", "w", "h", "reviewed", F.coalesce(F.transform("lines", line), F.array()).alias("lines")).cast(PAGE_TREE)
+    return pages.join(found, PAGE, "left").select(*PAGE, tree.alias("tree"))
 
 
 def tree_json(tree: str | Column = "tree") -> Column:
     return F.to_json(tree, {"ignoreNullFields": "false"})
 
 
+def imported_lines(documents: DataFrame, text: str = "document") -> DataFrame:
+    """(collection_id, page_number, line_number, l): the lines of page documents in JSON with all their parts, as they were written; a document is read once."""
+    # the outer form, without a test of its own of what it gives out, which would read the document again
+    read = documents.select(*PAGE, F.from_json(text, PAGE_TREE).alias("t"))
+    each = read.select(*PAGE, F.posexplode_outer(F.when(_supported(F.col("t.schema")), F.col("t.lines"))).alias("n", "l")).filter("n is not null")
+    return each.select(*PAGE, F.col("l.line_number").alias("line_number"), "l")
+
+
+def _supported(schema: Column) -> Column:
+    return F.coalesce(schema.isin(*SUPPORTED), F.lit(False))
+
+
+def stroke_size(size: Column) -> Column:
+    return F.coalesce(size, F.lit(BRUSH).cast("long"))
+
+
+def stroke_points(points: Column) -> Column:
+    return F.coalesce(points, F.array().cast("array<array<bigint>>"))
+
+
 def imported_trees(documents: DataFrame, text: str = "document") -> dict[str, DataFrame]:
     """pages, lines, segments, strokes, words and status of page documents in JSON (collection_id, page_number, document), and `refused`: documents
     that are no tree or have a tag that isn't supported.
@@ -58,19 +79,17 @@ def imported_trees(documents: DataFrame, text: str = "document") -> dict[str, Da
     What may be left out: `reviewed` and `closes` (false), a segment's order (its place from 1), a stroke's size and points, a word's position (its place
     from 0), a status. Pages come without a last run."""
     read = documents.select(*PAGE, F.from_json(text, PAGE_TREE).alias("t"))
-    good = F.coalesce(F.col("t.schema").isin(*SUPPORTED), F.lit(False))
-    rows = read.filter(good)
-    each = rows.select(*PAGE, F.explode("t.lines").alias("l"))
-    key = [*PAGE, F.col("l.line_number").alias("line_number")]
-    part = lambda name: each.select(*key, F.posexplode(f"l.{name}").alias("i", "v"))
+    good = _supported(F.col("t.schema"))
+    each = imported_lines(documents, text)
+    part = lambda name: each.select(*LINE, F.posexplode(f"l.{name}").alias("i", "v"))
     false = lambda c: F.coalesce(c, F.lit(False))
     return {
-        "pages": rows.select(*PAGE, *(F.col(f"t.{c}").alias(c) for c in ("source_page", "x", "y", "w", "h")), false("t.reviewed").alias("reviewed"), F.lit(None).cast("long").alias("last_run")),
-        "lines": each.select(*key, *(F.col(f"l.{c}").alias(c) for c in ("type", "chapter", "x", "y", "w", "h"))),
+        "pages": read.filter(good).select(*PAGE, *(F.col(f"t.{c}").alias(c) for c in ("source_page", "x", "y", "w", "h")), false("t.reviewed").alias("reviewed"), F.lit(None).cast("long").alias("last_run")),
+        "lines": each.select(*LINE, *(F.col(f"l.{c}").alias(c) for c in ("type", "chapter", "x", "y", "w", "h"))),
         "segments": part("segments").select(*LINE, F.coalesce("v.segment_order", F.col("i") + 1).alias("segment_order"), "v.x", "v.w", false("v.closes").alias("closes"), "v.verse"),
-        "strokes": part("strokes").select(*LINE, F.col("i").alias("ord"), F.coalesce("v.size", F.lit(BRUSH).cast("long")).alias("size"), F.coalesce("v.points", F.array().cast("array<array<bigint>>")).alias("points")),
+        "strokes": part("strokes").select(*LINE, F.col("i").alias("ord"), stroke_size(F.col("v.size")).alias("size"), stroke_points(F.col("v.points")).alias("points")),
         "words": part("words").select(*LINE, F.coalesce("v.position", "i").alias("position"), "v.word_id", "v.start_x", "v.end_x"),
-        "status": each.filter("l.status is not null").select(*key, "l.status.*"),
+        "status": each.filter("l.status is not null").select(*LINE, "l.status.*"),
         "refused": read.filter(~good).select(*PAGE, F.col("t.schema").alias("schema")),
     }
 

@@ -29,10 +29,20 @@ ll AS (SELECT collection_id, page_number, list({{'line_number': line_number, 'ty
 tr AS (SELECT collection_id, page_number, to_json({{'schema': '{B.SCHEMA}', 'source_page': source_page, 'x': x, 'y': y, 'w': w, 'h': h, 'reviewed': reviewed, 'lines': coalesce(lines, [])}}) AS tree FROM tp LEFT JOIN ll USING (collection_id, page_number))"""
 
 
+def _strokes(lines):
+    """_STROKES in one reading of the lines."""
+    points = F.expr(_ARRAYS[0])
+    of = lambda ord, size: F.struct(F.lit(ord).alias("ord"), size.alias("size"), points.alias("points"))
+    both = F.array_compact(F.array(F.when(F.col("x") % 4 == 1, of(0, F.col("x") % 20)), F.when(F.col("x") % 8 == 1, of(1, F.col("y") % 9 + 1))))
+    return lines.select(*B.LINE, F.explode(both).alias("k")).select(*B.LINE, "k.*")
+
+
 def _tables(spark, sf_dir):
-    pages, lines, segments, words, status = domain(spark, sf_dir, "page", "line", "segment", "word", "status")
-    return (spark.sql(_PAGES.format(p="{p}"), p=pages), spark.sql(_LINES.format(l="{l}"), l=lines), spark.sql(_SEGMENTS.format(s="{s}"), s=segments), spark.sql(_STROKES.format(l="{l}", a=_ARRAYS[0]), l=lines),
-            spark.sql(_WORDS.format(w="{w}", p="{p}"), w=words, p=pages), spark.sql(_STATUS.format(v="{v}", p="{p}"), v=status, p=pages))
+    pages, lines, segments, words, status = domain(spark, sf_dir, "page", "line", "segment", "page_word", "page_status")
+    # words and status come with their pages
+    own = lambda sql: sql.split(" v JOIN {p}")[0] + (" WHERE" + sql.split(" WHERE")[1] if " WHERE" in sql else "")
+    return (spark.sql(_PAGES.format(p="{p}"), p=pages), spark.sql(_LINES.format(l="{l}"), l=lines), spark.sql(_SEGMENTS.format(s="{s}"), s=segments), _strokes(lines),
+            spark.sql(own(_WORDS).format(w="{w}"), w=words), spark.sql(own(_STATUS).format(v="{v}"), v=status))
 
 
 @query(f"WITH {_TREES} SELECT collection_id, page_number, md5(tree::VARCHAR) AS tree FROM tr")
@@ -40,13 +50,17 @@ def a05_a11_page_trees(spark, sf_dir):
     return B.exported_trees(*_tables(spark, sf_dir)).select("collection_id", "page_number", F.md5(B.tree_json()).alias("tree"))
 
 
-def _imported(spark, sf_dir):
+def _documents(spark, sf_dir):
     """Documents of odd pages have segments without order and closing marks and words without positions; some have a tag of another kind."""
     trees = B.exported_trees(*_tables(spark, sf_dir))
     bare = F.transform("tree.lines", lambda l: l.withField("segments", F.transform(l["segments"], lambda s: F.struct(s["x"].alias("x"), s["w"].alias("w")))).withField("words", F.transform(l["words"], lambda w: F.struct(w["word_id"].alias("word_id"), w["start_x"].alias("start_x"), w["end_x"].alias("end_x")))))
     tag = F.when(F.col("page_number") % 19 == 4, "other/v1").otherwise("page-tree/v1")
     odd = F.to_json(F.col("tree").withField("lines", bare).withField("schema", tag))
-    return B.imported_trees(trees.select("collection_id", "page_number", F.when(F.col("page_number") % 2 == 0, F.to_json(F.col("tree").withField("schema", tag))).otherwise(odd).alias("document")))
+    return trees.select("collection_id", "page_number", F.when(F.col("page_number") % 2 == 0, F.to_json(F.col("tree").withField("schema", tag))).otherwise(odd).alias("document"))
+
+
+def _imported(spark, sf_dir):
+    return B.imported_trees(_documents(spark, sf_dir))
 
 
 _READ = "page_number % 19 <> 4"
@@ -64,11 +78,18 @@ def a06_tree_words(spark, sf_dir):
 
 @query(f"WITH {_TABLES} SELECT {_KEY}, 'status' AS part, concat_ws(',', status, reason, deviations, ties, edited) AS content FROM tt WHERE {_READ} UNION ALL SELECT {_KEY}, 'stroke', concat_ws(',', ord, size, points[1][1], points[2][1], len(points)) FROM tk WHERE {_READ} UNION ALL SELECT {_KEY}, 'line', concat_ws(',', type, chapter, x, y, w, h) FROM tl WHERE {_READ}")
 def a06_tree_parts(spark, sf_dir):
-    found = _imported(spark, sf_dir)
-    key = [F.col(c) for c in B.LINE]
-    status = found["status"].select(*key, F.lit("status").alias("part"), F.concat_ws(",", "status", "reason", "deviations", "ties", F.col("edited").cast("string")).alias("content"))
-    strokes = found["strokes"].select(*key, F.lit("stroke"), F.concat_ws(",", "ord", "size", F.col("points")[0][0], F.col("points")[1][0], F.size("points")))
-    return status.unionAll(strokes).unionAll(found["lines"].select(*key, F.lit("line"), F.concat_ws(",", "type", "chapter", "x", "y", "w", "h")))
+    """Three kinds of parts out of one reading of the documents."""
+    lines = B.imported_lines(_documents(spark, sf_dir))
+    of = lambda name, *c: F.struct(F.lit(name).alias("part"), F.concat_ws(",", *c).alias("content"))
+    at = lambda name, *fields: [F.col(f"l.{name}{f}") for f in fields]
+
+    def stroke(v, i):
+        points = B.stroke_points(v["points"])
+        return of("stroke", i, B.stroke_size(v["size"]), F.get(F.get(points, F.lit(0)), F.lit(0)), F.get(F.get(points, F.lit(1)), F.lit(0)), F.size(points))
+
+    status = F.when(F.col("l.status").isNotNull(), of("status", *at("status.", "status", "reason", "deviations", "ties"), F.col("l.status.edited").cast("string")))
+    found = F.concat(F.array_compact(F.array(status, of("line", *at("", "type", "chapter", "x", "y", "w", "h")))), F.coalesce(F.transform("l.strokes", stroke), F.array()))
+    return lines.select(*B.LINE, F.posexplode_outer(found).alias("i", "p")).select(*B.LINE, "p.part", "p.content")
 
 
 @query(f"WITH {_TABLES}, n AS (SELECT DISTINCT collection_id, page_number FROM tl WHERE page_number % 4 = 1 AND line_number < 4) SELECT 'page' AS part, collection_id, page_number, CASE WHEN reviewed AND n.page_number IS NULL THEN 1 ELSE 0 END AS line_number, CAST(NULL AS BIGINT) AS value FROM tp LEFT JOIN n USING (collection_id, page_number) UNION ALL SELECT 'line', {_KEY}, chapter FROM tl WHERE (collection_id, page_number) NOT IN (SELECT (collection_id, page_number) FROM n) UNION ALL SELECT 'line', collection_id, page_number, line_number + 1, NULL FROM tl WHERE page_number % 4 = 1 AND line_number < 4 UNION ALL SELECT 'stroke', {_KEY}, size FROM tk WHERE (collection_id, page_number) NOT IN (SELECT (collection_id, page_number) FROM n)")

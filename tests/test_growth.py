@@ -50,3 +50,13 @@ def test_several_deltas_of_a_verse(spark):
     deltas = spark.createDataFrame([(1, 1, "end", 0, "a"), (1, 2, "internal", 2, "b"), (1, 2, "internal", 4, "a,b"), (2, 1, "internal", 1, "c")], "chapter long, verse long, kind string, after_position long, counted_by string")
     got = sorted((r.scheme, r.chapter, r.number, r.start) for r in schemes.scheme_starts(starts, deltas, ["a", "b"], 3).collect())
     assert got == [("a", 1, 1, 1), ("a", 1, 2, 6), ("a", 1, 3, 10), ("a", 2, 1, 12), ("b", 1, 1, 1), ("b", 1, 2, 8), ("b", 1, 3, 10), ("b", 2, 1, 12)]
+
+
+def test_page_trees_stay_where_their_pages_are_dealt(spark):
+    found = initial(entry.queries()["a05_a11_page_trees"](spark, SMOKE))
+    # rows of lineitem move once, by page; after that only one row a page does
+    assert "hashpartitioning(l_orderkey" not in found and len(re.findall("ENSURE_REQUIREMENTS", found)) <= 1
+
+
+def test_parts_of_trees_read_a_document_once(spark):
+    assert "Union" not in initial(entry.queries()["a06_tree_parts"](spark, SMOKE))
