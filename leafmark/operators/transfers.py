@@ -13,17 +13,26 @@ from pyspark.sql import functions as F
 from leafmark.operators.numbering import PAGE, entry_states, islands
 
 
-def page_rows(lines: DataFrame, segments: DataFrame) -> DataFrame:
+def page_rows(lines: DataFrame, segments: DataFrame, only: DataFrame | None = None, keep: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Lines (segment_order null) and their segments with what stands before each on its page: group (headers so far), since (closings
     since the last of these) and steps (headers from the second on that end a verse). stored: the line's chapter or the segment's verse.
 
-    lines: page, line_number, type, chapter; segments: page, line_number, segment_order, closes, verse; only text lines have any that count."""
-    heads = lines.select(*PAGE, "line_number", F.lit(None).cast("int").alias("segment_order"), (F.col("type") == "header").alias("header"), F.lit(False).alias("closes"), F.col("chapter").cast("long").alias("stored"))
-    texts = segments.join(lines.filter("type = 'text'").select(*PAGE, "line_number"), [*PAGE, "line_number"], "left_semi")
-    texts = texts.select(*PAGE, "line_number", "segment_order", F.lit(False).alias("header"), "closes", F.col("verse").cast("long").alias("stored"))
+    lines: page, line_number, type, chapter; segments: page, line_number, segment_order, closes, verse; only text lines have any that count.
+    only: pages (PAGE) beside which others are left out; keep: more columns, null where a side lacks them. Rows are dealt out by page once, in so many parts."""
+    own = lambda df, taken: [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in keep if c not in taken]
+    fixed = ("closes",)
+    heads = lines.select(*PAGE, "line_number", F.lit(None).cast("int").alias("segment_order"), (F.col("type") == "header").alias("header"), F.lit(False).alias("closes"), F.col("chapter").cast("long").alias("stored"), (F.col("type") == "text").alias("text"), *own(lines, fixed))
+    texts = segments.select(*PAGE, "line_number", "segment_order", F.lit(False).alias("header"), "closes", F.col("verse").cast("long").alias("stored"), F.lit(None).cast("boolean").alias("text"), *own(segments, fixed))
+    both = heads.unionByName(texts)
+    rows = both.repartition(parts, *PAGE) if parts else both.repartition(*PAGE)
+    if only is not None:
+        rows = rows.join(only.select(*PAGE).hint("shuffle_hash"), PAGE, "left_semi")
+    # both windows run over one order: a line, then its segments
+    line = Window.partitionBy(*PAGE, "line_number").orderBy(F.col("segment_order").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("text", F.max("text").over(line)).filter("segment_order is null or text").drop("text")
     w = Window.partitionBy(*PAGE).orderBy("line_number", F.col("segment_order").asc_nulls_first())
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = heads.unionByName(texts).withColumns({"group": F.sum(F.col("header").cast("int")).over(upto), "closed": F.coalesce(F.sum(F.col("closes").cast("long")).over(before), F.lit(0).cast("long"))})
+    rows = rows.withColumns({"group": F.sum(F.col("header").cast("int")).over(upto), "closed": F.coalesce(F.sum(F.col("closes").cast("long")).over(before), F.lit(0).cast("long"))})
     last = F.max(F.when(F.col("header"), F.col("closed")))
     rows = rows.withColumns({"since": F.col("closed") - F.coalesce(last.over(upto), F.lit(0)), "step": (F.col("header") & (F.col("group") > 1) & (F.col("closed") > last.over(before))).cast("int")})
     return rows.withColumn("steps", F.sum("step").over(upto)).drop("closed", "step")
@@ -66,8 +75,8 @@ def entered(pages: DataFrame, functions: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("changes", ~same).select(*pages.columns, "chapter", "verse", "moved", "changes")
 
 
-def numbered(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Lines and segments of the pages in entries with the numbers that they find: chapter, and verse for segments."""
+def numbered(rows: DataFrame, entries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines and segments of the pages in entries with the numbers that they find: chapter, and verse for segments; keep: more columns of rows."""
     at = entries.select(*PAGE, F.col("chapter").alias("chapter0"), F.col("verse").alias("verse0"), "moved")
     early, line = F.col("group") == 0, F.col("segment_order").isNull()
     both = rows.join(at, PAGE)
@@ -75,15 +84,15 @@ def numbered(rows: DataFrame, entries: DataFrame) -> DataFrame:
     verse = F.when(~line, F.when(early, F.col("verse0")).otherwise(1) + F.col("since"))
     both = both.withColumns({"chapter": chapter, "verse": verse})
     changed = ~F.when(line, F.col("stored").eqNullSafe(F.col("chapter"))).otherwise(F.col("stored").eqNullSafe(F.col("verse")))
-    return both.select(*PAGE, "line_number", "segment_order", "chapter", "verse", changed.alias("changed"))
+    return both.select(*PAGE, "line_number", "segment_order", "chapter", "verse", changed.alias("changed"), *keep)
 
 
-def renumbered_from(pages: DataFrame, lines: DataFrame, segments: DataFrame, start: DataFrame) -> DataFrame:
+def renumbered_from(pages: DataFrame, lines: DataFrame, segments: DataFrame, start: DataFrame, parts: int | None = None) -> DataFrame:
     """Lines (segment_order and verse null) and segments that a renumbering from one page on changes, with their new numbers.
 
     It goes forward from the entry state, and stops at a gap or after the first page of which it changes neither a line's chapter, headers
     and formulas too, nor a segment's verse. Only pages up to there are numbered; those after are one row each, and those before the first aren't read
-    but for the one that gives the entry state. start: (collection_id, from_page); lines and segments carry stored numbers (chapter, verse)."""
+    but for the one that gives the entry state. start: (collection_id, from_page); lines and segments carry stored numbers (chapter, verse); parts: partitions of their rows."""
     near = start.select("collection_id", F.explode(F.array(F.col("from_page") - 1, F.col("from_page"))).alias("page_number"))
     before = start.select("collection_id", (F.col("from_page") - 1).alias("page_number"))
     entry = entry_states(pages.join(near, PAGE, "left_semi"), lines.join(before, PAGE, "left_semi"), segments.join(before, PAGE, "left_semi"))
@@ -91,9 +100,7 @@ def renumbered_from(pages: DataFrame, lines: DataFrame, segments: DataFrame, sta
     later = islands(pages.select(*PAGE).join(seeds, "collection_id").filter("page_number >= from_page"), "collection_id", "page_number")
     # the first page's own island: its number is the first page's less one
     held = later.filter("island = from_page - 1").select(*PAGE, "seed_chapter", "seed_verse")
-    there = start.withColumnRenamed("collection_id", "of")
-    suffix = lambda df: df.join(there, (F.col("collection_id") == F.col("of")) & (F.col("page_number") >= F.col("from_page"))).drop("of", "from_page")
-    rows = page_rows(suffix(lines), suffix(segments))
+    rows = page_rows(lines, segments, only=held, parts=parts)
     states = entered(held, page_functions(rows), ["collection_id"])
     so_far = Window.partitionBy("collection_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, 0)
     live = states.withColumn("live", F.bool_and("changes").over(so_far)).filter("live")

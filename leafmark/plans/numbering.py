@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmark.operators import numbering as N
 from leafmark.operators import transfers as T
 from leafmark.plans.base import domain, query
+from leafmark.sources.shared import stored
 from leafmark.sources.views import row_parts
 
 _SEED = """isl AS (SELECT *, page_number - row_number() OVER (PARTITION BY collection_id ORDER BY page_number) AS island FROM v_page),
@@ -85,25 +86,26 @@ def _stored(spark, sf_dir):
     """Pages, and lines and segments with the walk's numbers; on some pages from 21 on the first segments of lines are moved by one, and headers have
     none or another chapter."""
     pages, lines, segments = domain(spark, sf_dir, "page", "line", "segment")
-    rows = T.page_rows(lines.withColumn("chapter", F.lit(None).cast("long")), segments.withColumn("verse", F.lit(None).cast("long")))
+    keep, parts = ("type", "x", "closes"), row_parts(spark, sf_dir)
+    rows = T.page_rows(lines.withColumn("chapter", F.lit(None).cast("long")), segments.withColumn("verse", F.lit(None).cast("long")), keep=keep, parts=parts)
     seeded = N.with_seeds(pages).select(*N.PAGE, "island", "seed_chapter", "seed_verse")
-    walked = T.numbered(rows, T.entered(seeded, T.page_functions(rows), ["collection_id", "island"]))
+    # one table, since several steps read it
+    walked = stored(T.numbered(rows, T.entered(seeded, T.page_functions(rows), ["collection_id", "island"]), keep), "walked")
     here = F.col("page_number").between(21, 21 + F.col("collection_id") % 5)
-    chapters = walked.filter("segment_order is null").select(*N.PAGE, "line_number", "chapter")
     other = F.when(F.col("x") % 3 == 0, None).when(F.col("x") % 3 == 1, F.col("chapter") + 5).otherwise(F.col("chapter"))
-    moved = lines.join(chapters, [*N.PAGE, "line_number"]).withColumn("chapter", F.when((F.col("type") == "header") & here, other).otherwise(F.col("chapter")))
-    verses = walked.filter("segment_order is not null").select(*N.ORDERED, "verse")
-    texts = segments.join(verses, N.ORDERED).withColumn("verse", F.col("verse") + F.when(here & (F.col("segment_order") == 1), 1).otherwise(0))
-    return pages, moved, texts
+    moved = walked.filter("segment_order is null").select(*N.PAGE, "line_number", "type", F.when((F.col("type") == "header") & here, other).otherwise(F.col("chapter")).alias("chapter"))
+    verse = F.col("verse") + F.when(here & (F.col("segment_order") == 1), 1).otherwise(0)
+    texts = walked.filter("segment_order is not null").select(*N.ORDERED, "closes", verse.alias("verse"))
+    return pages, moved, texts, parts
 
 
 @query(f"""WITH RECURSIVE {_SEED}, {_rows(tag='0')}, {_LINE_CHAPTERS}, {_LATER}, {_exits('sl', 'ss')}, {_SEQUENTIAL}
 SELECT collection_id, page_number, line_number, CASE WHEN kind = 1 THEN segment_order END AS segment_order, s AS chapter, CASE WHEN kind = 1 THEN own END AS verse FROM go WHERE hit""")
 def e07_renumbered_from(spark, sf_dir):
     """From page 21 of each collection on."""
-    pages, lines, segments = _stored(spark, sf_dir)
+    pages, lines, segments, parts = _stored(spark, sf_dir)
     start = pages.filter("page_number = 21").select("collection_id", F.lit(21).alias("from_page"))
-    return T.renumbered_from(pages, lines, segments, start)
+    return T.renumbered_from(pages, lines, segments, start, parts)
 
 
 @query(f"""WITH {_SEED}, {_rows()}, {_EXPECTED}, ie AS (SELECT collection_id, island, max(chapter) AS last, min(s0) AS s0, min(v0) AS v0 FROM rows GROUP BY ALL),

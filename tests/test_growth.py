@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from leafmark.operators import schemes, trees
+from leafmark.operators import schemes, transfers, trees
 from leafmark.sources import views
 
 SMOKE = "/root/testdata/sf0.001"
@@ -60,3 +60,18 @@ def test_page_trees_stay_where_their_pages_are_dealt(spark):
 
 def test_parts_of_trees_read_a_document_once(spark):
     assert "Union" not in initial(entry.queries()["a06_tree_parts"](spark, SMOKE))
+
+
+@pytest.mark.parametrize("name", ["e07_renumbered_from", "a06_tree_words"])
+def test_rows_are_dealt_out_by_page(spark, monkeypatch, name):
+    monkeypatch.setattr(views, "ROWS", 100)
+    found = plan(entry.queries()[name](spark, SMOKE))
+    counts = [int(n) for n in re.findall(r"hashpartitioning\(collection_id#\d+L?, page_number#\d+, (\d+)\), REPARTITION_BY_NUM", found)]
+    assert counts and min(counts) > 20
+
+
+def test_segments_of_text_lines_alone_count(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "text", 1), (1, 1, 2, "basmala", 1), (1, 2, 1, "text", 1)], "collection_id long, page_number int, line_number int, type string, chapter long")
+    segments = spark.createDataFrame([(1, 1, 1, 1, True, 1), (1, 1, 2, 1, True, 2), (1, 1, 3, 1, True, 3), (1, 2, 1, 1, True, 4)], "collection_id long, page_number int, line_number int, segment_order int, closes boolean, verse long")
+    got = transfers.page_rows(lines, segments, only=spark.createDataFrame([(1, 1)], "collection_id long, page_number int"), keep=("type",))
+    assert sorted((r.line_number, r.segment_order or 0, r.type) for r in got.collect()) == [(1, 0, "text"), (1, 1, None), (2, 0, "basmala")]
