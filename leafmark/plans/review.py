@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmark.operators import closure as K
 from leafmark.operators import review as R
 from leafmark.plans.base import domain, query
+from leafmark.sources.shared import stored
 
 _OWN = "own AS (SELECT *, min(word_id) OVER (PARTITION BY line, label) AS first, max(word_id) OVER (PARTITION BY line, label) AS last FROM v_allocation)"
 _EDGES = _OWN + """, edges AS (SELECT line, word_id, max(CASE WHEN first < word_id THEN x + CAST(floor(w / 2) AS BIGINT) ELSE x + w END) AS start_x, min(CASE WHEN last > word_id THEN x + CAST(floor(w / 2) AS BIGINT) ELSE x END) AS end_x FROM own GROUP BY line, word_id)"""
@@ -193,6 +194,8 @@ units AS (SELECT rt.line, wl.word_id AS unit, rt.word_id FROM rt JOIN un USING (
 
 def _units(spark, sf_dir):
     components, allocations = domain(spark, sf_dir, "component", "allocation")
+    # one table, since links, words and parts all read it
+    allocations = stored(allocations.select("line", "label", "x", "w", "role", "word_id"), "allocations")
     words = allocations.select("line", "word_id").distinct().selectExpr("line", "word_id", "word_id + CASE WHEN word_id > 3 THEN 1L ELSE 0L END AS place", "CAST(floor(word_id / 4) AS BIGINT) AS verse")
     shared = allocations.filter("label % 3 = 2 AND role = 'body'").select("line", "label", "word_id")
     return K.fused_units(shared, words), words, allocations, components

@@ -75,3 +75,7 @@ def test_segments_of_text_lines_alone_count(spark):
     segments = spark.createDataFrame([(1, 1, 1, 1, True, 1), (1, 1, 2, 1, True, 2), (1, 1, 3, 1, True, 3), (1, 2, 1, 1, True, 4)], "collection_id long, page_number int, line_number int, segment_order int, closes boolean, verse long")
     got = transfers.page_rows(lines, segments, only=spark.createDataFrame([(1, 1)], "collection_id long, page_number int"), keep=("type",))
     assert sorted((r.line_number, r.segment_order or 0, r.type) for r in got.collect()) == [(1, 0, "text"), (1, 1, None), (2, 0, "basmala")]
+
+
+def test_units_read_their_ink_once(spark):
+    assert "l_partkey" not in plan(entry.queries()["i04_split_units"](spark, SMOKE))
