@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,53 @@ def test_four_grams_of_texts_that_fail_the_base_rules_count(spark, docs):
     assert perplexity.four_gram_counts(docs).agg(F.sum("n")).first()[0] == want
 
 
+def test_four_grams_are_those_of_all_bytes(spark):
+    """Bytes of all scripts, cases and marks count as themselves, whatever text stands before."""
+    texts = ["ENDS IN A", "Begins", "дом и лес", "μια λεξη", "家と森", "12 + 3; 45 - 6", "a\tb\nc"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = Counter()
+    for t in texts:
+        s = [0, 0, 0, *(b + 1 for b in t.encode()), 0]
+        want.update(sum(x * 257 ** (3 - k) for k, x in enumerate(s[at : at + 4])) for at in range(len(s) - 3))
+    assert {r.code: r.n for r in perplexity.four_gram_counts(rows).collect()} == want
+
+
+def test_perplexity_is_plain_kneser_ney(spark):
+    """Against sums over dictionaries: discounts of a corpus that gives them in each order, texts of several scripts and cases."""
+    rng = random.Random(3)
+    texts = [None, "", "AB", "Ab", "ab"] + [" ".join("".join(rng.choice(some) for _ in range(rng.randint(1, 4))) for _ in range(25)) for some in ("abcdeABC", "абвгд", "αβγδε", "家と森の木", "12.,;a") for _ in range(4)]
+    got = {r.doc_id: r for r in perplexity.perplexity_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("*", "'en' AS lang").coalesce(1)).collect()}
+
+    grams = [(0, 0, 0, *(b + 1 for b in (t or "").encode()), 0) for t in texts]
+    n = {4: Counter(g[k : k + 4] for g in grams for k in range(len(g) - 3))}
+    for order in (3, 2, 1):
+        n[order] = Counter(g[1:] for g in n[order + 1])
+    off, whole, left = {}, {}, {}
+    for order, counts in n.items():
+        of = Counter(counts.values())
+        d = [0.5, 1.0, 1.5]
+        if of[1] and of[2] and of[3] and of[4]:
+            y = of[1] / (of[1] + 2 * of[2])
+            d = [max(0.05, min(k, k - (k + 1) * y * of[k + 1] / of[k])) for k in (1, 2, 3)]
+        whole[order], left[order] = Counter(), Counter()
+        for g, c in counts.items():
+            off[g] = d[min(c, 3) - 1]
+            whole[order][g[:-1]] += c
+            left[order][g[:-1]] += off[g]
+
+    def p(g):
+        order = len(g)
+        lower = p(g[1:]) if order > 1 else 1 / 257
+        return (n[order][g] - off[g] + left[order][g[:-1]] * lower) / whole[order][g[:-1]]
+
+    for i, (t, g) in enumerate(zip(texts, grams, strict=True)):
+        if not t:
+            assert got[i].log_ppl is None and not got[i].kept
+            continue
+        want = -sum(math.log10(p(g[k : k + 4])) for k in range(len(g) - 3)) / (len(t.encode()) + 1)
+        assert math.isclose(got[i].log_ppl, want, rel_tol=1e-5), t
+
+
 def test_near_duplicates(docs, none):
     got = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(docs).collect()}
     assert got[3] == got[4] == got[5] == 3 and got[0] == got[1] == 0 and got[2] == 2
